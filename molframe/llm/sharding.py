@@ -77,6 +77,14 @@ def _greedy(totals: _Totals, end: int, shards: int, capacity: int) -> tuple[bool
     return sure >= end, maybe >= end, spans
 
 
+def _least(low: int, high: int, holds) -> int:
+    """Smallest value in ``low..high`` for which ``holds`` is true; it is true at ``high`` and monotone."""
+    while low < high:
+        mid = (low + high) // 2
+        low, high = (low, mid) if holds(mid) else (mid + 1, high)
+    return low
+
+
 def minimax_cuts(running: DataFrame, shards: int, grid: int = GRID) -> tuple[int, list[int]]:
     """Smallest capacity that ``shards`` contiguous runs can keep to, and the running totals to cut at.
 
@@ -90,60 +98,27 @@ def minimax_cuts(running: DataFrame, shards: int, grid: int = GRID) -> tuple[int
         return 0, []
     low, high = max(largest, -(-end // shards)), end
     grid = max(grid, 4 * shards * (shards + 1))  # cut j can lie in j + 1 ranges of a round, so a finer grid always narrows
-    ranges = [(0, end)]  # values in which a cut can fall, as (after, up to)
-    fixed_lows: list[int] = []
-    fixed_highs: list[int] = []
+    width, wanted = None, None  # ranges of the last round: their width, and the numbers of those a cut can fall in
+    known: list[tuple[int, int]] = []  # smallest and largest running total of each non-empty range
+    cell = lambda w: F.floor((F.col("cum_bytes") - 1) / F.lit(w)).cast("long")
     while True:
-        width = max(1, -(-sum(b - a for a, b in ranges) // (grid - len(ranges))))
-        where, bucket, offset = None, None, 0
-        for a, b in ranges:
-            test = (F.col("cum_bytes") > a) & (F.col("cum_bytes") <= b)
-            place = F.lit(offset) + F.floor((F.col("cum_bytes") - F.lit(a) - 1) / F.lit(width)).cast("long")
-            where = test if where is None else where | test
-            bucket = F.when(test, place) if bucket is None else bucket.when(test, place)
-            offset += -(-(b - a) // width)
-        found = (
-            running.where(where)
-            .groupBy(bucket.alias("cell"))
-            .agg(F.min("cum_bytes").alias("lo"), F.max("cum_bytes").alias("hi"))
-            .collect()  # at most ``grid`` rows
-        )
-        outside = [(lo, hi) for lo, hi in zip(fixed_lows, fixed_highs) if not any(a < lo and hi <= b for a, b in ranges)]
-        known = sorted({*outside, *((r["lo"], r["hi"]) for r in found)})
-        fixed_lows, fixed_highs = [x[0] for x in known], [x[1] for x in known]
-        totals = _Totals(fixed_lows, fixed_highs)
-        # smallest capacity that is surely feasible, and smallest that may be
-        lo, hi = low, high
-        while lo < hi:
-            mid = (lo + hi) // 2
-            if _greedy(totals, end, shards, mid)[0]:
-                hi = mid
-            else:
-                lo = mid + 1
-        sure = lo
-        lo, hi = low, sure
-        while lo < hi:
-            mid = (lo + hi) // 2
-            if _greedy(totals, end, shards, mid)[1]:
-                hi = mid
-            else:
-                lo = mid + 1
-        low, high = lo, sure
-        wanted = set()
+        rows, finer = running, max(1, -(-(end if wanted is None else width * len(wanted)) // (grid // 2)))
+        if wanted is not None:
+            numbers = F.explode(F.from_json(F.lit(str(sorted(wanted))), "array<bigint>")).alias("inside")
+            few = running.sparkSession.range(1).select(numbers)  # fewer than ``grid`` numbers
+            rows = running.withColumn("inside", cell(width)).join(F.broadcast(few), "inside", "left_semi")
+        found = rows.groupBy(cell(finer).alias("cell")).agg(F.min("cum_bytes").alias("lo"), F.max("cum_bytes").alias("hi"))
+        seen = [(r["lo"], r["hi"]) for r in found.collect()]  # about ``grid`` rows at most
+        known = sorted(seen + [x for x in known if (x[0] - 1) // width not in wanted])
+        totals = _Totals([x[0] for x in known], [x[1] for x in known])
+        sure = _least(low, high, lambda c: _greedy(totals, end, shards, c)[0])
+        low, high = _least(low, sure, lambda c: _greedy(totals, end, shards, c)[1]), sure
+        width, wanted = finer, set()
         for least, most in zip(_greedy(totals, end, shards, low)[2], _greedy(totals, end, shards, high)[2]):
-            first = max(0, bisect_right(totals.lows, least[0]) - 1)
-            last = bisect_right(totals.lows, most[1])
-            wanted.update(i for i in range(first, last) if totals.lows[i] < totals.highs[i])
+            first, last = max(0, bisect_right(totals.lows, least[0]) - 1), bisect_right(totals.lows, most[1])
+            wanted.update((lo - 1) // width for lo, hi in known[first:last] if lo < hi)
         if not wanted or low == high and _greedy(totals, end, shards, low)[0]:
             break
-        merged: list[tuple[int, int]] = []
-        for i in sorted(wanted):
-            a, b = totals.lows[i] - 1, totals.highs[i]
-            if merged and merged[-1][1] >= a:
-                merged[-1] = (merged[-1][0], b)
-            else:
-                merged.append((a, b))
-        ranges = merged
     spans = _greedy(totals, end, shards, high)[2]
     return high, [s for s, _ in spans[:-1]]
 
