@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality, secrets, sharding
+from . import media, quality, secrets, sharding
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +17,21 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_documents(spark, sf_dir), shards=40)
 
 
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents stored as images, read back and hashed."""
+    kept = media.media_columns(_documents(spark, sf_dir))
+    return kept.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.lower(F.hex("hash")).alias("feature"),
+    )
+
+
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and Markov spans of secrets in all documents."""
     found = secrets.scan_secrets(_documents(spark, sf_dir))
@@ -31,6 +47,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op5_media_columns": op5_media_columns,
     "op6_secret_scans": op6_secret_scans,
     "op7_quality_rules": op7_quality_rules,
 }
