@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, quality, secrets, sharding
+from . import media, quality, secrets, sharding, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,11 +45,17 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *counts, "base_failed", "kept")
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents under the unigram model."""
+    return token_counts.token_counts(_documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op5_media_columns": op5_media_columns,
     "op6_secret_scans": op6_secret_scans,
     "op7_quality_rules": op7_quality_rules,
+    "op8_token_counts": op8_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {}
