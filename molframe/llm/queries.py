@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, quality, secrets, sharding, token_counts
+from . import media, packing, quality, secrets, sharding, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,12 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_documents(spark, sf_dir), shards=40)
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 2048 tokens at most."""
+    packed = packing.pack_documents(_documents(spark, sf_dir))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents stored as images, read back and hashed."""
     kept = media.media_columns(_documents(spark, sf_dir))
@@ -52,6 +58,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op5_media_columns": op5_media_columns,
     "op6_secret_scans": op6_secret_scans,
     "op7_quality_rules": op7_quality_rules,
