@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -43,3 +43,26 @@ def shuffle_width(spark: SparkSession) -> int:
 def text_bytes(text: Column) -> Column:
     """UTF-8 bytes of a text; no bytes for null."""
     return F.encode(F.coalesce(text, F.lit("")), "UTF-8")
+
+
+def bounded_sample(df: DataFrame, keys: list[str], most: int, within: str | None = None) -> DataFrame:
+    """At most ``most`` rows of ``df`` (of each value of ``within``), the first by a hash of ``keys``.
+
+    A count fixes a bound on the hash that about twice as many rows keep to, so only those are ever moved or sorted.
+    With ``within``, its values must be few: their counts come to the driver.
+    """
+    span = 1 << 62
+    order = F.shiftrightunsigned(F.xxhash64(*keys), 2)
+    share = lambda n: min(span, span * 2 * (most + 10) // max(1, n))
+    if within is None:
+        bound = F.lit(share(df.count()))
+    else:
+        counts = df.groupBy(within).count().collect()
+        if not counts:
+            return df
+        bound = F.create_map(*[F.lit(x) for r in counts for x in (r[within], share(r["count"]))])[F.col(within)]
+    chosen = df.withColumn("_order", order).where(F.col("_order") <= bound)
+    if within is None:
+        return chosen.orderBy("_order", *keys).limit(most).drop("_order")
+    ranked = Window.partitionBy(within).orderBy("_order", *keys)
+    return chosen.withColumn("_rank", F.row_number().over(ranked)).where(F.col("_rank") <= most).drop("_order", "_rank")

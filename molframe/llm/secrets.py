@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._runtime import bounded_sample
+
 # The base patterns, in the order in which spans of equal start are listed, and their least lengths.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -106,9 +108,8 @@ def random_strings(spark: SparkSession, per_kind: int = RANDOM_STRINGS) -> DataF
 
 def corpus_words(docs: DataFrame, id_col="doc_id", text_col="text", most: int = TRAINING_DOCUMENTS) -> DataFrame:
     """Labelled samples: the all-letter words of ``most`` documents chosen by hash, as ordinary strings."""
-    chosen = docs.where(F.col(text_col).isNotNull()).select(
-        F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("order")
-    ).orderBy("order", "text").limit(most)
+    plain = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    chosen = bounded_sample(plain, ["id", "text"], most)
     words = F.explode(F.regexp_extract_all("text", F.lit("(?<![A-Za-z0-9])[A-Za-z]{6,64}(?![A-Za-z0-9])"), F.lit(0)))
     return chosen.select(words.alias("text"), F.lit(False).alias("is_random"))
 
