@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -29,9 +30,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and cut its lineage there.
 
-    A lost executor then costs a read, not a recomputation. Spark's cleaner owns the files.
+    A lost executor then costs a read, not a recomputation. Spark's cleaner owns the files; it frees those of steps
+    that nothing refers to any more, shuffles included, when the driver collects garbage, so that is asked for here.
     """
     ensure_checkpoint_dir(df.sparkSession)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.checkpoint(eager=True)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, media, near_join, packing, quality, secrets, sharding, token_counts
+from . import language, media, near_join, packing, quality, secrets, sharding, suffix_dedup, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,12 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without their repeated strings of 200 bytes."""
+    cut = suffix_dedup.remove_repeats(_documents(spark, sf_dir))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents stored as images, read back and hashed."""
     kept = media.media_columns(_documents(spark, sf_dir))
@@ -69,6 +75,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op5_media_columns": op5_media_columns,
     "op6_secret_scans": op6_secret_scans,
     "op7_quality_rules": op7_quality_rules,
