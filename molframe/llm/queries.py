@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import language, media, near_join, packing, quality, secrets, sharding, suffix_dedup, token_counts
+from . import language, lattice, media, near_join, packing, quality, secrets, sharding, suffix_dedup, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,19 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_sentencepiece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded to pieces and decoded again."""
+    encoded = lattice.encode_documents(_documents(spark, sf_dir))
+    decoded = encoded.select("doc_id", "ids", lattice.decode_ids(F.col("ids")).alias("text"))
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.crc32(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary")).alias("ids_crc32"),
+        F.octet_length("text").cast("long").alias("decoded_bytes"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents stored as images, read back and hashed."""
     kept = media.media_columns(_documents(spark, sf_dir))
@@ -78,6 +91,7 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_sentencepiece_lattice": op4_sentencepiece_lattice,
     "op5_media_columns": op5_media_columns,
     "op6_secret_scans": op6_secret_scans,
     "op7_quality_rules": op7_quality_rules,
