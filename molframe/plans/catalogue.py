@@ -1,6 +1,480 @@
-"""Registered queries of the engine's own operators, each with its SQL equivalent."""
+"""Registered queries of the engine's own operators, each with its SQL equivalent where SQL can express it."""
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from molframe.functions import geometry as geo
+from molframe.functions.values import Tag
+from molframe.operators import bridge, lock, model, read, shards, stats
+
+from . import fixtures as fx
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+IDS = [5, 3, 5, 7, 1499]
+SQL_IDS = "(VALUES (0, 5), (1, 3), (2, 5), (3, 7), (4, 1499)) AS ids(pos, mol_id)"
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with the SQL that gives the same rows."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r6(column: Column | str) -> Column:
+    """Rounded as the SQL is."""
+    return F.round(column, 6)
+
+
+# -- scans and lookups ----------------------------------------------------------------------------------------------
+
+
+@query(fx.WITH + "SELECT mol_id, n_atoms, name, energy FROM m")
+def mol_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.molecules(spark, sf_dir).select("mol_id", "n_atoms", "name", "energy")
+
+
+@query(fx.WITH + "SELECT mol_id, atom_idx, z_num, x, y, z, charge, fx FROM a")
+def atom_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    atoms = model.wide_atoms(model.to_atoms(fx.molecules(spark, sf_dir)))
+    return atoms.select("mol_id", "atom_idx", "z_num", "x", "y", "z", "charge", "fx")
+
+
+@query("SELECT count(*) AS n FROM orders")
+def mol_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.table(spark, sf_dir, "orders").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(fx.WITH + "SELECT mol_id, n_atoms FROM m")
+def num_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.molecules(spark, sf_dir).select("mol_id", "n_atoms")
+
+
+@query(fx.WITH + "SELECT mol_id, n_atoms, name, energy FROM m WHERE mol_id = 7")
+def point_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read.point_get(fx.molecules(spark, sf_dir), 7).select("mol_id", "n_atoms", "name", "energy")
+
+
+@query(fx.WITH + f"SELECT CAST(pos AS INTEGER) AS pos, m.mol_id, n_atoms, energy FROM {SQL_IDS} JOIN m USING (mol_id)")
+def multi_get_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read.multi_get(fx.molecules(spark, sf_dir), IDS).select("pos", "mol_id", "n_atoms", "energy")
+
+
+@query("SELECT CAST(pos AS INTEGER) AS pos, CAST(mol_id AS BIGINT) AS mol_id FROM (VALUES (0, 5), (1, 99999999), (2, 3), (3, 88888888)) AS t(pos, mol_id) WHERE mol_id NOT IN (SELECT o_orderkey FROM orders)")  # noqa: E501
+def multi_get_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read.missing_ids(fx.molecules(spark, sf_dir), [5, 99999999, 3, 88888888])
+
+
+# -- flat batches ---------------------------------------------------------------------------------------------------
+
+_BATCH = fx.WITH + f", b AS (SELECT CAST(pos AS INTEGER) AS pos, m.*, CAST(coalesce(sum(n_atoms) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS atom_offset FROM {SQL_IDS} JOIN m USING (mol_id)) "  # noqa: E501
+
+
+@query(_BATCH + "SELECT pos, mol_id, atom_idx, atom_offset, atom_offset + atom_idx AS row, z_num, x, y, z, charge, coalesce(fx, 0) AS fx FROM b JOIN a USING (mol_id)")  # noqa: E501
+def flat_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flat = read.flat_batch(fx.molecules(spark, sf_dir), IDS)
+    return flat.select("pos", "mol_id", "atom_idx", "atom_offset", "row", "z_num", "x", "y", "z", "charge", "fx")
+
+
+@query(_BATCH + "SELECT pos, mol_id, n_atoms, atom_offset FROM b")
+def flat_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read.batch_offsets(read.multi_get(fx.molecules(spark, sf_dir), IDS)).select("pos", "mol_id", "n_atoms", "atom_offset")
+
+
+@query(fx.WITH + "SELECT mol_id, CAST(coalesce(sum(n_atoms) OVER (ORDER BY mol_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS atom_offset FROM m")  # noqa: E501
+def table_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = fx.molecules(spark, sf_dir).select("mol_id", "n_atoms")
+    return read.exclusive_total(counts, "mol_id", "n_atoms", "atom_offset", width=1024).select("mol_id", "atom_offset")
+
+
+@query(fx.WITH + ", o AS (SELECT mol_id, coalesce(sum(n_atoms) OVER (ORDER BY mol_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS atom_offset FROM m) SELECT CAST(atom_offset + atom_idx AS BIGINT) AS row, mol_id, atom_idx, z_num, x, y, z FROM o JOIN a USING (mol_id)")  # noqa: E501
+def flat_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole table as one flat batch."""
+    kept = fx.molecules(spark, sf_dir).select("mol_id", "n_atoms", "positions", "atomic_numbers")
+    placed = read.exclusive_total(kept, "mol_id", "n_atoms", "atom_offset", width=1024)
+    flat = model.wide_atoms(model.to_atoms(placed, ("mol_id", "atom_offset")))
+    return flat.select((F.col("atom_offset") + F.col("atom_idx")).alias("row"), "mol_id", "atom_idx", "z_num", "x", "y", "z")
+
+
+@query(fx.WITH + "SELECT mol_id, atom_idx, coalesce(fx, 0) AS fx FROM a")
+def flat_zero_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    filled = model.with_default(fx.molecules(spark, sf_dir), "forces")
+    return model.wide_atoms(model.to_atoms(filled, only=("forces",))).select("mol_id", "atom_idx", "fx")
+
+
+@query(fx.WITH + f"SELECT CAST(pos AS INTEGER) AS pos, m.mol_id, energy, CASE WHEN status <> 'P' THEN custkey ELSE 0 END AS mp_customer FROM {SQL_IDS} JOIN m USING (mol_id)")  # noqa: E501
+def flat_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read.flat_scalars(fx.molecules(spark, sf_dir), IDS, ["energy", "mp_customer"])
+
+
+@query(fx.WITH + f"SELECT CAST(pos AS INTEGER) AS pos, m.mol_id, name, status AS mp_status FROM {SQL_IDS} JOIN m USING (mol_id)")
+def flat_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read.flat_scalars(fx.molecules(spark, sf_dir), IDS, ["name", "mp_status"])
+
+
+@query("SELECT vec_id AS mol_id, CAST(i AS INTEGER) AS r, round(CAST(embedding[i * 8 + 1] AS DOUBLE), 6) AS first FROM embeddings, range(8) t(i)")
+def flat_tensor_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stacked = read.stack_tensors(fx.tensors(spark, sf_dir), "density")
+    rows = stacked.select("mol_id", F.posexplode(geo.rows_of(F.col("data"), 8)).alias("r", "v"))
+    return rows.select("mol_id", "r", r6(F.get("v", F.lit(0)).cast("double")).alias("first"))
+
+
+@query("SELECT count(*) AS n, CAST(sum(CASE WHEN len(embedding) <> 64 THEN 1 ELSE 0 END) AS BIGINT) AS bad FROM embeddings")
+def tensor_shape_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = fx.tensors(spark, sf_dir)
+    return t.agg(F.count(F.lit(1)).alias("n"), F.sum((~geo.tensor_ok(F.col("density"))).cast("long")).alias("bad"))
+
+
+@query(fx.WITH + "SELECT mol_id, atom_idx, charge AS value FROM a")
+def atom_property_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = model.set_property(fx.molecules(spark, sf_dir), "partial", F.col("charges"), scope="atom")
+    return model.to_atoms(made, only=("ap_partial",)).select("mol_id", "atom_idx", F.col("ap_partial").alias("value"))
+
+
+@query("SELECT vec_id AS mol_id, CAST(i AS INTEGER) AS k, round(CAST(embedding[i + 1] AS DOUBLE), 6) AS value FROM embeddings, range(4) t(i)")
+def molecule_array_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flat = read.concat_arrays(fx.tensors(spark, sf_dir), "mp_array")
+    return flat.select("mol_id", "k", r6(F.col("value").cast("double")).alias("value"))
+
+
+# -- shards ---------------------------------------------------------------------------------------------------------
+
+_SHARDS = "WITH r AS (SELECT CAST(o_orderkey % 4 AS INTEGER) AS shard, o_orderkey // 4 AS local_idx, o_orderkey AS mol_id, o_totalprice AS energy FROM orders), o AS (SELECT shard, length, CAST(coalesce(sum(length) OVER (ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first FROM (SELECT shard, count(*) AS length FROM r GROUP BY shard)) "  # noqa: E501
+SHARD_IDS = [1, 0, 1499, 700, 1]
+
+
+@query(_SHARDS + "SELECT * FROM o")
+def shard_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.shard_offsets(fx.sharded(spark, sf_dir))
+
+
+@query(_SHARDS + ", q AS (SELECT * FROM (VALUES (0, 1), (1, 0), (2, 1499), (3, 700), (4, 99999999)) AS t(pos, wanted)) SELECT CAST(pos AS INTEGER) AS pos, CAST(wanted AS BIGINT) AS wanted, shard, CAST(wanted - first AS BIGINT) AS local_idx FROM q LEFT JOIN o ON wanted >= first AND wanted < first + length")  # noqa: E501
+def shard_locate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.locate(shards.shard_offsets(fx.sharded(spark, sf_dir)), [1, 0, 1499, 700, 99999999])
+
+
+@query(_SHARDS + ", q AS (SELECT * FROM (VALUES (0, 1), (1, 0), (2, 1499), (3, 700), (4, 1)) AS t(pos, wanted)) SELECT CAST(pos AS INTEGER) AS pos, shard, mol_id, energy FROM q JOIN o ON wanted >= first AND wanted < first + length JOIN r USING (shard) WHERE local_idx = wanted - first")  # noqa: E501
+def shard_multi_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.shard_get(fx.sharded(spark, sf_dir), SHARD_IDS).select("pos", "shard", "mol_id", "energy")
+
+
+@query(_SHARDS + ", q AS (SELECT pos, wanted, CASE WHEN wanted < 0 THEN wanted + (SELECT sum(length) FROM o) ELSE wanted END AS spot FROM (VALUES (0, -1), (1, -1000), (2, 2)) AS t(pos, wanted)) SELECT CAST(pos AS INTEGER) AS pos, CAST(wanted AS BIGINT) AS wanted, shard, CAST(spot - first AS BIGINT) AS local_idx FROM q LEFT JOIN o ON spot >= first AND spot < first + length")  # noqa: E501
+def shard_negative_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.locate(shards.shard_offsets(fx.sharded(spark, sf_dir)), [-1, -1000, 2])
+
+
+# -- construction, getters, properties ------------------------------------------------------------------------------
+
+
+@query(fx.WITH + "SELECT mol_id, CAST(count(*) AS INTEGER) AS n_atoms, max(CASE WHEN atom_idx = 0 THEN z_num END) AS first_z, arg_max(z_num, atom_idx) AS last_z, round(sum(x), 6) AS sum_x FROM a GROUP BY mol_id")  # noqa: E501
+def rows_to_molecules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = fx.molecules(spark, sf_dir).where("n_atoms > 0")
+    total = F.aggregate(F.transform("positions", lambda p: p["x"]), F.lit(0.0), lambda a, x: a + x)
+    return m.select("mol_id", "n_atoms", geo.at(F.col("atomic_numbers"), F.lit(0)).alias("first_z"), geo.at(F.col("atomic_numbers"), F.lit(-1)).alias("last_z"), r6(total).alias("sum_x"))  # noqa: E501
+
+
+@query(fx.WITH + "SELECT mol_id, CAST(atom_idx * 3 + k AS INTEGER) AS at, round(CASE k WHEN 0 THEN x WHEN 1 THEN y ELSE z END, 6) AS value FROM a, range(3) t(k)")
+def positions_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flat = fx.molecules(spark, sf_dir).select("mol_id", F.posexplode(geo.flat3(F.col("positions"))).alias("at", "value"))
+    return flat.select("mol_id", "at", r6("value").alias("value"))
+
+
+@query(fx.WITH + "SELECT m.mol_id, p.z_num AS second, l.z_num AS last FROM m LEFT JOIN a p ON p.mol_id = m.mol_id AND p.atom_idx = 1 LEFT JOIN a l ON l.mol_id = m.mol_id AND l.atom_idx = n_atoms - 1")  # noqa: E501
+def atom_element_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    z = F.col("atomic_numbers")
+    return fx.molecules(spark, sf_dir).select("mol_id", geo.at(z, F.lit(1)).alias("second"), geo.at(z, F.lit(-1)).alias("last"))
+
+
+@query(fx.WITH + "SELECT mol_id, 'customer,status' AS keys, true AS has_customer, false AS has_mass FROM m")
+def property_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A property stored as null is present."""
+    m = fx.molecules(spark, sf_dir)
+    return m.select("mol_id", F.array_join(model.property_keys(), ",").alias("keys"), model.has_property("customer").alias("has_customer"), model.has_property("mass").alias("has_mass"))  # noqa: E501
+
+
+@query(fx.WITH + "SELECT mol_id, status <> 'P' AS has_forces FROM m")
+def has_section(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.molecules(spark, sf_dir).select("mol_id", F.array_contains("present", "forces").alias("has_forces"))
+
+
+@query(fx.WITH + "SELECT mol_id, 'status' AS keys FROM m")
+def delete_property(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = model.delete_property(fx.molecules(spark, sf_dir), "customer")
+    return m.select("mol_id", F.array_join(model.property_keys("molecule"), ",").alias("keys"))
+
+
+@query(fx.WITH + "SELECT mol_id, energy / greatest(n_atoms, 1) AS per_atom, status AS got FROM m")
+def set_get_property(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = model.set_property(fx.molecules(spark, sf_dir), "per_atom", F.col("energy") / F.greatest("n_atoms", F.lit(1)))
+    return m.select("mol_id", model.get_property(m, "per_atom").alias("per_atom"), model.get_property(m, "status").alias("got"))
+
+
+@query(fx.WITH + "SELECT mol_id, CAST(x * 2 AS DOUBLE) AS fx, atom_idx FROM a WHERE mol_id < 100")
+def set_forces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replaces a section of some molecules."""
+    m = fx.molecules(spark, sf_dir).where("mol_id < 100")
+    doubled = F.transform("positions", lambda p: F.struct((p["x"] * 2).alias("x"), p["y"].alias("y"), p["z"].alias("z")))
+    return model.wide_atoms(model.to_atoms(m.withColumn("forces", doubled), only=("forces",))).select("mol_id", "fx", "atom_idx")
+
+
+@query(fx.WITH + "SELECT mol_id, 'Molecule(n_atoms=' || n_atoms || ')' AS text FROM m")
+def describe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.regexp_replace(model.describe(fx.molecules(spark, sf_dir)), ", energy=[^)]*", "")
+    return fx.molecules(spark, sf_dir).select("mol_id", text.alias("text"))
+
+
+# -- geometry -------------------------------------------------------------------------------------------------------
+
+_PAIRS = fx.WITH + ", p AS (SELECT i.mol_id, i.atom_idx AS i, j.atom_idx AS j, sqrt((i.x-j.x)*(i.x-j.x) + (i.y-j.y)*(i.y-j.y) + (i.z-j.z)*(i.z-j.z)) AS d FROM a i JOIN a j ON i.mol_id = j.mol_id AND i.atom_idx < j.atom_idx) "  # noqa: E501
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of atoms inside a molecule, made from its own arrays: no join."""
+    m = fx.molecules(spark, sf_dir).select("mol_id", "positions")
+    first = m.select("*", F.posexplode("positions").alias("i", "p"))
+    later = F.posexplode(F.slice("positions", F.col("i") + 2, F.size("positions"))).alias("k", "q")
+    both = first.select("mol_id", "i", "p", later)
+    return both.select("mol_id", "i", (F.col("i") + F.col("k") + 1).alias("j"), geo.distance(F.col("p"), F.col("q")).alias("d"))
+
+
+@query(_PAIRS + "SELECT mol_id, i, j, round(d, 6) AS d FROM p")
+def pair_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(spark, sf_dir).withColumn("d", r6("d"))
+
+
+@query(_PAIRS + "SELECT mol_id, i, round(min(d), 6) AS d FROM (SELECT mol_id, i, d FROM p UNION ALL SELECT mol_id, j, d FROM p) GROUP BY mol_id, i")
+def nearest_neighbor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _pairs(spark, sf_dir)
+    both = F.explode(F.array("i", "j")).alias("i")
+    return p.select("mol_id", both, "d").groupBy("mol_id", "i").agg(r6(F.min("d")).alias("d"))
+
+
+@query("SELECT vec_id AS mol_id, round(CAST(embedding[6] AS DOUBLE), 6) AS xy, round(CAST(embedding[2] AS DOUBLE), 6) AS yy FROM embeddings")
+def voigt_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = geo.matrix_of(F.col("voigt"))
+    return fx.tensors(spark, sf_dir).select("mol_id", r6(F.get(m, F.lit(1)).cast("double")).alias("xy"), r6(F.get(m, F.lit(4)).cast("double")).alias("yy"))
+
+
+@query("SELECT vec_id AS mol_id, CAST(i AS INTEGER) AS r, round(CAST(embedding[i * 3 + 1] AS DOUBLE) + CAST(embedding[i * 3 + 2] AS DOUBLE) + CAST(embedding[i * 3 + 3] AS DOUBLE), 5) AS total FROM embeddings, range(3) t(i)")  # noqa: E501
+def cell_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fx.tensors(spark, sf_dir).select("mol_id", F.posexplode(geo.rows_of(geo.as_f64(F.col("cell")), 3)).alias("r", "v"))
+    return rows.select("mol_id", "r", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
+
+
+@query("SELECT mol_id, round(10 * sin(1.3 * p), 6) AS x, round(10 * cos(1.7 * p), 6) AS y, round(-1000.0 - 0.001 * mol_id, 6) AS energy, atom_idx, z_num FROM (SELECT m AS mol_id, CAST(a AS INTEGER) AS atom_idx, 0.001 * m + 0.01 * a AS p, CAST([1, 6, 7, 8, 16][a % 5 + 1] AS SMALLINT) AS z_num FROM range(100) t(m), range(64) u(a))".replace("0.001", "CAST(0.001 AS DOUBLE)").replace("0.01 ", "CAST(0.01 AS DOUBLE) "))  # noqa: E501
+def synthetic_generator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = stats.synthetic(spark, 100, 64)
+    return made.select("mol_id", r6("x").alias("x"), r6("y").alias("y"), r6("energy").alias("energy"), "atom_idx", "z_num")
+
+
+# -- schema lock ----------------------------------------------------------------------------------------------------
+
+_L = "(VALUES (0, 'energy', 0, false, 8, 8), (1, 'mulliken', 3, true, 8, 8), (2, 'gap', 0, false, 8, 8)) AS {}(kind, key, type_tag, per_atom, elem_bytes, slot_bytes)"
+_R = "(VALUES (0, 'energy', 0, false, 8, 8), (2, 'gap', 11, false, 4, 4), (2, 'phase', 2, false, 0, 0)) AS {}(kind, key, type_tag, per_atom, elem_bytes, slot_bytes)"
+
+
+@query(f"SELECT coalesce(a.kind, b.kind) AS kind, coalesce(a.key, b.key) AS key, CASE WHEN a.key IS NULL THEN 'added' WHEN b.key IS NULL THEN 'kept' WHEN a.type_tag = b.type_tag AND a.per_atom = b.per_atom AND a.elem_bytes = b.elem_bytes AND a.slot_bytes = b.slot_bytes THEN 'same' ELSE 'conflict' END AS outcome FROM {_L.format('a')} FULL JOIN {_R.format('b')} ON a.kind = b.kind AND a.key = b.key")  # noqa: E501
+def schema_merge_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entry = lock.Entry
+    left = lock.lock_frame(spark, {(e.kind, e.key): e for e in (entry(0, "energy", 0, False, 8, 8), entry(1, "mulliken", 3, True, 8, 8), entry(2, "gap", 0, False, 8, 8))})
+    right = lock.lock_frame(spark, {(e.kind, e.key): e for e in (entry(0, "energy", 0, False, 8, 8), entry(2, "gap", 11, False, 4, 4), entry(2, "phase", 2, False, 0, 0))})
+    return lock.conflicts(left, right)
+
+
+@query("SELECT CAST(kind AS INTEGER) AS kind, key, CAST(type_tag AS INTEGER) AS type_tag, per_atom, CAST(elem_bytes AS INTEGER) AS elem_bytes, CAST(slot_bytes AS INTEGER) AS slot_bytes FROM (VALUES (0, 'charges', 3, true, 8, 8), (0, 'energy', 0, false, 8, 8), (0, 'forces', 7, true, 24, 24), (0, 'name', 2, false, 0, 0), (0, 'positions', 7, true, 24, 24), (2, 'customer', 1, false, 8, 8), (2, 'status', 2, false, 0, 0)) AS t(kind, key, type_tag, per_atom, elem_bytes, slot_bytes)")  # noqa: E501
+def schema_lock_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lock.lock_frame(spark, lock.derive(fx.molecules(spark, sf_dir).schema))
+
+
+@query("SELECT * FROM (VALUES ('f64 positions', 3), ('plain', 2)) AS t(store, format)")
+def record_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entry = lambda key, tag: {(0, key): lock.Entry(0, key, int(tag), True, 0, 0)}
+    rows = [("f64 positions", lock.record_format(entry("positions", Tag.VEC3_F64))), ("plain", lock.record_format(entry("positions", Tag.VEC3_F32)))]
+    return spark.createDataFrame(rows, "store string, format int")
+
+
+@query(fx.WITH + "SELECT mol_id, 'charges' AS section, 'length is not the number of atoms' AS reason FROM m WHERE mol_id % 10 = 0 AND n_atoms > 0")
+def per_atom_length_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = fx.molecules(spark, sf_dir)
+    cut = F.when(F.col("mol_id") % 10 == 0, F.slice("charges", 2, F.size("charges"))).otherwise(F.col("charges"))
+    return lock.violations(m.withColumn("charges", cut))
+
+
+@query("SELECT event_type AS key, CAST(2 AS BIGINT) AS scopes FROM events GROUP BY 1 HAVING count(DISTINCT user_id % 2) = 2")
+def scope_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = fx.table(spark, sf_dir, "events")
+    return lock.scope_conflicts(e.select((F.col("user_id") % 2 + 1).cast("int").alias("kind"), F.col("event_type").alias("key")))
+
+
+# -- runs, chunks, statistics, samples ------------------------------------------------------------------------------
+
+
+@query("WITH s AS (SELECT event_id, event_type, CASE WHEN lag(event_type) OVER (ORDER BY event_id) = event_type THEN 0 ELSE 1 END AS c FROM events), r AS (SELECT event_id, event_type, CAST(sum(c) OVER (ORDER BY event_id) - 1 AS BIGINT) AS run FROM s) SELECT run, any_value(event_type) AS event_type, min(event_id) AS first_id, count(*) AS n FROM r GROUP BY run")  # noqa: E501
+def run_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    numbered = stats.runs(fx.table(spark, sf_dir, "events"), "event_id", F.col("event_type"))
+    return numbered.groupBy("run").agg(F.min("event_type").alias("event_type"), F.min("event_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+
+
+@query("WITH s AS (SELECT user_id, event_id, event_type, CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) = event_type THEN 0 ELSE 1 END AS c FROM events) SELECT user_id, CAST(sum(c) AS BIGINT) AS runs FROM s GROUP BY user_id")  # noqa: E501
+def run_counts_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    numbered = stats.runs(fx.table(spark, sf_dir, "events"), "event_id", F.col("event_type"), ["user_id"])
+    return numbered.groupBy("user_id").agg((F.max("run") + 1).alias("runs"))
+
+
+@query("SELECT o_orderkey // 512 AS chunk, count(*) AS n, min(o_orderkey) AS first_id FROM orders GROUP BY 1")
+def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = stats.chunks(fx.table(spark, sf_dir, "orders"), "o_orderkey", 512)
+    return cut.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first_id"))
+
+
+@query("WITH q AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS pos, user_id AS mol_id FROM events) SELECT mol_id // 16 AS chunk, count(*) AS n, min(pos) AS first_pos FROM q GROUP BY 1")
+def chunk_regroup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read.exclusive_total(fx.table(spark, sf_dir, "events").withColumn("one", F.lit(1)), "event_id", "one", "pos", width=1024)
+    grouped = stats.regroup(e.select("pos", F.col("user_id").alias("mol_id")), 16)
+    return grouped.select("chunk", "n", F.get("items", F.lit(0))["pos"].alias("first_pos"))
+
+
+@query("SELECT event_type, round(median(value), 6) AS median FROM events GROUP BY event_type")
+def median_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.rate_summary(fx.table(spark, sf_dir, "events"), ["event_type"], "value").select("event_type", r6("median").alias("median"))
+
+
+@query("SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(coalesce(stddev_samp(value), 0), 6) AS sd, round(CASE WHEN count(value) < 2 THEN 0 ELSE 1.96 * stddev_samp(value) / sqrt(count(value)) END, 6) AS ci95 FROM events GROUP BY event_type")  # noqa: E501
+def ci95(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = stats.rate_summary(fx.table(spark, sf_dir, "events"), ["event_type"], "value")
+    return s.select("event_type", "n", *[r6(c).alias(c) for c in ("mean", "sd", "ci95")])
+
+
+_RATES = "(SELECT l_returnflag AS backend, l_linenumber AS workers, sum(l_quantity) AS rate FROM lineitem GROUP BY 1, 2)"
+
+
+def _rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = fx.table(spark, sf_dir, "lineitem")
+    return lines.groupBy(F.col("l_returnflag").alias("backend"), F.col("l_linenumber").alias("workers")).agg(F.sum("l_quantity").alias("rate"))
+
+
+@query(f"WITH r AS {_RATES} SELECT r.backend, r.workers, round(r.rate / b.rate, 6) AS speedup FROM r LEFT JOIN r b ON b.backend = r.backend AND b.workers = 1")
+def speedup_vs_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.speedup(_rates(spark, sf_dir), ["backend"], "workers", "rate").select("backend", "workers", r6("speedup").alias("speedup"))
+
+
+@query("SELECT event_type, first, second, round(first / second, 6) AS ratio FROM (SELECT event_type, max(CASE WHEN r = 1 THEN value END) AS first, max(CASE WHEN r = 2 THEN value END) AS second FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS r FROM events) WHERE r <= 2 GROUP BY event_type)")  # noqa: E501
+def top2_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = stats.top_two_ratio(fx.table(spark, sf_dir, "events"), ["event_type"], "value", "event_id")
+    return top.select("event_type", "first", "second", r6("ratio").alias("ratio"))
+
+
+@query("SELECT p_size FROM (SELECT DISTINCT p_size FROM part) ORDER BY abs(p_size - 64), p_size LIMIT 1")
+def nearest_to_64(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.nearest(fx.table(spark, sf_dir, "part"), "p_size", 64)
+
+
+@query("SELECT p_size FROM part GROUP BY p_size HAVING count(DISTINCT p_brand) = (SELECT count(DISTINCT p_brand) FROM part)")
+def shared_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.shared_by_all(fx.table(spark, sf_dir, "part"), "p_size", "p_brand")
+
+
+@query(f"WITH r AS {_RATES} SELECT backend, rate FROM r WHERE workers = (SELECT max(workers) FROM r)")
+def max_workers_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.at_largest(_rates(spark, sf_dir), "workers").select("backend", "rate")
+
+
+@query(f"WITH r AS {_RATES} SELECT workers, round(max(CASE WHEN backend = 'N' THEN rate END) / max(CASE WHEN backend = 'A' THEN rate END), 6) AS ratio FROM r GROUP BY workers")
+def backend_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.ratio_of(_rates(spark, sf_dir), ["workers"], "backend", "rate", "N", "A").select("workers", r6("ratio").alias("ratio"))
+
+
+@query("SELECT event_type, CAST(row_number() OVER (ORDER BY CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 ELSE 3 END, event_type) AS INTEGER) AS place FROM (SELECT DISTINCT event_type FROM events)")  # noqa: E501
+def ordered_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.in_order(fx.table(spark, sf_dir, "events"), "event_type", ["view", "click"])
+
+
+@query("SELECT l_returnflag AS backend, round(sum(l_quantity) * 64, 6) AS atom_rate, CAST(round(sum(l_quantity)) AS BIGINT) AS shown FROM lineitem GROUP BY 1")
+def derived_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = fx.table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("backend")).agg(F.sum("l_quantity").alias("q"))
+    return lines.select("backend", r6(F.col("q") * 64).alias("atom_rate"), F.round("q").cast("long").alias("shown"))
+
+
+@query(fx.WITH + "SELECT round(avg(n_atoms), 6) AS mean FROM (SELECT n_atoms FROM m ORDER BY mol_id LIMIT 200)")
+def mean_atoms_of_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.first_k(fx.molecules(spark, sf_dir), "mol_id", 200).agg(r6(F.avg("n_atoms")).alias("mean"))
+
+
+@query("SELECT event_id, value FROM events ORDER BY event_id LIMIT 100")
+def sample_first_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.first_k(fx.table(spark, sf_dir, "events"), "event_id", 100).select("event_id", "value")
+
+
+@query()
+def hash_sample_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.hash_sample(fx.table(spark, sf_dir, "events"), "event_id", 100, seed=7).select("event_id", "value")
+
+
+@query()
+def draws_with_replacement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.draws(fx.table(spark, sf_dir, "orders"), "mol_id", 1000, seed=7)
+
+
+@query("SELECT user_id AS atoms, least(4096, greatest(1, 1000000 // (user_id * 28 + 200))) AS batch FROM (SELECT DISTINCT user_id FROM events)".replace("least(", "CAST(least(").replace(")) AS batch", ")) AS INTEGER) AS batch"))  # noqa: E501
+def recommended_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    atoms = fx.table(spark, sf_dir, "events").select(F.col("user_id").alias("atoms")).distinct()
+    return atoms.select("atoms", stats.recommended_batch(F.col("atoms"), 1_000_000, 28, 200).alias("batch"))
+
+
+# -- texts, JSON, interchange ---------------------------------------------------------------------------------------
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+def json_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+
+
+@query("SELECT * FROM (VALUES (' /a/./b// ', 'a/b'), ('x', 'x'), ('a/../b', NULL), ('.', NULL), ('', NULL)) AS t(path, normal)")
+def normal_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = spark.createDataFrame([(" /a/./b// ",), ("x",), ("a/../b",), (".",), ("",)], "path string")
+    return paths.select("path", geo.normal_path(F.col("path")).alias("normal"))
+
+
+@query("SELECT spec, codec, CAST(level AS INTEGER) AS level FROM (VALUES ('none', 'none', NULL), ('LZ4', 'lz4', NULL), ('zstd', 'zstd', 3), ('zstd:19', 'zstd', 19), ('gzip', NULL, NULL), ('lz4:1', NULL, NULL)) AS t(spec, codec, level)")  # noqa: E501
+def codec_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    specs = spark.createDataFrame([(s,) for s in ("none", "LZ4", "zstd", "zstd:19", "gzip", "lz4:1")], "spec string")
+    return specs.select("spec", geo.codec_of(F.col("spec")).alias("c")).select("spec", "c.codec", "c.level")
+
+
+@query("SELECT conv_id, count(*) AS n_turns, CAST(sum(length(text)) AS BIGINT) AS chars, arg_min(role, turn) AS first_role FROM conversations GROUP BY conv_id")
+def ragged_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = fx.table(spark, sf_dir, "conversations")
+    grouped = model.from_atoms(c, "conv_id", ["turn"], {"role": F.col("role"), "chars": F.char_length("text")})
+    total = F.aggregate("chars", F.lit(0).cast("long"), lambda a, x: a + x)
+    return grouped.select("conv_id", F.col("n_atoms").cast("long").alias("n_turns"), total.alias("chars"), F.get("role", F.lit(0)).alias("first_role"))
+
+
+@query(fx.WITH + "SELECT mol_id, CASE WHEN status = 'P' THEN 'override' ELSE name END AS merged FROM m")
+def property_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Later sources of a property win: arrays, results, info, overrides."""
+    m = fx.molecules(spark, sf_dir)
+    low, high = F.create_map(F.lit("tag"), F.col("name")), F.when(F.col("mp_status") == "P", F.create_map(F.lit("tag"), F.lit("override")))
+    return m.select("mol_id", bridge.merged_properties(low, high)["tag"].alias("merged"))
+
+
+@query("SELECT vec_id AS mol_id, label % 2 = 1 AS has_cell FROM embeddings")
+def cell_when_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pbc = F.struct((F.col("label") % 2 == 1).alias("a"), F.lit(False).alias("b"), F.lit(False).alias("c"))
+    return fx.tensors(spark, sf_dir).select("mol_id", bridge.periodic_cell(F.col("cell"), pbc).isNotNull().alias("has_cell"))
+
+
+@query(fx.WITH + "SELECT mol_id, CASE WHEN n_atoms = 4 THEN 'arrays' ELSE 'info' END AS place FROM m")
+def export_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = fx.molecules(spark, sf_dir).withColumn("mp_four", F.array(*[F.lit(float(i)) for i in range(4)]))
+    return m.select("mol_id", bridge.export_place(m, "four").alias("place"))
+
+
