@@ -75,6 +75,8 @@ def exclusive_total(df: DataFrame, order: str, value: str, name: str, width: int
 
 def batch_offsets(batch: DataFrame) -> DataFrame:
     """Adds ``atom_offset`` to the rows of a request: atoms of all rows before."""
+    if "n_atoms" not in batch.columns:
+        batch = batch.withColumn("n_atoms", F.size("atomic_numbers"))
     return exclusive_total(batch, "pos", "n_atoms", "atom_offset")
 
 

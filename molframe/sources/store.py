@@ -33,6 +33,7 @@ class Commit:
     files: list[dict] = field(default_factory=list)  # path below the root, first id, rows
     schema: str | None = None
     lock: str = "[]"
+    streams: dict = field(default_factory=dict)  # last batch taken from each stream
 
     @property
     def rows(self) -> int:
@@ -175,7 +176,7 @@ class Store:
     def append(self, molecules: DataFrame, order: str | None = None) -> int:
         """Stages molecules; readers see them after ``flush``. Returns how many.
 
-        They are numbered on from the last id, in ``order`` if given, else in the order in which they lie in their
+        They are numbered on from the last id, in order of the column ``order`` (not stored) if given, else in the order in which they lie in their
         partitions. Their schema must fit the lock.
         """
         if not self.writable:
@@ -187,9 +188,7 @@ class Store:
         if self._lock and len(self) + sum(f["rows"] for f in self._pending) and self.record_format == 2 and locks.record_format(lock) == 3:
             raise locks.LockError("a store that holds records of format 2 takes no others")
         folder = f"data/{uuid.uuid4().hex}"
-        ordered = molecules.orderBy(order) if order else molecules
-        if order == "mol_id":
-            ordered = ordered.drop("mol_id")
+        ordered = molecules.orderBy(order).drop(order) if order else molecules
         # first to disk, so that the numbering below cannot see another order
         staging = f"{self.path}/_staging/{uuid.uuid4().hex}"
         ordered.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()).write.parquet(staging)
@@ -205,7 +204,7 @@ class Store:
             inside = F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))
             numbered = staged.join(F.broadcast(bases), "_part").withColumn("mol_id", F.col("_base") + inside)
             numbered = checked(numbered.withColumn("n_atoms", F.size("atomic_numbers")))
-            fields = [c for c in molecules.columns if c != "mol_id"]
+            fields = [c for c in ordered.columns if c not in ("mol_id", "n_atoms")]
             out = numbered.select("mol_id", "n_atoms", *fields)
             writer = out.write.option("compression", "uncompressed" if self._commit.codec == "none" else self._commit.codec)
             if self._commit.level is not None:
@@ -221,16 +220,21 @@ class Store:
         """Appends all committed molecules of another store, in order."""
         return self.append(other.molecules(), order="mol_id")
 
-    def flush(self) -> int:
+    def streamed(self, stream: str) -> int:
+        """Number of the last batch that was committed from a stream; -1 for none."""
+        return self._commit.streams.get(stream, -1)
+
+    def flush(self, stream: tuple[str, int] | None = None) -> int:
         """Commits what is staged: one rename. Returns the generation. Nothing staged, nothing changes."""
         if not self.writable:
             raise ValueError("the store is open for reading only")
-        if not self._pending and not self._fresh:
+        if not self._pending and not self._fresh and stream is None:
             return self.generation
         known = [] if self._fresh else self._commit.files
         generation = self.generation if self._fresh else self.generation + 1
         schema = json.dumps(self._schema.jsonValue()) if self._schema else None
         commit = Commit(generation, self._commit.codec, self._commit.level, known + self._pending, schema, locks.to_json(self._lock))
+        commit.streams = self._commit.streams | ({stream[0]: stream[1]} if stream else {})
         self._publish(commit)
         self._commit, self._pending, self._fresh = commit, [], False
         return generation
