@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,6 +40,36 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Tables of one computation, as Parquet in the shared checkpoint folder; all are deleted when it ends.
+
+    For steps that are consumed before the ``with`` block is left. Parquet keeps them several times smaller than a
+    checkpoint's rows, and a lost executor costs a read.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+    def __enter__(self) -> Scratch:
+        ensure_checkpoint_dir(self.spark)
+        self.root = f"{self.spark.sparkContext._jsc.sc().getCheckpointDir().get()}/scratch-{uuid.uuid4().hex}"
+        self.count = 0
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()  # frees shuffle files of steps that are through
+        self.count += 1
+        path = f"{self.root}/{self.count}"
+        df.write.option("compression", "zstd").parquet(path)
+        self.spark.sparkContext._jvm.System.gc()
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __exit__(self, *_: object) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """Partitions that the session asks for in a shuffle; salts and buckets follow it, so they grow with the cluster."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

@@ -73,11 +73,10 @@ def ngram_counts(text: str, slots: int = SLOTS) -> np.ndarray | None:
     return counts if some else None
 
 
-def _weights(counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(slots, unit-length TF-IDF weights) of one text."""
-    slots = np.flatnonzero(counts)
-    w = np.log1p(counts[slots]) * idf[slots]
-    return slots, w / (np.linalg.norm(w) or 1.0)
+def _weights(at: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Unit-length TF-IDF weights of one text, given its slots and their counts."""
+    w = np.log1p(counts) * idf[at]
+    return w / (np.linalg.norm(w) or 1.0)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -99,8 +98,8 @@ class LanguageModel:
         counts = ngram_counts(text, len(self.idf)) if text and self.languages else None
         if counts is None:
             return UNDETERMINED, 0.0
-        slots, w = _weights(counts, self.idf)
-        p = _softmax(w @ self.weights[slots] / self.temperature)
+        at = np.flatnonzero(counts)
+        p = _softmax(_weights(at, counts[at], self.idf) @ self.weights[at] / self.temperature)
         best = int(np.argmax(p))
         return self.languages[best], float(p[best])
 
@@ -110,13 +109,18 @@ def train(texts: list[str], labels: list[str], epochs: int = EPOCHS, l1: float =
 
     Every fifth text is held back for the temperature. Without usable texts the model knows no language.
     """
-    rows = [(c, y) for t, y in zip(texts, labels) if y is not None and t and (c := ngram_counts(t, slots)) is not None]
-    languages = tuple(sorted({y for _, y in rows}))
+    rows = []
+    for t, y in zip(texts, labels):
+        counts = ngram_counts(t, slots) if y is not None and t else None
+        if counts is not None:
+            at = np.flatnonzero(counts)
+            rows.append((at, counts[at], y))
+    languages = tuple(sorted({y for *_, y in rows}))
     if not rows:
         return LanguageModel((), np.zeros(slots), np.zeros((slots, 0)), 1.0)
-    df = np.sum([c > 0 for c, _ in rows], axis=0)
+    df = np.bincount(np.concatenate([at for at, *_ in rows]), minlength=slots)
     idf = np.log((1 + len(rows)) / (1 + df)) + 1
-    data = [(*_weights(c, idf), languages.index(y)) for c, y in rows]
+    data = [(at, _weights(at, counts, idf), languages.index(y)) for at, counts, y in rows]
     order = np.random.default_rng(7).permutation(len(data))
     back = [i for k, i in enumerate(order) if k % 5 == 4]
     fit = [i for k, i in enumerate(order) if k % 5 != 4]

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._runtime import settle, text_bytes
+from ._runtime import Scratch, settle, text_bytes
 from .graph import components
 
 WORDS = 5
@@ -149,7 +149,7 @@ def jaccard_links(left: list[np.ndarray], right: list[np.ndarray] | None, thresh
     n, m = len(left), len(sets)
     common = np.zeros((n, m if right is None else m - n), np.float32)
     total = int(column[-1]) + 1 if len(column) else 0
-    step = max(64, 24_000_000 // max(1, m))
+    step = max(64, 6_000_000 // max(1, m))
     for at in range(0, total, step):
         a, b = np.searchsorted(column, (at, at + step))
         dense = np.zeros((m, min(step, total - at)), np.float32)
@@ -208,8 +208,15 @@ def near_duplicates(
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     plain = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("key"), text.alias("text"))
+    with Scratch(docs.sparkSession) as scratch:
+        final = settle(_class_links(plain, threshold, words, recall, scratch))
+    return plain.select("doc_id", "key").join(final, "key").select("doc_id", "class_id", "n_links", "group_id", "n_copies")
+
+
+def _class_links(plain: DataFrame, threshold: float, words: int, recall: float, scratch: Scratch) -> DataFrame:
+    """(key, class_id, n_copies, n_links, group_id), one row per distinct text of rows (``doc_id, key, text``)."""
     signed = plain.select("doc_id", "key", _signed(words)("text").alias("s"))
-    classes = settle(
+    classes = scratch.keep(
         signed.groupBy("key").agg(
             F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n_copies"),
             F.first("s.signature").alias("signature"), F.first("s.n").alias("n"),
@@ -219,7 +226,7 @@ def near_duplicates(
     trees = F.explode(F.array(*[F.xxhash64(F.lit(t), F.substring("signature", 4 * LABEL * t + 1, width)) for t in range(TREES)]))
     entries = classes.where("n > 0").select(trees.alias("bucket"), "v")
     sizes = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    shared = settle(entries.join(sizes, "bucket"))
+    shared = scratch.keep(entries.join(sizes, "bucket"))
     small, large = shared.where(F.col("members") <= BUCKET), shared.where(F.col("members") > BUCKET)
     batches = max(1, -(-small.count() // BATCH))
     error = (threshold * (1 - threshold) / (TREES * LABEL)) ** 0.5
@@ -240,7 +247,7 @@ def near_duplicates(
             F.pmod(F.xxhash64("v", F.lit(1)), blocks).cast("int").alias("block"),
         )
     )
-    wanted = settle(wanted)
+    wanted = scratch.keep(wanted)
     batches = max(1, -(-wanted.count() // BATCH * 8))
     texts = plain.join(wanted, ["doc_id", "key"]).groupBy("v", "component", "blocks", "block").agg(F.first("text").alias("text"))
     # every two blocks meet once: block b with each other one, as the pair (smaller, larger)
@@ -250,13 +257,12 @@ def near_duplicates(
         F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(batches)))
         .otherwise(F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other"))).alias("batch"),
     )
-    linked = settle(dealt.groupBy("batch").applyInPandas(_verify(threshold, words), _LINKED))
+    linked = scratch.keep(dealt.groupBy("batch").applyInPandas(_verify(threshold, words), _LINKED))
     groups = components(linked)
     links = linked.groupBy("v").agg(F.sum("links").alias("n_links"))
     told = classes.join(links, "v", "left").join(groups, "v", "left")
     named = told.where("label is not null").groupBy("label").agg(F.min("class_id").alias("group_id"))
-    final = told.join(named, "label", "left").select(
+    return told.join(named, "label", "left").select(
         "key", "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("group_id", "class_id").alias("group_id"),
     )
-    return plain.select("doc_id", "key").join(final, "key").select("doc_id", "class_id", "n_links", "group_id", "n_copies")

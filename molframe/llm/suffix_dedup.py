@@ -25,14 +25,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._runtime import settle, text_bytes
+from ._runtime import Scratch, settle, text_bytes
 
 #: Length of the repeated strings that are removed.
 THRESHOLD = 200
 #: Length of the first ranked prefix: the anchor's gram.
 GRAM = 32
 #: Windows per run in the rounds after the first; the cores are THRESHOLD + 1 less this.
-RUNS = (17, 1)
+RUNS = (32, 8, 2, 1)
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -111,86 +111,96 @@ def anchor_table(texts: DataFrame) -> DataFrame:
     return texts.select("uid", "text").mapInArrow(_anchor_rows, _ANCHORS)
 
 
-def _resolve(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(repeats, rows left) of rows (``gram, core, span, uid, at, low, high, wanted``).
+def _shared(rows: DataFrame) -> DataFrame:
+    """Rows (``gram, core, span, uid, at, low, high, wanted``) whose core another row has; ``mixed``: with another span."""
+    cores = rows.groupBy("gram", "core").agg(
+        F.count(F.lit(1)).alias("n"), (F.min("span") != F.max("span")).alias("mixed"), F.max(F.col("wanted").cast("int")).alias("w")
+    )
+    return rows.join(cores.where("n > 1 and w = 1").select("gram", "core", "mixed"), ["gram", "core"])
+
+
+def _resolve(shared: DataFrame) -> DataFrame:
+    """``shared`` rows that are repeats or are left for the next round, flagged ``repeat`` and ``left``.
 
     Repeats are wanted rows whose span occurs again. Left are the rows of cores that hold several spans: those not yet
-    resolved and one row for each repeated span, for the others may share a part of it.
+    resolved and one row for each repeated span, for the others may share a part of it. All other rows are done.
     """
-    spans = rows.groupBy("gram", "core", "span").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("uid", "at")).alias("first_row"),
-        F.sum(F.col("wanted").cast("int")).alias("w"),
+    columns = ["gram", "uid", "at", "low", "high"]
+    alike = shared.where("wanted and not mixed").select(*columns, "wanted", F.lit(True).alias("repeat"), F.lit(False).alias("left"))
+    mixed = shared.where("mixed")
+    spans = mixed.groupBy("gram", "core", "span").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.xxhash64("uid", "at")).alias("some"), F.max(F.col("wanted").cast("int")).alias("w")
+    )
+    open_ = spans.where("n = 1 and w = 1").select("gram", "core").distinct().withColumn("open", F.lit(True))
+    spans = spans.join(open_, ["gram", "core"], "left").where("open or n > 1").drop("w")
+    told = mixed.join(spans, ["gram", "core", "span"])
+    left = F.col("open") & ((F.col("n") == 1) | (F.xxhash64("uid", "at") == F.col("some")))
+    told = told.select(
+        *columns, (F.col("wanted") & (F.col("n") == 1)).alias("wanted"), (F.col("wanted") & (F.col("n") > 1)).alias("repeat"),
+        F.coalesce(left, F.lit(False)).alias("left"),
     )
-    cores = spans.groupBy("gram", "core").agg(
-        F.count(F.lit(1)).alias("spans"), F.sum(F.when(F.col("n") == 1, F.col("w")).otherwise(0)).alias("open"),
-        F.max("n").alias("most"),
-    ).where("(spans > 1 and open > 0) or most > 1")
-    told = rows.join(spans.join(cores, ["gram", "core"]).drop("w"), ["gram", "core", "span"])
-    repeats = told.where("wanted and n > 1").select("uid", "at", "low", "high")
-    keep = (F.col("n") == 1) | (F.struct("uid", "at") == F.col("first_row"))
-    left = told.where((F.col("spans") > 1) & (F.col("open") > 0) & keep).withColumn("wanted", F.col("wanted") & (F.col("n") == 1))
-    return repeats, left
+    return alike.unionByName(told.where("repeat or left"))
 
 
 def repeated_starts(texts: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """``(uid, low, high)``: runs of starts of windows that also start elsewhere, for rows (``uid, text``)."""
     if threshold != THRESHOLD:
         raise ValueError(f"strings of {THRESHOLD} bytes only")
+    with Scratch(texts.sparkSession) as scratch:
+        return settle(_repeated_starts(texts, scratch))
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """Runs of starts of runs of windows given relative to their anchors."""
+    return rows.select("uid", (F.col("at") - F.col("high")).alias("low"), (F.col("at") - F.col("low")).alias("high"))
+
+
+def _repeated_starts(texts: DataFrame, scratch: Scratch) -> DataFrame:
     grams = anchor_table(texts).groupBy("gram").agg(
         F.count(F.lit(1)).alias("n"), (F.min("span") != F.max("span")).alias("split")
     )
-    again = settle(grams.where("n > 1").select("gram", "split"))
-    hits = settle(anchor_table(texts).join(again, "gram"))
-    starts = lambda df: df.select("uid", (F.col("at") - F.col("high")).alias("low"), (F.col("at") - F.col("low")).alias("high"))
+    again = scratch.keep(grams.where("n > 1").select("gram", "split"))
+    hits = scratch.keep(anchor_table(texts).join(again, "gram"))
+    # of a gram with one span only, every row is a repeat
+    found = [hits.where("not split").select("uid", F.col("first").alias("low"), F.col("last").alias("high"))]
     runs = hits.where("split").select(
         "gram", F.lit(0).alias("core"), "span", "uid", "at", (F.col("at") - F.col("last")).alias("low"),
-        (F.col("at") - F.col("first")).alias("high"), F.lit(True).alias("wanted"),
+        (F.col("at") - F.col("first")).alias("high"), F.lit(True).alias("wanted"), F.lit(True).alias("mixed"),
     )
-    whole = hits.where("not split").select("uid", F.col("first").alias("low"), F.col("last").alias("high"))
-    repeats, left = _resolve(runs)
-    found = [whole, starts(repeats)]
-    edges = left.groupBy("uid").agg(F.collect_set(F.struct("at", "low", "high", "gram", "wanted")).alias("edges"))
+    told = scratch.keep(_resolve(runs))
+    found.append(_starts(told.where("repeat")))
+    edges = told.where("left").groupBy("uid").agg(F.collect_set(F.struct("at", "low", "high", "gram", "wanted")).alias("edges"))
     body = text_bytes(F.col("text"))
     # repeated rows share a uid and come here once each; none of them is wanted any more, so more of them change nothing
     cut = texts.join(edges, "uid").select("uid", body.alias("body"), F.explode("edges").alias("e"))
-    begin = F.col("e.at") - F.col("e.high")
-    cut = settle(
-        cut.select("uid", "e.*", F.substring("body", begin + 1, F.col("e.high") - F.col("e.low") + threshold).alias("bytes"))
-    )
-    here = cut.withColumn("cells", F.sequence(F.lit(0), F.floor(F.lit(threshold - GRAM) / RUNS[0]).cast("int")))
-    longest = threshold - GRAM
+    begin, size = F.col("e.at") - F.col("e.high"), F.col("e.high") - F.col("e.low") + THRESHOLD
+    cut = scratch.keep(cut.select("uid", "e.*", F.substring("body", begin + 1, size).alias("bytes")))
+    longest = THRESHOLD - GRAM
+    cells = cut.select("*", F.explode(F.sequence(F.lit(0), F.lit(longest // RUNS[0]))).alias("cell"))
     for turn, width in enumerate(RUNS):
-        cell = here.select("*", F.explode("cells").alias("cell"))
-        if turn:  # a run of the round before holds so many of this round's
-            ratio = RUNS[turn - 1] // width
-            cell = cell.select("*", F.explode(F.sequence(F.col("cell") * ratio, F.col("cell") * ratio + ratio - 1)).alias("sub"))
-            cell = cell.drop("cell").withColumnRenamed("sub", "cell")
         r1, r2 = F.col("cell") * width, F.least(F.col("cell") * width + width - 1, F.lit(longest))
-        cell = cell.withColumns({"p": F.greatest("low", r1), "q": F.least("high", r2)}).where("p <= q")
-        core = F.substring("bytes", F.col("high") - r1 + 1, threshold - (r2 - r1))
-        span = F.substring("bytes", F.col("high") - F.col("q") + 1, F.col("q") - F.col("p") + threshold)
-        rows = cell.select(
-            "gram", F.xxhash64("cell", core).alias("core"),
-            (F.xxhash64("p", "q", span) if width > 1 else F.lit(0).cast("long")).alias("span"),
+        cells = cells.withColumns({"p": F.greatest("low", r1), "q": F.least("high", r2)}).where("p <= q")
+        core = F.substring("bytes", F.col("high") - r1 + 1, THRESHOLD - (r2 - r1))
+        span = F.substring("bytes", F.col("high") - F.col("q") + 1, F.col("q") - F.col("p") + THRESHOLD)
+        rows = cells.select(
+            "gram", F.xxhash64("cell", core).alias("core"), F.xxhash64("p", "q", span).alias("span"),
             "uid", "at", F.col("p").alias("low"), F.col("q").alias("high"), "wanted",
         )
-        if width == 1:
-            again = rows.groupBy("gram", "core").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-            found.append(starts(rows.where("wanted").join(again, ["gram", "core"])))
-        else:
-            repeats, left = _resolve(rows)
-            found.append(starts(repeats))
-            cells = left.groupBy("uid", "at").agg(
-                F.collect_list(F.struct(F.floor(F.col("low") / width).cast("int").alias("cell"), "wanted")).alias("cells")
-            )
-            narrowed = cut.drop("wanted").join(cells, ["uid", "at"]).select("*", F.explode("cells").alias("c")).select(
-                "uid", "at", "low", "high", "gram", "bytes", F.array("c.cell").alias("cells"), F.col("c.wanted").alias("wanted")
+        told = scratch.keep(_resolve(scratch.keep(_shared(rows))))
+        found.append(_starts(told.where("repeat")))
+        if turn + 1 < len(RUNS):  # a run that is left holds so many runs of the next round
+            ratio = width // RUNS[turn + 1]
+            first = F.floor(F.col("low") / width).cast("int") * ratio
+            left = told.where("left").groupBy("uid", "at").agg(F.collect_list(F.struct(first.alias("cell"), "wanted")).alias("left"))
+            open_ = cut.drop("wanted").join(left, ["uid", "at"]).select("*", F.explode("left").alias("c"))
+            cells = open_.select(
+                "uid", "at", "low", "high", "gram", "bytes", "c.wanted",
+                F.explode(F.sequence(F.col("c.cell"), F.col("c.cell") + ratio - 1)).alias("cell"),
             )
-            here = narrowed
     runs = found[0]
     for f in found[1:]:
         runs = runs.unionByName(f)
-    return settle(runs)
+    return runs
 
 
 _CUT = T.StructType(
