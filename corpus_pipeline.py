@@ -32,10 +32,7 @@ def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates: the one with the smallest id, once."""
-    groups = near_join.near_duplicates(docs)
-    kept = groups.where("doc_id = group_id").select("doc_id").distinct()
-    rows = docs.join(kept, "doc_id", "left_semi")
-    return _documents(rows.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source")).alias("r")).select("doc_id", "r.*"))
+    return _documents(near_join.one_of_each_group(docs))
 
 
 def stage_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,11 +41,10 @@ def stage_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Where a cut falls inside a character, the bytes left of it go with it.
     """
     cut = suffix_dedup.remove_repeats(docs, keep=("lang", "source"))
-    text = F.decode(F.col("kept"), "UTF-8")
-    # only a cut can leave a broken character, so nothing else is replaced
-    text = F.when(F.col("n_removed") > 0, F.try_validate_utf8(F.col("kept").cast("string"))).otherwise(text)
-    mended = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", "")
-    return _documents(cut.where("octet_length(kept) > 0").withColumn("text", F.coalesce(text, mended)))
+    whole = F.col("kept").cast("string")
+    mended = F.regexp_replace(F.make_valid_utf8(whole), "�", "")
+    text = F.when((F.col("n_removed") > 0) & ~F.is_valid_utf8(whole), mended).otherwise(whole)
+    return _documents(cut.where("octet_length(kept) > 0").withColumn("text", text))
 
 
 def stage_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

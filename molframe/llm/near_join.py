@@ -213,8 +213,28 @@ def near_duplicates(
     return plain.select("doc_id", "key").join(final, "key").select("doc_id", "class_id", "n_links", "group_id", "n_copies")
 
 
+def row_key(id_column: Column, key: Column) -> Column:
+    """Name of a row by id and text key; repeated rows share it."""
+    return F.xxhash64(id_column, key)
+
+
+def one_of_each_group(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, id_col="doc_id", text_col="text") -> DataFrame:
+    """The rows of ``docs``, all columns, that stand for their group: of its texts the one with the smallest id, once.
+
+    A row without an id stands for its group only if no other row there has one.
+    """
+    key = text_key(F.col(text_col))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    plain = docs.select(F.col(id_col).alias("doc_id"), key.alias("key"), text.alias("text"))
+    with Scratch(docs.sparkSession) as scratch:
+        final = _class_links(plain, threshold, words, TARGET_RECALL, scratch)
+        best = F.min(F.struct(F.col("class_id").isNull().alias("none"), "class_id", "key")).alias("b")
+        kept = settle(final.groupBy("group").agg(best).select(row_key(F.col("b.class_id"), F.col("b.key")).alias("_row")))
+    return docs.withColumn("_row", row_key(F.col(id_col), key)).join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+
+
 def _class_links(plain: DataFrame, threshold: float, words: int, recall: float, scratch: Scratch) -> DataFrame:
-    """(key, class_id, n_copies, n_links, group_id), one row per distinct text of rows (``doc_id, key, text``)."""
+    """(key, class_id, n_copies, n_links, group_id, group), one row per distinct text of rows (``doc_id, key, text``)."""
     signed = plain.select("doc_id", "key", _signed(words)("text").alias("s"))
     classes = scratch.keep(
         signed.groupBy("key").agg(
@@ -243,13 +263,14 @@ def _class_links(plain: DataFrame, threshold: float, words: int, recall: float,
         grouped.join(counted, "label")
         .join(classes.select("v", "key", "class_id"), "v")
         .select(
-            F.col("label").alias("component"), "v", "key", F.col("class_id").alias("doc_id"), blocks.alias("blocks"),
+            F.col("label").alias("component"), "v", row_key(F.col("class_id"), F.col("key")).alias("row"), blocks.alias("blocks"),
             F.pmod(F.xxhash64("v", F.lit(1)), blocks).cast("int").alias("block"),
         )
     )
     wanted = scratch.keep(wanted)
     batches = max(1, -(-wanted.count() // BATCH * 8))
-    texts = plain.join(wanted, ["doc_id", "key"]).groupBy("v", "component", "blocks", "block").agg(F.first("text").alias("text"))
+    keyed = plain.select(row_key(F.col("doc_id"), F.col("key")).alias("row"), "text")
+    texts = keyed.join(wanted, "row").groupBy("v", "component", "blocks", "block").agg(F.first("text").alias("text"))
     # every two blocks meet once: block b with each other one, as the pair (smaller, larger)
     others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = texts.select("*", others).select(
@@ -264,5 +285,5 @@ def _class_links(plain: DataFrame, threshold: float, words: int, recall: float,
     named = told.where("label is not null").groupBy("label").agg(F.min("class_id").alias("group_id"))
     return told.join(named, "label", "left").select(
         "key", "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("group_id", "class_id").alias("group_id"),
+        F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("label", "v").alias("group"),
     )

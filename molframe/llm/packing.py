@@ -28,9 +28,11 @@ PER_PARTITION = 8192
 #: Rounds of exchange at most; a round that saves no sequence is the last.
 ROUNDS = 4
 
+#: pandas has no integer column with gaps, so an absent id travels as 0 and a flag
 _PIECES = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
+        T.StructField("no_id", T.BooleanType()),
         T.StructField("piece", T.IntegerType()),
         T.StructField("start", T.LongType()),
         T.StructField("length", T.LongType()),
@@ -88,25 +90,28 @@ def cut(ids: np.ndarray, capacity: int) -> Iterator[tuple[int, np.ndarray]]:
 def tokenise(
     docs: DataFrame, capacity: int = CAPACITY, id_col="doc_id", text_col="text", ranks_path: str | None = None, with_ids=False
 ) -> DataFrame:
-    """One row per piece: ``doc_id, piece, start, length, ids_crc32`` and, if asked for, ``ids``."""
+    """One row per piece: ``doc_id, no_id, piece, start, length, ids_crc32`` and, if asked for, ``ids``."""
     ranks_path = ranks_path or default_ranks_path()
 
     def pieces(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [f.name for f in _PIECES] + ["ids"] * with_ids
         for part in parts:
             rows, known = [], {}
-            for doc_id, text in zip(part["doc_id"], part["text"]):
+            for doc_id, no_id, text in zip(part["doc_id"], part["no_id"], part["text"]):
                 found = known.get(text)
                 if found is None:
                     found = known[text] = [
                         (i, start, len(x), zlib.crc32(x.tobytes()), x.astype(np.int32) if with_ids else None)
                         for i, (start, x) in enumerate(cut(encode_ids(text, ranks_path), capacity))
                     ]
-                rows.extend((doc_id, *f[: 4 + with_ids]) for f in found)
-            yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
+                rows.extend((doc_id, no_id, *f[: 4 + with_ids]) for f in found)
+            yield pd.DataFrame(rows, columns=names)
 
     schema = T.StructType(_PIECES.fields + [_IDS] * with_ids)
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    number = F.col(id_col).cast("long")
+    plain = docs.select(
+        F.coalesce(number, F.lit(0)).alias("doc_id"), number.isNull().alias("no_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
+    )
     return plain.mapInPandas(pieces, schema)
 
 
@@ -173,7 +178,7 @@ def _pack_group(capacity: int):
 def pack(
     pieces: DataFrame, capacity: int = CAPACITY, per_partition: int = PER_PARTITION, rounds: int = ROUNDS
 ) -> DataFrame:
-    """Packs rows (``doc_id, piece, start, length, ids_crc32``), each of 1 to ``capacity`` tokens.
+    """Packs rows (``doc_id, no_id, piece, start, length, ids_crc32``), each of 1 to ``capacity`` tokens.
 
     Adds ``sequence_id`` and ``offset``. An empty table gives no rows; repeated rows are packed one by one.
     """
@@ -207,7 +212,8 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    return rows.select(*_PIECES.names, "sequence_id", "offset", "bins", "bound")
+    number = F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id")
+    return rows.select(number, *_PIECES.names[2:], "sequence_id", "offset", "bins", "bound")
 
 
 def pack_documents(
