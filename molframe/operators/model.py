@@ -42,12 +42,11 @@ def to_atoms(molecules: DataFrame, keep: Iterable[str] = ("mol_id",), only: Iter
 
     A section that is null stays null for every atom; a molecule without atoms gives no rows.
     """
-    columns = [c for c in atom_columns(molecules) if only is None or c in only or c == "atomic_numbers"]
-    kinds = dict(molecules.dtypes)  # a null array would make the whole zip null; an empty one is filled up with nulls
-    zipped = F.arrays_zip(*[F.coalesce(c, F.array().cast(kinds[c])).alias(c) for c in columns])
-    return molecules.select(*keep, F.posexplode(zipped).alias("atom_idx", "_a")).select(
-        *keep, "atom_idx", *[F.col(f"_a.{c}").alias(c) for c in columns]
-    )
+    columns = [c for c in atom_columns(molecules) if c != "atomic_numbers" and (only is None or c in only)]
+    # only the numbers are exploded; the other arrays are read by place, which keeps the whole step in generated code
+    each = molecules.select(*keep, *columns, F.posexplode("atomic_numbers").alias("atom_idx", "_z"))
+    entries = [F.get(c, F.col("atom_idx")).alias(c) for c in columns]
+    return each.select(*keep, "atom_idx", *entries, F.col("_z").alias("atomic_numbers"))
 
 
 def wide_atoms(atoms: DataFrame) -> DataFrame:

@@ -187,35 +187,70 @@ class Store:
         lock = locks.merge(self._lock, locks.derive(molecules.drop(order).schema if order else molecules.schema, locks.array_lengths(molecules)))
         if self._lock and len(self) + sum(f["rows"] for f in self._pending) and self.record_format == 2 and locks.record_format(lock) == 3:
             raise locks.LockError("a store that holds records of format 2 takes no others")
-        folder = f"data/{uuid.uuid4().hex}"
-        ordered = molecules.orderBy(order).drop(order) if order else molecules
-        # first to disk, so that the numbering below cannot see another order
-        staging = f"{self.path}/_staging/{uuid.uuid4().hex}"
-        ordered.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()).write.parquet(staging)
-        staged = self.spark.read.parquet(staging)
-        counts = {r["_part"]: r["count"] for r in staged.groupBy("_part").count().collect()}  # one row per written file
-        first, start = len(self) + sum(f["rows"] for f in self._pending), {}
-        total = 0
-        for part in sorted(counts):
-            start[part] = first + total
-            total += counts[part]
+        first = len(self) + sum(f["rows"] for f in self._pending)
+        folder, total = None, None
+        if order is None:
+            folder, total = self._write_in_place(molecules, first)
+        if folder is None:  # the counts did not hold for the rows written, or rows are to be sorted
+            folder, total = self._write_staged(molecules.orderBy(order).drop(order) if order else molecules, first)
         if total:
-            bases = self.spark.createDataFrame(list(start.items()), "_part int, _base long")
-            inside = F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))
-            numbered = staged.join(F.broadcast(bases), "_part").withColumn("mol_id", F.col("_base") + inside)
-            numbered = checked(numbered.withColumn("n_atoms", F.size("atomic_numbers")))
-            fields = [c for c in ordered.columns if c not in ("mol_id", "n_atoms")]
-            out = numbered.select("mol_id", "n_atoms", *fields)
-            writer = out.write.option("compression", "uncompressed" if self._commit.codec == "none" else self._commit.codec)
-            if self._commit.level is not None:
-                writer = writer.option("parquet.compression.codec.zstd.level", str(self._commit.level))
-            writer.parquet(f"{self.path}/{folder}")
-            self._schema = _merged(self._schema, out.schema)
             self._pending.append({"path": folder, "first": first, "rows": total})
-        self._files.remove(f"_staging/{staging.rsplit('/', 1)[1]}")
         self._lock = lock
         return total
 
+    def _write(self, rows: DataFrame, counts: dict[int, int], first: int, folder: str) -> None:
+        """Writes rows (with ``_part`` and ``_row``, a place in the part in its low bits) numbered part after part."""
+        start, at = {}, first
+        for part in sorted(counts):
+            start[part], at = at, at + counts[part]
+        bases = self.spark.createDataFrame(list(start.items()), "_part int, _base long")  # one row per written file
+        numbered = rows.join(F.broadcast(bases), "_part", "left")
+        inside = F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))
+        numbered = checked(numbered.withColumns({"mol_id": F.col("_base") + inside, "n_atoms": F.size("atomic_numbers")}))
+        out = numbered.select("mol_id", "n_atoms", *[c for c in rows.columns if c not in ("mol_id", "n_atoms", "_part", "_row")])
+        writer = out.write.option("compression", "uncompressed" if self._commit.codec == "none" else self._commit.codec)
+        if self._commit.level is not None:
+            writer = writer.option("parquet.compression.codec.zstd.level", str(self._commit.level))
+        writer.parquet(f"{self.path}/{folder}")
+        self._schema = _merged(self._schema, out.schema)
+
+    def _write_in_place(self, molecules: DataFrame, first: int) -> tuple[str | None, int | None]:
+        """Counts the partitions, then writes them once. (None, None) if the rows written are not those counted.
+
+        That can happen where a plan is laid out anew for each run; it is seen in the ids of the files.
+        """
+        placed = molecules.withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()})
+        counts = {r["_part"]: r["count"] for r in placed.groupBy("_part").count().collect()}
+        total = sum(counts.values())
+        if not total:
+            return "", 0
+        folder, schema = f"data/{uuid.uuid4().hex}", self._schema
+        self._write(placed, counts, first, folder)
+        written = self.spark.read.parquet(f"{self.path}/{folder}").select("mol_id", F.col("_metadata.file_path").alias("file"))
+        ends = written.groupBy("file").agg(F.min("mol_id").alias("a"), F.max("mol_id").alias("b"), F.count("mol_id").alias("n")).collect()
+        at = first
+        for r in sorted(ends, key=lambda r: (r["a"] is None, r["a"])):
+            if r["a"] != at or r["b"] - at + 1 != r["n"]:
+                break
+            at += r["n"]
+        if at == first + total:
+            return folder, total
+        self._files.remove(folder)
+        self._schema = schema
+        return None, None
+
+    def _write_staged(self, molecules: DataFrame, first: int) -> tuple[str, int]:
+        """Writes rows as they come, then numbers what lies on disk."""
+        staging, folder = f"_staging/{uuid.uuid4().hex}", f"data/{uuid.uuid4().hex}"
+        placed = molecules.withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()})
+        placed.write.parquet(f"{self.path}/{staging}")
+        staged = self.spark.read.parquet(f"{self.path}/{staging}")
+        counts = {r["_part"]: r["count"] for r in staged.groupBy("_part").count().collect()}
+        if counts:
+            self._write(staged, counts, first, folder)
+        self._files.remove(staging)
+        return folder, sum(counts.values())
+
     def append_table(self, other: Store) -> int:
         """Appends all committed molecules of another store, in order."""
         return self.append(other.molecules(), order="mol_id")
