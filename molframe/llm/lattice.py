@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from .pieces import JAVA_PRETOKEN, PRETOKEN, Pieces, default_model_path, load_pieces
 
 #: UTF-8 bytes of text per chunk, about.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 
 
 def piece_table(docs: DataFrame, pieces: Pieces) -> DataFrame:
@@ -32,17 +32,35 @@ def piece_table(docs: DataFrame, pieces: Pieces) -> DataFrame:
 
 
 def lattice_edges(words: DataFrame, table: DataFrame, pieces: Pieces) -> DataFrame:
-    """Edges of the lattices of ``words`` (``chunk, word, ...``): a substring that is a piece, or a character as its bytes."""
+    """Edges of the lattices of ``words`` (columns of which are kept): ``start, end, id``.
+
+    A substring that is a piece is an edge with its id, a character that is none one with minus its number of bytes.
+    """
     n = F.char_length("word")
     starts = words.select("*", F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
     spans = starts.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), n - F.col("start")))).alias("size"))
     spans = spans.withColumn("piece", F.substring("word", F.col("start") + 1, F.col("size")))
     edges = spans.join(F.broadcast(table), "piece", "left").where("id is not null or size = 1")
-    raw = F.octet_length("piece")
-    return edges.select(
-        *words.columns, "start", (F.col("start") + F.col("size")).alias("end"),
-        F.coalesce("score", raw * F.lit(pieces.byte_score)).alias("score"), F.coalesce("id", -raw).alias("id"),
+    name = F.coalesce("id", -F.octet_length("piece"))
+    return edges.select(*words.columns, "start", (F.col("start") + F.col("size")).alias("end"), name.alias("id"))
+
+
+#: An edge in one long: end, start and id, so that edges sort by their end and are small where they are many.
+_ID_BITS, _PLACE_BITS, _BYTES = 32, 8, 1 << 16
+
+
+def _pack(start: Column, end: Column, name: Column) -> Column:
+    return F.shiftleft(end.cast("long"), _ID_BITS + _PLACE_BITS) + F.shiftleft(start.cast("long"), _ID_BITS) + name + F.lit(_BYTES)
+
+
+def _unpack(edge: Column, scores: Column, byte_score: float) -> Column:
+    name = (edge.bitwiseAND(F.lit((1 << _ID_BITS) - 1)) - _BYTES).cast("int")
+    place = lambda shift: F.shiftright(edge, shift).bitwiseAND(F.lit((1 << _PLACE_BITS) - 1)).cast("int")
+    with_name = lambda i: F.struct(
+        place(_ID_BITS + _PLACE_BITS).alias("end"), place(_ID_BITS).alias("start"),
+        F.when(i < 0, -i * F.lit(byte_score)).otherwise(F.get(scores, i)).alias("score"), i.alias("id"),
     )
+    return F.get(F.transform(F.array(name), with_name), F.lit(0))
 
 
 def fold_viterbi(edges: Column) -> Column:
@@ -79,11 +97,25 @@ def fold_viterbi(edges: Column) -> Column:
 
 
 def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """``words`` (``chunk, word, ...``, no word twice in a chunk) with ``codes``, the ids of the best path."""
-    keys = words.columns
-    edges = lattice_edges(words, piece_table(words, pieces), pieces)
-    grouped = edges.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("end", "start", "score", "id"))).alias("edges"))
-    return grouped.select(*keys, fold_viterbi(F.col("edges")).alias("codes"))
+    """``words`` (``chunk, word, ...``, no word twice in a chunk) with ``codes``, the ids of the best path.
+
+    A word is named by a number while its edges are many; its columns ride on its first edge alone.
+    """
+    kept = [c for c in words.columns if c != "chunk"]
+    numbered = words.withColumn("number", F.monotonically_increasing_id())
+    edges = lattice_edges(numbered, piece_table(words, pieces), pieces)
+    first = (F.col("start") == 0) & (F.col("end") == 1)
+    slim = edges.select(
+        "chunk", "number", _pack(F.col("start"), F.col("end"), F.col("id")).alias("edge"), *[F.when(first, F.col(c)).alias(c) for c in kept]
+    )
+    grouped = slim.groupBy("chunk", "number").agg(F.sort_array(F.collect_list("edge")).alias("edges"), *[F.max(c).alias(c) for c in kept])
+    by_id = [0.0] * (max(pieces.ids.values(), default=0) + 1)
+    for p, i in pieces.ids.items():
+        by_id[i] = pieces.scores[p]
+    text = ",".join(map(repr, by_id))
+    scores = F.expr(f"cast(split('{text}', ',') as array<double>)")  # folded into one literal
+    opened = F.transform("edges", lambda e: _unpack(e, scores, pieces.byte_score))
+    return grouped.select("chunk", *kept, fold_viterbi(opened).alias("codes"))
 
 
 def _joiner(path: str):
