@@ -40,6 +40,18 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Texts that go to a Python worker at a time, at most.
+BATCH_ROWS = 1000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH_ROWS if they are larger: texts are long, and workers hold a batch whole."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 class Scratch:
     """Tables of one computation, as Parquet in the shared checkpoint folder; all are deleted when it ends.
 

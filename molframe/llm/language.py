@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._runtime import bounded_sample
+from ._runtime import bound_batches, bounded_sample
 
 SLOTS = 1 << 14
 #: Labelled texts per language that training may use.
@@ -158,6 +158,7 @@ def fit_language_model(
     docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", per_language: int = PER_LANGUAGE
 ) -> LanguageModel:
     """Trains on at most ``per_language`` texts of each language, chosen by hash among rows not held out."""
+    bound_batches(docs.sparkSession)
     labelled = docs.where(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     plain = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(id_col).alias("id"))
     sample = bounded_sample(plain, ["id", "text"], per_language, within="lang").select("lang", "text").collect()
@@ -187,6 +188,7 @@ def identify_language(
     Equal texts get equal results; repeated rows are predicted one by one. An empty table gives no rows. Only the named
     columns are read, so other columns may have any name.
     """
+    bound_batches(docs.sparkSession)
     model = model or fit_language_model(docs, id_col, text_col, lang_col)
     read = docs.select(F.col(id_col).alias("doc_id"), predict_column(model, F.col(text_col)).alias("p"))
     return read.select(

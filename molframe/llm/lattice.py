@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._runtime import bound_batches
 from .pieces import JAVA_PRETOKEN, PRETOKEN, Pieces, default_model_path, load_pieces
 
 #: UTF-8 bytes of text per chunk, about.
@@ -174,6 +175,7 @@ def encode_documents(
     text back. Pre-tokens longer than 64 characters are cut at 64. Repeated rows are encoded one by one. An empty table
     gives no rows. Only the named columns are read, so other columns may have any name.
     """
+    bound_batches(docs.sparkSession)
     path = model_path or default_model_path()
     pieces = load_pieces(path)
     text = F.coalesce(F.col(text_col), F.lit(""))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._runtime import text_bytes
+from ._runtime import bound_batches, text_bytes
 
 WIDTH = 64
 SIGNATURE = b"\x89PNG\r\n\x1a\n"  # fixed value of the format
@@ -196,6 +196,7 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     that fails a check stops the job (``MediaError``). Only the named columns are read. Rows go through Arrow in the
     batches that the session sets, and a text costs a few times its own size while its batch lasts.
     """
+    bound_batches(docs.sparkSession)
     stored = docs.select(
         F.col(id_col).alias("doc_id"),
         F.octet_length(text_bytes(F.col(text_col))).cast("long").alias("n_bytes"),

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._runtime import Scratch, settle, text_bytes
+from ._runtime import Scratch, bound_batches, settle, text_bytes
 from .graph import components
 
 WORDS = 5
@@ -78,8 +78,11 @@ _SIGNED = T.StructType([T.StructField("signature", T.BinaryType()), T.StructFiel
 def _signed(words: int):
     def sign(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in parts:
-            sets = [shingles(t, words) for t in texts]
-            yield pd.DataFrame({"signature": [signature(s).tobytes() for s in sets], "n": [len(s) for s in sets]})
+            rows = []
+            for t in texts:  # one set at a time is held
+                found = shingles(t, words)
+                rows.append((signature(found).tobytes(), len(found)))
+            yield pd.DataFrame(rows, columns=_SIGNED.names)
 
     return F.pandas_udf(sign, _SIGNED)
 
@@ -235,6 +238,7 @@ def one_of_each_group(docs: DataFrame, threshold: float = THRESHOLD, words: int
 
 def _class_links(plain: DataFrame, threshold: float, words: int, recall: float, scratch: Scratch) -> DataFrame:
     """(key, class_id, n_copies, n_links, group_id, group), one row per distinct text of rows (``doc_id, key, text``)."""
+    bound_batches(plain.sparkSession)
     signed = plain.select("doc_id", "key", _signed(words)("text").alias("s"))
     classes = scratch.keep(
         signed.groupBy("key").agg(

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._runtime import settle
+from ._runtime import bound_batches, settle
 
 CAPACITY = 2048
 END_ID = 0
@@ -91,6 +91,7 @@ def tokenise(
     docs: DataFrame, capacity: int = CAPACITY, id_col="doc_id", text_col="text", ranks_path: str | None = None, with_ids=False
 ) -> DataFrame:
     """One row per piece: ``doc_id, no_id, piece, start, length, ids_crc32`` and, if asked for, ``ids``."""
+    bound_batches(docs.sparkSession)
     ranks_path = ranks_path or default_ranks_path()
 
     def pieces(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

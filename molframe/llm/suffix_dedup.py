@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._runtime import Scratch, settle, text_bytes
+from ._runtime import Scratch, bound_batches, settle, text_bytes
 
 #: Length of the repeated strings that are removed.
 THRESHOLD = 200
@@ -247,6 +247,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     stay within a row; strings are judged on the input. Null texts count as empty; texts under 200 bytes stay whole. Repeated
     rows are repeats of each other and lose the same bytes. An empty table gives no rows. Only named columns are read.
     """
+    bound_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     plain = docs.select(
         F.col(id_col).alias("doc_id"), text.alias("text"), row_key(F.col(id_col), F.col(text_col)).alias("uid"),

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._runtime import bound_batches
 from .pieces import PRETOKEN, Pieces, default_model_path, load_pieces
 
 #: The trie starts afresh beyond so many stored pre-tokens; results do not depend on it.
@@ -111,5 +112,6 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     characters without white space are cut at 64. Repeated rows are counted one by one. An empty table gives no rows.
     Only the named columns are read, so other columns may have any name.
     """
+    bound_batches(docs.sparkSession)
     counter = _counter(model_path or default_model_path())
     return docs.select(F.col(id_col).alias("doc_id"), counter(F.coalesce(F.col(text_col), F.lit(""))).alias("n_tokens"))
