@@ -119,3 +119,50 @@ def synthetic(spark, n_molecules: int, n_atoms: int) -> DataFrame:
         (10 * F.sin(1.3 * phase)).alias("x"), (10 * F.cos(1.7 * phase)).alias("y"), (10 * F.sin(2.1 * phase)).alias("z"),
         (F.lit(-1000.0) - 0.001 * F.col("mol_id")).alias("energy"),
     )
+
+
+def touched(array: Column, seed: Column) -> Column:
+    """The element at ``seed`` modulo the length; null for an empty array."""
+    return F.when(F.size(array) > 0, F.get(array, F.pmod(seed, F.size(array)).cast("int")))
+
+
+def normalised_size(size: Column, requested: Column, written: Column) -> Column:
+    """A size scaled from the number of rows written to the number asked for; the size itself if nothing was written."""
+    return F.when(written > 0, F.round(size * requested / written)).otherwise(size).cast("long")
+
+
+def map_delta(before: Column, after: Column) -> Column:
+    """After less before, per key of either; a key that one lacks counts 0 there."""
+    return F.map_zip_with(before, after, lambda k, b, a: F.coalesce(a, F.lit(0)) - F.coalesce(b, F.lit(0)))
+
+
+def normalised_rows(df: DataFrame, required: list[str], defaults: dict[str, object]) -> DataFrame:
+    """Fills absent columns and null values from ``defaults``; a row that lacks a required value stops the job."""
+    lacking = [c for c in required if c not in df.columns]
+    if lacking:
+        raise ValueError(f"missing columns {lacking}")
+    out = df.withColumns({c: F.coalesce(c, F.lit(v)) if c in df.columns else F.lit(v) for c, v in defaults.items()})
+    for c in required:
+        out = out.withColumn(c, F.when(F.col(c).isNotNull(), F.col(c)).otherwise(F.raise_error(F.lit(f"missing value of {c}"))))
+    return out
+
+
+def result_kind(text: Column, kinds: dict[str, list[str]]) -> Column:
+    """Which kind of result a JSON text is: the first whose keys it all has at the top; null for none."""
+    keys = F.coalesce(F.json_object_keys(text), F.array().cast("array<string>"))
+    out = F.lit(None).cast("string")
+    for kind, wanted in reversed(kinds.items()):
+        out = F.when(F.size(F.array_except(F.array(*[F.lit(w) for w in wanted]), keys)) == 0, F.lit(kind)).otherwise(out)
+    return out
+
+
+def complete(df: DataFrame, expected: int) -> DataFrame:
+    """(found, expected, complete): whether a dataset has as many rows as it should."""
+    found = F.count(F.lit(1)).alias("found")
+    return df.agg(found).select("found", F.lit(expected).cast("long").alias("expected"), (F.col("found") == expected).alias("complete"))
+
+
+def total_size(spark, path: str) -> DataFrame:
+    """(files, bytes) of all files below a path; contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))

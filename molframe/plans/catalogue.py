@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from molframe.functions import geometry as geo
 from molframe.functions.values import Tag
 from molframe.operators import bridge, lock, model, read, shards, stats
+from molframe.sources.ingest import arrays_batch
+from molframe.sources.shard_set import ShardReader, rewrite
+from molframe.sources.store import Store
 
 from . import fixtures as fx
+from .scratch import scratch_dir
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -478,3 +482,122 @@ def export_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("mol_id", bridge.export_place(m, "four").alias("place"))
 
 
+
+
+# -- stores ---------------------------------------------------------------------------------------------------------
+
+
+def _plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.molecules(spark, sf_dir).drop("present")
+
+
+@query("SELECT * FROM (VALUES ('before flush', 0), ('after flush', 300), ('second flush', 600)) AS t(step, visible)")
+def commit_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a reader sees of staged and committed molecules."""
+    path = f"{scratch_dir(spark)}/s"
+    store, rows = Store.create(spark, path), _plain(spark, sf_dir)
+    store.append(rows.where("mol_id < 300"))
+    steps = [("before flush", len(Store.open(spark, path)))]
+    store.flush()
+    steps.append(("after flush", len(Store.open(spark, path))))
+    store.append(rows.where("mol_id >= 300 and mol_id < 600"))
+    store.flush()
+    steps.append(("second flush", len(Store.open(spark, path))))
+    return spark.createDataFrame(steps, "step string, visible int")
+
+
+@query("SELECT o_orderkey AS mol_id, o_totalprice AS energy FROM orders WHERE o_orderkey < 300")
+def generation_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A damaged newest commit: the one before is read."""
+    path = f"{scratch_dir(spark)}/s"
+    store, rows = Store.create(spark, path), _plain(spark, sf_dir)
+    for part in ("mol_id < 300", "mol_id >= 300 and mol_id < 600"):
+        store.append(rows.where(part), order="mol_id")
+        store.flush()
+    store._files.write(f"_commits/{store.generation:012d}.json", '{"crc": 1, "body": "{}"}')
+    return Store.open(spark, path).molecules().select("mol_id", "energy")
+
+
+_CODECS = ("none", "lz4", "zstd")
+
+
+@query(fx.WITH + "SELECT codec, m.mol_id, atom_idx, x, charge FROM a JOIN m USING (mol_id), (VALUES ('none'), ('lz4'), ('zstd')) AS c(codec) WHERE m.mol_id < 300")
+def codec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Atoms read back from stores of each codec."""
+    root, out = scratch_dir(spark), None
+    for codec in _CODECS:
+        store = Store.create(spark, f"{root}/{codec}", codec)
+        store.append(_plain(spark, sf_dir).where("mol_id < 300"), order="mol_id")
+        store.flush()
+        rows = model.wide_atoms(model.to_atoms(Store.open(spark, store.path).molecules(), only=("positions", "charges")))
+        rows = rows.select(F.lit(codec).alias("codec"), "mol_id", "atom_idx", "x", "charge")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("SELECT row_number() OVER (ORDER BY o_orderkey % 3, o_orderkey) - 1 AS mol_id, CAST(o_orderkey % 3 AS INTEGER) AS shard, o_totalprice AS energy FROM orders WHERE o_orderkey < 300")
+def shard_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three shards, rewritten one by one, read as one dataset."""
+    root, rows = scratch_dir(spark), _plain(spark, sf_dir).where("mol_id < 300")
+    for k in range(3):
+        store = Store.create(spark, f"{root}/old/shard-{k}")
+        store.append(rows.where(F.col("mol_id") % 3 == k), order="mol_id")
+        store.flush()
+    rewrite(spark, f"{root}/old", f"{root}/new")
+    return ShardReader.open_path(spark, f"{root}/new").molecules().select("mol_id", "shard", "energy")
+
+
+@query("SELECT m AS mol_id, CAST(a AS INTEGER) AS atom_idx, CAST([6, 8][a + 1] AS SMALLINT) AS z_num, CAST(m + a * 0.5 AS DOUBLE) AS x, CAST(m * 2 AS DOUBLE) AS gap FROM range(50) t(m), range(2) u(a)")  # noqa: E501
+def batch_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stacked arrays as rows: single-precision positions, a property widened to 64 bits."""
+    import numpy as np
+
+    n = 50
+    p = np.zeros((n, 2, 3), np.float32)
+    p[:, :, 0] = np.arange(n)[:, None] + np.array([0, 0.5])
+    z = np.tile(np.array([6, 8], np.uint8), (n, 1))
+    rows = arrays_batch(spark, p, z, energy=np.arange(n, dtype=float), properties={"gap": np.arange(n, dtype=np.float32) * 2})
+    rows = rows.withColumn("mol_id", F.col("energy").cast("long"))
+    atoms = model.wide_atoms(model.to_atoms(rows, ("mol_id", "mp_gap"), only=("positions",)))
+    return atoms.select("mol_id", "atom_idx", "z_num", F.col("x").cast("double").alias("x"), F.col("mp_gap").alias("gap"))
+
+
+# -- report rows ----------------------------------------------------------------------------------------------------
+
+
+@query("SELECT vec_id AS mol_id, round(CAST(embedding[(vec_id * 7) % 64 + 1] AS DOUBLE), 6) AS value FROM embeddings")
+def touched_element(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = fx.table(spark, sf_dir, "embeddings")
+    return e.select(F.col("vec_id").alias("mol_id"), r6(stats.touched(F.col("embedding"), F.col("vec_id") * 7).cast("double")).alias("value"))
+
+
+@query("SELECT o_orderkey, CAST(CASE WHEN o_custkey % 5 > 0 THEN round(o_totalprice * 10 / (o_custkey % 5)) ELSE o_totalprice END AS BIGINT) AS size FROM (SELECT o_orderkey, o_custkey, floor(o_totalprice) AS o_totalprice FROM orders)")  # noqa: E501
+def normalised_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = fx.table(spark, sf_dir, "orders").withColumn("size", F.floor("o_totalprice"))
+    return o.select("o_orderkey", stats.normalised_size(F.col("size"), F.lit(10), F.col("o_custkey") % 5).alias("size"))
+
+
+@query("SELECT event_type, key, value FROM (SELECT event_type, 'rss' AS key, CAST(max(user_id) - min(user_id) AS BIGINT) AS value FROM events GROUP BY 1 UNION ALL SELECT event_type, 'new', CAST(count(*) AS BIGINT) FROM events GROUP BY 1)")  # noqa: E501
+def memory_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Differences of two maps of readings; a key that only the later one has counts from 0."""
+    e = fx.table(spark, sf_dir, "events").groupBy("event_type").agg(F.min("user_id").alias("a"), F.max("user_id").alias("b"), F.count(F.lit(1)).alias("n"))
+    delta = stats.map_delta(F.create_map(F.lit("rss"), F.col("a")), F.create_map(F.lit("rss"), F.col("b"), F.lit("new"), F.col("n")))
+    return e.select("event_type", F.explode(delta).alias("key", "value"))
+
+
+@query("SELECT backend, workers, codec, trials FROM (VALUES ('a', 1, 'none', 3), ('b', 2, 'zstd', 3), ('c', 4, 'none', 5)) AS t(backend, workers, codec, trials)")
+def normalised_result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of results with gaps, filled from defaults."""
+    raw = spark.createDataFrame([("a", 1, None, None), ("b", 2, "zstd", None), ("c", 4, None, 5)], "backend string, workers int, codec string, trials int")
+    return stats.normalised_rows(raw, ["backend", "workers"], {"codec": "none", "trials": 3})
+
+
+@query("SELECT * FROM (VALUES ('{\"reads\": [], \"meta\": 1}', 'read'), ('{\"memory\": 1}', 'memory'), ('[1]', NULL), ('{}', NULL)) AS t(doc, kind)")
+def result_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.createDataFrame([('{"reads": [], "meta": 1}',), ('{"memory": 1}',), ("[1]",), ("{}",)], "doc string")
+    return docs.select("doc", stats.result_kind(F.col("doc"), {"read": ["reads", "meta"], "memory": ["memory"]}).alias("kind"))
+
+
+@query("SELECT count(*) AS found, CAST(25 AS BIGINT) AS expected, count(*) = 25 AS complete FROM nation")
+def completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.complete(fx.table(spark, sf_dir, "nation"), 25)

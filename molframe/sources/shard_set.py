@@ -138,3 +138,36 @@ def rewrite(
     files = _Files(spark, target)
     files.write("manifest.json", json.dumps({"output_files": out}))
     return f"{target.rstrip('/')}/manifest.json"
+
+
+def snapshot_patterns(path: str | None = None) -> list[str]:
+    """Name patterns of what a partial copy of a repository needs: the stores below ``path`` and the manifests."""
+    under = "" if path is None else relative_path(path) + "/"
+    return [f"{under}{p}" for p in ("*/_commits/*.json", "**/_commits/*.json", "*/data/**", "**/data/**", "manifest.json", "**/manifest.json")]
+
+
+def dataset_root(spark: SparkSession, snapshot: str, path: str | None = None) -> str:
+    """Where the dataset of a copied repository is: ``path`` in it, else its one store, else the one folder of its stores.
+
+    Nothing there, or stores in several folders and no ``path``, is an error.
+    """
+    here = snapshot.rstrip("/") + ("" if path is None else "/" + relative_path(path))
+    found = find_stores(spark, here)
+    if not found:
+        raise FileNotFoundError(f"no stores under {here}")
+    if path is not None:
+        return here
+    if len(found) == 1:
+        return found[0]
+    folders = {f.rsplit("/", 1)[0] for f in found}
+    if len(folders) > 1:
+        raise ValueError("stores in several folders: name one")
+    return folders.pop()
+
+
+def upload_name(source: str, path: str | None = None, suffix: str = ".store") -> str:
+    """Name under which a source goes into a repository: its own, ``path`` if that names a store, else its own below ``path``."""
+    own = source.rstrip("/").rsplit("/", 1)[-1]
+    if path is None:
+        return own
+    return relative_path(path) if path.endswith(suffix) else f"{relative_path(path)}/{own}"

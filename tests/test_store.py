@@ -164,3 +164,22 @@ def test_unequal_arrays_stop_the_job(spark):
     df = batch(spark, [1.0]).withColumn("mol_id", F.lit(0)).withColumn("charges", F.array(F.lit(1.0)))
     with pytest.raises(Exception, match="unequal length"):
         model.checked(df).select("mol_id").collect()
+
+
+def test_repository_names(spark, tmp_path):
+    from molframe.operators import stats
+    from molframe.sources.shard_set import dataset_root, snapshot_patterns, upload_name
+
+    for name in ("one/a", "two/b"):
+        Store.create(spark, str(tmp_path / name))
+    with pytest.raises(ValueError):
+        dataset_root(spark, str(tmp_path))
+    assert dataset_root(spark, str(tmp_path), "one") == str(tmp_path / "one")
+    assert dataset_root(spark, str(tmp_path / "two")) == str(tmp_path / "two" / "b")
+    with pytest.raises(FileNotFoundError):
+        dataset_root(spark, str(tmp_path), "three")
+    assert upload_name("/x/a.store") == "a.store" and upload_name("/x/a", "sets/") == "sets/a" and upload_name("/x/a", "b.store") == "b.store"
+    assert snapshot_patterns("set")[0].startswith("set/")
+    assert stats.total_size(spark, str(tmp_path)).first().files >= 2
+    with pytest.raises(ValueError):
+        stats.normalised_rows(spark.range(1), ["backend"], {})
