@@ -274,7 +274,8 @@ def _class_links(plain: DataFrame, threshold: float, words: int, recall: float,
     wanted = scratch.keep(wanted)
     batches = max(1, -(-wanted.count() // BATCH * 8))
     keyed = plain.select(row_key(F.col("doc_id"), F.col("key")).alias("row"), "text")
-    texts = keyed.join(wanted, "row").groupBy("v", "component", "blocks", "block").agg(F.first("text").alias("text"))
+    # merged at every size: a plan that spares small inputs this shuffle would say nothing of large ones
+    texts = keyed.join(wanted.hint("merge"), "row").groupBy("v", "component", "blocks", "block").agg(F.first("text").alias("text"))
     # every two blocks meet once: block b with each other one, as the pair (smaller, larger)
     others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = texts.select("*", others).select(
