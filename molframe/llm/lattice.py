@@ -1,10 +1,12 @@
 """SentencePiece-style encoding and decoding with a relational lattice.
 
-Documents are dealt to chunks. Within a chunk the distinct pre-tokens are the words; their substrings of bounded length
-are exploded and equi-joined to the piece table, which gives the edges of each word's lattice; edges are grouped by word
-and folded by a higher-order aggregate that keeps the best path to every position (Viterbi). Words and documents of a
-chunk lie in one partition, so after the documents are dealt nothing else is shuffled: the words' codes meet their
-documents where both are. The piece table has as many rows as the vocabulary, which bounds what is broadcast.
+The distinct pre-tokens of all documents are the words; each is encoded once. Substrings of bounded length are exploded and
+equi-joined to the piece table, which gives the edges of each word's lattice; edges are grouped by word and folded by a
+higher-order aggregate that keeps the best path to every position (Viterbi). The piece table has as many rows as the
+vocabulary, which bounds what is broadcast.
+
+Documents are dealt to chunks of bounded size, compressed, and each chunk names the words it needs; the codes of these come back
+to the chunk and are put in the place of the words there. So of the occurrences of a word only one per chunk is moved.
 """
 
 from __future__ import annotations
@@ -15,15 +17,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._runtime import bound_batches
-from .pieces import JAVA_PRETOKEN, PRETOKEN, Pieces, default_model_path, load_pieces
+from ._runtime import bound_batches, shuffle_width
+from .pieces import PRETOKEN, Pieces, default_model_path, load_pieces
 
-#: UTF-8 bytes of text per chunk, about.
-CHUNK_BYTES = 8 << 20
+#: UTF-8 bytes of text per chunk, about. A task holds the words of a chunk and their codes, and its texts compressed.
+CHUNK_BYTES = 40 << 20
 
 
 def piece_table(docs: DataFrame, pieces: Pieces) -> DataFrame:
@@ -98,59 +101,79 @@ def fold_viterbi(edges: Column) -> Column:
 
 
 def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """``words`` (``chunk, word, ...``, no word twice in a chunk) with ``codes``, the ids of the best path.
-
-    A word is named by a number while its edges are many; its columns ride on its first edge alone.
-    """
-    kept = [c for c in words.columns if c != "chunk"]
-    numbered = words.withColumn("number", F.monotonically_increasing_id())
-    edges = lattice_edges(numbered, piece_table(words, pieces), pieces)
-    first = (F.col("start") == 0) & (F.col("end") == 1)
-    slim = edges.select(
-        "chunk", "number", _pack(F.col("start"), F.col("end"), F.col("id")).alias("edge"), *[F.when(first, F.col(c)).alias(c) for c in kept]
-    )
-    grouped = slim.groupBy("chunk", "number").agg(F.sort_array(F.collect_list("edge")).alias("edges"), *[F.max(c).alias(c) for c in kept])
+    """``words`` (``word, seen``, no word twice, dealt by word) with ``codes``, the ids of the best path."""
+    edges = lattice_edges(words, piece_table(words, pieces), pieces)
+    slim = edges.select("word", "seen", _pack(F.col("start"), F.col("end"), F.col("id")).alias("edge"))
+    grouped = slim.groupBy("word").agg(F.sort_array(F.collect_list("edge")).alias("edges"), F.min("seen").alias("seen"))
     by_id = [0.0] * (max(pieces.ids.values(), default=0) + 1)
     for p, i in pieces.ids.items():
         by_id[i] = pieces.scores[p]
     text = ",".join(map(repr, by_id))
     scores = F.expr(f"cast(split('{text}', ',') as array<double>)")  # folded into one literal
     opened = F.transform("edges", lambda e: _unpack(e, scores, pieces.byte_score))
-    return grouped.select("chunk", *kept, fold_viterbi(opened).alias("codes"))
+    return grouped.select("word", "seen", fold_viterbi(opened).alias("codes"))
+
+
+def _compressed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    press = zstandard.ZstdCompressor(level=3, write_content_size=True).compress
+    for texts in parts:
+        yield pd.Series([press(t.encode("utf-8", "surrogatepass")) for t in texts], dtype=object)
+
+
+def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(chunk, word) of a partition's chunks, each once."""
+    find, open_ = re.compile(PRETOKEN).findall, zstandard.ZstdDecompressor().decompress
+    words: dict[int, set[str]] = {}
+    for batch in batches:
+        for chunk, packed in zip(batch.column(1).to_pylist(), batch.column(2)):
+            words.setdefault(chunk, set()).update(find(open_(packed.as_py()).decode("utf-8", "surrogatepass")))
+    for chunk, found in words.items():
+        listed = list(found)
+        for at in range(0, len(listed), 50_000):
+            part = listed[at : at + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(part), pa.int64()), pa.array(part, pa.string())], names=["chunk", "word"])
 
 
 def _joiner(path: str):
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
+    def spelt(word: str, codes: list[int]) -> list[int]:
+        """Codes of a word with its bytes in full."""
+        byte_ids, raw, at, out = load_pieces(path).bytes, word.encode("utf-8", "surrogatepass"), 0, []
+        for i in codes:
+            out += [byte_ids[b] for b in raw[at : at - i]] if i < 0 else [i]
+            at += -i if i < 0 else _length(path, i)
+        return out
+
     def join(docs: pa.Table, words: pa.Table) -> pa.Table:
-        byte_ids = load_pieces(path).bytes
-        find = re.compile(PRETOKEN).findall
-        flat, ends = words["codes"].combine_chunks(), None
-        flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
-        ends = flat.offsets.to_numpy() if len(flat) else np.zeros(1, np.int64)
-        values = flat.values.to_numpy() if len(flat) else np.zeros(0, np.int32)
-        codes: dict[str, list[int]] = {}
-        for k, word in enumerate(words["word"].to_pylist()):
-            ids = values[ends[k] : ends[k + 1]].tolist()
-            if min(ids) < 0:  # characters as bytes
-                raw, at, out = word.encode(), 0, []
-                for i in ids:
-                    if i < 0:
-                        out.extend(byte_ids[b] for b in raw[at : at - i])
-                        at -= i
-                    else:
-                        out.append(i)
-                        at += _length(path, i)
-                ids = out
-            codes[word] = ids
-        offsets, parts = [0], []
-        for text in docs["text"].to_pylist():
-            found = [codes[w] for w in find(text)] if text else []
-            ids = np.fromiter((i for f in found for i in f), np.int32)
+        find, open_ = re.compile(PRETOKEN).findall, zstandard.ZstdDecompressor().decompress
+        place: dict[str, int] = {}  # word -> row of starts and sizes, which cut its ids out of flat
+        flat, sizes = [], []
+        for batch in words.select(["word", "codes"]).to_batches():
+            listed, lists = batch.column(0).to_pylist(), batch.column(1)
+            ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+            size = np.diff(ends)
+            values = values[ends[0] : ends[-1]]
+            if len(values) and values.min() < 0:
+                full = [spelt(w, c) if min(c) < 0 else c for w, c in zip(listed, lists.to_pylist())]
+                size, values = np.array([len(c) for c in full]), np.array([i for c in full for i in c], np.int32)
+            place.update(zip(listed, range(len(place), len(place) + len(listed))))
+            flat.append(values)
+            sizes.append(size)
+        flat = np.concatenate(flat) if flat else np.zeros(0, np.int32)
+        sizes = np.concatenate(sizes).astype(np.int64) if sizes else np.zeros(0, np.int64)
+        starts = np.cumsum(sizes) - sizes
+        parts, lengths = [], []
+        for packed in docs["packed"]:
+            found = find(open_(packed.as_py()).decode("utf-8", "surrogatepass"))
+            at = np.fromiter(map(place.__getitem__, found), np.int64, len(found))
+            n = sizes[at]
+            ids = flat[np.repeat(starts[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
             parts.append(ids)
-            offsets.append(offsets[-1] + len(ids))
-        flat_ids = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat_ids, pa.int32()))
+            lengths.append(len(ids))
+        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+        values = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
         return pa.table([docs["doc_id"].cast(pa.int64()), lists], schema=schema)
 
     return join
@@ -181,12 +204,16 @@ def encode_documents(
     text = F.coalesce(F.col(text_col), F.lit(""))
     plain = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
     chunks = max(1, -(-(plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // chunk_bytes))
-    dealt = plain.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks))).repartition(chunks, "chunk")
-    found = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(JAVA_PRETOKEN), F.lit(0)))).alias("word")
-    # the id rides along so that both sides read one and the same shuffle
-    words = dealt.select("chunk", found, "doc_id").groupBy("chunk", "word").agg(F.min("doc_id").alias("seen"))
-    coded = encode_words(words, pieces).select(F.col("chunk").alias("of"), "word", "codes", "seen")
-    return dealt.groupBy("chunk").cogroup(coded.groupBy("of")).applyInArrow(
+    chunk = F.pmod(F.xxhash64("doc_id"), F.lit(chunks))
+    press = F.pandas_udf(_compressed, T.BinaryType())
+    dealt = plain.select("doc_id", chunk.alias("chunk"), press("text").alias("packed")).repartition(chunks, "chunk")
+    width = max(chunks, shuffle_width(docs.sparkSession))
+    needed = dealt.mapInArrow(_words_of, "chunk long, word string").repartition(width, "word")
+    # a chunk rides along with each word so that both uses of ``needed`` read one and the same shuffle
+    coded = encode_words(needed.groupBy("word").agg(F.min("chunk").alias("seen")), pieces)
+    sent = needed.join(coded.hint("merge"), "word").select(F.col("chunk").alias("of"), "word", "codes", "seen")
+    sent = sent.repartition(chunks, "of")
+    return dealt.groupBy("chunk").cogroup(sent.groupBy("of")).applyInArrow(
         _joiner(path), T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     )
 

@@ -12,11 +12,10 @@ BYTE_PENALTY = 10.0
 #: Vocabulary files give pieces that are never to be used a score below this.
 NEVER = -1e6
 #: Pre-tokens: letters, or other marks, with the space before them; or one white-space character. All that is not ASCII
-#: counts as a letter. The same pattern holds in Python and Java, and the pre-tokens of a text joined are the text.
+#: counts as a letter. The pre-tokens of a text joined are the text.
 PRETOKEN = (
     r" ?[A-Za-z\x80-\U0010ffff]{1,64}| ?[^A-Za-z\x80-\U0010ffff\x20\x09-\x0D]{1,16}|[\x20\x09-\x0D]"
 )
-JAVA_PRETOKEN = PRETOKEN.replace(r"\U0010ffff", r"\x{10ffff}")
 
 
 def default_model_path() -> str:

@@ -204,7 +204,7 @@ def test_counts_and_lattice_agree(edge_docs, sample_docs):
     p = pieces.load_pieces(pieces.default_model_path())
     for docs in (edge_docs, sample_docs.where("doc_id < 100")):
         counts = Counter(map(tuple, token_counts.token_counts(docs).collect()))
-        encoded = lattice.encode_documents(docs)
+        encoded = lattice.encode_documents(docs, chunk_bytes=50_000)
         assert Counter(map(tuple, encoded.select("doc_id", F.size("ids").cast("long")).collect())) == counts
         decoded = encoded.select("doc_id", lattice.decode_ids(F.col("ids")).alias("text"))
         assert Counter(map(tuple, decoded.collect())) == Counter((i, t or "") for i, t in texts(docs))
