@@ -14,6 +14,7 @@ from molframe.sources.store import Store
 
 from . import fixtures as fx
 from .scratch import scratch_dir
+from .views import register
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -601,3 +602,20 @@ def result_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT count(*) AS found, CAST(25 AS BIGINT) AS expected, count(*) = 25 AS complete FROM nation")
 def completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.complete(fx.table(spark, sf_dir, "nation"), 25)
+
+
+@query(fx.WITH + "SELECT m.mol_id, count(*) AS n, round(avg(x), 6) AS mean_x, CAST(max(z_num) AS INTEGER) AS top_z FROM m JOIN a USING (mol_id) WHERE energy > 200000 GROUP BY m.mol_id")  # noqa: E501
+def sql_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A value predicate, a join and an aggregate in SQL over the registered views."""
+    register(fx.molecules(spark, sf_dir), "fixture_")
+    return spark.sql(
+        "SELECT mol_id, count(*) AS n, round(avg(x), 6) AS mean_x, CAST(max(z_num) AS INT) AS top_z "
+        "FROM fixture_molecules JOIN fixture_atoms USING (mol_id) WHERE energy > 200000 GROUP BY mol_id"
+    )
+
+
+@query(fx.WITH + "SELECT mol_id, name, round(energy, 2) AS energy FROM m WHERE energy BETWEEN 100000 AND 150000 AND name LIKE '1%'")
+def value_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filters on values; they and the columns reach the scan."""
+    m = fx.molecules(spark, sf_dir).where("energy between 100000 and 150000 and name like '1%'")
+    return m.select("mol_id", "name", F.round("energy", 2).alias("energy"))
