@@ -51,50 +51,48 @@ def lattice_edges(words: DataFrame, table: DataFrame, pieces: Pieces) -> DataFra
 
 #: An edge in one long: end, start and id, so that edges sort by their end and are small where they are many.
 _ID_BITS, _PLACE_BITS, _BYTES = 32, 8, 1 << 16
+#: Bytes of a character.
+_MOST_BYTES = 4
 
 
 def _pack(start: Column, end: Column, name: Column) -> Column:
     return F.shiftleft(end.cast("long"), _ID_BITS + _PLACE_BITS) + F.shiftleft(start.cast("long"), _ID_BITS) + name + F.lit(_BYTES)
 
 
-def _unpack(edge: Column, scores: Column, byte_score: float) -> Column:
-    name = (edge.bitwiseAND(F.lit((1 << _ID_BITS) - 1)) - _BYTES).cast("int")
-    place = lambda shift: F.shiftright(edge, shift).bitwiseAND(F.lit((1 << _PLACE_BITS) - 1)).cast("int")
-    with_name = lambda i: F.struct(
-        place(_ID_BITS + _PLACE_BITS).alias("end"), place(_ID_BITS).alias("start"),
-        F.when(i < 0, -i * F.lit(byte_score)).otherwise(F.get(scores, i)).alias("score"), i.alias("id"),
-    )
-    return F.get(F.transform(F.array(name), with_name), F.lit(0))
+def fold_viterbi(edges: Column, scores: Column) -> Column:
+    """Ids of the best path over an array of packed edges sorted by end; -k stands for k bytes.
 
-
-def fold_viterbi(edges: Column) -> Column:
-    """Ids of the best path over an array of (end, start, score, id) sorted by end; -k stands for k bytes.
-
-    Equal scores go to fewer pieces.
+    ``scores``: of -_MOST_BYTES to -1, then of the ids from 0. Equal scores go to fewer pieces.
     """
-    node = "array<struct<s:double,n:int,start:int,id:int>>"
-    origin = F.expr(f"cast(array(struct(0.0d, 0, -1, 0)) as {node})")
+    node = "array<struct<s:double,n:int,e:bigint>>"
+    origin = F.expr(f"cast(array(struct(0.0d, 0, 0L)) as {node})")
+    place = lambda e, shift: F.shiftright(e, shift).bitwiseAND(F.lit((1 << _PLACE_BITS) - 1)).cast("int")
+    name = lambda e: (e.bitwiseAND(F.lit((1 << _ID_BITS) - 1)) - _BYTES).cast("int")
 
     def step(best: Column, e: Column) -> Column:
-        before = F.get(best, e["start"])
+        before, end = F.get(best, place(e, _ID_BITS)), place(e, _ID_BITS + _PLACE_BITS)
         new = F.struct(
-            (before["s"] + e["score"]).alias("s"), (before["n"] + F.greatest(F.lit(1), -e["id"])).alias("n"),
-            e["start"].alias("start"), e["id"].alias("id"),
+            (before["s"] + F.get(scores, name(e) + _MOST_BYTES)).alias("s"),
+            (before["n"] + F.greatest(F.lit(1), -name(e))).alias("n"), e.alias("e"),
         )
-        old = F.get(best, e["end"])
-        better = (new["s"] > old["s"]) | ((new["s"] == old["s"]) & (new["n"] < old["n"]))
-        return (
-            F.when(F.size(best) <= e["end"], F.array_append(best, new))
-            .when(better, F.array_append(F.slice(best, 1, e["end"]), new))
-            .otherwise(best)
-        )
+
+        def placed(new: Column) -> Column:
+            old = F.get(best, end)
+            better = (new["s"] > old["s"]) | ((new["s"] == old["s"]) & (new["n"] < old["n"]))
+            return F.when(F.size(best) <= end, F.array_append(best, new)).when(
+                better, F.array_append(F.slice(best, 1, end), new)
+            ).otherwise(best)
+
+        return F.get(F.transform(F.array(new), placed), F.lit(0))
 
     def path(best: Column) -> Column:
         start = F.struct((F.size(best) - 1).alias("at"), F.expr("cast(array() as array<int>)").alias("ids"))
-        back = lambda acc, _: F.when(
-            acc["at"] > 0,
-            F.struct(F.get(best, acc["at"])["start"].alias("at"), F.array_prepend(acc["ids"], F.get(best, acc["at"])["id"]).alias("ids")),
-        ).otherwise(acc)
+
+        def back(acc: Column, _: Column) -> Column:
+            e = F.get(best, acc["at"])["e"]
+            longer = F.struct(place(e, _ID_BITS).alias("at"), F.array_prepend(acc["ids"], name(e)).alias("ids"))
+            return F.when(acc["at"] > 0, longer).otherwise(acc)
+
         return F.aggregate(F.sequence(F.lit(1), F.get(best, F.size(best) - 1)["n"]), start, back, lambda acc: acc["ids"])
 
     return F.aggregate(edges, origin, step, path)
@@ -105,17 +103,18 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
     edges = lattice_edges(words, piece_table(words, pieces), pieces)
     slim = edges.select("word", "seen", _pack(F.col("start"), F.col("end"), F.col("id")).alias("edge"))
     grouped = slim.groupBy("word").agg(F.sort_array(F.collect_list("edge")).alias("edges"), F.min("seen").alias("seen"))
-    by_id = [0.0] * (max(pieces.ids.values(), default=0) + 1)
+    by_id = [pieces.byte_score * k for k in range(_MOST_BYTES, 0, -1)] + [0.0] * (max(pieces.ids.values(), default=0) + 1)
     for p, i in pieces.ids.items():
-        by_id[i] = pieces.scores[p]
+        by_id[i + _MOST_BYTES] = pieces.scores[p]
     text = ",".join(map(repr, by_id))
     scores = F.expr(f"cast(split('{text}', ',') as array<double>)")  # folded into one literal
-    opened = F.transform("edges", lambda e: _unpack(e, scores, pieces.byte_score))
-    return grouped.select("word", "seen", fold_viterbi(opened).alias("codes"))
+    codes = fold_viterbi(F.col("edges"), scores)
+    narrow = "array<smallint>" if max(pieces.ids.values(), default=0) < 1 << 15 else "array<int>"
+    return grouped.select("word", "seen", codes.cast(narrow).alias("codes"))
 
 
 def _compressed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    press = zstandard.ZstdCompressor(level=3, write_content_size=True).compress
+    press = zstandard.ZstdCompressor(level=9, write_content_size=True).compress
     for texts in parts:
         yield pd.Series([press(t.encode("utf-8", "surrogatepass")) for t in texts], dtype=object)
 
@@ -145,28 +144,36 @@ def _joiner(path: str):
             at += -i if i < 0 else _length(path, i)
         return out
 
+    def named(words: list[str]) -> np.ndarray:
+        return pd.util.hash_array(np.array(words, object), categorize=False) if words else np.zeros(0, np.uint64)
+
     def join(docs: pa.Table, words: pa.Table) -> pa.Table:
         find, open_ = re.compile(PRETOKEN).findall, zstandard.ZstdDecompressor().decompress
-        place: dict[str, int] = {}  # word -> row of starts and sizes, which cut its ids out of flat
-        flat, sizes = [], []
-        for batch in words.select(["word", "codes"]).to_batches():
+        names, flat, sizes = [], [], []
+        for batch in words.select(["word", "codes"]).to_batches(max_chunksize=20_000):
             listed, lists = batch.column(0).to_pylist(), batch.column(1)
-            ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
-            size = np.diff(ends)
-            values = values[ends[0] : ends[-1]]
+            ends = lists.offsets.to_numpy()
+            size, values = np.diff(ends), lists.values.to_numpy()[ends[0] : ends[-1]].astype(np.int32)
             if len(values) and values.min() < 0:
                 full = [spelt(w, c) if min(c) < 0 else c for w, c in zip(listed, lists.to_pylist())]
                 size, values = np.array([len(c) for c in full]), np.array([i for c in full for i in c], np.int32)
-            place.update(zip(listed, range(len(place), len(place) + len(listed))))
+            names.append(named(listed))
             flat.append(values)
             sizes.append(size)
+        names = np.concatenate(names) if names else np.zeros(0, np.uint64)
         flat = np.concatenate(flat) if flat else np.zeros(0, np.int32)
         sizes = np.concatenate(sizes).astype(np.int64) if sizes else np.zeros(0, np.int64)
-        starts = np.cumsum(sizes) - sizes
+        starts, order = np.cumsum(sizes) - sizes, np.argsort(names)
+        names = names[order]
+        # every word of the texts is among the words, so hashes stand for them unless two of these share one
+        exact = None if (names[1:] != names[:-1]).all() else {w: k for k, w in enumerate(words["word"].to_pylist())}
         parts, lengths = [], []
         for packed in docs["packed"]:
             found = find(open_(packed.as_py()).decode("utf-8", "surrogatepass"))
-            at = np.fromiter(map(place.__getitem__, found), np.int64, len(found))
+            if exact is None:
+                at = order[np.searchsorted(names, named(found))]
+            else:
+                at = np.fromiter((exact[w] for w in found), np.int64, len(found))
             n = sizes[at]
             ids = flat[np.repeat(starts[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
             parts.append(ids)
@@ -211,7 +218,7 @@ def encode_documents(
     needed = dealt.mapInArrow(_words_of, "chunk long, word string").repartition(width, "word")
     # a chunk rides along with each word so that both uses of ``needed`` read one and the same shuffle
     coded = encode_words(needed.groupBy("word").agg(F.min("chunk").alias("seen")), pieces)
-    sent = needed.join(coded.hint("merge"), "word").select(F.col("chunk").alias("of"), "word", "codes", "seen")
+    sent = needed.join(coded.hint("merge"), "word").select(F.when(F.col("seen") >= 0, F.col("chunk")).alias("of"), "word", "codes")
     sent = sent.repartition(chunks, "of")
     return dealt.groupBy("chunk").cogroup(sent.groupBy("of")).applyInArrow(
         _joiner(path), T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])

@@ -38,7 +38,7 @@ def op4_sentencepiece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
-        F.crc32(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary")).alias("ids_crc32"),
+        F.xxhash64("ids").alias("ids_hash"),
         F.octet_length("text").cast("long").alias("decoded_bytes"),
         F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
     )
