@@ -114,7 +114,7 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
 
 
 def _compressed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    press = zstandard.ZstdCompressor(level=9, write_content_size=True).compress
+    press = zstandard.ZstdCompressor(level=6, write_content_size=True).compress
     for texts in parts:
         yield pd.Series([press(t.encode("utf-8", "surrogatepass")) for t in texts], dtype=object)
 
@@ -167,21 +167,30 @@ def _joiner(path: str):
         names = names[order]
         # every word of the texts is among the words, so hashes stand for them unless two of these share one
         exact = None if (names[1:] != names[:-1]).all() else {w: k for k, w in enumerate(words["word"].to_pylist())}
-        parts, lengths = [], []
-        for packed in docs["packed"]:
+        out, parts = [], []
+
+        def close(upto: int) -> None:
+            """Makes a batch of what has gathered, so that the ids of a chunk lie in memory once."""
+            if parts:
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts), pa.int32()))
+                out.append(pa.RecordBatch.from_arrays([doc_ids.slice(upto - len(parts), len(parts)), lists], schema=schema))
+                parts.clear()
+
+        doc_ids = docs["doc_id"].cast(pa.int64()).combine_chunks()
+        doc_ids = doc_ids.chunk(0) if isinstance(doc_ids, pa.ChunkedArray) else doc_ids
+        for k, packed in enumerate(docs["packed"]):
             found = find(open_(packed.as_py()).decode("utf-8", "surrogatepass"))
             if exact is None:
                 at = order[np.searchsorted(names, named(found))]
             else:
                 at = np.fromiter((exact[w] for w in found), np.int64, len(found))
             n = sizes[at]
-            ids = flat[np.repeat(starts[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-            parts.append(ids)
-            lengths.append(len(ids))
-        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-        values = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
-        return pa.table([docs["doc_id"].cast(pa.int64()), lists], schema=schema)
+            parts.append(flat[np.repeat(starts[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+            if len(parts) == 500:
+                close(k + 1)
+        close(len(docs))
+        return pa.Table.from_batches(out, schema=schema)
 
     return join
 
@@ -231,8 +240,9 @@ def decode_ids(ids: Column, model_path: str | None = None) -> Column:
 
     def decode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         pieces = load_pieces(path)
-        table = {i: p.encode() for p, i in pieces.ids.items()} | {i: bytes([b]) for b, i in enumerate(pieces.bytes)}
+        names = {i: p.encode() for p, i in pieces.ids.items()} | {i: bytes([b]) for b, i in enumerate(pieces.bytes)}
+        name = [names.get(i) for i in range(max(names) + 1)].__getitem__
         for lists in parts:
-            yield pd.Series([None if x is None else b"".join([table[i] for i in x.tolist()]).decode("utf-8", "replace") for x in lists], dtype=object)
+            yield pd.Series([None if x is None else b"".join(map(name, x.tolist())).decode("utf-8", "replace") for x in lists], dtype=object)
 
     return F.pandas_udf(decode, T.StringType())(ids)
