@@ -542,10 +542,8 @@ def codec_roundtrip_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query("SELECT row_number() OVER (ORDER BY o_orderkey % 3, o_orderkey) - 1 AS mol_id, CAST(o_orderkey % 3 AS INTEGER) AS shard, o_totalprice AS energy FROM orders WHERE o_orderkey < 300")
-def shard_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three shards, rewritten one by one, read as one dataset."""
-    root, rows = scratch_dir(spark), _plain(spark, sf_dir).where("mol_id < 300")
+def _rewritten(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    root = scratch_dir(spark)
     for k in range(3):
         store = Store.create(spark, f"{root}/old/shard-{k}")
         store.append(rows.where(F.col("mol_id") % 3 == k), order="mol_id")
@@ -554,6 +552,18 @@ def shard_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ShardReader.open_path(spark, f"{root}/new").molecules().select("mol_id", "shard", "energy")
 
 
+@query("SELECT row_number() OVER (ORDER BY o_orderkey % 3, o_orderkey) - 1 AS mol_id, CAST(o_orderkey % 3 AS INTEGER) AS shard, o_totalprice AS energy FROM orders WHERE o_orderkey < 300")
+def shard_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The molecules that the SQL names in three shards, rewritten one by one, read as one dataset."""
+    return _rewritten(spark, _plain(spark, sf_dir).where("mol_id < 300"))
+
+
+@query()
+def shard_rewrite_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All molecules in three shards, rewritten one by one, read as one dataset."""
+    return _rewritten(spark, _plain(spark, sf_dir))
+
+
 @query("SELECT m AS mol_id, CAST(a AS INTEGER) AS atom_idx, CAST([6, 8][a + 1] AS SMALLINT) AS z_num, CAST(m + a * 0.5 AS DOUBLE) AS x, CAST(m * 2 AS DOUBLE) AS gap FROM range(50) t(m), range(2) u(a)")  # noqa: E501
 def batch_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stacked arrays as rows: single-precision positions, a property widened to 64 bits."""

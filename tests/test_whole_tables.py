@@ -35,3 +35,8 @@ def without(name, part):
 def test_codec_roundtrip_stores_all(spark, db):
     n = same_rows(spark, db, "codec_roundtrip_all", without("codec_roundtrip", " WHERE m.mol_id < 300"))
     assert n == 3 * db.execute("select count(*) from lineitem").fetchone()[0]
+
+
+def test_shard_rewrite_holds_all(spark, db):
+    n = same_rows(spark, db, "shard_rewrite_all", without("shard_rewrite", " WHERE o_orderkey < 300"))
+    assert n == db.execute("select count(*) from orders").fetchone()[0]
