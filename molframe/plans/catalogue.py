@@ -492,33 +492,61 @@ def _plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.molecules(spark, sf_dir).drop("present")
 
 
-@query("SELECT * FROM (VALUES ('before flush', 0), ('after flush', 300), ('second flush', 600)) AS t(step, visible)")
-def commit_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a reader sees of staged and committed molecules."""
+def _middle(rows: DataFrame) -> int:
+    """The id that parts the molecules in two halves."""
+    return (rows.agg(F.max("mol_id")).first()[0] + 1) // 2
+
+
+def _visible(spark: SparkSession, parts: list[DataFrame]) -> DataFrame:
     path = f"{scratch_dir(spark)}/s"
-    store, rows = Store.create(spark, path), _plain(spark, sf_dir)
-    store.append(rows.where("mol_id < 300"))
-    steps = [("before flush", len(Store.open(spark, path)))]
-    store.flush()
-    steps.append(("after flush", len(Store.open(spark, path))))
-    store.append(rows.where("mol_id >= 300 and mol_id < 600"))
-    store.flush()
-    steps.append(("second flush", len(Store.open(spark, path))))
+    store, steps = Store.create(spark, path), []
+    for part, step in zip(parts, ("after flush", "second flush")):
+        store.append(part)
+        if not steps:
+            steps.append(("before flush", len(Store.open(spark, path))))
+        store.flush()
+        steps.append((step, len(Store.open(spark, path))))
     return spark.createDataFrame(steps, "step string, visible int")
 
 
-@query("SELECT o_orderkey AS mol_id, o_totalprice AS energy FROM orders WHERE o_orderkey < 300")
-def generation_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A damaged newest commit: the one before is read."""
+@query("SELECT * FROM (VALUES ('before flush', 0), ('after flush', 300), ('second flush', 600)) AS t(step, visible)")
+def commit_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a reader sees of staged and committed molecules, of which the SQL names 600."""
+    rows = _plain(spark, sf_dir)
+    return _visible(spark, [rows.where("mol_id < 300"), rows.where("mol_id >= 300 and mol_id < 600")])
+
+
+@query()
+def commit_visibility_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a reader sees of all molecules, staged and committed in two halves."""
+    rows = _plain(spark, sf_dir)
+    middle = _middle(rows)
+    return _visible(spark, [rows.where(F.col("mol_id") < middle), rows.where(F.col("mol_id") >= middle)])
+
+
+def _fallen_back(spark: SparkSession, rows: DataFrame, middle: int) -> DataFrame:
     path = f"{scratch_dir(spark)}/s"
-    store, rows = Store.create(spark, path), _plain(spark, sf_dir)
-    for part in ("mol_id < 300", "mol_id >= 300 and mol_id < 600"):
+    store = Store.create(spark, path)
+    for part in (F.col("mol_id") < middle, F.col("mol_id") >= middle):
         store.append(rows.where(part), order="mol_id")
         store.flush()
     store._files.write(f"_commits/{store.generation:012d}.json", '{"crc": 1, "body": "{}"}')
     return Store.open(spark, path).molecules().select("mol_id", "energy")
 
 
+@query("SELECT o_orderkey AS mol_id, o_totalprice AS energy FROM orders WHERE o_orderkey < 300")
+def generation_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A damaged newest commit: the one before is read, which holds the molecules that the SQL names."""
+    return _fallen_back(spark, _plain(spark, sf_dir), 300)
+
+
+@query()
+def generation_fallback_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All molecules committed in two halves, the second commit damaged: the first half is read."""
+    rows = _plain(spark, sf_dir)
+    return _fallen_back(spark, rows, _middle(rows))
+
+
 _CODECS = ("none", "lz4", "zstd")
 
 

@@ -40,3 +40,11 @@ def test_codec_roundtrip_stores_all(spark, db):
 def test_shard_rewrite_holds_all(spark, db):
     n = same_rows(spark, db, "shard_rewrite_all", without("shard_rewrite", " WHERE o_orderkey < 300"))
     assert n == db.execute("select count(*) from orders").fetchone()[0]
+
+
+def test_commits_hold_all(spark, db):
+    n = db.execute("select count(*) from orders").fetchone()[0]
+    seen = dict(map(tuple, entry.queries()["commit_visibility_all"](spark, SF).collect()))
+    assert seen == {"before flush": 0, "after flush": n // 2, "second flush": n}
+    first = without("generation_fallback", " WHERE o_orderkey < 300") + " WHERE o_orderkey < (SELECT count(*) // 2 FROM orders)"
+    assert same_rows(spark, db, "generation_fallback_all", first) == n // 2
