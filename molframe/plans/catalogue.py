@@ -225,8 +225,14 @@ def set_get_property(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(fx.WITH + "SELECT mol_id, CAST(x * 2 AS DOUBLE) AS fx, atom_idx FROM a WHERE mol_id < 100")
 def set_forces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Replaces a section of some molecules."""
-    m = fx.molecules(spark, sf_dir).where("mol_id < 100")
+    """Of ``set_forces_all`` the rows that the SQL names."""
+    return set_forces_all(spark, sf_dir).where("mol_id < 100")
+
+
+@query()
+def set_forces_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replaces a section of all molecules."""
+    m = fx.molecules(spark, sf_dir)
     doubled = F.transform("positions", lambda p: F.struct((p["x"] * 2).alias("x"), p["y"].alias("y"), p["z"].alias("z")))
     return model.wide_atoms(model.to_atoms(m.withColumn("forces", doubled), only=("forces",))).select("mol_id", "fx", "atom_idx")
 

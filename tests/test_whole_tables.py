@@ -48,3 +48,8 @@ def test_commits_hold_all(spark, db):
     assert seen == {"before flush": 0, "after flush": n // 2, "second flush": n}
     first = without("generation_fallback", " WHERE o_orderkey < 300") + " WHERE o_orderkey < (SELECT count(*) // 2 FROM orders)"
     assert same_rows(spark, db, "generation_fallback_all", first) == n // 2
+
+
+def test_set_forces_returns_all(spark, db):
+    n = same_rows(spark, db, "set_forces_all", without("set_forces", " WHERE mol_id < 100"))
+    assert n == db.execute("select count(*) from lineitem").fetchone()[0]
