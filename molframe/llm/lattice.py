@@ -5,14 +5,18 @@ equi-joined to the piece table, which gives the edges of each word's lattice; ed
 higher-order aggregate that keeps the best path to every position (Viterbi). The piece table has as many rows as the
 vocabulary, which bounds what is broadcast.
 
+Words of more than LATTICE_CHARS characters, which are rare, have lattices too large to be rows; each chunk folds its own ones
+by the same recurrence, whole, in time linear in their length.
+
 Documents are dealt to chunks of bounded size, compressed, and each chunk names the words it needs; the codes of these come back
 to the chunk and are put in the place of the words there. So of the occurrences of a word only one per chunk is moved.
 """
 
 from __future__ import annotations
 
-import re
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -23,10 +27,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._runtime import bound_batches, shuffle_width
-from .pieces import PRETOKEN, Pieces, default_model_path, load_pieces
+from .pieces import Pieces, default_model_path, load_pieces, words_of
 
 #: UTF-8 bytes of text per chunk, about. A task holds the words of a chunk and their codes, and its texts compressed.
 CHUNK_BYTES = 40 << 20
+#: Longer words are folded where they stand; ends of edges must fit _PLACE_BITS.
+LATTICE_CHARS = 64
 
 
 def piece_table(docs: DataFrame, pieces: Pieces) -> DataFrame:
@@ -119,18 +125,51 @@ def _compressed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([press(t.encode("utf-8", "surrogatepass")) for t in texts], dtype=object)
 
 
-def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(chunk, word) of a partition's chunks, each once."""
-    find, open_ = re.compile(PRETOKEN).findall, zstandard.ZstdDecompressor().decompress
-    words: dict[int, set[str]] = {}
-    for batch in batches:
-        for chunk, packed in zip(batch.column(1).to_pylist(), batch.column(2)):
-            words.setdefault(chunk, set()).update(find(open_(packed.as_py()).decode("utf-8", "surrogatepass")))
-    for chunk, found in words.items():
-        listed = list(found)
-        for at in range(0, len(listed), 50_000):
-            part = listed[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(part), pa.int64()), pa.array(part, pa.string())], names=["chunk", "word"])
+def long_word_ids(word: str, pieces: Pieces) -> list[int]:
+    """Ids of the best path of a word of any length, bytes in full; the recurrence and ties of ``fold_viterbi``."""
+    ids, endings = pieces.ids, pieces.endings
+    scores, counts, starts = array("d", [0.0]), array("q", [0]), array("q", [0])
+    for end in range(1, len(word) + 1):
+        start, s = end - 1, pieces.scores.get(word[end - 1])
+        n = 1 if s is not None else len(word[start].encode("utf-8", "surrogatepass"))
+        score, count = scores[start] + (pieces.byte_score * n if s is None else s), counts[start] + n
+        for at in range(end - 2, -1, -1):
+            piece = word[at:end]
+            if piece not in endings:
+                break  # no piece ends so
+            s = endings[piece]
+            if s is not None:
+                new, k = scores[at] + s, counts[at] + 1
+                if new > score or new == score and k <= count:
+                    score, count, start = new, k, at
+        scores.append(score)
+        counts.append(count)
+        starts.append(start)
+    spans, end = [], len(word)
+    while end:
+        spans.append(word[starts[end] : end])
+        end = starts[end]
+    out = []
+    for piece in reversed(spans):
+        out += [ids[piece]] if piece in ids else [pieces.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]
+    return out
+
+
+def _words_of(path: str):
+    def words_of_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(chunk, word) of a partition's chunks, each once, without long words."""
+        find, open_ = words_of(path), zstandard.ZstdDecompressor().decompress
+        words: dict[int, set[str]] = {}
+        for batch in batches:
+            for chunk, packed in zip(batch.column(1).to_pylist(), batch.column(2)):
+                words.setdefault(chunk, set()).update(find(open_(packed.as_py()).decode("utf-8", "surrogatepass")))
+        for chunk, found in words.items():
+            listed = [w for w in found if len(w) <= LATTICE_CHARS]
+            for at in range(0, len(listed), 50_000):
+                part = listed[at : at + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(part), pa.int64()), pa.array(part, pa.string())], names=["chunk", "word"])
+
+    return words_of_chunks
 
 
 def _joiner(path: str):
@@ -148,7 +187,9 @@ def _joiner(path: str):
         return pd.util.hash_array(np.array(words, object), categorize=False) if words else np.zeros(0, np.uint64)
 
     def join(docs: pa.Table, words: pa.Table) -> pa.Table:
-        find, open_ = re.compile(PRETOKEN).findall, zstandard.ZstdDecompressor().decompress
+        find, open_ = words_of(path), zstandard.ZstdDecompressor().decompress
+        kept = lru_cache(maxsize=1_000)(lambda word: np.array(long_word_ids(word, load_pieces(path)), np.int32))
+        long_ids = lambda word: (kept if len(word) < 2_000 else kept.__wrapped__)(word)
         names, flat, sizes = [], [], []
         for batch in words.select(["word", "codes"]).to_batches(max_chunksize=20_000):
             listed, lists = batch.column(0).to_pylist(), batch.column(1)
@@ -165,7 +206,7 @@ def _joiner(path: str):
         sizes = np.concatenate(sizes).astype(np.int64) if sizes else np.zeros(0, np.int64)
         starts, order = np.cumsum(sizes) - sizes, np.argsort(names)
         names = names[order]
-        # every word of the texts is among the words, so hashes stand for them unless two of these share one
+        # every word of the texts that is not long is among the words, so hashes stand for them unless two of these share one
         exact = None if (names[1:] != names[:-1]).all() else {w: k for k, w in enumerate(words["word"].to_pylist())}
         out, parts = [], []
 
@@ -177,16 +218,26 @@ def _joiner(path: str):
                 out.append(pa.RecordBatch.from_arrays([doc_ids.slice(upto - len(parts), len(parts)), lists], schema=schema))
                 parts.clear()
 
-        doc_ids = docs["doc_id"].cast(pa.int64()).combine_chunks()
-        doc_ids = doc_ids.chunk(0) if isinstance(doc_ids, pa.ChunkedArray) else doc_ids
-        for k, packed in enumerate(docs["packed"]):
-            found = find(open_(packed.as_py()).decode("utf-8", "surrogatepass"))
+        def ids_of(found: list[str]) -> np.ndarray:
             if exact is None:
                 at = order[np.searchsorted(names, named(found))]
             else:
                 at = np.fromiter((exact[w] for w in found), np.int64, len(found))
             n = sizes[at]
-            parts.append(flat[np.repeat(starts[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+            return flat[np.repeat(starts[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+
+        def with_long(found: list[str]) -> np.ndarray:
+            begin, runs = 0, []
+            for k in [k for k, w in enumerate(found) if len(w) > LATTICE_CHARS]:
+                runs += [ids_of(found[begin:k]), long_ids(found[k])]
+                begin = k + 1
+            return np.concatenate([*runs, ids_of(found[begin:])])
+
+        doc_ids = docs["doc_id"].cast(pa.int64()).combine_chunks()
+        doc_ids = doc_ids.chunk(0) if isinstance(doc_ids, pa.ChunkedArray) else doc_ids
+        for k, packed in enumerate(docs["packed"]):
+            found = find(open_(packed.as_py()).decode("utf-8", "surrogatepass"))
+            parts.append(with_long(found) if found and max(map(len, found)) > LATTICE_CHARS else ids_of(found))
             if len(parts) == 500:
                 close(k + 1)
         close(len(docs))
@@ -211,8 +262,8 @@ def encode_documents(
     """``doc_id, ids``: the pieces of every whole text on the best path of its pre-tokens' lattices.
 
     Null and empty texts have no ids. A character that no piece covers goes as its UTF-8 bytes, so decoding gives every
-    text back. Pre-tokens longer than 64 characters are cut at 64. Repeated rows are encoded one by one. An empty table
-    gives no rows. Only the named columns are read, so other columns may have any name.
+    text back. Texts are split only where no piece can cross, and words of any length are encoded whole. Repeated rows are
+    encoded one by one. An empty table gives no rows. Only the named columns are read, so other columns may have any name.
     """
     bound_batches(docs.sparkSession)
     path = model_path or default_model_path()
@@ -224,7 +275,7 @@ def encode_documents(
     press = F.pandas_udf(_compressed, T.BinaryType())
     dealt = plain.select("doc_id", chunk.alias("chunk"), press("text").alias("packed")).repartition(chunks, "chunk")
     width = max(chunks, shuffle_width(docs.sparkSession))
-    needed = dealt.mapInArrow(_words_of, "chunk long, word string").repartition(width, "word")
+    needed = dealt.mapInArrow(_words_of(path), "chunk long, word string").repartition(width, "word")
     # a chunk rides along with each word so that both uses of ``needed`` read one and the same shuffle
     coded = encode_words(needed.groupBy("word").agg(F.min("chunk").alias("seen")), pieces)
     sent = needed.join(coded.hint("merge"), "word").select(F.when(F.col("seen") >= 0, F.col("chunk")).alias("of"), "word", "codes")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -11,11 +13,10 @@ SPACE_MARK = "▁"
 BYTE_PENALTY = 10.0
 #: Vocabulary files give pieces that are never to be used a score below this.
 NEVER = -1e6
+_SPACE = r"[\x20\x09-\x0D]"
 #: Pre-tokens: letters, or other marks, with the space before them; or one white-space character. All that is not ASCII
-#: counts as a letter. The pre-tokens of a text joined are the text.
-PRETOKEN = (
-    r" ?[A-Za-z\x80-\U0010ffff]{1,64}| ?[^A-Za-z\x80-\U0010ffff\x20\x09-\x0D]{1,16}|[\x20\x09-\x0D]"
-)
+#: counts as a letter. The pre-tokens of a text joined are the text. ``words_of`` joins those that a piece spans.
+PRETOKEN = rf" ?[A-Za-z\x80-\U0010ffff]+| ?[^A-Za-z\x80-\U0010ffff\x20\x09-\x0D]+|{_SPACE}"
 
 
 def default_model_path() -> str:
@@ -56,3 +57,22 @@ def load_pieces(path: str) -> Pieces:
     worst = min((s for s in scores.values() if s > NEVER), default=0.0)
     endings = {p[i:]: scores.get(p[i:]) for p in scores for i in range(len(p))}
     return Pieces(ids, scores, endings, tuple(by_byte), worst - BYTE_PENALTY, max(map(len, ids), default=1))
+
+
+@lru_cache(maxsize=4)
+def words_of(path: str) -> Callable[[str], list[str]]:
+    """Function that splits a text where no piece of the vocabulary can cross: pre-tokens, joined where pieces join them.
+
+    So the best path of a text is that of its words, one after another.
+    """
+    pieces, joints = load_pieces(path), {}
+    for p, score in pieces.scores.items():
+        if score > NEVER:
+            for cut in [m.end() for m in re.finditer(PRETOKEN, p)][:-1]:
+                joints.setdefault(p[cut - 1], set()).add(p[cut])
+    if not joints:
+        return re.compile(PRETOKEN).findall
+    some = lambda marks: "[" + "".join(map(re.escape, sorted(marks))) + "]"
+    pairs = "|".join(f"(?<={re.escape(a)})(?={some(b)})" for a, b in sorted(joints.items()))
+    near = f"(?<={some(joints)})(?={some(set().union(*joints.values()))})"
+    return re.compile(f"(?:{PRETOKEN})(?:{near}(?:{pairs})(?:{PRETOKEN}))*").findall

@@ -8,7 +8,6 @@ its pre-tokens. Every task owns its trie, so nothing is shuffled or broadcast, a
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,10 +17,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._runtime import bound_batches
-from .pieces import PRETOKEN, Pieces, default_model_path, load_pieces
+from .pieces import Pieces, default_model_path, load_pieces, words_of
 
 #: The trie starts afresh beyond so many stored pre-tokens; results do not depend on it.
 TRIE_WORDS = 500_000
+#: Longer pre-tokens are counted whole, but their counts are not kept for later texts.
+LONGEST_KEPT = 64
 
 
 class CountingTrie:
@@ -78,7 +79,11 @@ class CountingTrie:
                 unknown = set().union(*texts)
             self.add(list(unknown))
         get = self.terminal.__getitem__
-        return [sum(map(get, words)) for words in texts]
+        out = [sum(map(get, words)) for words in texts]
+        for word in unknown:
+            if len(word) > LONGEST_KEPT:
+                del self.terminal[word]
+        return out
 
 
 def _blocks(texts: pd.Series, most: int = 8_000_000) -> Iterator[tuple[int, int]]:
@@ -94,7 +99,7 @@ def _blocks(texts: pd.Series, most: int = 8_000_000) -> Iterator[tuple[int, int]
 
 def _counter(path: str):
     def count(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        find = re.compile(PRETOKEN).findall
+        find = words_of(path)
         trie = CountingTrie(load_pieces(path))
         for texts in parts:
             out = np.zeros(len(texts), np.int64)
@@ -108,9 +113,9 @@ def _counter(path: str):
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str | None = None) -> DataFrame:
     """``doc_id, n_tokens``: pieces of the best unigram segmentation of every whole text.
 
-    Null and empty texts count 0. A character that no piece covers counts its UTF-8 bytes. Pre-tokens longer than 64
-    characters without white space are cut at 64. Repeated rows are counted one by one. An empty table gives no rows.
-    Only the named columns are read, so other columns may have any name.
+    Null and empty texts count 0. A character that no piece covers counts its UTF-8 bytes. Texts are split only where no
+    piece can cross. Repeated rows are counted one by one. An empty table gives no rows. Only the named columns are read,
+    so other columns may have any name.
     """
     bound_batches(docs.sparkSession)
     counter = _counter(model_path or default_model_path())

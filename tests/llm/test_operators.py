@@ -463,3 +463,19 @@ def test_queries_are_registered():
     names = set(__spark_entry__.queries())
     assert {n.split("_")[0] for n in queries.QUERIES if n.startswith("op")} == {f"op{k}" for k in range(1, 11)}
     assert set(queries.QUERIES) <= names and "pipeline" in names
+
+
+def test_pieces_without_cuts(spark):
+    """Against brute force over whole texts, not split at all."""
+    p = pieces.load_pieces(pieces.default_model_path())
+    made = [
+        "一" + "数据" * 200, "internationalization" * 10, "x" * 63 + "internationalization " + "é" * 70 + "😀" * 70, "a" * 300,
+        "int f(a, b) {\r\n  g();\r\n  h[i];\r\n});\r\n", "«a», b.” c… (“d”) — “e”.  f\r\r\n", "QWxhZGRpbjpvcGVuIHNlc2FtZQ" * 9, "!" * 40 + "=" * 90,
+    ]
+    docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    want = {i: brute_count(t, p) for i, t in enumerate(made)}
+    assert (want[0], want[1]) == (201, 80)
+    assert dict(map(tuple, token_counts.token_counts(docs).collect())) == want
+    encoded = {r.doc_id: (r.ids, r.text) for r in lattice.encode_documents(docs).select("*", lattice.decode_ids(F.col("ids")).alias("text")).collect()}
+    assert {i: len(ids) for i, (ids, _) in encoded.items()} == want and [encoded[i][1] for i in range(len(made))] == made
+    assert [encoded[i][0] for i in range(len(made))] == [lattice.long_word_ids(t, p) for t in made]
