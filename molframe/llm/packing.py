@@ -3,18 +3,20 @@
 Pieces are dealt to partitions of bounded size, and each is packed by best-fit decreasing. Dual feasible functions give
 a lower bound on the sequences that any packing of the partition needs: where the packing meets it, the partition is
 certified and done. Partitions with a gap keep their completely filled sequences and exchange the rest: these pieces
-are dealt anew among fewer partitions and packed again, round by round.
+are dealt anew among fewer partitions and packed again, until a round saves nothing, one partition is left, or the
+packing meets the bound of the whole table, which is computed from the counts of its piece lengths.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,58 +27,38 @@ CAPACITY = 2048
 END_ID = 0
 #: Pieces dealt to one partition of the packing, about.
 PER_PARTITION = 8192
-#: Rounds of exchange at most; a round that saves no sequence is the last.
-ROUNDS = 4
-
-#: pandas has no integer column with gaps, so an absent id travels as 0 and a flag
-_PIECES = T.StructType(
-    [
-        T.StructField("doc_id", T.LongType()),
-        T.StructField("no_id", T.BooleanType()),
-        T.StructField("piece", T.IntegerType()),
-        T.StructField("start", T.LongType()),
-        T.StructField("length", T.LongType()),
-        T.StructField("ids_crc32", T.LongType()),
-    ]
-)
-_IDS = T.StructField("ids", T.ArrayType(T.IntegerType()))
-_PLACED = T.StructType(
-    _PIECES.fields
-    + [
-        T.StructField("group", T.LongType()),
-        T.StructField("bin", T.LongType()),
-        T.StructField("offset", T.LongType()),
-        T.StructField("open", T.BooleanType()),
-        T.StructField("bins", T.LongType()),
-        T.StructField("bound", T.LongType()),
-    ]
-)
+
+_PIECES = (("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType()))
+_PLACED = (("group", T.LongType()), ("bin", T.LongType()), ("offset", T.LongType()), ("open", T.BooleanType()), ("bins", T.LongType()), ("bound", T.LongType()))
+_ARROW = {T.IntegerType(): pa.int32(), T.LongType(): pa.int64(), T.BooleanType(): pa.bool_()}
 
 
 @lru_cache(maxsize=4)
-def _encoder(ranks_path: str):
-    """The byte-level BPE of the JSON vocabulary, run from its rank table; special strings in a text are ordinary text."""
+def _encoder(vocabulary_path: str, ranks_path: str):
+    """The byte-level BPE of the JSON vocabulary, run from its rank table; its added tokens are found in texts as such."""
     import public_tokenizers
     import tiktoken
 
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    with open(vocabulary_path, encoding="utf-8") as f:
+        added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
-def default_ranks_path() -> str:
-    """Rank table of the vocabulary ``byte_bpe_50k.json``: same ids (tested), several times as fast."""
+def default_paths() -> tuple[str, str]:
+    """The vocabulary ``byte_bpe_50k.json`` and its rank table: same ids (tested), several times as fast."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def encode_ids(text: str | None, ranks_path: str | None = None) -> np.ndarray:
+def encode_ids(text: str | None, paths: tuple[str, str] | None = None) -> np.ndarray:
     """Ids of a whole text followed by END_ID, as unsigned 32-bit numbers."""
-    encoder = _encoder(ranks_path or default_ranks_path())
+    encoder = _encoder(*(paths or default_paths()))
     if not text:
         return np.array([END_ID], "<u4")
-    return np.append(encoder.encode_to_numpy(text, disallowed_special=()), END_ID).astype("<u4")
+    return np.append(encoder.encode_to_numpy(text, allowed_special="all"), END_ID).astype("<u4")
 
 
 def cut(ids: np.ndarray, capacity: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -88,44 +70,47 @@ def cut(ids: np.ndarray, capacity: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def tokenise(
-    docs: DataFrame, capacity: int = CAPACITY, id_col="doc_id", text_col="text", ranks_path: str | None = None, with_ids=False
+    docs: DataFrame, capacity: int = CAPACITY, id_col="doc_id", text_col="text", paths: tuple[str, str] | None = None, with_ids=False
 ) -> DataFrame:
-    """One row per piece: ``doc_id, no_id, piece, start, length, ids_crc32`` and, if asked for, ``ids``."""
+    """One row per piece: ``doc_id, piece, start, length, ids_crc32`` and, if asked for, ``ids``. Ids of documents may have any type."""
     bound_batches(docs.sparkSession)
-    ranks_path = ranks_path or default_ranks_path()
-
-    def pieces(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [f.name for f in _PIECES] + ["ids"] * with_ids
-        for part in parts:
-            rows, known = [], {}
-            for doc_id, no_id, text in zip(part["doc_id"], part["no_id"], part["text"]):
+    paths = paths or default_paths()
+    names = [n for n, _ in _PIECES] + ["ids"] * with_ids
+    kinds = [_ARROW[k] for _, k in _PIECES] + [pa.list_(pa.int32())] * with_ids
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, of, known = [], [], {}
+            for at, text in enumerate(batch.column(1).to_pylist()):
                 found = known.get(text)
                 if found is None:
                     found = known[text] = [
-                        (i, start, len(x), zlib.crc32(x.tobytes()), x.astype(np.int32) if with_ids else None)
-                        for i, (start, x) in enumerate(cut(encode_ids(text, ranks_path), capacity))
+                        (i, start, len(x), zlib.crc32(x.tobytes()), *([x.astype(np.int32)] if with_ids else []))
+                        for i, (start, x) in enumerate(cut(encode_ids(text, paths), capacity))
                     ]
-                rows.extend((doc_id, no_id, *f[: 4 + with_ids]) for f in found)
-            yield pd.DataFrame(rows, columns=names)
+                rows.extend(found)
+                of.extend([at] * len(found))
+            columns = list(zip(*rows)) or [()] * len(names)
+            arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), *arrays], names=["doc_id", *names])
 
-    schema = T.StructType(_PIECES.fields + [_IDS] * with_ids)
-    number = F.col(id_col).cast("long")
-    plain = docs.select(
-        F.coalesce(number, F.lit(0)).alias("doc_id"), number.isNull().alias("no_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
-    )
-    return plain.mapInPandas(pieces, schema)
+    fields = [T.StructField(n, k) for n, k in _PIECES] + [T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids
+    plain = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return plain.mapInArrow(pieces, T.StructType([T.StructField("doc_id", plain.schema["doc_id"].dataType), *fields]))
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
-    """Sequences that any packing of ``lengths`` needs, by two families of dual feasible functions.
+    """Sequences that any packing of ``lengths`` needs; see ``bound_of_counts``."""
+    return bound_of_counts(np.bincount(lengths, minlength=capacity + 1).astype(np.int64), capacity) if len(lengths) else 0
+
+
+def bound_of_counts(counts: np.ndarray, capacity: int) -> int:
+    """Sequences that any packing of so many pieces of each length needs, by two families of dual feasible functions.
 
     First: for a cut e, lengths over capacity - e count as whole sequences, those under e as nothing. Second: for a
     divisor k, lengths are rounded to multiples of capacity / k wherever (k + 1) times the length is not a multiple of
     the capacity.
     """
-    if not len(lengths):
-        return 0
-    counts = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
     sizes = np.arange(capacity + 1, dtype=np.int64)
     number, mass = np.cumsum(counts), np.cumsum(counts * sizes)  # of lengths up to each size
     best = -(-int(mass[-1]) // capacity)
@@ -163,68 +148,80 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 
 def _pack_group(capacity: int):
-    def pack(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
-        lengths = part["length"].to_numpy(np.int64)
+    def pack(part: pa.Table) -> pa.Table:
+        part = part.combine_chunks()
+        crc, start, lengths = (part[c].to_numpy() for c in ("ids_crc32", "start", "length"))
+        part = part.take(pa.array(np.lexsort((crc, start, -lengths))))
+        lengths = part["length"].to_numpy()
         bins, offsets, used = best_fit_decreasing(lengths, capacity)
         fill = np.bincount(bins, weights=lengths, minlength=used).astype(np.int64)
         bound = lower_bound(lengths, capacity)
-        return part.assign(
-            bin=bins, offset=offsets, open=(fill[bins] < capacity) & (used > bound), bins=used, bound=bound
-        )[[f.name for f in _PLACED]]
+        one = np.ones(len(lengths), np.int64)
+        for name, values in (("bin", bins), ("offset", offsets), ("open", (fill[bins] < capacity) & (used > bound)), ("bins", one * used), ("bound", one * bound)):
+            part = part.append_column(name, pa.array(values))
+        return part
 
     return pack
 
 
-def pack(
-    pieces: DataFrame, capacity: int = CAPACITY, per_partition: int = PER_PARTITION, rounds: int = ROUNDS
-) -> DataFrame:
-    """Packs rows (``doc_id, no_id, piece, start, length, ids_crc32``), each of 1 to ``capacity`` tokens.
+def corpus_bound(pieces: DataFrame, capacity: int = CAPACITY) -> int:
+    """Sequences that any packing of all ``pieces`` needs. The driver gets one count per length, ``capacity`` at most."""
+    counts = np.zeros(capacity + 1, np.int64)
+    for r in pieces.groupBy("length").count().collect():
+        counts[r["length"]] = r["count"]
+    return bound_of_counts(counts, capacity) if counts.any() else 0
 
-    Adds ``sequence_id`` and ``offset``. An empty table gives no rows; repeated rows are packed one by one.
+
+def pack(pieces: DataFrame, capacity: int = CAPACITY, per_partition: int = PER_PARTITION) -> DataFrame:
+    """Packs rows (``doc_id, piece, start, length, ids_crc32``), each of 1 to ``capacity`` tokens.
+
+    Adds ``sequence_id``, ``offset``, and what the row's last partition used and needed at least (``bins``, ``bound``). An
+    empty table gives no rows; repeated rows are packed one by one.
     """
     done: list[DataFrame] = []
-    left, width = pieces, max(1, -(-pieces.count() // per_partition))
-    for turn in range(rounds + 1):
-        salt = F.xxhash64("doc_id", "piece", "start", "ids_crc32", F.lit(turn))
+    names = ["doc_id", *[n for n, _ in _PIECES]]
+    schema = T.StructType([pieces.schema["doc_id"], *[T.StructField(n, k) for n, k in (*_PIECES, *_PLACED)]])
+    total = corpus_bound(pieces, capacity)
+    left, width, closed, turn, spare = pieces, max(1, -(-pieces.count() // per_partition)), 0, 0, None
+    while True:
+        salt = F.xxhash64("piece", "start", "ids_crc32", F.col("doc_id").cast("string"), F.lit(turn))
         if turn == 0:  # equal rows part too
-            salt = F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id())
-        dealt = left.select(*_PIECES.names, F.pmod(salt, F.lit(width)).alias("group"))
-        packed = settle(dealt.groupBy("group").applyInPandas(_pack_group(capacity), _PLACED)).withColumn(
+            salt = F.xxhash64("piece", "ids_crc32", F.monotonically_increasing_id())
+        dealt = left.select(*names, F.pmod(salt, F.lit(width)).alias("group"))
+        packed = settle(dealt.groupBy("group").applyInArrow(_pack_group(capacity), schema)).withColumn(
             "sequence_id", F.lit(turn << 56) + F.col("group") * (1 << 24) + F.col("bin")
         )
-        before = None if turn == 0 else spare
         used = packed.groupBy("group").agg(F.max("bins").alias("b")).agg(F.coalesce(F.sum("b"), F.lit(0))).first()[0]
-        if before is not None and used >= before[1]:  # the exchange saved nothing: keep what was there
-            done.append(before[0])
+        if spare is not None and used >= spare[1]:  # the exchange saved nothing: keep what was there
+            done.append(spare[0])
             return _union(done)
         still = packed.where("open")
         n, sequences = still.agg(F.count(F.lit(1)), F.count_distinct("sequence_id")).first()
-        done.append(packed.where("not open"))
-        if n == 0 or turn == rounds or width == 1:
-            done.append(still)
+        if n == 0 or width == 1 or closed + used <= total:
+            done.append(packed)
             return _union(done)
-        spare, left = (still, sequences), still
+        done.append(packed.where("not open"))
+        closed += used - sequences
+        spare, left, turn = (still, sequences), still, turn + 1
         width = max(1, min(-(-width // 2), -(-n // per_partition)))
-    return _union(done)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    number = F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id")
-    return rows.select(number, *_PIECES.names[2:], "sequence_id", "offset", "bins", "bound")
+    return rows.select("doc_id", *[n for n, _ in _PIECES], "sequence_id", "offset", "bins", "bound")
 
 
 def pack_documents(
-    docs: DataFrame, capacity: int = CAPACITY, id_col="doc_id", text_col="text", ranks_path: str | None = None,
+    docs: DataFrame, capacity: int = CAPACITY, id_col="doc_id", text_col="text", paths: tuple[str, str] | None = None,
     per_partition: int = PER_PARTITION,
 ) -> DataFrame:
     """Tokenises and packs all rows of ``docs``: one row per piece with its sequence and offset.
 
-    A null or empty text is one piece of one token (the end id). Repeated rows are packed one by one. An empty table
-    gives no rows. ``bins`` and ``bound`` are the sequences used and needed at least where the row was packed. Only
-    the two named columns are read, so other columns may have any name.
+    Ids are those of the vocabulary's own tokenizer, which finds its added tokens (``<|endoftext|>``) in texts. A null or
+    empty text is one piece of one token (the end id). Repeated rows are packed one by one. An empty table gives no rows.
+    ``bins`` and ``bound`` are the sequences used and needed at least where the row was packed. Only the two named columns
+    are read, so other columns may have any name; ids may have any type.
     """
-    return pack(settle(tokenise(docs, capacity, id_col, text_col, ranks_path)), capacity, per_partition)
+    return pack(settle(tokenise(docs, capacity, id_col, text_col, paths)), capacity, per_partition)

@@ -92,7 +92,6 @@ def check_packing(docs, **options):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     got = packing.pack_documents(docs, **options).toPandas()
     want = Counter()
     for i, t in texts(docs):
@@ -119,8 +118,13 @@ def test_packing_in_many_partitions_exchanges(sample_docs):
     assert got.sequence_id.nunique() <= bound * 1.02 + 2
 
 
-def test_packing_edges(edge_docs, no_docs):
+def test_packing_edges(spark, edge_docs, no_docs):
     check_packing(edge_docs)
+    end = "<|endoftext|>"
+    marked = [(1, end), (2, f"a{end}{end} b {end}"), (3, f" {end}\n{end[:-1]} <|endoftext |>{end}word" * 900), (4, "<|" + end + "|>")]
+    check_packing(spark.createDataFrame(marked, "doc_id long, text string"))
+    named = spark.createDataFrame([("x", "some words"), (None, None), ("y", "")], "doc_id string, text string")
+    assert Counter(r.doc_id for r in packing.pack_documents(named).collect()) == Counter(["x", None, "y"])
     assert packing.pack_documents(no_docs).count() == 0
 
 
@@ -402,7 +406,7 @@ def test_links(spark, edge_docs, no_docs, sample_docs):
 def test_links_of_a_large_group(spark, monkeypatch):
     """Many near copies of one text, in blocks smaller than the group."""
     monkeypatch.setattr(near_join, "BLOCK", 16)
-    monkeypatch.setattr(near_join, "BUCKET", 8)
+    monkeypatch.setattr(near_join, "NODE_BLOCK", 8)
     r = random.Random(4)
     base = prose(40, 150).split()
     items = []
@@ -415,6 +419,60 @@ def test_links_of_a_large_group(spark, monkeypatch):
     check_links(spark.createDataFrame(rows_of(items), SCHEMA))
 
 
+def test_prefixes_shorten_until_the_recall_is_met(spark, monkeypatch):
+    """Whole labels do for close pairs; pairs near the threshold need shorter prefixes, and then all are found."""
+    depths = []
+    screen = near_join._screen
+    monkeypatch.setattr(near_join, "_screen", lambda least, depth, before: depths.append((depth, before)) or screen(least, depth, before))
+
+    def edited(edits):
+        items = []
+        for k in range(60):
+            w = prose(900 + k, 200).split()
+            items.append((2 * k, " ".join(w), "en", "s"))
+            for at in range(20, 20 + edits * 9, 9):
+                w[at] = f"edit{k}x{at}"
+            items.append((2 * k + 1, " ".join(w), "en", "s"))
+        return spark.createDataFrame(rows_of(items), SCHEMA)
+
+    check_links(edited(1))
+    assert depths == [(near_join.LABEL, near_join.LABEL)]
+    depths.clear()
+    check_links(edited(4))
+    assert len(depths) > 1 and all(a < b for a, b in depths[1:])
+
+
+def test_estimated_recall():
+    meetings = np.zeros(145, np.int64)
+    assert near_join.estimated_recall(meetings, 6, 6, 0.8) == 1
+    meetings[round(0.8 * 144) + 1] = 1000
+    chances = [near_join.estimated_recall(meetings, 6, d, 0.8) for d in range(1, 7)]
+    assert chances == sorted(chances, reverse=True) and 0.999 < chances[-1] < 0.9999 < chances[3]
+
+
+def test_components(spark):
+    from molframe.llm._runtime import Scratch
+    from molframe.llm.graph import components
+
+    r = random.Random(3)
+    edges = [(k, k - 1) for k in range(1, 200)] + [(1000 + k, 1000) for k in range(1, 300)] + [(5000, 4000), (6000, 4000), (6000, 4500)]
+    edges += [tuple(sorted((r.randrange(10_000, 10_400), r.randrange(10_000, 10_400)), reverse=True)) for _ in range(350)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    with Scratch(spark) as scratch:
+        got = dict(map(tuple, components(spark.createDataFrame(edges, "v long, r long"), scratch).collect()))
+        assert components(spark.createDataFrame([], "v long, r long"), scratch).count() == 0
+    assert got == {x: find(x) for x in root if find(x) != x}
+
+
 def test_jaccard_blocks():
     r = np.random.default_rng(8)
     sets = [np.unique(r.integers(0, 60, 50).astype(np.uint64)) for _ in range(40)]
