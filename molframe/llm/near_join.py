@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._runtime import Scratch, bound_batches, settle, text_bytes
+from ._runtime import Scratch, bound_batches, settle, text_key
 from .graph import components
 
 WORDS = 5
@@ -234,11 +234,6 @@ def _verify(threshold: float, words: int):
     return verify
 
 
-def text_key(text: Column) -> Column:
-    """Sixteen bytes of the SHA-256 of a text; equal texts, equal keys. Null counts as empty."""
-    return F.substring(F.unhex(F.sha2(text_bytes(text), 256)), 1, 16)
-
-
 def row_key(id_column: Column, key: Column) -> Column:
     """Sixteen bytes that name a row by id and text key; repeated rows share it."""
     named = F.coalesce(F.concat(F.lit("i"), id_column.cast("string")), F.lit("n")).cast("binary")

@@ -1,17 +1,22 @@
-"""Removal of long repeated strings by distributed prefix doubling on anchored positions.
+"""Removal of long repeated strings.
 
-A string of THRESHOLD bytes is a window. Two windows are equal only if their anchors are: the anchor of a window is its
-GRAM with the least hash (the leftmost of equals), which depends on the window alone. So each window is a position
-relative to an anchor, and what has to be ranked is one row per anchor, about one in 80 positions, instead of all.
+Two ways to find the starts of strings of THRESHOLD bytes that also start elsewhere:
 
-The ranked prefix of a row grows round by round, from the gram to the whole window. A row stands for a run of windows
-at the same anchor. Its rank is a pair: the name of the string that all windows of the run hold (the core) and the name
-of the string that they cover together (the span). Spark shuffles and sorts the pairs; rows of equal pairs are
-repeats, whole runs at a time; a row whose core is unique is done, for none of its windows can repeat; what is left is
-split into shorter runs, whose cores reach further, until the core is the window itself.
+``starts_by_doubling`` is distributed prefix doubling. Every position gets the rank of its first eight bytes; then Spark sorts
+the pairs of ranks at growing offsets, a pair's place in the order is the new rank of its positions, and positions whose pair
+is unique drop out, until the ranked prefixes reach the threshold. It moves every byte position of the corpus through
+several sorts, which the budgets of a large corpus do not allow (figures in README), so it serves small tables and
+as a check of the other.
 
-Names are 64-bit hashes that are only compared within one gram, so equal names stand for equal strings. Every step is an
-aggregation or an equi-join: a passage that very many documents share is counted before the shuffle or split by the join.
+``starts_by_anchors``, the default, thins the positions. A string of THRESHOLD bytes is a window, and the anchor of a
+window is its GRAM with the least hash (the leftmost of equals), which depends on the window alone: equal windows have
+equal anchors. Windows in a row that share an anchor are a run, one row for about 80 positions. Runs are compared by the
+name of all they cover (the span): runs of equal spans are repeats as a whole. The rest is told by the string that all
+windows of a run hold (the core): a run whose core is unique is done, for none of its windows can repeat; the others are cut
+into shorter runs, at fixed distances from the anchor, whose cores are longer prefixes, until the core is the window itself.
+
+Spans are named by 128 bits and compared within one gram. Every step is an aggregation or an equi-join: a passage that
+very many documents share is counted before the shuffle or split by the join.
 """
 
 from __future__ import annotations
@@ -25,27 +30,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._runtime import Scratch, bound_batches, settle, text_bytes
+from ._runtime import Scratch, bound_batches, settle, text_bytes, text_key
 
 #: Length of the repeated strings that are removed.
 THRESHOLD = 200
-#: Length of the first ranked prefix: the anchor's gram.
+#: Length of the gram that anchors a window: the first core.
 GRAM = 32
 #: Windows per run in the rounds after the first; the cores are THRESHOLD + 1 less this.
-RUNS = (32, 8, 2, 1)
+RUNS = (32, 4, 1)
+#: Starts of a text that are hashed at a time; it bounds memory, not the text.
+BLOCK = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_BYTES = np.random.default_rng(20240602).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_random = np.random.default_rng(20240602)
+_BYTES, _BYTES2 = (_random.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+_POWERS: dict[int, np.ndarray] = {}
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-_CACHE: list[np.ndarray] = [_powers(_BASE, 1 << 16), _powers(_INVERSE, 1 << 16)]
+    """The first ``n`` powers of ``base``, kept for later calls."""
+    if base not in _POWERS or len(_POWERS[base]) < n:
+        out = np.full(max(n, 1 << 14), base, np.uint64)
+        out[0] = 1
+        _POWERS[base] = np.multiply.accumulate(out)
+    return _POWERS[base][:n]
 
 
 def _finish(h: np.ndarray) -> np.ndarray:
@@ -53,16 +62,25 @@ def _finish(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def anchors(text: bytes, threshold: int = THRESHOLD, gram: int = GRAM):
-    """Anchors of a text: (gram hash, span hash, anchor, first and last start of its windows), as arrays; None if too short."""
+def anchors(text: bytes, threshold: int = THRESHOLD, gram: int = GRAM, block: int = BLOCK) -> tuple[np.ndarray, ...] | None:
+    """Runs of a text: (gram hash, two span hashes, anchor, first and last start of its windows); None if it is too short.
+
+    A run that a block of the text ends goes on as another one.
+    """
+    parts = []
+    for begin in range(0, max(0, len(text) - threshold + 1), block):
+        found = _anchors(text[begin : begin + block + threshold - 1], threshold, gram)
+        parts.append((*found[:3], *(x + begin for x in found[3:])))
+    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else None
+
+
+def _anchors(text: bytes, threshold: int, gram: int) -> tuple[np.ndarray, ...]:
     n = len(text)
-    if n < threshold:
-        return None
-    if n + 1 > len(_CACHE[0]):
-        _CACHE[:] = [_powers(_BASE, 2 * n), _powers(_INVERSE, 2 * n)]
-    power, inverse = _CACHE
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTES[np.frombuffer(text, np.uint8)] * power[:n], out=sums[1:])
+    power, inverse = _powers(_BASE, n + 1), _powers(_INVERSE, n + 1)
+    codes = np.frombuffer(text, np.uint8)
+    sums, sums2 = np.zeros(n + 1, np.uint64), np.zeros(n + 1, np.uint64)
+    np.cumsum(_BYTES[codes] * power[:n], out=sums[1:])
+    np.cumsum(_BYTES2[codes] * power[:n], out=sums2[1:])
     grams = _finish((sums[gram:] - sums[: n - gram + 1]) * inverse[: n - gram + 1])
     m, width = len(grams), threshold - gram + 1
     keys = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(m, dtype=np.uint64)
@@ -75,127 +93,104 @@ def anchors(text: bytes, threshold: int = THRESHOLD, gram: int = GRAM):
     first = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
     at = (low[first] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     last = np.append(first[1:] - 1, len(low) - 1)
-    span = (sums[last + threshold] - sums[first]) * inverse[first]
-    span = _finish(_finish(span) + (at - first).astype(np.uint64) * np.uint64(512) + (last - first).astype(np.uint64))
-    return grams[at], span, at, first, last
-
-
-def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, parts, size = [], [], 0
-        for uid, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            found = anchors(text.as_py().encode("utf-8", "surrogatepass"))
-            if found is not None:
-                ids.append((uid, len(found[0])))
-                parts.append(found)
-                size += len(found[0])
-            if size >= 100_000:
+    place = (at - first).astype(np.uint64) * np.uint64(512) + (last - first).astype(np.uint64)
+    spans = [_finish(_finish((x[last + threshold] - x[first]) * inverse[first]) + place) for x in (sums, sums2)]
+    return grams[at], *spans, at, first, last
+
+
+_ANCHORS = "uid long, gram long, span long, span2 long, at int, first int, last int"
+
+
+def _anchor_rows(block: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, parts, size = [], [], 0
+            for uid, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found = anchors(text.as_py().encode("utf-8", "surrogatepass"), block=block)
+                if found is not None:
+                    ids.append((uid, len(found[0])))
+                    parts.append(found)
+                    size += len(found[0])
+                if size >= 100_000:
+                    yield _to_batch(ids, parts)
+                    ids, parts, size = [], [], 0
+            if parts:
                 yield _to_batch(ids, parts)
-                ids, parts, size = [], [], 0
-        if parts:
-            yield _to_batch(ids, parts)
+
+    return rows
 
 
 def _to_batch(ids: list, parts: list) -> pa.RecordBatch:
     uid = np.repeat(np.array([u for u, _ in ids], np.int64), [n for _, n in ids])
-    gram, span, at, first, last = (np.concatenate(x) for x in zip(*parts))
-    columns = [uid, gram.view(np.int64), span.view(np.int64), *(x.astype(np.int32) for x in (at, first, last))]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["uid", "gram", "span", "at", "first", "last"])
-
-
-_ANCHORS = "uid long, gram long, span long, at int, first int, last int"
+    gram, span, span2, *places = (np.concatenate(x) for x in zip(*parts))
+    columns = [uid, *(x.view(np.int64) for x in (gram, span, span2)), *(x.astype(np.int32) for x in places)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[c.split()[0] for c in _ANCHORS.split(", ")])
 
 
-def anchor_table(texts: DataFrame) -> DataFrame:
-    """One row per anchor of the rows (``uid, text``)."""
-    return texts.select("uid", "text").mapInArrow(_anchor_rows, _ANCHORS)
+def _told(rows: DataFrame) -> DataFrame:
+    """Rows (``gram, core, span, span2, uid, at, run, low, high, wanted``) that are repeats or are to be cut, flagged ``repeat`` and ``left``.
 
-
-def _shared(rows: DataFrame) -> DataFrame:
-    """Rows (``gram, core, span, uid, at, low, high, wanted``) whose core another row has; ``mixed``: with another span."""
-    cores = rows.groupBy("gram", "core").agg(
-        F.count(F.lit(1)).alias("n"), (F.min("span") != F.max("span")).alias("mixed"), F.max(F.col("wanted").cast("int")).alias("w")
-    )
-    return rows.join(cores.where("n > 1 and w = 1").select("gram", "core", "mixed"), ["gram", "core"])
-
-
-def _resolve(shared: DataFrame) -> DataFrame:
-    """``shared`` rows that are repeats or are left for the next round, flagged ``repeat`` and ``left``.
-
-    Repeats are wanted rows whose span occurs again. Left are the rows of cores that hold several spans: those not yet
-    resolved and one row for each repeated span, for the others may share a part of it. All other rows are done.
+    Repeats are wanted rows whose span occurs again. To be cut are, where a core occurs again and a wanted span of it does
+    not, the rows of such spans, and one row of each repeated span, for the others may share a part of it.
     """
-    columns = ["gram", "uid", "at", "low", "high"]
-    alike = shared.where("wanted and not mixed").select(*columns, "wanted", F.lit(True).alias("repeat"), F.lit(False).alias("left"))
-    mixed = shared.where("mixed")
-    spans = mixed.groupBy("gram", "core", "span").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.xxhash64("uid", "at")).alias("some"), F.max(F.col("wanted").cast("int")).alias("w")
-    )
-    open_ = spans.where("n = 1 and w = 1").select("gram", "core").distinct().withColumn("open", F.lit(True))
-    spans = spans.join(open_, ["gram", "core"], "left").where("open or n > 1").drop("w")
-    told = mixed.join(spans, ["gram", "core", "span"])
-    left = F.col("open") & ((F.col("n") == 1) | (F.xxhash64("uid", "at") == F.col("some")))
-    told = told.select(
-        *columns, (F.col("wanted") & (F.col("n") == 1)).alias("wanted"), (F.col("wanted") & (F.col("n") > 1)).alias("repeat"),
-        F.coalesce(left, F.lit(False)).alias("left"),
+    span = ["gram", "core", "span", "span2"]
+    spans = rows.groupBy(*span).agg(
+        F.count(F.lit(1)).alias("n"), F.max("wanted").alias("w"), F.min(F.struct("uid", "at", "run")).alias("some")
     )
-    return alike.unionByName(told.where("repeat or left"))
-
-
-def repeated_starts(texts: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """``(uid, low, high)``: runs of starts of windows that also start elsewhere, for rows (``uid, text``)."""
-    if threshold != THRESHOLD:
-        raise ValueError(f"strings of {THRESHOLD} bytes only")
-    with Scratch(texts.sparkSession) as scratch:
-        return settle(_repeated_starts(texts, scratch))
+    cores = spans.groupBy("gram", "core").agg(F.sum("n").alias("total"), F.max(F.col("w") & (F.col("n") == 1)).alias("open"))
+    shared = spans.join(cores.where("total > 1"), ["gram", "core"]).where("(n > 1 and w) or open").select(*span, "n", "some", "open")
+    told = rows.join(shared, span)
+    repeat = F.col("wanted") & (F.col("n") > 1)
+    left = F.col("open") & ((F.col("n") == 1) | (F.struct("uid", "at", "run") == F.col("some")))
+    told = told.select("gram", "uid", "at", "run", "low", "high", (F.col("wanted") & ~repeat).alias("wanted"), repeat.alias("repeat"), left.alias("left"))
+    return told.where("repeat or left")
 
 
 def _starts(rows: DataFrame) -> DataFrame:
     """Runs of starts of runs of windows given relative to their anchors."""
-    return rows.select("uid", (F.col("at") - F.col("high")).alias("low"), (F.col("at") - F.col("low")).alias("high"))
+    return rows.where("repeat").select("uid", (F.col("at") - F.col("high")).alias("low"), (F.col("at") - F.col("low")).alias("high"))
 
 
-def _repeated_starts(texts: DataFrame, scratch: Scratch) -> DataFrame:
-    grams = anchor_table(texts).groupBy("gram").agg(
-        F.count(F.lit(1)).alias("n"), (F.min("span") != F.max("span")).alias("split")
-    )
-    again = scratch.keep(grams.where("n > 1").select("gram", "split"))
-    hits = scratch.keep(anchor_table(texts).join(again, "gram"))
+def starts_by_anchors(texts: DataFrame, scratch: Scratch, block: int = BLOCK) -> DataFrame:
+    """``(uid, low, high)``: runs of starts of windows that also start elsewhere, for rows (``uid, text``); no ``uid`` twice."""
+    every = scratch.keep(texts.select("uid", "text").mapInArrow(_anchor_rows(block), _ANCHORS))
+    mixed = (F.min("span") != F.max("span")) | (F.min("span2") != F.max("span2"))
+    grams = every.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), mixed.alias("mixed")).where("n > 1").select("gram", "mixed")
+    hits = scratch.keep(every.join(grams, "gram"))
     # of a gram with one span only, every row is a repeat
-    found = [hits.where("not split").select("uid", F.col("first").alias("low"), F.col("last").alias("high"))]
-    runs = hits.where("split").select(
-        "gram", F.lit(0).alias("core"), "span", "uid", "at", (F.col("at") - F.col("last")).alias("low"),
-        (F.col("at") - F.col("first")).alias("high"), F.lit(True).alias("wanted"), F.lit(True).alias("mixed"),
+    found = [hits.where("not mixed").select("uid", F.col("first").alias("low"), F.col("last").alias("high"))]
+    low = F.col("at") - F.col("last")
+    runs = hits.where("mixed").select(
+        "gram", F.lit(0).alias("core"), "span", "span2", "uid", "at", low.alias("run"), low.alias("low"),
+        (F.col("at") - F.col("first")).alias("high"), F.lit(True).alias("wanted"),
     )
-    told = scratch.keep(_resolve(runs))
-    found.append(_starts(told.where("repeat")))
-    edges = told.where("left").groupBy("uid").agg(F.collect_set(F.struct("at", "low", "high", "gram", "wanted")).alias("edges"))
-    body = text_bytes(F.col("text"))
-    # repeated rows share a uid and come here once each; none of them is wanted any more, so more of them change nothing
-    cut = texts.join(edges, "uid").select("uid", body.alias("body"), F.explode("edges").alias("e"))
+    told = scratch.keep(_told(runs))
+    found.append(_starts(told))
+    # one list per text, of some of its own runs
+    edges = told.where("left").groupBy("uid").agg(F.collect_list(F.struct("at", "run", "low", "high", "gram", "wanted")).alias("edges"))
+    cut = texts.join(edges, "uid").select("uid", text_bytes(F.col("text")).alias("body"), F.explode("edges").alias("e"))
     begin, size = F.col("e.at") - F.col("e.high"), F.col("e.high") - F.col("e.low") + THRESHOLD
     cut = scratch.keep(cut.select("uid", "e.*", F.substring("body", begin + 1, size).alias("bytes")))
     longest = THRESHOLD - GRAM
-    cells = cut.select("*", F.explode(F.sequence(F.lit(0), F.lit(longest // RUNS[0]))).alias("cell"))
+    cells = cut.select("*", F.explode(F.sequence(F.floor(F.col("low") / RUNS[0]), F.floor(F.col("high") / RUNS[0]))).alias("cell"))
     for turn, width in enumerate(RUNS):
-        r1, r2 = F.col("cell") * width, F.least(F.col("cell") * width + width - 1, F.lit(longest))
+        r1, r2 = (F.col("cell") * width).cast("int"), F.least(F.col("cell") * width + width - 1, F.lit(longest)).cast("int")
         cells = cells.withColumns({"p": F.greatest("low", r1), "q": F.least("high", r2)}).where("p <= q")
         core = F.substring("bytes", F.col("high") - r1 + 1, THRESHOLD - (r2 - r1))
         span = F.substring("bytes", F.col("high") - F.col("q") + 1, F.col("q") - F.col("p") + THRESHOLD)
         rows = cells.select(
-            "gram", F.xxhash64("cell", core).alias("core"), F.xxhash64("p", "q", span).alias("span"),
-            "uid", "at", F.col("p").alias("low"), F.col("q").alias("high"), "wanted",
+            "gram", F.xxhash64("cell", core).alias("core"), F.xxhash64("p", "q", span).alias("span"), F.xxhash64(F.lit("2"), "p", "q", span).alias("span2"),
+            "uid", "at", "run", F.col("p").alias("low"), F.col("q").alias("high"), "wanted",
         )
-        told = scratch.keep(_resolve(scratch.keep(_shared(rows))))
-        found.append(_starts(told.where("repeat")))
+        told = scratch.keep(_told(scratch.keep(rows)))
+        found.append(_starts(told))
         if turn + 1 < len(RUNS):  # a run that is left holds so many runs of the next round
             ratio = width // RUNS[turn + 1]
-            first = F.floor(F.col("low") / width).cast("int") * ratio
-            left = told.where("left").groupBy("uid", "at").agg(F.collect_list(F.struct(first.alias("cell"), "wanted")).alias("left"))
-            open_ = cut.drop("wanted").join(left, ["uid", "at"]).select("*", F.explode("left").alias("c"))
-            cells = open_.select(
-                "uid", "at", "low", "high", "gram", "bytes", "c.wanted",
-                F.explode(F.sequence(F.col("c.cell"), F.col("c.cell") + ratio - 1)).alias("cell"),
+            first = F.floor(F.col("low") / width) * ratio
+            left = told.where("left").select("uid", "at", "run", first.alias("first"), F.col("wanted").alias("w"))
+            cells = cut.drop("wanted").join(left, ["uid", "at", "run"]).select(
+                "uid", "at", "run", "low", "high", "gram", "bytes", F.col("w").alias("wanted"),
+                F.explode(F.sequence(F.col("first"), F.col("first") + ratio - 1)).alias("cell"),
             )
     runs = found[0]
     for f in found[1:]:
@@ -203,6 +198,33 @@ def _repeated_starts(texts: DataFrame, scratch: Scratch) -> DataFrame:
     return runs
 
 
+def _position_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(uid, at, rank): every position with eight bytes from it on, read as a number whose order is theirs."""
+    for batch in batches:
+        for uid, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            body = text.as_py().encode("utf-8", "surrogatepass")
+            for begin in range(0, max(0, len(body) - 7), BLOCK):
+                part = np.frombuffer(body[begin : begin + BLOCK + 7], np.uint8)
+                rank = np.lib.stride_tricks.sliding_window_view(part, 8).copy().view(">u8").ravel().astype(np.uint64) ^ np.uint64(1 << 63)
+                at = np.arange(begin, begin + len(rank), dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rank), uid, np.int64)), pa.array(at), pa.array(rank.view(np.int64))], names=["uid", "at", "rank"])
+
+
+def starts_by_doubling(texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """As ``starts_by_anchors``, by prefix doubling over all positions."""
+    ranked, reach = scratch.keep(texts.select("uid", "text").mapInArrow(_position_rows, "uid long, at long, rank long")), 8
+    while reach < THRESHOLD:
+        offset = min(reach, THRESHOLD - reach)
+        later = ranked.select("uid", (F.col("at") - offset).alias("at"), F.col("rank").alias("next"))
+        # a position whose partner has dropped out holds a unique string, and one without a partner is too near the end
+        pairs = scratch.keep(ranked.join(later, ["uid", "at"]))
+        again = pairs.groupBy("rank", "next").count().where("count > 1").orderBy("rank", "next")
+        places = scratch.keep(again.select("rank", "next", F.monotonically_increasing_id().alias("place")))
+        ranked = scratch.keep(pairs.join(places, ["rank", "next"]).select("uid", "at", F.col("place").alias("rank")))
+        reach += offset
+    return ranked.select("uid", F.col("at").alias("low"), F.col("at").alias("high"))
+
+
 _CUT = T.StructType(
     [
         T.StructField("n_bytes", T.LongType()),
@@ -215,12 +237,13 @@ _CUT = T.StructType(
 
 def remove(text: bytes, lows: np.ndarray, highs: np.ndarray, threshold: int = THRESHOLD) -> tuple[int, int, int, bytes]:
     """(length, bytes removed, maximal removed runs, what is left) for runs of starts of repeated windows."""
-    edge = np.zeros(len(text) + 1, np.int64)
-    np.add.at(edge, lows, 1)
-    np.add.at(edge, highs + threshold, -1)
-    gone = np.cumsum(edge[:-1]) > 0
-    runs = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-    return len(text), int(gone.sum()), runs, np.frombuffer(text, np.uint8)[~gone].tobytes()
+    order = np.argsort(lows, kind="stable")
+    lows, ends = lows[order], np.maximum.accumulate(highs[order] + threshold)
+    new = np.append(True, lows[1:] > ends[:-1])
+    begins, ends = lows[new], ends[np.append(new[1:], True)]
+    edges = np.concatenate([[0], ends]), np.concatenate([begins, [len(text)]])
+    kept = b"".join(text[a:b] for a, b in zip(*edges))
+    return len(text), len(text) - len(kept), len(begins), kept
 
 
 def _removed(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -235,27 +258,25 @@ def _removed(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterato
         yield pd.DataFrame(out, columns=_CUT.names)
 
 
-def row_key(id_column: Column, text: Column) -> Column:
-    """Name of a row by id and text; repeated rows share it, and so share results."""
-    return F.xxhash64(id_column, F.coalesce(text, F.lit("")))
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), starts=starts_by_anchors
+) -> DataFrame:
     """Removes from every text each byte covered by a 200-byte string that also starts anywhere else in the table.
 
     Returns ``doc_id, n_bytes, n_removed, n_spans, kept`` (remaining bytes) and the columns named in ``keep``. Matches
     stay within a row; strings are judged on the input. Null texts count as empty; texts under 200 bytes stay whole. Repeated
-    rows are repeats of each other and lose the same bytes. An empty table gives no rows. Only named columns are read.
+    rows are rows of their own, so they are repeats of each other. An empty table gives no rows. Only named columns are read.
     """
-    bound_batches(docs.sparkSession)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    plain = docs.select(
-        F.col(id_col).alias("doc_id"), text.alias("text"), row_key(F.col(id_col), F.col(text_col)).alias("uid"),
-        *[F.col(c).alias(f"kept_{c}") for c in keep],
-    )
-    runs = repeated_starts(plain.select("uid", "text"))
-    gone = runs.groupBy("uid").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
-    both = plain.join(gone, "uid", "left").withColumn(
-        "cut", F.pandas_udf(_removed, _CUT)("text", F.col("runs.low"), F.col("runs.high"))
-    )
+    spark = docs.sparkSession
+    bound_batches(spark)
+    key, text = text_key(F.col(text_col)), F.coalesce(F.col(text_col), F.lit(""))
+    with Scratch(spark) as scratch:
+        # numbered as they are written, so that a number names one row for good
+        plain = scratch.keep(docs.select(F.monotonically_increasing_id().alias("uid"), key.alias("key"), text.alias("text")))
+        gone = starts(plain.select("uid", "text"), scratch).groupBy("uid").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
+        # equal texts lose the same, so one row speaks for all of them
+        first = plain.groupBy("key").agg(F.min("uid").alias("uid"))
+        gone = settle(gone.join(first, "uid").select("key", "runs"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), key.alias("key"), text.alias("text"), *[F.col(c).alias(f"kept_{c}") for c in keep])
+    both = rows.join(gone, "key", "left").withColumn("cut", F.pandas_udf(_removed, _CUT)("text", F.col("runs.low"), F.col("runs.high")))
     return both.select("doc_id", "cut.*", *[F.col(f"kept_{c}").alias(c) for c in keep])

@@ -154,19 +154,27 @@ def brute_repeats(bodies):
     return out
 
 
-def check_repeats(docs):
+def check_repeats(docs, **options):
     rows = texts(docs)
     want = Counter((i, *x) for (i, _), x in zip(rows, brute_repeats([data(t) for _, t in rows])))
-    got = suffix_dedup.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("h"))
+    got = suffix_dedup.remove_repeats(docs, **options).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("h"))
     assert Counter(map(tuple, got.collect())) == want
 
 
-def test_repeats_planted(spark):
+def planted_repeats():
     passage, other = prose(20, 60), prose(21, 40)
     items = [(k, prose(100 + k, 30) + passage + prose(200 + k, 20 + k), "en", "s") for k in range(12)]
     items += [(50, passage[:201] + "x" + other, "en", "s"), (51, other[:199], "en", "s"), (52, other[:200], "en", "s"), (53, "ab" * 400, "en", "s")]
     items += [(54, prose(22, 90)[:300] * 2, "en", "s"), (55, "é" * 150 + other[7:260] + "ß" * 120, "en", "s"), (56, "é" * 149 + "z", "en", "s")]
-    check_repeats(spark.createDataFrame(rows_of(items), SCHEMA))
+    return items
+
+
+def test_repeats_planted(spark):
+    check_repeats(spark.createDataFrame(rows_of(planted_repeats()), SCHEMA))
+
+
+def test_repeats_by_doubling(spark):
+    check_repeats(spark.createDataFrame(rows_of(planted_repeats()), SCHEMA), starts=suffix_dedup.starts_by_doubling)
 
 
 def test_repeats_small_alphabet(spark):
@@ -181,8 +189,29 @@ def test_repeats_small_alphabet(spark):
     check_repeats(spark.createDataFrame(rows_of(items), SCHEMA))
 
 
+def test_repeats_of_many_equal_rows_and_a_long_text(spark):
+    same, long = prose(31, 300), prose(32, 60_000)
+    assert len(long) > 500_000
+    items = [(7, same, "en", "s")] * 50 + [(None, same[:250], "en", "s")] * 3 + [(8, long, "en", "s"), (9, "x" + long[300_000:300_700], "en", "s")]
+    check_repeats(spark.createDataFrame(rows_of(items), SCHEMA))
+
+
+def test_anchors_in_blocks():
+    body = prose(33, 3000).encode()
+    covered = lambda runs: sorted((int(a), x) for a, f, l in zip(*runs[3:]) for x in range(f, l + 1))  # noqa: E741
+    whole = covered(suffix_dedup.anchors(body))
+    assert covered(suffix_dedup.anchors(body, block=997)) == whole
+    assert suffix_dedup.anchors(body[:199]) is None
+
+
+def test_repeats_over_blocks(spark):
+    """Runs that a block ends are compared like others."""
+    small = lambda texts, scratch: suffix_dedup.starts_by_anchors(texts, scratch, block=211)
+    check_repeats(spark.createDataFrame(rows_of(planted_repeats()), SCHEMA), starts=small)
+
+
 def test_repeats_edges(edge_docs, no_docs, sample_docs):
-    check_repeats(edge_docs.where("doc_id is null or doc_id <> 7"))
+    check_repeats(edge_docs)
     check_repeats(sample_docs.where("doc_id < 150"))
     assert suffix_dedup.remove_repeats(no_docs).count() == 0
 
