@@ -154,9 +154,10 @@ def _starts(rows: DataFrame) -> DataFrame:
 def starts_by_anchors(texts: DataFrame, scratch: Scratch, block: int = BLOCK) -> DataFrame:
     """``(uid, low, high)``: runs of starts of windows that also start elsewhere, for rows (``uid, text``); no ``uid`` twice."""
     every = scratch.keep(texts.select("uid", "text").mapInArrow(_anchor_rows(block), _ANCHORS))
-    mixed = (F.min("span") != F.max("span")) | (F.min("span2") != F.max("span2"))
+    # 64 bits do here: only a gram whose runs all had one name and yet differed would be told wrong
+    mixed = F.min("span") != F.max("span")
     grams = every.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), mixed.alias("mixed")).where("n > 1").select("gram", "mixed")
-    hits = scratch.keep(every.join(grams, "gram"))
+    hits = scratch.keep(every.join(scratch.keep(grams), "gram"))  # a table, so that Spark can split a very common gram's rows
     # of a gram with one span only, every row is a repeat
     found = [hits.where("not mixed").select("uid", F.col("first").alias("low"), F.col("last").alias("high"))]
     low = F.col("at") - F.col("last")
