@@ -34,11 +34,11 @@ TARGET_RECALL = 0.9999
 #: Signatures deny a pair whose estimate lies so many standard errors under the threshold.
 SLACK = 5.0
 #: Members of one block of a node whose pairs are screened.
-NODE_BLOCK = 4096
+NODE_BLOCK = 512
 #: Members and shingles of one block of a component whose pairs are verified, about.
-BLOCK, BLOCK_SHINGLES = 512, 250_000
+BLOCK, BLOCK_SHINGLES = 512, 125_000
 #: Rows, or shingles, that the small groups of one task are batched to, about.
-BATCH, BATCH_SHINGLES = 8192, 1_000_000
+BATCH, BATCH_SHINGLES = 1024, 250_000
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _random = np.random.default_rng(20240601)
