@@ -8,31 +8,34 @@ vocabulary, which bounds what is broadcast.
 Words of more than LATTICE_CHARS characters, which are rare, have lattices too large to be rows; each chunk folds its own ones
 by the same recurrence, whole, in time linear in their length.
 
-Documents are dealt to chunks of bounded size, compressed, and each chunk names the words it needs; the codes of these come back
-to the chunk and are put in the place of the words there. So of the occurrences of a word only one per chunk is moved.
+Texts are split into words once and travel as blocks: the words of a block, and for each place the number of its word.
+Blocks are dealt to chunks of bounded size, whatever their ids and texts. A chunk names the words it needs, the codes of
+these come back to it, and numbers are replaced by codes. So of the occurrences of a word only one per chunk is moved.
 """
 
 from __future__ import annotations
 
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_type, to_arrow_type
 
 from ._runtime import bound_batches, shuffle_width
 from .pieces import Pieces, default_model_path, load_pieces, words_of
 
-#: UTF-8 bytes of text per chunk, about. A task holds the words of a chunk and their codes, and its texts compressed.
-CHUNK_BYTES = 40 << 20
-#: Longer words are folded where they stand; ends of edges must fit _PLACE_BITS.
-LATTICE_CHARS = 64
+#: Characters of text per block, and UTF-8 bytes of text per chunk, about. A task holds the blocks of a chunk compressed, and its words with their codes.
+BLOCK_CHARS, CHUNK_BYTES = 2 << 20, 40 << 20
+#: Longer words are folded where they stand; an edge's end and start are written in _PLACE_BITS each.
+LATTICE_CHARS, _PLACE_BITS = 64, 8
+_PLACES = 1 << _PLACE_BITS
 
 
 def piece_table(docs: DataFrame, pieces: Pieces) -> DataFrame:
@@ -41,88 +44,63 @@ def piece_table(docs: DataFrame, pieces: Pieces) -> DataFrame:
     return docs.sparkSession.createDataFrame(rows)
 
 
+#: The best path to a position: score, minus its number of pieces; its last edge's end and start, and id or minus its bytes.
+_NODE = "struct<s:double,m:int,k:int,id:int>"
+
+
 def lattice_edges(words: DataFrame, table: DataFrame, pieces: Pieces) -> DataFrame:
-    """Edges of the lattices of ``words`` (columns of which are kept): ``start, end, id``.
+    """(word, seen, edge): the edges of the lattices of ``words`` (``word, seen``).
 
     A substring that is a piece is an edge with its id, a character that is none one with minus its number of bytes.
     """
     n = F.char_length("word")
-    starts = words.select("*", F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
+    starts = words.select("word", "seen", F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
     spans = starts.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), n - F.col("start")))).alias("size"))
     spans = spans.withColumn("piece", F.substring("word", F.col("start") + 1, F.col("size")))
     edges = spans.join(F.broadcast(table), "piece", "left").where("id is not null or size = 1")
-    name = F.coalesce("id", -F.octet_length("piece"))
-    return edges.select(*words.columns, "start", (F.col("start") + F.col("size")).alias("end"), name.alias("id"))
-
-
-#: An edge in one long: end, start and id, so that edges sort by their end and are small where they are many.
-_ID_BITS, _PLACE_BITS, _BYTES = 32, 8, 1 << 16
-#: Bytes of a character.
-_MOST_BYTES = 4
-
+    size = F.octet_length("piece")
+    edge = F.struct(
+        ((F.col("start") + F.col("size")) * _PLACES + F.col("start")).alias("k"), F.coalesce("score", size * pieces.byte_score).alias("s"),
+        F.when(F.col("id").isNull(), -size).otherwise(-1).alias("m"), F.coalesce("id", -size).alias("id"),
+    )
+    return edges.select("word", "seen", edge.alias("edge"))
 
-def _pack(start: Column, end: Column, name: Column) -> Column:
-    return F.shiftleft(end.cast("long"), _ID_BITS + _PLACE_BITS) + F.shiftleft(start.cast("long"), _ID_BITS) + name + F.lit(_BYTES)
 
+def fold_viterbi(edges: Column) -> Column:
+    """Ids of the best path over an array of edges sorted by end; -k stands for k bytes.
 
-def fold_viterbi(edges: Column, scores: Column) -> Column:
-    """Ids of the best path over an array of packed edges sorted by end; -k stands for k bytes.
-
-    ``scores``: of -_MOST_BYTES to -1, then of the ids from 0. Equal scores go to fewer pieces.
+    Equal scores go to fewer pieces, then to the shorter last piece. The state is the best edge into every position so far
+    and the best one yet into the next position.
     """
-    node = "array<struct<s:double,n:int,e:bigint>>"
-    origin = F.expr(f"cast(array(struct(0.0d, 0, 0L)) as {node})")
-    place = lambda e, shift: F.shiftright(e, shift).bitwiseAND(F.lit((1 << _PLACE_BITS) - 1)).cast("int")
-    name = lambda e: (e.bitwiseAND(F.lit((1 << _ID_BITS) - 1)) - _BYTES).cast("int")
-
-    def step(best: Column, e: Column) -> Column:
-        before, end = F.get(best, place(e, _ID_BITS)), place(e, _ID_BITS + _PLACE_BITS)
-        new = F.struct(
-            (before["s"] + F.get(scores, name(e) + _MOST_BYTES)).alias("s"),
-            (before["n"] + F.greatest(F.lit(1), -name(e))).alias("n"), e.alias("e"),
-        )
+    start = lambda x: x["k"].bitwiseAND(F.lit(_PLACES - 1))
 
-        def placed(new: Column) -> Column:
-            old = F.get(best, end)
-            better = (new["s"] > old["s"]) | ((new["s"] == old["s"]) & (new["n"] < old["n"]))
-            return F.when(F.size(best) <= end, F.array_append(best, new)).when(
-                better, F.array_append(F.slice(best, 1, end), new)
-            ).otherwise(best)
+    def step(acc: Column, e: Column) -> Column:
+        done, top = acc["done"], acc["top"]
+        before = F.when(start(e) == F.size(done), top).otherwise(F.get(done, start(e)))
+        new = F.struct((before["s"] + e["s"]).alias("s"), (before["m"] + e["m"]).alias("m"), e["k"].alias("k"), e["id"].alias("id"))
+        same_end = F.shiftright(e["k"], _PLACE_BITS) == F.size(done)
+        further = F.struct(F.array_append(done, top).alias("done"), new.alias("top"))
+        return F.when(same_end, F.struct(done.alias("done"), F.greatest(top, new).alias("top"))).otherwise(further)
 
-        return F.get(F.transform(F.array(new), placed), F.lit(0))
+    def path(acc: Column) -> Column:
+        last = F.struct(acc["top"].alias("at"), F.expr("cast(array() as array<int>)").alias("ids"))
 
-    def path(best: Column) -> Column:
-        start = F.struct((F.size(best) - 1).alias("at"), F.expr("cast(array() as array<int>)").alias("ids"))
+        def back(x: Column, _: Column) -> Column:
+            longer = F.struct(F.get(acc["done"], start(x["at"])).alias("at"), F.array_append(x["ids"], x["at"]["id"]).alias("ids"))
+            return F.when(x["at"]["k"] > 0, longer).otherwise(x)
 
-        def back(acc: Column, _: Column) -> Column:
-            e = F.get(best, acc["at"])["e"]
-            longer = F.struct(place(e, _ID_BITS).alias("at"), F.array_prepend(acc["ids"], name(e)).alias("ids"))
-            return F.when(acc["at"] > 0, longer).otherwise(acc)
+        return F.reverse(F.aggregate(F.sequence(F.lit(1), -acc["top"]["m"]), last, back, lambda x: x["ids"]))
 
-        return F.aggregate(F.sequence(F.lit(1), F.get(best, F.size(best) - 1)["n"]), start, back, lambda acc: acc["ids"])
-
-    return F.aggregate(edges, origin, step, path)
+    nothing = F.expr(f"struct(cast(array() as array<{_NODE}>) as done, cast(struct(0.0d, 0, 0, 0) as {_NODE}) as top)")
+    return F.aggregate(edges, nothing, step, path)
 
 
 def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
     """``words`` (``word, seen``, no word twice, dealt by word) with ``codes``, the ids of the best path."""
     edges = lattice_edges(words, piece_table(words, pieces), pieces)
-    slim = edges.select("word", "seen", _pack(F.col("start"), F.col("end"), F.col("id")).alias("edge"))
-    grouped = slim.groupBy("word").agg(F.sort_array(F.collect_list("edge")).alias("edges"), F.min("seen").alias("seen"))
-    by_id = [pieces.byte_score * k for k in range(_MOST_BYTES, 0, -1)] + [0.0] * (max(pieces.ids.values(), default=0) + 1)
-    for p, i in pieces.ids.items():
-        by_id[i + _MOST_BYTES] = pieces.scores[p]
-    text = ",".join(map(repr, by_id))
-    scores = F.expr(f"cast(split('{text}', ',') as array<double>)")  # folded into one literal
-    codes = fold_viterbi(F.col("edges"), scores)
+    grouped = edges.groupBy("word").agg(F.sort_array(F.collect_list("edge")).alias("edges"), F.min("seen").alias("seen"))
     narrow = "array<smallint>" if max(pieces.ids.values(), default=0) < 1 << 15 else "array<int>"
-    return grouped.select("word", "seen", codes.cast(narrow).alias("codes"))
-
-
-def _compressed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    press = zstandard.ZstdCompressor(level=6, write_content_size=True).compress
-    for texts in parts:
-        yield pd.Series([press(t.encode("utf-8", "surrogatepass")) for t in texts], dtype=object)
+    return grouped.select("word", "seen", fold_viterbi(F.col("edges")).cast(narrow).alias("codes"))
 
 
 def long_word_ids(word: str, pieces: Pieces) -> list[int]:
@@ -140,7 +118,7 @@ def long_word_ids(word: str, pieces: Pieces) -> list[int]:
             s = endings[piece]
             if s is not None:
                 new, k = scores[at] + s, counts[at] + 1
-                if new > score or new == score and k <= count:
+                if new > score or new == score and k < count:
                     score, count, start = new, k, at
         scores.append(score)
         counts.append(count)
@@ -155,115 +133,168 @@ def long_word_ids(word: str, pieces: Pieces) -> list[int]:
     return out
 
 
-def _words_of(path: str):
-    def words_of_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(chunk, word) of a partition's chunks, each once, without long words."""
-        find, open_ = words_of(path), zstandard.ZstdDecompressor().decompress
-        words: dict[int, set[str]] = {}
-        for batch in batches:
-            for chunk, packed in zip(batch.column(1).to_pylist(), batch.column(2)):
-                words.setdefault(chunk, set()).update(find(open_(packed.as_py()).decode("utf-8", "surrogatepass")))
-        for chunk, found in words.items():
-            listed = [w for w in found if len(w) <= LATTICE_CHARS]
-            for at in range(0, len(listed), 50_000):
-                part = listed[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(part), pa.int64()), pa.array(part, pa.string())], names=["chunk", "word"])
+def _press(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3, write_content_size=True).compress(data)
 
-    return words_of_chunks
 
+def _open(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
 
-def _joiner(path: str):
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
-    def spelt(word: str, codes: list[int]) -> list[int]:
-        """Codes of a word with its bytes in full."""
-        byte_ids, raw, at, out = load_pieces(path).bytes, word.encode("utf-8", "surrogatepass"), 0, []
-        for i in codes:
-            out += [byte_ids[b] for b in raw[at : at - i]] if i < 0 else [i]
-            at += -i if i < 0 else _length(path, i)
-        return out
+def _packed_numbers(numbers: np.ndarray) -> bytes:
+    """Numbers compressed byte by byte of their places, for most are small."""
+    planes = np.ascontiguousarray(numbers.astype("<u4")).view(np.uint8).reshape(-1, 4).T
+    return _press(planes.tobytes())
+
+
+def _numbers(packed: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(_open(packed), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+_BLOCK = (("chunk", pa.int64()), ("sizes", pa.list_(pa.int32())), ("words", pa.binary()), ("ends", pa.binary()), ("places", pa.binary()))
 
-    def named(words: list[str]) -> np.ndarray:
-        return pd.util.hash_array(np.array(words, object), categorize=False) if words else np.zeros(0, np.uint64)
 
-    def join(docs: pa.Table, words: pa.Table) -> pa.Table:
-        find, open_ = words_of(path), zstandard.ZstdDecompressor().decompress
-        kept = lru_cache(maxsize=1_000)(lambda word: np.array(long_word_ids(word, load_pieces(path)), np.int32))
-        long_ids = lambda word: (kept if len(word) < 2_000 else kept.__wrapped__)(word)
+def _blocks_of(path: str, chunks: int, most: int):
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(ids, chunk, sizes, words, ends, places): texts as numbers of the block's words, commonest first."""
+        find, part = words_of(path), TaskContext.get().partitionId() * 0x9E3779B1
+        ids, sizes, numbers, places, held, count = [], [], {}, [], 0, 0
+
+        def block() -> pa.RecordBatch:
+            nonlocal ids, sizes, numbers, places, held, count
+            at = np.array(places, np.int64)
+            order = np.argsort(-np.bincount(at, minlength=len(numbers)), kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            words = list(numbers)
+            words = [words[i] for i in order.tolist()]
+            ends = np.cumsum([len(w) for w in words])
+            row = [(part + count) % chunks, sizes, _press("".join(words).encode("utf-8", "surrogatepass")), _packed_numbers(ends), _packed_numbers(rank[at])]
+            whole = pa.concat_arrays(ids)
+            lists = pa.ListArray.from_arrays(pa.array([0, len(whole)], pa.int32()), whole)
+            ids, sizes, numbers, places, held, count = [], [], {}, [], 0, count + 1
+            return pa.RecordBatch.from_arrays([lists, *(pa.array([x], k) for x, (_, k) in zip(row, _BLOCK))], names=["ids", *(n for n, _ in _BLOCK)])
+
+        for batch in batches:
+            for k, text in enumerate(batch.column(1)):
+                text = text.as_py()
+                found = find(text)
+                places += [numbers.setdefault(w, len(numbers)) for w in found]
+                ids.append(batch.column(0).slice(k, 1))
+                sizes.append(len(found))
+                held += len(text)
+                if held >= most or len(ids) >= 10_000:
+                    yield block()
+        if ids:
+            yield block()
+
+    return blocks
+
+
+def _words_in(words: bytes, ends: bytes) -> list[str]:
+    text, ends = _open(words).decode("utf-8", "surrogatepass"), _numbers(ends).tolist()
+    return [text[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def _needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(chunk, word) of a partition's chunks, each once, without long words."""
+    words: dict[int, set[str]] = {}
+    for batch in batches:
+        for chunk, packed, ends in zip(*(batch.column(c).to_pylist() for c in ("chunk", "words", "ends"))):
+            words.setdefault(chunk, set()).update(_words_in(packed, ends))
+    for chunk, found in words.items():
+        listed = [w for w in found if len(w) <= LATTICE_CHARS]
+        for at in range(0, len(listed), 50_000):
+            part = listed[at : at + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(part), pa.int64()), pa.array(part, pa.string())], names=["chunk", "word"])
+
+
+def _spelt(word: str, codes: list[int], pieces: Pieces) -> list[int]:
+    """Codes of a word with its bytes in full."""
+    raw, at, out = word.encode("utf-8", "surrogatepass"), 0, []
+    for i in codes:
+        out += [pieces.bytes[b] for b in raw[at : at - i]] if i < 0 else [i]
+        at += -i if i < 0 else pieces.sizes[i]
+    return out
+
+
+class _Codes:
+    """Codes of a chunk's words, found by a hash of the word, or by the word where two share a hash."""
+
+    def __init__(self, table: pa.Table, pieces: Pieces):
         names, flat, sizes = [], [], []
-        for batch in words.select(["word", "codes"]).to_batches(max_chunksize=20_000):
-            listed, lists = batch.column(0).to_pylist(), batch.column(1)
+        for batch in table.select(["word", "codes"]).to_batches(max_chunksize=20_000):
+            words, lists = batch.column(0).to_pylist(), batch.column(1)
             ends = lists.offsets.to_numpy()
             size, values = np.diff(ends), lists.values.to_numpy()[ends[0] : ends[-1]].astype(np.int32)
             if len(values) and values.min() < 0:
-                full = [spelt(w, c) if min(c) < 0 else c for w, c in zip(listed, lists.to_pylist())]
+                full = [_spelt(w, c, pieces) if min(c) < 0 else c for w, c in zip(words, lists.to_pylist())]
                 size, values = np.array([len(c) for c in full]), np.array([i for c in full for i in c], np.int32)
-            names.append(named(listed))
+            names.append(self.named(words))
             flat.append(values)
             sizes.append(size)
         names = np.concatenate(names) if names else np.zeros(0, np.uint64)
-        flat = np.concatenate(flat) if flat else np.zeros(0, np.int32)
-        sizes = np.concatenate(sizes).astype(np.int64) if sizes else np.zeros(0, np.int64)
-        starts, order = np.cumsum(sizes) - sizes, np.argsort(names)
-        names = names[order]
-        # every word of the texts that is not long is among the words, so hashes stand for them unless two of these share one
-        exact = None if (names[1:] != names[:-1]).all() else {w: k for k, w in enumerate(words["word"].to_pylist())}
-        out, parts = [], []
-
-        def close(upto: int) -> None:
-            """Makes a batch of what has gathered, so that the ids of a chunk lie in memory once."""
-            if parts:
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts), pa.int32()))
-                out.append(pa.RecordBatch.from_arrays([doc_ids.slice(upto - len(parts), len(parts)), lists], schema=schema))
-                parts.clear()
-
-        def ids_of(found: list[str]) -> np.ndarray:
-            if exact is None:
-                at = order[np.searchsorted(names, named(found))]
-            else:
-                at = np.fromiter((exact[w] for w in found), np.int64, len(found))
-            n = sizes[at]
-            return flat[np.repeat(starts[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-
-        def with_long(found: list[str]) -> np.ndarray:
-            begin, runs = 0, []
-            for k in [k for k, w in enumerate(found) if len(w) > LATTICE_CHARS]:
-                runs += [ids_of(found[begin:k]), long_ids(found[k])]
-                begin = k + 1
-            return np.concatenate([*runs, ids_of(found[begin:])])
-
-        doc_ids = docs["doc_id"].cast(pa.int64()).combine_chunks()
-        doc_ids = doc_ids.chunk(0) if isinstance(doc_ids, pa.ChunkedArray) else doc_ids
-        for k, packed in enumerate(docs["packed"]):
-            found = find(open_(packed.as_py()).decode("utf-8", "surrogatepass"))
-            parts.append(with_long(found) if found and max(map(len, found)) > LATTICE_CHARS else ids_of(found))
-            if len(parts) == 500:
-                close(k + 1)
-        close(len(docs))
+        self.flat = np.concatenate(flat) if flat else np.zeros(0, np.int32)
+        self.sizes = np.concatenate(sizes).astype(np.int64) if sizes else np.zeros(0, np.int64)
+        self.starts, self.order = np.cumsum(self.sizes) - self.sizes, np.argsort(names)
+        self.names = names[self.order]
+        # every word asked for is in the table, so hashes stand for words unless two of these share one
+        self.exact = None if (self.names[1:] != self.names[:-1]).all() else {w: k for k, w in enumerate(table["word"].to_pylist())}
+
+    @staticmethod
+    def named(words: list[str]) -> np.ndarray:
+        return pd.util.hash_array(np.array(words, object), categorize=False) if words else np.zeros(0, np.uint64)
+
+    def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(sizes, ids): ids of all ``words``, one after another."""
+        if self.exact is None:
+            at = self.order[np.searchsorted(self.names, self.named(words))]
+        else:
+            at = np.fromiter((self.exact[w] for w in words), np.int64, len(words))
+        return self.sizes[at], self.flat[_ranges(self.starts[at], self.sizes[at])]
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its size says, one run after another."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
+def _joiner(path: str, id_type: pa.DataType):
+    schema = pa.schema([("doc_id", id_type), ("ids", pa.list_(pa.int32()))])
+
+    def join(blocks: pa.Table, words: pa.Table) -> pa.Table:
+        pieces, out = load_pieces(path), []
+        codes = _Codes(words, pieces)
+        for row in range(len(blocks)):
+            ids, doc_sizes, packed, ends, places = (blocks[c][row] for c in ("ids", "sizes", "words", "ends", "places"))
+            listed = _words_in(packed.as_py(), ends.as_py())
+            short = np.array([len(w) <= LATTICE_CHARS for w in listed], bool)
+            sizes, runs = np.zeros(len(listed), np.int64), []
+            sizes[short], flat = codes.of([w for w in listed if len(w) <= LATTICE_CHARS])
+            starts = np.cumsum(np.where(short, sizes, 0)) - sizes
+            for k in np.flatnonzero(~short):
+                runs.append(np.array(long_word_ids(listed[k], pieces), np.int32))
+                sizes[k], starts[k] = len(runs[-1]), len(flat) + sum(map(len, runs[:-1]))
+            flat = np.concatenate([flat, *runs])
+            at = _numbers(places.as_py())
+            total = np.concatenate([[0], np.cumsum(sizes[at])])
+            bounds = total[np.concatenate([[0], np.cumsum(doc_sizes.as_py())]).astype(np.int64)]
+            lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat[_ranges(starts[at], sizes[at])], pa.int32()))
+            out.append(pa.RecordBatch.from_arrays([ids.values, lists], schema=schema))
         return pa.Table.from_batches(out, schema=schema)
 
     return join
 
 
-_LENGTHS: dict[str, dict[int, int]] = {}
-
-
-def _length(path: str, piece_id: int) -> int:
-    """UTF-8 bytes of a piece."""
-    if path not in _LENGTHS:
-        _LENGTHS[path] = {i: len(p.encode()) for p, i in load_pieces(path).ids.items()}
-    return _LENGTHS[path][piece_id]
-
-
 def encode_documents(
-    docs: DataFrame, id_col="doc_id", text_col="text", model_path: str | None = None, chunk_bytes: int = CHUNK_BYTES
+    docs: DataFrame, id_col="doc_id", text_col="text", model_path: str | None = None, chunk_bytes: int = CHUNK_BYTES, block_chars: int = BLOCK_CHARS
 ) -> DataFrame:
     """``doc_id, ids``: the pieces of every whole text on the best path of its pre-tokens' lattices.
 
     Null and empty texts have no ids. A character that no piece covers goes as its UTF-8 bytes, so decoding gives every
     text back. Texts are split only where no piece can cross, and words of any length are encoded whole. Repeated rows are
-    encoded one by one. An empty table gives no rows. Only the named columns are read, so other columns may have any name.
+    encoded one by one. An empty table gives no rows. Only the named columns are read, so other columns may have any name;
+    ids may have any type.
     """
     bound_batches(docs.sparkSession)
     path = model_path or default_model_path()
@@ -271,29 +302,23 @@ def encode_documents(
     text = F.coalesce(F.col(text_col), F.lit(""))
     plain = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
     chunks = max(1, -(-(plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // chunk_bytes))
-    chunk = F.pmod(F.xxhash64("doc_id"), F.lit(chunks))
-    press = F.pandas_udf(_compressed, T.BinaryType())
-    dealt = plain.select("doc_id", chunk.alias("chunk"), press("text").alias("packed")).repartition(chunks, "chunk")
+    kind = plain.schema["doc_id"].dataType
+    fields = [T.StructField("ids", T.ArrayType(kind)), *(T.StructField(n, from_arrow_type(k)) for n, k in _BLOCK)]
+    dealt = plain.mapInArrow(_blocks_of(path, chunks, block_chars), T.StructType(fields)).repartition(chunks, "chunk")
     width = max(chunks, shuffle_width(docs.sparkSession))
-    needed = dealt.mapInArrow(_words_of(path), "chunk long, word string").repartition(width, "word")
+    needed = dealt.mapInArrow(_needed, "chunk long, word string").repartition(width, "word")
     # a chunk rides along with each word so that both uses of ``needed`` read one and the same shuffle
     coded = encode_words(needed.groupBy("word").agg(F.min("chunk").alias("seen")), pieces)
     sent = needed.join(coded.hint("merge"), "word").select(F.when(F.col("seen") >= 0, F.col("chunk")).alias("of"), "word", "codes")
     sent = sent.repartition(chunks, "of")
-    return dealt.groupBy("chunk").cogroup(sent.groupBy("of")).applyInArrow(
-        _joiner(path), T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    )
+    result = T.StructType([T.StructField("doc_id", kind), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    return dealt.groupBy("chunk").cogroup(sent.groupBy("of")).applyInArrow(_joiner(path, to_arrow_type(kind)), result)
 
 
 def decode_ids(ids: Column, model_path: str | None = None) -> Column:
-    """Text of an array of ids; null for null. Bytes that are no UTF-8 are replaced, as by any decoder."""
-    path = model_path or default_model_path()
-
-    def decode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        pieces = load_pieces(path)
-        names = {i: p.encode() for p, i in pieces.ids.items()} | {i: bytes([b]) for b, i in enumerate(pieces.bytes)}
-        name = [names.get(i) for i in range(max(names) + 1)].__getitem__
-        for lists in parts:
-            yield pd.Series([None if x is None else b"".join(map(name, x.tolist())).decode("utf-8", "replace") for x in lists], dtype=object)
-
-    return F.pandas_udf(decode, T.StringType())(ids)
+    """Text of an array of ids; null for null. Bytes that are no UTF-8 are replaced; ids that stand for no text add nothing."""
+    pieces = load_pieces(model_path or default_model_path())
+    names = {i: p.encode() for p, i in pieces.ids.items()} | {i: bytes([b]) for b, i in enumerate(pieces.bytes)}
+    text = ",".join(names.get(i, b"").hex() for i in range(max(names) + 1))
+    table = F.split(F.lit(text), ",")  # folded into one literal
+    return F.make_valid_utf8(F.unhex(F.array_join(F.transform(ids, lambda i: F.get(table, i)), "")).cast("string"))

@@ -28,7 +28,7 @@ def default_model_path() -> str:
 @dataclass(frozen=True)
 class Pieces:
     """``ids`` and ``scores`` by piece text; ``endings``: every ending of a piece, with its score if it is a piece;
-    ``bytes``: the id of each byte piece."""
+    ``bytes``: the id of each byte piece; ``sizes``: UTF-8 bytes by id."""
 
     ids: dict[str, int]
     scores: dict[str, float]
@@ -36,6 +36,7 @@ class Pieces:
     bytes: tuple[int, ...]
     byte_score: float
     longest: int
+    sizes: dict[int, int]
 
 
 @lru_cache(maxsize=4)
@@ -56,7 +57,7 @@ def load_pieces(path: str) -> Pieces:
     scores = {p: float(model.get_score(i)) for p, i in ids.items()}
     worst = min((s for s in scores.values() if s > NEVER), default=0.0)
     endings = {p[i:]: scores.get(p[i:]) for p in scores for i in range(len(p))}
-    return Pieces(ids, scores, endings, tuple(by_byte), worst - BYTE_PENALTY, max(map(len, ids), default=1))
+    return Pieces(ids, scores, endings, tuple(by_byte), worst - BYTE_PENALTY, max(map(len, ids), default=1), {i: len(p.encode()) for p, i in ids.items()})
 
 
 @lru_cache(maxsize=4)

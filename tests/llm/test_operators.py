@@ -246,6 +246,42 @@ def test_counts_and_lattice_agree(edge_docs, sample_docs):
     assert Counter(map(tuple, token_counts.token_counts(sample_docs.where("doc_id < 10")).collect())) == want
 
 
+def brute_ids(text, p):
+    """Ids over the whole text: best score, then fewest pieces, then the shortest last piece."""
+    best, last = [(0.0, 0)], [0]
+    for end in range(1, len(text) + 1):
+        n = len(text[end - 1].encode())
+        one = p.scores.get(text[end - 1])
+        options = [(best[end - 1][0] + (p.byte_score * n if one is None else one), best[end - 1][1] - (n if one is None else 1), end - 1)]
+        for start in range(max(0, end - p.longest), end - 1):
+            s = p.scores.get(text[start:end])
+            if s is not None:
+                options.append((best[start][0] + s, best[start][1] - 1, start))
+        top = max(options)
+        best.append(top[:2])
+        last.append(top[2])
+    out, end = [], len(text)
+    while end:
+        piece, end = text[last[end] : end], last[end]
+        out = ([p.ids[piece]] if piece in p.ids else [p.bytes[b] for b in piece.encode()]) + out
+    return out
+
+
+def test_ids_are_those_of_the_whole_text(edge_docs, sample_docs):
+    p = pieces.load_pieces(pieces.default_model_path())
+    for docs in (edge_docs.where("doc_id is null or doc_id <> 7"), sample_docs.where("doc_id < 100 and n_chars < 20000")):
+        got = Counter((r.doc_id, tuple(r.ids)) for r in lattice.encode_documents(docs, chunk_bytes=60_000, block_chars=9_000).collect())
+        assert got == Counter((i, tuple(brute_ids(t or "", p))) for i, t in texts(docs))
+
+
+def test_lattice_ids_of_any_type(spark):
+    docs = spark.createDataFrame([("a", "some words 漢"), (None, None), (None, "more"), ("a", "some words 漢")], "doc_id string, text string")
+    got = lattice.encode_documents(docs).select("doc_id", lattice.decode_ids(F.col("ids")).alias("t"))
+    assert Counter(map(tuple, got.collect())) == Counter([("a", "some words 漢"), (None, ""), (None, "more"), ("a", "some words 漢")])
+    some = spark.createDataFrame([(None,), ([],), ([0, 1, 2],)], "ids array<int>")
+    assert [r[0] for r in some.select(lattice.decode_ids(F.col("ids"))).collect()] == [None, "", ""]
+
+
 def test_pieces_edges(no_docs):
     assert token_counts.token_counts(no_docs).count() == 0 and lattice.encode_documents(no_docs).count() == 0
     p = pieces.load_pieces(pieces.default_model_path())
