@@ -15,7 +15,6 @@ these come back to it, and numbers are replaced by codes. So of the occurrences
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +28,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_type, to_arrow_type
 
 from ._runtime import bound_batches, shuffle_width
-from .pieces import Pieces, default_model_path, load_pieces, words_of
+from .pieces import Pieces, best_ids, default_model_path, load_pieces, words_of
 
 #: Characters of text per block, and UTF-8 bytes of text per chunk, about. A task holds the blocks of a chunk compressed, and its words with their codes.
 BLOCK_CHARS, CHUNK_BYTES = 2 << 20, 40 << 20
@@ -103,36 +102,6 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
     return grouped.select("word", "seen", fold_viterbi(F.col("edges")).cast(narrow).alias("codes"))
 
 
-def long_word_ids(word: str, pieces: Pieces) -> list[int]:
-    """Ids of the best path of a word of any length, bytes in full; the recurrence and ties of ``fold_viterbi``."""
-    ids, endings = pieces.ids, pieces.endings
-    scores, counts, starts = array("d", [0.0]), array("q", [0]), array("q", [0])
-    for end in range(1, len(word) + 1):
-        start, s = end - 1, pieces.scores.get(word[end - 1])
-        n = 1 if s is not None else len(word[start].encode("utf-8", "surrogatepass"))
-        score, count = scores[start] + (pieces.byte_score * n if s is None else s), counts[start] + n
-        for at in range(end - 2, -1, -1):
-            piece = word[at:end]
-            if piece not in endings:
-                break  # no piece ends so
-            s = endings[piece]
-            if s is not None:
-                new, k = scores[at] + s, counts[at] + 1
-                if new > score or new == score and k < count:
-                    score, count, start = new, k, at
-        scores.append(score)
-        counts.append(count)
-        starts.append(start)
-    spans, end = [], len(word)
-    while end:
-        spans.append(word[starts[end] : end])
-        end = starts[end]
-    out = []
-    for piece in reversed(spans):
-        out += [ids[piece]] if piece in ids else [pieces.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]
-    return out
-
-
 def _press(data: bytes) -> bytes:
     return zstandard.ZstdCompressor(level=3, write_content_size=True).compress(data)
 
@@ -273,7 +242,7 @@ def _joiner(path: str, id_type: pa.DataType):
             sizes[short], flat = codes.of([w for w in listed if len(w) <= LATTICE_CHARS])
             starts = np.cumsum(np.where(short, sizes, 0)) - sizes
             for k in np.flatnonzero(~short):
-                runs.append(np.array(long_word_ids(listed[k], pieces), np.int32))
+                runs.append(np.array(best_ids(listed[k], pieces), np.int32))
                 sizes[k], starts[k] = len(runs[-1]), len(flat) + sum(map(len, runs[:-1]))
             flat = np.concatenate([flat, *runs])
             at = _numbers(places.as_py())

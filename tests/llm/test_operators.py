@@ -219,33 +219,6 @@ def test_repeats_edges(edge_docs, no_docs, sample_docs):
 # -- 4 and 8 pieces -------------------------------------------------------------------------------------------------
 
 
-def brute_count(word, p):
-    best = [(0.0, 0)]
-    for end in range(1, len(word) + 1):
-        n = len(word[end - 1].encode())
-        options = [(best[end - 1][0] + p.byte_score * n, -best[end - 1][1] - n)]
-        for start in range(end):
-            s = p.scores.get(word[start:end])
-            if s is not None:
-                options.append((best[start][0] + s, -best[start][1] - 1))
-        top = max(options)
-        best.append((top[0], -top[1]))
-    return best[-1][1]
-
-
-def test_counts_and_lattice_agree(edge_docs, sample_docs):
-    p = pieces.load_pieces(pieces.default_model_path())
-    for docs in (edge_docs, sample_docs.where("doc_id < 100")):
-        counts = Counter(map(tuple, token_counts.token_counts(docs).collect()))
-        encoded = lattice.encode_documents(docs, chunk_bytes=50_000)
-        assert Counter(map(tuple, encoded.select("doc_id", F.size("ids").cast("long")).collect())) == counts
-        decoded = encoded.select("doc_id", lattice.decode_ids(F.col("ids")).alias("text"))
-        assert Counter(map(tuple, decoded.collect())) == Counter((i, t or "") for i, t in texts(docs))
-    some = texts(sample_docs.where("doc_id < 10"))
-    want = Counter((i, sum(brute_count(w, p) for w in re.findall(pieces.PRETOKEN, t))) for i, t in some)
-    assert Counter(map(tuple, token_counts.token_counts(sample_docs.where("doc_id < 10")).collect())) == want
-
-
 def brute_ids(text, p):
     """Ids over the whole text: best score, then fewest pieces, then the shortest last piece."""
     best, last = [(0.0, 0)], [0]
@@ -267,6 +240,19 @@ def brute_ids(text, p):
     return out
 
 
+def test_counts_and_lattice_agree(edge_docs, sample_docs):
+    p = pieces.load_pieces(pieces.default_model_path())
+    for docs in (edge_docs, sample_docs.where("doc_id < 100")):
+        counts = Counter(map(tuple, token_counts.token_counts(docs).collect()))
+        encoded = lattice.encode_documents(docs, chunk_bytes=50_000)
+        assert Counter(map(tuple, encoded.select("doc_id", F.size("ids").cast("long")).collect())) == counts
+        decoded = encoded.select("doc_id", lattice.decode_ids(F.col("ids")).alias("text"))
+        assert Counter(map(tuple, decoded.collect())) == Counter((i, t or "") for i, t in texts(docs))
+    some = sample_docs.where("doc_id < 60 and n_chars < 20000")
+    want = Counter((i, len(brute_ids(t, p))) for i, t in texts(some))
+    assert Counter(map(tuple, token_counts.token_counts(some).collect())) == want
+
+
 def test_ids_are_those_of_the_whole_text(edge_docs, sample_docs):
     p = pieces.load_pieces(pieces.default_model_path())
     for docs in (edge_docs.where("doc_id is null or doc_id <> 7"), sample_docs.where("doc_id < 100 and n_chars < 20000")):
@@ -287,7 +273,11 @@ def test_pieces_edges(no_docs):
     p = pieces.load_pieces(pieces.default_model_path())
     small = token_counts.CountingTrie(p, most=3)
     words = [["thing", "thin"], ["things", "thin", "x"], ["thing"]]
-    assert small.counts(words) == [sum(brute_count(w, p) for w in ws) for ws in words]
+    assert small.counts(words) == [sum(len(brute_ids(w, p)) for w in ws) for ws in words]
+    trie = token_counts.CountingTrie(p)
+    assert trie.counts([["thing"]]) == [len(brute_ids("thing", p))] and len(trie.score) == 6
+    assert trie.counts([["things"], ["thin", "漢😀thin"]]) == [len(brute_ids("things", p)), len(brute_ids("thin", p)) + len(brute_ids("漢😀thin", p))]
+    assert len(trie.score) == 7 + 6  # shared prefixes are nodes already, over batches too
 
 
 # -- 5 media --------------------------------------------------------------------------------------------------------
@@ -596,9 +586,9 @@ def test_pieces_without_cuts(spark):
         "int f(a, b) {\r\n  g();\r\n  h[i];\r\n});\r\n", "«a», b.” c… (“d”) — “e”.  f\r\r\n", "QWxhZGRpbjpvcGVuIHNlc2FtZQ" * 9, "!" * 40 + "=" * 90,
     ]
     docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
-    want = {i: brute_count(t, p) for i, t in enumerate(made)}
+    want = {i: len(brute_ids(t, p)) for i, t in enumerate(made)}
     assert (want[0], want[1]) == (201, 80)
     assert dict(map(tuple, token_counts.token_counts(docs).collect())) == want
     encoded = {r.doc_id: (r.ids, r.text) for r in lattice.encode_documents(docs).select("*", lattice.decode_ids(F.col("ids")).alias("text")).collect()}
     assert {i: len(ids) for i, (ids, _) in encoded.items()} == want and [encoded[i][1] for i in range(len(made))] == made
-    assert [encoded[i][0] for i in range(len(made))] == [lattice.long_word_ids(t, p) for t in made]
+    assert [encoded[i][0] for i in range(len(made))] == [pieces.best_ids(t, p) for t in made]
