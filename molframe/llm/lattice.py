@@ -15,6 +15,8 @@ these come back to it, and numbers are replaced by codes. So of the occurrences
 
 from __future__ import annotations
 
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +33,7 @@ from ._runtime import bound_batches, shuffle_width
 from .pieces import Pieces, best_ids, default_model_path, load_pieces, words_of
 
 #: Characters of text per block, and UTF-8 bytes of text per chunk, about. A task holds the blocks of a chunk compressed, and its words with their codes.
-BLOCK_CHARS, CHUNK_BYTES = 2 << 20, 40 << 20
+BLOCK_CHARS, CHUNK_BYTES = 4 << 20, 32 << 20
 #: Longer words are folded where they stand; an edge's end and start are written in _PLACE_BITS each.
 LATTICE_CHARS, _PLACE_BITS = 64, 8
 _PLACES = 1 << _PLACE_BITS
@@ -52,14 +54,14 @@ def lattice_edges(words: DataFrame, table: DataFrame, pieces: Pieces) -> DataFra
 
     A substring that is a piece is an edge with its id, a character that is none one with minus its number of bytes.
     """
-    n = F.char_length("word")
-    starts = words.select("word", "seen", F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
-    spans = starts.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), n - F.col("start")))).alias("size"))
-    spans = spans.withColumn("piece", F.substring("word", F.col("start") + 1, F.col("size")))
+    # in the order in which edges are folded, so that sorting them finds them sorted
+    ends = words.select("word", "seen", F.explode(F.sequence(F.lit(1), F.char_length("word"))).alias("end"))
+    spans = ends.select("*", F.explode(F.sequence(F.least(F.lit(pieces.longest), F.col("end")), F.lit(1), F.lit(-1))).alias("size"))
+    spans = spans.withColumn("piece", F.substring("word", F.col("end") - F.col("size") + 1, F.col("size")))
     edges = spans.join(F.broadcast(table), "piece", "left").where("id is not null or size = 1")
     size = F.octet_length("piece")
     edge = F.struct(
-        ((F.col("start") + F.col("size")) * _PLACES + F.col("start")).alias("k"), F.coalesce("score", size * pieces.byte_score).alias("s"),
+        (F.col("end") * _PLACES + F.col("end") - F.col("size")).alias("k"), F.coalesce("score", size * pieces.byte_score).alias("s"),
         F.when(F.col("id").isNull(), -size).otherwise(-1).alias("m"), F.coalesce("id", -size).alias("id"),
     )
     return edges.select("word", "seen", edge.alias("edge"))
@@ -127,11 +129,11 @@ def _blocks_of(path: str, chunks: int, most: int):
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(ids, chunk, sizes, words, ends, places): texts as numbers of the block's words, commonest first."""
         find, part = words_of(path), TaskContext.get().partitionId() * 0x9E3779B1
-        ids, sizes, numbers, places, held, count = [], [], {}, [], 0, 0
+        ids, sizes, numbers, places, held, count = [], [], {}, array("I"), 0, 0
 
         def block() -> pa.RecordBatch:
             nonlocal ids, sizes, numbers, places, held, count
-            at = np.array(places, np.int64)
+            at = np.frombuffer(places, np.uint32) if places else np.zeros(0, np.uint32)
             order = np.argsort(-np.bincount(at, minlength=len(numbers)), kind="stable")
             rank = np.empty(len(order), np.int64)
             rank[order] = np.arange(len(order))
@@ -141,14 +143,14 @@ def _blocks_of(path: str, chunks: int, most: int):
             row = [(part + count) % chunks, sizes, _press("".join(words).encode("utf-8", "surrogatepass")), _packed_numbers(ends), _packed_numbers(rank[at])]
             whole = pa.concat_arrays(ids)
             lists = pa.ListArray.from_arrays(pa.array([0, len(whole)], pa.int32()), whole)
-            ids, sizes, numbers, places, held, count = [], [], {}, [], 0, count + 1
+            ids, sizes, numbers, places, held, count = [], [], {}, array("I"), 0, count + 1
             return pa.RecordBatch.from_arrays([lists, *(pa.array([x], k) for x, (_, k) in zip(row, _BLOCK))], names=["ids", *(n for n, _ in _BLOCK)])
 
         for batch in batches:
             for k, text in enumerate(batch.column(1)):
                 text = text.as_py()
                 found = find(text)
-                places += [numbers.setdefault(w, len(numbers)) for w in found]
+                places.extend([numbers.setdefault(w, len(numbers)) for w in found])
                 ids.append(batch.column(0).slice(k, 1))
                 sizes.append(len(found))
                 held += len(text)
@@ -172,7 +174,7 @@ def _needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, packed, ends in zip(*(batch.column(c).to_pylist() for c in ("chunk", "words", "ends"))):
             words.setdefault(chunk, set()).update(_words_in(packed, ends))
     for chunk, found in words.items():
-        listed = [w for w in found if len(w) <= LATTICE_CHARS]
+        listed = sorted(w for w in found if len(w) <= LATTICE_CHARS)  # neighbours alike shuffle small
         for at in range(0, len(listed), 50_000):
             part = listed[at : at + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(part), pa.int64()), pa.array(part, pa.string())], names=["chunk", "word"])
@@ -273,13 +275,15 @@ def encode_documents(
     chunks = max(1, -(-(plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // chunk_bytes))
     kind = plain.schema["doc_id"].dataType
     fields = [T.StructField("ids", T.ArrayType(kind)), *(T.StructField(n, from_arrow_type(k)) for n, k in _BLOCK)]
-    dealt = plain.mapInArrow(_blocks_of(path, chunks, block_chars), T.StructType(fields)).repartition(chunks, "chunk")
+    # more partitions than chunks, so that few get several
+    dealt = plain.mapInArrow(_blocks_of(path, chunks, block_chars), T.StructType(fields)).repartition(4 * chunks, "chunk")
     width = max(chunks, shuffle_width(docs.sparkSession))
     needed = dealt.mapInArrow(_needed, "chunk long, word string").repartition(width, "word")
     # a chunk rides along with each word so that both uses of ``needed`` read one and the same shuffle
     coded = encode_words(needed.groupBy("word").agg(F.min("chunk").alias("seen")), pieces)
-    sent = needed.join(coded.hint("merge"), "word").select(F.when(F.col("seen") >= 0, F.col("chunk")).alias("of"), "word", "codes")
-    sent = sent.repartition(chunks, "of")
+    # a partition of words is as small as a chunk's, so its codes can be held; neither side is small enough for a broadcast
+    sent = needed.join(coded.hint("shuffle_hash"), "word").select(F.when(F.col("seen") >= 0, F.col("chunk")).alias("of"), "word", "codes")
+    sent = sent.repartition(4 * chunks, "of")
     result = T.StructType([T.StructField("doc_id", kind), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     return dealt.groupBy("chunk").cogroup(sent.groupBy("of")).applyInArrow(_joiner(path, to_arrow_type(kind)), result)
 
@@ -287,7 +291,16 @@ def encode_documents(
 def decode_ids(ids: Column, model_path: str | None = None) -> Column:
     """Text of an array of ids; null for null. Bytes that are no UTF-8 are replaced; ids that stand for no text add nothing."""
     pieces = load_pieces(model_path or default_model_path())
-    names = {i: p.encode() for p, i in pieces.ids.items()} | {i: bytes([b]) for b, i in enumerate(pieces.bytes)}
-    text = ",".join(names.get(i, b"").hex() for i in range(max(names) + 1))
-    table = F.split(F.lit(text), ",")  # folded into one literal
-    return F.make_valid_utf8(F.unhex(F.array_join(F.transform(ids, lambda i: F.get(table, i)), "")).cast("string"))
+    words = {i: p.encode() for p, i in pieces.ids.items()}
+    raw = {i: bytes([b]) for b, i in enumerate(pieces.bytes)}
+    first = max(raw, default=-1) + 1  # ids from here on are all text
+
+    def table(names: dict[int, bytes]) -> Column:
+        return F.split(F.lit(",".join(names.get(i, b"").hex() for i in range(max(names, default=0) + 1))), ",")  # folded into one literal
+
+    spelt = F.unhex(F.array_join(F.transform(ids, lambda i: F.get(table(words | raw), i)), "")).cast("string")
+    marks = "".join(words.get(i, b"").decode() for i in range(first, max(words, default=0) + 1))
+    mark = next(chr(c) for c in range(1, 0x110000) if chr(c) not in marks)
+    plain = F.split(F.lit(mark.join(words.get(i, b"").decode() for i in range(max(words, default=0) + 1))), f"[{re.escape(mark)}]")
+    text = F.array_join(F.transform(ids, lambda i: F.get(plain, i)), "")
+    return F.when(F.array_min(ids) >= first, text).otherwise(F.make_valid_utf8(spelt))
