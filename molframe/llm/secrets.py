@@ -1,20 +1,22 @@
 """Secret scans: fixed patterns, and character Markov models of random strings against ordinary identifiers.
 
 Two first-order models over the same alphabet give every transition a log-likelihood ratio; a token's score is the sum
-over its transitions. The models are trained from labelled samples (text, is_random) by counting transitions in Spark;
-what reaches the driver is one table of alphabet x alphabet counts. Everything runs on built-in functions.
+over its transitions. The models are trained from labelled samples (text, is_random): what the fixed patterns find in
+the corpus against the words of the corpus, with samples made by rule beside them. A part of the samples is held out, and
+from it come the thresholds, with the precision and recall that they have there. Transitions are counted in Spark; what reaches
+the driver is one table of alphabet x alphabet counts and one of scores in steps. Everything runs on built-in functions.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._runtime import bounded_sample
+from ._runtime import bounded_sample, settle
 
 # The base patterns, in the order in which spans of equal start are listed, and their least lengths.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -23,14 +25,24 @@ HEX = r"[0-9a-f]+"
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 12, 18, 16
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-TOKEN_LEAST = 20
+#: Shorter tokens hold too few transitions to be told from names; only the fixed patterns find secrets in them.
+TOKEN_LEAST = 12
 TOKEN = r"[A-Za-z0-9+/_=-]{%d,}" % TOKEN_LEAST
-#: Documents whose words train the model of ordinary strings, at most (chosen by a hash of id and text).
+#: Parts of a token between the marks of paths and assignments.
+PART = r"[A-Za-z0-9+_-]{%d,}" % TOKEN_LEAST
+MIXED = r"(?=[A-Za-z0-9+/_=-]{%d,})[A-Za-z0-9+_-]*[/=]" % (TOKEN_LEAST + 1)
+#: Documents, of those with a base span and of all, whose strings train the models, at most (chosen by a hash of id and text).
 TRAINING_DOCUMENTS = 2000
 #: Random strings made for training, per kind.
 RANDOM_STRINGS = 2000
-#: A token counts as random from this mean log-likelihood ratio per transition on, and this sum.
-MEAN_RATIO, SUM_RATIO = 0.5, 16.0
+#: One sample in so many is held out for the thresholds.
+HELD_OUT = 4
+#: Share of the held-out tokens above the thresholds that must be random.
+PRECISION = 0.999
+#: Steps in which thresholds are sought, of the mean ratio per transition and of the sum; a token needs both.
+MEAN_STEP, SUM_STEP = 0.05, 1.0
+#: The thresholds are these at least; a sum of 16 means odds of nine million to one.
+MEAN_LEAST, SUM_LEAST = 0.2, 16.0
 
 _STEMS = (
     "account address array async auth backup base batch block buffer build cache call channel check class client code "
@@ -49,11 +61,12 @@ def _hits(text: Column, pattern: str, group: int = 0) -> Column:
 def _spans(text: Column, kind: str, rank: int, pattern: str, kept) -> Column:
     """Array of (start, rank, end, kind, hit) for the leftmost non-overlapping hits for which ``kept(hit)`` holds.
 
-    Gaps between hits and hits themselves alternate, so their lengths give the places, in code points.
+    Gaps between hits and hits themselves alternate, so their lengths give the places, in code points. Hits are gone through
+    in runs, for an appended array is copied: so the work is far from the square of their number.
     """
     gaps, hits = F.split(text, pattern, -1), _hits(text, pattern)
     both = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,hit:string>>").alias("out"))
+    none = F.array().cast(f"array<{_SPAN}>")
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + F.char_length(x["gap"])
@@ -61,14 +74,35 @@ def _spans(text: Column, kind: str, rank: int, pattern: str, kept) -> Column:
         one = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), x["hit"].alias("hit"))
         return F.struct(end.alias("at"), F.when(x["hit"].isNotNull() & kept(x["hit"]), F.array_append(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(both, start, step, lambda acc: acc["out"])
+    def of_pairs(pairs: Column) -> Column:
+        def run(acc: Column, first: Column) -> Column:
+            done = F.aggregate(F.slice(pairs, first, _RUN), F.struct(acc["at"].alias("at"), none.alias("out")), step)
+            return F.struct(done["at"].alias("at"), F.array_append(acc["runs"], done["out"]).alias("runs"))
+
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{_SPAN}>>").alias("runs"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(pairs), F.lit(_RUN)), begin, run, lambda acc: F.flatten(acc["runs"]))
+
+    return F.get(F.transform(F.array(both), of_pairs), F.lit(0))
+
+
+_SPAN = "struct<start:int,rank:int,end:int,kind:string,hit:string>"
+#: Hits in a run.
+_RUN = 512
 
 
 @dataclass(frozen=True)
 class MarkovRatio:
-    """Log-likelihood ratios of transitions, row-major over ALPHABET; positive speaks for a random string."""
+    """Log-likelihood ratios of transitions, row-major over ALPHABET; positive speaks for a random string.
+
+    A token is random from ``least_mean`` per transition and ``least_sum`` on; ``precision`` and ``recall`` are those of this
+    rule over the held-out samples, null where nothing was held out.
+    """
 
     table: tuple[float, ...]
+    least_mean: float = 0.5
+    least_sum: float = SUM_LEAST
+    precision: float | None = None
+    recall: float | None = None
 
     def score(self, token: Column) -> Column:
         """Sum of the ratios over the transitions of ``token`` (characters of ALPHABET only)."""
@@ -106,22 +140,33 @@ def random_strings(spark: SparkSession, per_kind: int = RANDOM_STRINGS) -> DataF
     return spark.range(per_kind).select(F.explode(kinds).alias("text"), F.lit(True).alias("is_random"))
 
 
-def corpus_words(docs: DataFrame, id_col="doc_id", text_col="text", most: int = TRAINING_DOCUMENTS) -> DataFrame:
-    """Labelled samples: the all-letter words of ``most`` documents chosen by hash, as ordinary strings."""
+def corpus_samples(docs: DataFrame, id_col="doc_id", text_col="text", most: int = TRAINING_DOCUMENTS) -> DataFrame:
+    """Labelled samples of the corpus: what the base patterns find is random, words and names elsewhere are ordinary.
+
+    Both come from ``most`` documents at most, chosen by hash: of those with a base span, and of all.
+    """
     plain = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    chosen = bounded_sample(plain, ["id", "text"], most)
-    words = F.explode(F.regexp_extract_all("text", F.lit("(?<![A-Za-z0-9])[A-Za-z]{6,64}(?![A-Za-z0-9])"), F.lit(0)))
-    return chosen.select(words.alias("text"), F.lit(False).alias("is_random"))
+    with_span = plain.where(F.col("text").rlike(_GATE) | F.contains("text", F.lit("AKIA")) | F.col("text").rlike(_LONG_HEX))
+    value = lambda s: F.when(s["kind"] == "assign", F.regexp_extract(s["hit"], ASSIGN, 2)).otherwise(s["hit"])
+    found = bounded_sample(with_span, ["id", "text"], most).select(F.explode(F.transform(base_spans(F.col("text")), value)).alias("text"))
+    # what follows a base pattern is cut out before words are taken
+    rest = F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), f"{ACCESS}|{_LONG_HEX}", " ")
+    words = F.explode(F.regexp_extract_all(rest, F.lit("(?<![A-Za-z0-9+/_=-])[A-Za-z]+(?:[_-][A-Za-z]+)*(?![A-Za-z0-9+/_=-])"), F.lit(0)))
+    ordinary = bounded_sample(plain, ["id", "text"], most).select(words.alias("text")).where("length(text) between 6 and 64")
+    return found.select("text", F.lit(True).alias("is_random")).unionByName(ordinary.select("text", F.lit(False).alias("is_random")))
+
+
+def _codes(text: Column) -> Column:
+    return F.transform(F.split(text, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
 
 
 def train_markov(samples: DataFrame) -> MarkovRatio:
     """Counts transitions of labelled samples (text, is_random); add-one smoothing; null labels and texts are left out."""
     size = len(ALPHABET)
-    codes = F.transform(F.split("text", ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
     pairs = F.explode(F.zip_with("codes", F.slice("codes", 2, F.size("codes")), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
     counted = (
         samples.where("text is not null and text <> '' and is_random is not null")
-        .select("is_random", codes.alias("codes"))
+        .select("is_random", _codes(F.col("text")).alias("codes"))
         .select("is_random", pairs.alias("p"))
         .where("p.a >= 0 and p.b >= 0")
         .groupBy("is_random", "p.a", "p.b")
@@ -133,48 +178,82 @@ def train_markov(samples: DataFrame) -> MarkovRatio:
         counts[r["is_random"]][r["a"] * size + r["b"]] += r["count"]
     logs = {}
     for label, c in counts.items():
+        # each label's transitions weigh as one, however many samples it has
         rows = [math.log(sum(c[i * size : (i + 1) * size])) for i in range(size)]
         logs[label] = [math.log(n) - rows[i // size] for i, n in enumerate(c)]
     return MarkovRatio(tuple(a - b for a, b in zip(logs[True], logs[False])))
 
 
+def fit_thresholds(model: MarkovRatio, samples: DataFrame, precision: float = PRECISION) -> MarkovRatio:
+    """``model`` with the thresholds that find the most random samples at the wanted precision, and with their figures.
+
+    Only samples of TOKEN_LEAST characters and more count. Without such samples of both labels the model stays as it is.
+    """
+    tokens = samples.where(F.col("is_random").isNotNull() & F.col("text").rlike(f"^{TOKEN}$")).select(
+        "is_random", model.score(F.col("text")).alias("s"), (F.char_length("text") - 1).alias("n")
+    )
+    mean, total = F.floor(F.col("s") / F.col("n") / MEAN_STEP).cast("int"), F.floor(F.col("s") / SUM_STEP).cast("int")
+    capped = lambda c, most: F.greatest(F.lit(-1), F.least(c, F.lit(most)))
+    cells = tokens.groupBy("is_random", capped(mean, 100).alias("mean"), capped(total, 200).alias("sum")).count().collect()  # one row per cell
+    all_random = sum(r["count"] for r in cells if r["is_random"])
+    if not all_random or all_random == sum(r["count"] for r in cells):
+        return model
+    best = None
+    for m in range(math.ceil(MEAN_LEAST / MEAN_STEP), 101):
+        inside = [r for r in cells if r["mean"] >= m]
+        for t in range(math.ceil(SUM_LEAST / SUM_STEP), 65, 2):
+            hits = sum(r["count"] for r in inside if r["is_random"] and r["sum"] >= t)
+            wrong = sum(r["count"] for r in inside if not r["is_random"] and r["sum"] >= t)
+            if hits and hits >= precision * (hits + wrong) and (best is None or hits > best[0]):
+                best = hits, m * MEAN_STEP, t * SUM_STEP, hits / (hits + wrong)
+    if best is None:
+        return model
+    return replace(model, least_mean=best[1], least_sum=best[2], precision=best[3], recall=best[0] / all_random)
+
+
 def default_model(docs: DataFrame, id_col="doc_id", text_col="text") -> MarkovRatio:
+    """Trained on the samples of the corpus and those made by rule; thresholds from the held-out ones among them."""
     spark = docs.sparkSession
-    return train_markov(
-        ordinary_identifiers(spark).unionByName(random_strings(spark)).unionByName(corpus_words(docs, id_col, text_col))
-    )
+    samples = ordinary_identifiers(spark).unionByName(random_strings(spark)).unionByName(corpus_samples(docs, id_col, text_col))
+    samples = settle(samples.where("text <> ''"))  # used twice
+    back = F.pmod(F.xxhash64("text"), F.lit(HELD_OUT)) == 0
+    return fit_thresholds(train_markov(samples.where(~back)), samples.where(back))
+
+
+_GATE = ASSIGN.replace("=-]+)", "=-]{%d})" % ASSIGN_LEAST)
+#: A run that is too short holds no run that is long enough, so the least length may stand in the pattern.
+_LONG_HEX = HEX.replace("+", "{%d,}" % HEX_LEAST)
+
+
+def base_spans(text: Column) -> Column:
+    """Array of (start, rank, end, kind, hit) of the fixed patterns, kind by kind."""
+    none = F.array().cast(f"array<{_SPAN}>")
+    value = lambda hit: F.regexp_extract(hit, ASSIGN, 2)
+    assign = F.when(text.rlike(_GATE), _spans(text, "assign", 0, ASSIGN, lambda h: F.char_length(value(h)) >= ASSIGN_LEAST)).otherwise(none)
+    access = F.when(F.contains(text, F.lit("AKIA")), _spans(text, "access", 1, ACCESS, lambda h: F.char_length(h) >= ACCESS_LEAST)).otherwise(none)
+    hexes = F.when(text.rlike(_LONG_HEX), _spans(text, "hex", 2, _LONG_HEX, lambda h: F.lit(True))).otherwise(none)
+    return F.concat(assign, access, hexes)
 
 
 def secret_spans(text: Column, model: MarkovRatio) -> Column:
     """Array of (start, rank, end, kind, hit): base spans and, apart from those, tokens that the model finds random.
 
-    Sorted by start, then in the order assign, access, hex, markov. Places are code points, the end exclusive.
+    Tokens have TOKEN_LEAST characters at least. Where one that is not random as a whole holds the marks of paths or
+    assignments, its parts are judged too. Sorted by start, then in the order assign, access, hex, markov. Places are code
+    points, the end exclusive.
     """
-    none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,hit:string>>")
-    value = lambda hit: F.regexp_extract(hit, ASSIGN, 2)
-    gate = ASSIGN.replace("=-]+)", "=-]{%d})" % ASSIGN_LEAST)
-    assign = F.when(
-        text.rlike(gate), _spans(text, "assign", 0, ASSIGN, lambda h: F.char_length(value(h)) >= ASSIGN_LEAST)
-    ).otherwise(none)
-    # a run that is too short holds no run that is long enough, so the least length may stand in the pattern
-    access = F.when(
-        F.contains(text, F.lit("AKIA")), _spans(text, "access", 1, ACCESS, lambda h: F.char_length(h) >= ACCESS_LEAST)
-    ).otherwise(none)
-    long_hex = HEX.replace("+", "{%d,}" % HEX_LEAST)
-    hexes = F.when(text.rlike(long_hex), _spans(text, "hex", 2, long_hex, lambda h: F.lit(True))).otherwise(none)
-    base = F.concat(assign, access, hexes)
+    none = F.array().cast(f"array<{_SPAN}>")
 
     def random(hit: Column) -> Column:
         score = model.score(hit)
-        return F.get(F.transform(F.array(score), lambda s: (s >= SUM_RATIO) & (s >= MEAN_RATIO * (F.char_length(hit) - 1))), F.lit(0))
+        return F.get(F.transform(F.array(score), lambda s: (s >= model.least_sum) & (s >= model.least_mean * (F.char_length(hit) - 1))), F.lit(0))
 
     tokens = F.when(text.rlike(TOKEN), _spans(text, "markov", 3, TOKEN, random)).otherwise(none)
-
-    def joined(known: Column) -> Column:
-        fresh = F.filter(tokens, lambda t: ~F.exists(known, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-        return F.sort_array(F.concat(known, fresh))
-
-    return F.get(F.transform(F.array(base), joined), F.lit(0))
+    parts = F.when(text.rlike(MIXED), _spans(text, "markov", 3, PART, random)).otherwise(none)
+    apart = lambda new, known: F.filter(new, lambda t: ~F.exists(known, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    let = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+    whole = let(base_spans(text), lambda known: F.concat(known, apart(tokens, known)))
+    return let(whole, lambda known: F.sort_array(F.concat(known, apart(parts, known))))
 
 
 def _listed(spans: Column) -> Column:
