@@ -2,9 +2,10 @@
 
 Signals of every text are computed once, inside the row. Their distributions per (language, source) are kept as
 quantile sketches: counts over logarithmic value buckets, so that a quantile has a bounded relative error, sketches
-merge by adding counts, and the result does not depend on the order of rows. A sketch with too few rows is merged with
-the other sources of its language, and a language with too few rows with the whole corpus. Fences are placed beyond
-the quartiles of the sketch and joined back to the documents.
+merge by adding counts, and the result does not depend on the order of rows. Fences are placed beyond the quartiles of a
+sketch. Those of a (language, source) are drawn towards those of the language, and these towards the corpus's, as if a
+fixed number of rows there had been added, so that small groups borrow and large ones stand for themselves, with no
+size at which the rule changes. They are joined back to the documents.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ SYMBOLS = "#*$%&|<>"
 GAMMA = 1.02
 #: Values below this share one bucket.
 TINY = 1e-6
-#: A sketch stands for itself from so many rows on.
-MIN_ROWS = 200
+#: Rows that the larger group counts for when a group's fences are drawn towards its own.
+PRIOR_ROWS = 200
 #: Fences lie this many interquartile ranges beyond the quartiles.
 REACH = 3.0
 #: Signal: (least interquartile range that counts, whether low values fail too).
@@ -137,19 +138,20 @@ def _fences(sketches: DataFrame, keys: list[str]) -> DataFrame:
     return wide.groupBy(*keys).agg(F.max("total").alias("rows"), *[pick(s, c) for s in SIGNALS for c in ("low", "high")])
 
 
-def thresholds(sketches: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
-    """Fences per (lang, source): its own, its language's or the corpus's, the first with ``min_rows`` rows."""
+def thresholds(sketches: DataFrame, prior_rows: int = PRIOR_ROWS) -> DataFrame:
+    """Fences per (lang, source), drawn towards its language's, which are drawn towards the corpus's."""
     own, by_lang, whole = (_fences(sketches, k) for k in (["lang", "source"], ["lang"], []))
     names = [f"{s}_{c}" for s in SIGNALS for c in ("low", "high")]
     rename = lambda df, p: df.select(*[F.col(c).alias(p + c) for c in df.columns])
     lang, corpus = rename(by_lang, "l_"), rename(whole, "c_")  # corpus: one row
     both = own.join(lang, own["lang"].eqNullSafe(lang["l_lang"])).crossJoin(F.broadcast(corpus))
-    chosen = lambda c: F.when(F.col("rows") >= min_rows, F.col(c)).when(F.col("l_rows") >= min_rows, F.col(f"l_{c}")).otherwise(F.col(f"c_{c}"))  # noqa: E731, E501
-    return both.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), *[chosen(c).alias(c) for c in names])
+    drawn = lambda rows, mine, theirs: (F.col(rows) * F.col(mine) + prior_rows * theirs) / (F.col(rows) + prior_rows)
+    fence = lambda c: drawn("rows", c, drawn("l_rows", f"l_{c}", F.col(f"c_{c}")))
+    return both.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), *[fence(c).alias(c) for c in names])
 
 
 def quality_rules(
-    docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", source_col="source", min_rows: int = MIN_ROWS
+    docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", source_col="source", prior_rows: int = PRIOR_ROWS
 ) -> DataFrame:
     """Counts, base verdict and adaptive verdict of every row of ``docs``.
 
@@ -159,7 +161,7 @@ def quality_rules(
     empty table gives no rows. Only the named columns are read, so other columns may have any name.
     """
     rated = settle(_with_ratios(text_signals(docs, id_col, text_col, lang_col, source_col)))
-    fences = thresholds(sketch(rated), min_rows)
+    fences = thresholds(sketch(rated), prior_rows)
     joined = rated.join(
         fences, rated["lang"].eqNullSafe(fences["t_lang"]) & rated["source"].eqNullSafe(fences["t_source"]), "left"
     )
