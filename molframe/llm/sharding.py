@@ -142,8 +142,10 @@ def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
         F.crc32(body).alias("text_crc32"),
         # a prefix keeps null apart from the empty text
         F.unhex(F.sha2(F.when(raw.isNull(), F.lit(b"n")).otherwise(F.concat(F.lit(b"t"), body)), 256)).alias("digest"),
-        F.pmod(F.xxhash64(F.col(id_col)), F.lit(salts)).cast("int").alias("salt"),
+        F.monotonically_increasing_id().alias("row"),
     )
+    # texts are read once; rows keep the number that they are written with, so copies of a text part whatever their ids
+    rows = settle(rows).withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int"))
     cells = rows.groupBy("digest", "salt").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
     groups = cells.groupBy("digest").agg(F.sum("n").alias("g_rows"), F.sum("bytes").alias("g_bytes"))
     bucket = F.shiftright(F.conv(F.hex(F.substring("digest", 1, 2)), 16, 10).cast("int"), 16 - BUCKET_BITS)
@@ -168,7 +170,7 @@ def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
         "shard",
         (F.col("group_slot") + F.coalesce(F.sum("n").over(before), F.lit(0))).alias("base"),
     )
-    inside = Window.partitionBy("digest", "salt").orderBy("doc_id")
+    inside = Window.partitionBy("digest", "salt").orderBy("doc_id", "row")
     return (
         rows.withColumn("nth", F.row_number().over(inside) - 1)
         .join(bases, ["digest", "salt"])
