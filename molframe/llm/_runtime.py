@@ -97,11 +97,11 @@ def text_key(text: Column) -> Column:
     return F.substring(F.unhex(F.sha2(text_bytes(text), 256)), 1, 16)
 
 
-def bounded_sample(df: DataFrame, keys: list[str], most: int, within: str | None = None) -> DataFrame:
+def bounded_sample(df: DataFrame, keys: list[str], most: int, within: str | None = None, values: int = 256) -> DataFrame:
     """At most ``most`` rows of ``df`` (of each value of ``within``), the first by a hash of ``keys``.
 
     A count fixes a bound on the hash that about twice as many rows keep to, so only those are ever moved or sorted.
-    With ``within``, its values must be few: their counts come to the driver.
+    Of the values of ``within`` the ``values`` with the most rows take part; their counts come to the driver.
     """
     span = 1 << 62
     order = F.shiftrightunsigned(F.xxhash64(*keys), 2)
@@ -109,7 +109,7 @@ def bounded_sample(df: DataFrame, keys: list[str], most: int, within: str | None
     if within is None:
         bound = F.lit(share(df.count()))
     else:
-        counts = df.groupBy(within).count().collect()
+        counts = df.groupBy(within).count().orderBy(F.desc("count"), within).limit(values).collect()
         if not counts:
             return df
         bound = F.create_map(*[F.lit(x) for r in counts for x in (r[within], share(r["count"]))])[F.col(within)]

@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 from ._runtime import bound_batches, bounded_sample
 
 SLOTS = 1 << 14
-#: Labelled texts per language that training may use.
-PER_LANGUAGE = 400
+#: Labelled texts per language, and languages (those with the most labelled texts), that training may use.
+PER_LANGUAGE, LANGUAGES = 400, 256
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.5, 1.0, 1e-4, 1e-4
 UNDETERMINED = "und"
 #: Characters hashed at a time; it bounds memory, not the text.
@@ -104,17 +104,22 @@ class LanguageModel:
         return self.languages[best], float(p[best])
 
 
-def train(texts: list[str], labels: list[str], epochs: int = EPOCHS, l1: float = L1, l2: float = L2, slots: int = SLOTS) -> LanguageModel:
-    """Follow-the-regularised-leader (proximal, per-coordinate rates) over the labelled texts, in a fixed order.
-
-    Every fifth text is held back for the temperature. Without usable texts the model knows no language.
-    """
+def train(texts: list[str], labels: list[str], **options) -> LanguageModel:
+    """``fit`` over texts; without usable ones the model knows no language."""
     rows = []
     for t, y in zip(texts, labels):
-        counts = ngram_counts(t, slots) if y is not None and t else None
+        counts = ngram_counts(t, options.get("slots", SLOTS)) if y is not None and t else None
         if counts is not None:
             at = np.flatnonzero(counts)
             rows.append((at, counts[at], y))
+    return fit(rows, **options)
+
+
+def fit(rows: list[tuple[np.ndarray, np.ndarray, str]], epochs: int = EPOCHS, l1: float = L1, l2: float = L2, slots: int = SLOTS) -> LanguageModel:
+    """Follow-the-regularised-leader (proximal, per-coordinate rates) over rows (slots, counts, label), in a fixed order.
+
+    Every fifth row is held back for the temperature. Without rows the model knows no language.
+    """
     languages = tuple(sorted({y for *_, y in rows}))
     if not rows:
         return LanguageModel((), np.zeros(slots), np.zeros((slots, 0)), 1.0)
@@ -154,16 +159,34 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+_COUNTED = T.StructType([T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("n", T.ArrayType(T.LongType()))])
+
+
+def _counted(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for texts in parts:
+        rows = []
+        for t in texts:
+            counts = ngram_counts(t)
+            at = np.flatnonzero(counts) if counts is not None else np.zeros(0, np.int64)
+            rows.append((at.astype(np.int32), counts[at] if len(at) else at))
+        yield pd.DataFrame(rows, columns=_COUNTED.names)
+
+
 def fit_language_model(
-    docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", per_language: int = PER_LANGUAGE
+    docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", per_language: int = PER_LANGUAGE, languages: int = LANGUAGES
 ) -> LanguageModel:
-    """Trains on at most ``per_language`` texts of each language, chosen by hash among rows not held out."""
+    """Trains on at most ``per_language`` texts of each language, chosen by hash among rows not held out.
+
+    If there are more than ``languages`` languages, those with the most labelled texts are learned. Whole texts are counted
+    where they lie; the driver gets their counts, SLOTS at most for each, and no text.
+    """
     bound_batches(docs.sparkSession)
     labelled = docs.where(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     plain = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(id_col).alias("id"))
-    sample = bounded_sample(plain, ["id", "text"], per_language, within="lang").select("lang", "text").collect()
-    sample.sort(key=lambda r: (r["lang"], r["text"]))
-    return train([r["text"] for r in sample], [r["lang"] for r in sample])
+    sample = bounded_sample(plain, ["id", "text"], per_language, within="lang", values=languages)
+    counted = sample.select("lang", F.xxhash64("text").alias("h"), F.pandas_udf(_counted, _COUNTED)("text").alias("c")).collect()
+    counted.sort(key=lambda r: (r["lang"], r["h"]))
+    return fit([(np.array(r["c"]["at"]), np.array(r["c"]["n"]), r["lang"]) for r in counted if r["c"]["at"]])
 
 
 _RESULT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])

@@ -69,8 +69,10 @@ def test_shards_are_minimax(sample_docs):
     assert (got.groupby(["text_crc32", "size"]).shard.nunique() == 1).all()
 
 
-def test_shards_edges(edge_docs, no_docs):
+def test_shards_edges(spark, edge_docs, no_docs):
     check_shards(edge_docs, 5)
+    same = spark.createDataFrame([(None, "one text")] * 40 + [(7, "one text")] * 40 + [(8, None), (8, None)], "doc_id long, text string")
+    check_shards(same, 3)
     assert sharding.shard_documents(no_docs).count() == 0
 
 
@@ -371,6 +373,48 @@ def test_secrets(spark, edge_docs, sample_docs, no_docs):
     cleaned = {r.doc_id: r.t for r in clean.collect()}
     assert cleaned[4] == "key <markov-redacted> end" and cleaned[2] == "<assign-redacted>' 漢😀 <assign-redacted>"
     assert secrets.scan_secrets(no_docs).count() == 0
+    assert model.precision >= secrets.PRECISION and model.recall > 0.8, (model.precision, model.recall)
+
+
+def markov_spans(text, model):
+    """The model's spans by a loop over characters."""
+    size, at = len(secrets.ALPHABET), {c: k for k, c in enumerate(secrets.ALPHABET)}
+
+    def random(token):
+        score = sum(float(f"{model.table[at[a] * size + at[b]]:.6f}") for a, b in itertools.pairwise(token))
+        return score >= model.least_sum and score >= model.least_mean * (len(token) - 1)
+
+    def found(pattern):
+        return [(m.start(), m.end()) for m in re.finditer(pattern, text) if random(m[0])]
+
+    known = [(m.start(g and 0), m.end()) for _, p, g, n in BASE for m in p.finditer(text) if len(m[g]) >= n]
+    out = []
+    for pattern in (r"[A-Za-z0-9+/_=-]{12,}", r"[A-Za-z0-9+_-]{12,}"):
+        new = [(a, b) for a, b in found(pattern) if not any(x < b and a < y for x, y in known)]
+        known, out = known + new, out + new
+    return sorted(out)
+
+
+def test_markov_spans_by_brute_force(spark, edge_docs, sample_docs):
+    model = secrets.default_model(sample_docs)
+    planted = ["path/to/some/file/Zx8Qv3kP0wLr7TnB2yHc and more", "id=q9Xk2VbT7mZpL0w next", "g" * 40, "Zx8Qv3kP0wLr7TnB2yHc " * 1500, "x/y " * 10]
+    extra = spark.createDataFrame(list(enumerate(planted)), "doc_id long, text string")
+    for docs in (edge_docs.where("doc_id is null or doc_id <> 7"), sample_docs, extra):
+        got = Counter((r.doc_id, tuple((s.start, s.end) for s in r.found if s.kind == "markov")) for r in secrets.scan_secrets(docs, model).collect())
+        assert got == Counter((i, tuple(markov_spans(t or "", model))) for i, t in texts(docs))
+    spans = {r.doc_id: r.spans for r in secrets.scan_secrets(extra, model).collect()}
+    assert "markov" in spans[0] and spans[3].count("markov") == 1500 and spans[2] == ""
+
+
+def test_thresholds_come_from_held_out_samples(spark, no_docs):
+    r = random.Random(6)
+    letters = lambda n, of: "".join(r.choice(of) for _ in range(n))
+    rows = [(letters(30, secrets.ALPHABET[:62]), True) for _ in range(400)] + [(prose(k, 3).replace(" ", "_")[:-1], False) for k in range(400)]
+    samples = spark.createDataFrame([*rows, (None, True), ("", False), ("x" * 20, None)], "text string, is_random boolean")
+    model = secrets.fit_thresholds(secrets.train_markov(samples), samples)
+    assert model.precision >= secrets.PRECISION and model.recall > 0.95
+    assert secrets.fit_thresholds(model, samples.where("is_random")) == model
+    assert secrets.default_model(no_docs).recall is not None  # rule-made samples are always there
 
 
 # -- 7 quality ------------------------------------------------------------------------------------------------------
@@ -411,9 +455,56 @@ def test_sketches_merge(spark):
     r = np.random.default_rng(2)
     rows = [("en", f"s{k % 3}", 1, *[float(x)] * 4) for k, x in enumerate(r.lognormal(1, 0.5, 6000))]
     rated = spark.createDataFrame(rows, "lang string, source string, n_words int, " + ", ".join(f"{s} double" for s in quality.SIGNALS))
-    row = quality.thresholds(quality.sketch(rated), min_rows=5000).first()  # only the language has as many rows
+    sketches = quality.sketch(rated)
+    whole = quality.thresholds(sketches, prior_rows=10**12).first()  # the corpus's own fences
     q1, q3 = np.quantile([x[3] for x in rows], [0.25, 0.75])
-    assert abs(row.mean_word_high - (q3 + 3 * max(q3 - q1, 0.5))) < 0.1 * q3
+    assert abs(whole.mean_word_high - (q3 + 3 * max(q3 - q1, 0.5))) < 0.1 * q3
+    for row in quality.thresholds(sketches, prior_rows=0).collect():
+        q1, q3 = np.quantile([x[3] for x in rows if x[1] == row.t_source], [0.25, 0.75])
+        assert abs(row.mean_word_high - (q3 + 3 * max(q3 - q1, 0.5))) < 0.1 * q3
+
+
+def brute_kept(rows):
+    """The adaptive verdict from sorted values instead of sketches, for rows (lang, source, text), and how near each was to a fence."""
+    counted = [(la, so, base_counts(t or ""), sum(1 for x in (t or "").split("\n") if re.search(WORD, x))) for la, so, t in rows]
+    signals = []
+    for la, so, c, lines in counted:
+        share = lambda a, b: a / b if b else 0.0
+        signals.append((share(c[1], c[0]), share(c[2], c[1]), share(c[3], lines), share(c[4], c[0])))
+
+    def fences(members):
+        out = []
+        for k, (least, _) in enumerate(quality.SIGNALS.values()):
+            x = sorted(signals[i][k] for i in members)
+            q1, q3 = (x[max(0, -(-len(x) * q // 4) - 1)] for q in (1, 3))
+            spread = 3 * max(q3 - q1, least)
+            out.append((q1 - spread, q3 + spread))
+        return len(members), np.array(out)
+
+    some = [i for i in range(len(rows)) if counted[i][2][0] > 0]
+    groups = lambda key: {k: fences([i for i in some if key(i) == k]) for k in {key(i) for i in some}}
+    corpus = fences(some)[1] if some else None
+    langs, own = groups(lambda i: rows[i][0]), groups(lambda i: rows[i][:2])
+    drawn = lambda n, mine, theirs: (n * mine + quality.PRIOR_ROWS * theirs) / (n + quality.PRIOR_ROWS)
+    out = []
+    for (la, so, _), (_, _, c, _), x in zip(rows, counted, signals):
+        failed = c[0] < 10 or 100 * c[4] > 20 * c[0]
+        if failed or (la, so) not in own:
+            out.append((False, 1.0))
+            continue
+        f = drawn(*own[la, so], drawn(*langs[la], corpus))
+        gaps = [f[k][1] - x[k] for k in range(4)] + [x[0] - f[0][0]]
+        out.append((min(gaps) >= 0, min(abs(g) for g in gaps)))
+    return out
+
+
+def test_kept_by_brute_force(edge_docs, sample_docs):
+    for docs in (edge_docs, sample_docs):
+        rows = [(r.doc_id, r.lang, r.source, r.text) for r in docs.collect()]
+        got = Counter((r.doc_id, r.kept) for r in quality.quality_rules(docs).collect())
+        want = [(r[0], *v) for r, v in zip(rows, brute_kept([r[1:] for r in rows]))]
+        sure = Counter((i, kept) for i, kept, gap in want if gap > 0.1)  # sketches are right to 1 %
+        assert not sure - got and sum(sure.values()) > 0.5 * len(rows)
 
 
 # -- 9 near duplicates ----------------------------------------------------------------------------------------------
@@ -560,6 +651,45 @@ def test_language_edges(edge_docs, no_docs, sample_docs):
     assert language.identify_language(edge_docs.withColumn("lang", F.lit(None).cast("string"))).where("lang_pred <> 'und'").count() == 0
 
 
+def test_training_follows_the_regularised_leader():
+    """Against the update written out coordinate by coordinate."""
+    words = ["der die das und", "the and of to", "le la les des", "und das der die", "of the to and", "des la le les"] * 3
+    labels = ["de", "en", "fr"] * 6
+    model = language.train(words, labels, epochs=2, l1=0.01, l2=0.1, slots=64)
+    rows = [(language.ngram_counts(t, 64), y) for t, y in zip(words, labels)]
+    df = sum((c > 0).astype(int) for c, _ in rows)
+    idf = [np.log((1 + len(rows)) / (1 + d)) + 1 for d in df]
+    order = [i for k, i in enumerate(np.random.default_rng(7).permutation(len(rows))) if k % 5 != 4]
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(j, k):
+        if abs(z[j, k]) <= 0.01:
+            return 0.0
+        return (np.sign(z[j, k]) * 0.01 - z[j, k]) / ((language.BETA + n[j, k] ** 0.5) / language.ALPHA + 0.1)
+
+    for _ in range(2):
+        for i in order:
+            c, y = rows[i]
+            x = {j: np.log1p(c[j]) * idf[j] for j in np.flatnonzero(c)}
+            norm = sum(v * v for v in x.values()) ** 0.5
+            x = {j: v / norm for j, v in x.items()}
+            w = {(j, k): weight(j, k) for j in x for k in range(3)}
+            scores = np.array([sum(x[j] * w[j, k] for j in x) for k in range(3)])
+            p = np.exp(scores - scores.max()) / np.exp(scores - scores.max()).sum()
+            for j in x:
+                for k in range(3):
+                    g = x[j] * (p[k] - (model.languages[k] == y))
+                    sigma = ((n[j, k] + g * g) ** 0.5 - n[j, k] ** 0.5) / language.ALPHA
+                    z[j, k] += g - sigma * w[j, k]
+                    n[j, k] += g * g
+    assert np.allclose(model.weights, [[weight(j, k) for k in range(3)] for j in range(64)]) and (model.weights == 0).any()
+
+
+def test_most_languages_are_a_parameter(spark):
+    docs = spark.createDataFrame([(k, prose(k, 30), ("aa", "bb", "cc")[min(k % 6, 3) % 3]) for k in range(60)], "doc_id long, text string, lang string")
+    assert len(language.fit_language_model(docs, languages=2).languages) == 2
+
+
 def test_ngrams_do_not_depend_on_blocks(monkeypatch):
     text = "Ein Straßenname, ÉTÉ; 12 x  y — " * 50
     whole = language.ngram_counts(text)
