@@ -33,7 +33,7 @@ from ._runtime import bound_batches, shuffle_width
 from .pieces import Pieces, best_ids, default_model_path, load_pieces, words_of
 
 #: Characters of text per block, and UTF-8 bytes of text per chunk, about. A task holds the blocks of a chunk compressed, and its words with their codes.
-BLOCK_CHARS, CHUNK_BYTES = 4 << 20, 32 << 20
+BLOCK_CHARS, CHUNK_BYTES = 4 << 20, 36 << 20
 #: Longer words are folded where they stand; an edge's end and start are written in _PLACE_BITS each.
 LATTICE_CHARS, _PLACE_BITS = 64, 8
 _PLACES = 1 << _PLACE_BITS
@@ -104,8 +104,8 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
     return grouped.select("word", "seen", fold_viterbi(F.col("edges")).cast(narrow).alias("codes"))
 
 
-def _press(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=3, write_content_size=True).compress(data)
+def _press(data: bytes, level: int = 3) -> bytes:
+    return zstandard.ZstdCompressor(level=level, write_content_size=True).compress(data)
 
 
 def _open(data: bytes) -> bytes:
@@ -122,12 +122,12 @@ def _numbers(packed: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(_open(packed), np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
-_BLOCK = (("chunk", pa.int64()), ("sizes", pa.list_(pa.int32())), ("words", pa.binary()), ("ends", pa.binary()), ("places", pa.binary()))
+_BLOCK = (("chunk", pa.int64()), ("sizes", pa.list_(pa.int32())), ("words", pa.binary()), ("lengths", pa.binary()), ("places", pa.binary()))
 
 
 def _blocks_of(path: str, chunks: int, most: int):
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(ids, chunk, sizes, words, ends, places): texts as numbers of the block's words, commonest first."""
+        """(ids, chunk, sizes, words, lengths, places): texts as numbers of the block's words, commonest first."""
         find, part = words_of(path), TaskContext.get().partitionId() * 0x9E3779B1
         ids, sizes, numbers, places, held, count = [], [], {}, array("I"), 0, 0
 
@@ -139,8 +139,8 @@ def _blocks_of(path: str, chunks: int, most: int):
             rank[order] = np.arange(len(order))
             words = list(numbers)
             words = [words[i] for i in order.tolist()]
-            ends = np.cumsum([len(w) for w in words])
-            row = [(part + count) % chunks, sizes, _press("".join(words).encode("utf-8", "surrogatepass")), _packed_numbers(ends), _packed_numbers(rank[at])]
+            lengths = _packed_numbers(np.array([len(w) for w in words], np.uint32))
+            row = [(part + count) % chunks, sizes, _press("".join(words).encode("utf-8", "surrogatepass"), 9), lengths, _packed_numbers(rank[at])]
             whole = pa.concat_arrays(ids)
             lists = pa.ListArray.from_arrays(pa.array([0, len(whole)], pa.int32()), whole)
             ids, sizes, numbers, places, held, count = [], [], {}, array("I"), 0, count + 1
@@ -162,8 +162,8 @@ def _blocks_of(path: str, chunks: int, most: int):
     return blocks
 
 
-def _words_in(words: bytes, ends: bytes) -> list[str]:
-    text, ends = _open(words).decode("utf-8", "surrogatepass"), _numbers(ends).tolist()
+def _words_in(words: bytes, lengths: bytes) -> list[str]:
+    text, ends = _open(words).decode("utf-8", "surrogatepass"), np.cumsum(_numbers(lengths)).tolist()
     return [text[a:b] for a, b in zip([0, *ends], ends)]
 
 
@@ -171,8 +171,8 @@ def _needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(chunk, word) of a partition's chunks, each once, without long words."""
     words: dict[int, set[str]] = {}
     for batch in batches:
-        for chunk, packed, ends in zip(*(batch.column(c).to_pylist() for c in ("chunk", "words", "ends"))):
-            words.setdefault(chunk, set()).update(_words_in(packed, ends))
+        for chunk, packed, lengths in zip(*(batch.column(c).to_pylist() for c in ("chunk", "words", "lengths"))):
+            words.setdefault(chunk, set()).update(_words_in(packed, lengths))
     for chunk, found in words.items():
         listed = sorted(w for w in found if len(w) <= LATTICE_CHARS)  # neighbours alike shuffle small
         for at in range(0, len(listed), 50_000):
@@ -227,31 +227,45 @@ class _Codes:
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The numbers from each start on, as many as its size says, one run after another."""
-    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+    return np.repeat((starts - (np.cumsum(sizes) - sizes)).astype(np.int32), sizes) + np.arange(sizes.sum(), dtype=np.int32)
+
+
+#: Places of a block that are replaced by codes at a time.
+_PLACES_AT_ONCE = 200_000
 
 
 def _joiner(path: str, id_type: pa.DataType):
     schema = pa.schema([("doc_id", id_type), ("ids", pa.list_(pa.int32()))])
 
+    def of_block(ids: pa.Array, doc_sizes: np.ndarray, listed: list[str], at: np.ndarray, codes: _Codes, pieces: Pieces) -> Iterator[pa.RecordBatch]:
+        short = np.array([len(w) <= LATTICE_CHARS for w in listed], bool)
+        sizes, runs = np.zeros(len(listed), np.int64), []
+        sizes[short], flat = codes.of([w for w in listed if len(w) <= LATTICE_CHARS])
+        for k in np.flatnonzero(~short):
+            runs.append(np.array(best_ids(listed[k], pieces), np.int32))
+            sizes[k] = len(runs[-1])
+        flat, order = np.concatenate([flat, *runs]), np.concatenate([np.flatnonzero(short), np.flatnonzero(~short)])
+        starts = np.zeros(len(listed), np.int64)
+        starts[order] = np.cumsum(sizes[order]) - sizes[order]
+        ends = np.cumsum(doc_sizes)
+        first = 0
+        while first < len(ids):  # some documents at a time, one at least
+            begin = ends[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, begin + _PLACES_AT_ONCE, "right")))
+            mine = at[begin : ends[last - 1]]
+            n = sizes[mine]
+            bounds = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], ends[first:last] - begin])]
+            lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat[_ranges(starts[mine], n)], pa.int32()))
+            yield pa.RecordBatch.from_arrays([ids.slice(first, last - first), lists], schema=schema)
+            first = last
+
     def join(blocks: pa.Table, words: pa.Table) -> pa.Table:
         pieces, out = load_pieces(path), []
         codes = _Codes(words, pieces)
         for row in range(len(blocks)):
-            ids, doc_sizes, packed, ends, places = (blocks[c][row] for c in ("ids", "sizes", "words", "ends", "places"))
-            listed = _words_in(packed.as_py(), ends.as_py())
-            short = np.array([len(w) <= LATTICE_CHARS for w in listed], bool)
-            sizes, runs = np.zeros(len(listed), np.int64), []
-            sizes[short], flat = codes.of([w for w in listed if len(w) <= LATTICE_CHARS])
-            starts = np.cumsum(np.where(short, sizes, 0)) - sizes
-            for k in np.flatnonzero(~short):
-                runs.append(np.array(best_ids(listed[k], pieces), np.int32))
-                sizes[k], starts[k] = len(runs[-1]), len(flat) + sum(map(len, runs[:-1]))
-            flat = np.concatenate([flat, *runs])
-            at = _numbers(places.as_py())
-            total = np.concatenate([[0], np.cumsum(sizes[at])])
-            bounds = total[np.concatenate([[0], np.cumsum(doc_sizes.as_py())]).astype(np.int64)]
-            lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat[_ranges(starts[at], sizes[at])], pa.int32()))
-            out.append(pa.RecordBatch.from_arrays([ids.values, lists], schema=schema))
+            ids, sizes, packed, lengths, places = (blocks[c][row] for c in ("ids", "sizes", "words", "lengths", "places"))
+            listed = _words_in(packed.as_py(), lengths.as_py())
+            out += of_block(ids.values, sizes.values.to_numpy().astype(np.int64), listed, _numbers(places.as_py()), codes, pieces)
         return pa.Table.from_batches(out, schema=schema)
 
     return join
@@ -281,8 +295,8 @@ def encode_documents(
     needed = dealt.mapInArrow(_needed, "chunk long, word string").repartition(width, "word")
     # a chunk rides along with each word so that both uses of ``needed`` read one and the same shuffle
     coded = encode_words(needed.groupBy("word").agg(F.min("chunk").alias("seen")), pieces)
-    # a partition of words is as small as a chunk's, so its codes can be held; neither side is small enough for a broadcast
-    sent = needed.join(coded.hint("shuffle_hash"), "word").select(F.when(F.col("seen") >= 0, F.col("chunk")).alias("of"), "word", "codes")
+    # both sides grow with the corpus, so neither is broadcast; sorted by word, they also shuffle smaller
+    sent = needed.join(coded.hint("merge"), "word").select(F.when(F.col("seen") >= 0, F.col("chunk")).alias("of"), "word", "codes")
     sent = sent.repartition(4 * chunks, "of")
     result = T.StructType([T.StructField("doc_id", kind), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     return dealt.groupBy("chunk").cogroup(sent.groupBy("of")).applyInArrow(_joiner(path, to_arrow_type(kind)), result)

@@ -187,6 +187,8 @@ def train_markov(samples: DataFrame) -> MarkovRatio:
 def fit_thresholds(model: MarkovRatio, samples: DataFrame, precision: float = PRECISION) -> MarkovRatio:
     """``model`` with the thresholds that find the most random samples at the wanted precision, and with their figures.
 
+    Of thresholds that find as many, the highest are taken.
+
     Only samples of TOKEN_LEAST characters and more count. Without such samples of both labels the model stays as it is.
     """
     tokens = samples.where(F.col("is_random").isNotNull() & F.col("text").rlike(f"^{TOKEN}$")).select(
@@ -204,7 +206,7 @@ def fit_thresholds(model: MarkovRatio, samples: DataFrame, precision: float = PR
         for t in range(math.ceil(SUM_LEAST / SUM_STEP), 65, 2):
             hits = sum(r["count"] for r in inside if r["is_random"] and r["sum"] >= t)
             wrong = sum(r["count"] for r in inside if not r["is_random"] and r["sum"] >= t)
-            if hits and hits >= precision * (hits + wrong) and (best is None or hits > best[0]):
+            if hits and hits >= precision * (hits + wrong) and (best is None or hits >= best[0]):
                 best = hits, m * MEAN_STEP, t * SUM_STEP, hits / (hits + wrong)
     if best is None:
         return model

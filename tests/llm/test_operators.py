@@ -397,7 +397,7 @@ def markov_spans(text, model):
 
 def test_markov_spans_by_brute_force(spark, edge_docs, sample_docs):
     model = secrets.default_model(sample_docs)
-    planted = ["path/to/some/file/Zx8Qv3kP0wLr7TnB2yHc and more", "id=q9Xk2VbT7mZpL0w next", "g" * 40, "Zx8Qv3kP0wLr7TnB2yHc " * 1500, "x/y " * 10]
+    planted = ["path/to/some/file/Zx8Qv3kP0wLr7TnB2yHc and more", "id=q9Xk2VbT7mZpL0w next", "getUserAccountManager/" * 4, "Zx8Qv3kP0wLr7TnB2yHc " * 1500, "x/y " * 10]
     extra = spark.createDataFrame(list(enumerate(planted)), "doc_id long, text string")
     for docs in (edge_docs.where("doc_id is null or doc_id <> 7"), sample_docs, extra):
         got = Counter((r.doc_id, tuple((s.start, s.end) for s in r.found if s.kind == "markov")) for r in secrets.scan_secrets(docs, model).collect())
