@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-
 from . import language, lattice, media, near_join, packing, quality, secrets, sharding, suffix_dedup, token_counts
 
 
@@ -100,6 +98,4 @@ QUERIES = {
     "op10_language_id": op10_language_id,
 }
 
-QUERIES["pipeline"] = corpus_pipeline.run
-
 ORACLE_SQL: dict[str, str] = {}

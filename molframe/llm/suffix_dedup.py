@@ -236,37 +236,55 @@ _CUT = T.StructType(
 )
 
 
-def remove(text: bytes, lows: np.ndarray, highs: np.ndarray, threshold: int = THRESHOLD) -> tuple[int, int, int, bytes]:
-    """(length, bytes removed, maximal removed runs, what is left) for runs of starts of repeated windows."""
+def remove(
+    text: bytes, lows: np.ndarray, highs: np.ndarray, threshold: int = THRESHOLD, whole_characters: bool = False
+) -> tuple[int, int, int, bytes]:
+    """(length, bytes removed, maximal removed runs, what is left) for runs of starts of repeated windows.
+
+    With ``whole_characters`` a run that begins or ends inside a UTF-8 character takes all of it.
+    """
     order = np.argsort(lows, kind="stable")
     lows, ends = lows[order], np.maximum.accumulate(highs[order] + threshold)
     new = np.append(True, lows[1:] > ends[:-1])
     begins, ends = lows[new], ends[np.append(new[1:], True)]
+    if whole_characters:
+        inside = (np.frombuffer(text + b"\0", np.uint8) & 0xC0) == 0x80
+        while inside[begins].any():
+            begins = begins - inside[begins]
+        while inside[ends].any():
+            ends = ends + inside[ends]
+        new = np.append(True, begins[1:] > ends[:-1])  # runs that meet in a character are one
+        begins, ends = begins[new], ends[np.append(new[1:], True)]
     edges = np.concatenate([[0], ends]), np.concatenate([begins, [len(text)]])
     kept = b"".join(text[a:b] for a, b in zip(*edges))
     return len(text), len(text) - len(kept), len(begins), kept
 
 
-def _removed(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    for texts, lows, highs in parts:
-        out = []
-        for text, a, b in zip(texts, lows, highs):
-            body = text.encode("utf-8", "surrogatepass")
-            if a is None or not len(a):
-                out.append((len(body), 0, 0, body))
-            else:
-                out.append(remove(body, np.asarray(a, np.int64), np.asarray(b, np.int64)))
-        yield pd.DataFrame(out, columns=_CUT.names)
+def _removed(whole_characters: bool):
+    def removed(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, lows, highs in parts:
+            out = []
+            for text, a, b in zip(texts, lows, highs):
+                body = text.encode("utf-8", "surrogatepass")
+                if a is None or not len(a):
+                    out.append((len(body), 0, 0, body))
+                else:
+                    out.append(remove(body, np.asarray(a, np.int64), np.asarray(b, np.int64), whole_characters=whole_characters))
+            yield pd.DataFrame(out, columns=_CUT.names)
+
+    return F.pandas_udf(removed, _CUT)
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), starts=starts_by_anchors
-) -> DataFrame:
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), starts=starts_by_anchors,
+    whole_characters: bool = False,
+) -> DataFrame:
     """Removes from every text each byte covered by a 200-byte string that also starts anywhere else in the table.
 
     Returns ``doc_id, n_bytes, n_removed, n_spans, kept`` (remaining bytes) and the columns named in ``keep``. Matches
     stay within a row; strings are judged on the input. Null texts count as empty; texts under 200 bytes stay whole. Repeated
     rows are rows of their own, so they are repeats of each other. An empty table gives no rows. Only named columns are read.
+    With ``whole_characters`` a cut inside a character takes the rest of it too, so that what is left is text.
     """
     spark = docs.sparkSession
     bound_batches(spark)
@@ -279,5 +297,5 @@ def remove_repeats(
         first = plain.groupBy("key").agg(F.min("uid").alias("uid"))
         gone = settle(gone.join(first, "uid").select("key", "runs"))
     rows = docs.select(F.col(id_col).alias("doc_id"), key.alias("key"), text.alias("text"), *[F.col(c).alias(f"kept_{c}") for c in keep])
-    both = rows.join(gone, "key", "left").withColumn("cut", F.pandas_udf(_removed, _CUT)("text", F.col("runs.low"), F.col("runs.high")))
+    both = rows.join(gone, "key", "left").withColumn("cut", _removed(whole_characters)("text", F.col("runs.low"), F.col("runs.high")))
     return both.select("doc_id", "cut.*", *[F.col(f"kept_{c}").alias(c) for c in keep])
