@@ -6,13 +6,11 @@ as Parquet and read again as the next one's documents. All but the last return t
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from molframe.llm import language, near_join, packing, secrets, suffix_dedup
-from molframe.llm._runtime import ensure_checkpoint_dir
+from molframe.llm._runtime import Scratch
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -24,10 +22,16 @@ def _documents(docs: DataFrame, text="text") -> DataFrame:
 
 
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language cannot be told: null, empty, or without letters. The others stay as they are."""
+    """Drops documents whose language cannot be told, and puts the language that the text has in place of the label.
+
+    Rejected are null and empty texts and those without letters. Where no document has a label nothing can be learned: all
+    texts with letters stay then, as they are.
+    """
     model = language.fit_language_model(docs)
+    if not model.languages:
+        return _documents(docs.where(F.col("text").rlike(r"\p{L}")))
     told = docs.withColumn("_told", language.predict_column(model, F.col("text")))
-    return _documents(told.where(F.col("_told.lang_pred") != language.UNDETERMINED))
+    return _documents(told.where(F.col("_told.lang_pred") != language.UNDETERMINED).withColumn("lang", F.col("_told.lang_pred")))
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,13 +42,10 @@ def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def stage_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes repeated strings of 200 bytes; a document of which nothing is left goes.
 
-    Where a cut falls inside a character, the bytes left of it go with it.
+    A cut inside a character takes the whole character, and nothing else that the text had.
     """
-    cut = suffix_dedup.remove_repeats(docs, keep=("lang", "source"))
-    whole = F.col("kept").cast("string")
-    mended = F.regexp_replace(F.make_valid_utf8(whole), "�", "")
-    text = F.when((F.col("n_removed") > 0) & ~F.is_valid_utf8(whole), mended).otherwise(whole)
-    return _documents(cut.where("octet_length(kept) > 0").withColumn("text", text))
+    cut = suffix_dedup.remove_repeats(docs, keep=("lang", "source"), whole_characters=True)
+    return _documents(cut.where("octet_length(kept) > 0").withColumn("text", F.col("kept").cast("string")))
 
 
 def stage_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,12 +74,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to the documents of ``sf_dir``; each one's result is a table in the shared folder."""
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
+    """Applies the stages to the documents of ``sf_dir``; what one hands to the next is a table in the shared folder.
+
+    The tables are deleted when the last stage is through: what it returns lies in its own checkpoints.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        path = f"{folder}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return docs
+    with Scratch(spark) as scratch:
+        for _, stage in STAGES[:-1]:
+            docs = scratch.keep(stage(spark, docs, sf_dir))
+        return STAGES[-1][1](spark, docs, sf_dir)
