@@ -21,9 +21,13 @@ def flat3(vectors: Column) -> Column:
     return F.flatten(F.transform(vectors, lambda v: F.array(v["x"], v["y"], v["z"])))
 
 
+#: Where the nine entries of a symmetric matrix, row by row, lie in (xx, yy, zz, yz, xz, xy).
+VOIGT = (0, 5, 4, 5, 1, 3, 4, 3, 2)
+
+
 def voigt_to_matrix(s: Column) -> Column:
     """Nine entries, row by row, of the symmetric matrix given as (xx, yy, zz, yz, xz, xy)."""
-    return F.array(*[F.get(s, F.lit(i)) for i in (0, 5, 4, 5, 1, 3, 4, 3, 2)])
+    return F.array(*[F.get(s, F.lit(i)) for i in VOIGT])
 
 
 def matrix_of(s: Column) -> Column:

@@ -171,7 +171,3 @@ def violations(molecules: DataFrame) -> DataFrame:
 def scope_conflicts(keys: DataFrame) -> DataFrame:
     """Keys of rows (``kind, key``) that live in both property scopes."""
     return keys.where(F.col("kind") != BUILTIN).groupBy("key").agg(F.count_distinct("kind").alias("scopes")).where("scopes > 1")
-
-
-def scope_prefix(scope: str) -> str:
-    return SCOPES[scope]

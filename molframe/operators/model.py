@@ -96,6 +96,29 @@ def get_property(molecules: DataFrame, key: str) -> Column:
     return F.col(SCOPES[scope] + key)
 
 
+#: Types that a getter of one kind accepts.
+KINDS = {
+    "scalar": ("double", "float", "bigint", "int"),
+    "float": ("array<double>", "array<float>"),
+    "int": ("array<bigint>", "array<int>"),
+    "vec3": ("array<struct<x:double,y:double,z:double>>", "array<struct<x:float,y:float,z:float>>"),
+}
+
+
+def get_scalar(molecules: DataFrame, key: str) -> Column:
+    """A number of the molecule, integer or floating, as a double; null where the property is of another type or absent."""
+    column = SCOPES["molecule"] + key
+    fits = dict(molecules.dtypes).get(column) in KINDS["scalar"]
+    return (F.col(column) if fits else F.lit(None)).cast("double")
+
+
+def get_atom_property(molecules: DataFrame, key: str, kind: str) -> Column:
+    """An atom property if it is of the ``kind`` float, int or vec3; null where it is of another type or absent."""
+    column = SCOPES["atom"] + key
+    found = dict(molecules.dtypes).get(column)
+    return F.col(column) if found in KINDS[kind] else F.lit(None).cast(KINDS[kind][0])
+
+
 def set_property(molecules: DataFrame, key: str, value: Column, scope: str = "molecule") -> DataFrame:
     """Adds or replaces a property. A key lives in one scope only, reserved keys are refused, atom values are checked."""
     if scope not in SCOPES:

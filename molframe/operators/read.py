@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .model import atom_columns, to_atoms, wide_atoms
+from .model import to_atoms, wide_atoms
 
 #: Ids that one request may name; the list is broadcast, so it is checked.
 MOST_IDS = 1_000_000
@@ -80,11 +80,6 @@ def batch_offsets(batch: DataFrame) -> DataFrame:
     return exclusive_total(batch, "pos", "n_atoms", "atom_offset")
 
 
-def zero_fill(column: Column, present: Column) -> Column:
-    """Absent fixed-width values are zeros in a flat batch."""
-    return F.when(present, column).otherwise(F.lit(0))
-
-
 def flat_batch(molecules: DataFrame, ids: Sequence[int], fill: Sequence[str] = ("forces", "charges", "velocities")) -> DataFrame:
     """Concatenated atoms of the requested molecules: ``pos, mol_id, atom_idx, atom_offset, row`` and wide columns.
 
@@ -130,6 +125,3 @@ def iterate(molecules: DataFrame):
     """Rows in order of ``mol_id``, fetched partition by partition."""
     return molecules.orderBy("mol_id").toLocalIterator()
 
-
-def per_atom_names(molecules: DataFrame) -> list[str]:
-    return atom_columns(molecules)

@@ -60,13 +60,30 @@ def in_order(df: DataFrame, column: str, order: list[str]) -> DataFrame:
     return values.select(column, place.alias("place"))  # as many rows as there are names
 
 
-def runs(df: DataFrame, order: str, signature: Column, by: list[str] | None = None) -> DataFrame:
-    """Numbers the runs of consecutive rows with one signature: adds ``run`` (from 0), in ``order``, per group."""
-    window = Window.partitionBy(*(by or [])).orderBy(order)
-    marked = df.withColumn("_sig", signature)
-    change = F.when(F.lag("_sig").over(window).eqNullSafe(F.col("_sig")) & (F.row_number().over(window) > 1), 0).otherwise(1)
-    counted = marked.withColumn("_change", change)
-    return counted.withColumn("run", F.sum("_change").over(window.rowsBetween(Window.unboundedPreceding, 0)) - 1).drop("_sig", "_change")
+def runs(df: DataFrame, order: str, signature: Column, by: list[str] | None = None, width: int = 1 << 16) -> DataFrame:
+    """Numbers the runs of consecutive rows with one signature: adds ``run`` (from 0), in ``order``, per group.
+
+    Without ``by`` the column ``order`` must be an integer: rows are numbered inside ranges of ``width`` orders, and a table of one
+    row per range tells whether a range goes on with the run before it and how many runs there were.
+    """
+    marked = df.withColumn("_sig", F.struct(signature.alias("s")))
+    keys = list(by or ["_range"])
+    if not by:
+        marked = marked.withColumn("_range", F.floor(F.col(order) / F.lit(width)).cast("long"))
+    window = Window.partitionBy(*keys).orderBy(order)
+    change = F.when(F.lag("_sig").over(window) == F.col("_sig"), 0).otherwise(1)
+    inside = F.sum("_change").over(window.rowsBetween(Window.unboundedPreceding, 0)) - 1
+    numbered = marked.withColumn("_change", change).withColumn("run", inside)
+    if by:
+        return numbered.drop("_sig", "_change")
+    ranges = marked.groupBy("_range").agg(F.min_by("_sig", order).alias("first"), F.max_by("_sig", order).alias("last"))
+    counts = numbered.groupBy("_range").agg(F.sum("_change").alias("n"))
+    before = Window.orderBy("_range")  # as many rows as there are ranges
+    goes_on = F.coalesce((F.lag("last").over(before) == F.col("first")).cast("int"), F.lit(0))
+    starts = ranges.join(counts, "_range").withColumn("n", F.col("n") - goes_on).select(
+        "_range", (F.sum("n").over(before.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n") - goes_on).alias("_start")
+    )
+    return numbered.join(starts, "_range").withColumn("run", F.col("run") + F.col("_start")).drop("_sig", "_change", "_range", "_start")
 
 
 def chunks(df: DataFrame, order: str, size: int) -> DataFrame:
@@ -109,15 +126,15 @@ def recommended_batch(atoms: Column, budget_bytes: int, per_atom: int, fixed: in
 
 
 def synthetic(spark, n_molecules: int, n_atoms: int) -> DataFrame:
-    """Deterministic molecules: positions on sines of a phase, atomic numbers in a cycle, energies on a line."""
+    """Deterministic molecules, one row per atom: places on a grid of tenths by remainders, no two molecules alike."""
     atom = F.explode(F.sequence(F.lit(0), F.lit(n_atoms - 1))).alias("atom_idx")
     rows = spark.range(n_molecules).select(F.col("id").alias("mol_id"), atom)
-    phase = 0.001 * F.col("mol_id") + 0.01 * F.col("atom_idx")
-    cycle = F.array(*[F.lit(z).cast("smallint") for z in (1, 6, 7, 8, 16)])
+    place = lambda step, turn, size: (F.col("mol_id") * step + F.col("atom_idx") * turn) % size / 10.0
+    elements = F.array(*[F.lit(z).cast("smallint") for z in (8, 1, 14, 6, 26, 7)])
     return rows.select(
-        "mol_id", "atom_idx", F.get(cycle, (F.col("atom_idx") % 5).cast("int")).alias("z_num"),
-        (10 * F.sin(1.3 * phase)).alias("x"), (10 * F.cos(1.7 * phase)).alias("y"), (10 * F.sin(2.1 * phase)).alias("z"),
-        (F.lit(-1000.0) - 0.001 * F.col("mol_id")).alias("energy"),
+        "mol_id", "atom_idx", F.get(elements, ((F.col("mol_id") + F.col("atom_idx")) % 6).cast("int")).alias("z_num"),
+        place(7, 3, 101).alias("x"), place(11, 5, 103).alias("y"), place(13, 17, 107).alias("z"),
+        (F.lit(0.125) * (F.col("mol_id") % 997) - 2.5 * n_atoms).alias("energy"),
     )
 
 
