@@ -1,26 +1,32 @@
-"""Folders of stores as one dataset, and their rewriting shard by shard."""
+"""Folders of stores as one dataset, their rewriting shard by shard, and copies of them to and from other places."""
 
 from __future__ import annotations
 
 import json
+from bisect import bisect_right
 from collections.abc import Callable, Sequence
-from pathlib import PurePosixPath
+from concurrent.futures import ThreadPoolExecutor
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from molframe.operators import lock as locks
-from molframe.operators.shards import shard_get
+from molframe.operators.read import MOST_IDS
 
 from .store import Store, _Files, latest
 
+#: Shards that are rewritten, or files that are copied, at a time.
+AT_ONCE = 8
+
 
 def relative_path(path: str, name: str = "path") -> str:
-    """A path inside a repository: no blanks or slashes around it, no ``.`` parts; going up or nothing at all is an error."""
-    parts = [p for p in PurePosixPath(path.strip().strip("/")).parts if p != "."]
-    if not parts or ".." in parts:
-        raise ValueError(f"{name} must name something inside the repository: {path!r}")
-    return "/".join(parts)
+    """A path inside a repository, by the rule of ``geometry.normal_path``; one that goes up or names nothing is an error."""
+    kept = [p for p in path.strip().split("/") if p not in ("", ".")]
+    if kept and ".." not in kept:
+        return "/".join(kept)
+    raise ValueError(f"{name} must name something inside the repository: {path!r}")
 
 
 def find_stores(spark: SparkSession, path: str) -> list[str]:
@@ -46,14 +52,22 @@ def listed_stores(spark: SparkSession, manifest: str) -> DataFrame:
 
 
 class ShardReader:
-    """Read-only view of ordered shards with one index; negative ids count from the end. Closed, it answers nothing."""
+    """Read-only view of ordered shards with one index; negative ids count from the end. Closed, it answers nothing.
+
+    Where a molecule lies is known from the commits, which hold the shards' lengths: no data is read to find it.
+    """
 
     def __init__(self, spark: SparkSession, paths: Sequence[str]):
         self.spark, self.paths = spark, list(paths)
         self.stores = [Store.open(spark, p) for p in self.paths]
         self.lock: locks.Lock = {}
+        fields: dict[str, T.StructField] = {}
         for s in self.stores:
             self.lock = locks.merge(self.lock, s.lock)
+            for f in s.molecules().schema.fields:  # the lock has ruled out differing types
+                fields.setdefault(f.name, f)
+        self._schema = T.StructType(list(fields.values()))
+        self._first = [0, *accumulate(map(len, self.stores))]
         self._open = True
 
     @classmethod
@@ -70,37 +84,56 @@ class ShardReader:
 
     def __len__(self) -> int:
         self._check()
-        return sum(map(len, self.stores))
+        return self._first[-1]
+
+    def _locate(self, index: int) -> tuple[int, int]:
+        """(shard, place in it) of an id."""
+        at = index + self._first[-1] if index < 0 else index
+        if not 0 <= at < self._first[-1]:
+            raise IndexError(index)
+        shard = bisect_right(self._first, at) - 1
+        return shard, at - self._first[shard]
+
+    def _rows(self, shards: Sequence[int]) -> DataFrame:
+        """Molecules of some shards in one scan, with ``shard`` and ``first``; ``mol_id`` is still the place in the shard."""
+        folders = [(f["path"].rsplit("/", 1)[-1], k, self._first[k], f"{self.stores[k].path}/{f['path']}") for k in shards for f in self.stores[k]._commit.files]
+        if not folders:
+            empty = T.StructType([*self._schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("first", T.LongType())])
+            return self.spark.createDataFrame([], empty)
+        rows = self.spark.read.schema(self._schema).parquet(*[f[3] for f in folders])
+        # a row per folder that the commits list
+        of = self.spark.createDataFrame([f[:3] for f in folders], "_folder string, shard int, first long")
+        folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+        return rows.withColumn("_folder", folder).join(F.broadcast(of), "_folder").drop("_folder")
+
+    def _placed(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumns({"local_idx": F.col("mol_id"), "mol_id": F.col("mol_id") + F.col("first")}).drop("first")
 
     def molecules(self) -> DataFrame:
         """All molecules with ``shard``, ``local_idx`` (place in the shard) and ``mol_id`` (place in all)."""
         self._check()
-        parts, first = [], 0
-        for k, s in enumerate(self.stores):
-            rows = s.molecules()
-            parts.append(rows.withColumns({"shard": F.lit(k), "local_idx": F.col("mol_id"), "mol_id": F.col("mol_id") + F.lit(first)}))
-            first += len(s)
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p, allowMissingColumns=True)  # the lock has ruled out differing types
-        return out
+        return self._placed(self._rows(range(len(self.stores))))
 
     def get(self, index: int) -> DataFrame:
+        """One molecule: one shard is read, and the place in it reaches the scan."""
         self._check()
-        n = len(self)
-        at = index + n if index < 0 else index
-        if not 0 <= at < n:
-            raise IndexError(index)
-        return self.molecules().where(F.col("mol_id") == at)
+        shard, local = self._locate(index)
+        return self._placed(self._rows([shard]).where(F.col("mol_id") == F.lit(local).cast("long")))
 
     def get_many(self, ids: Sequence[int]) -> DataFrame:
-        """Rows of the request with ``pos``; unknown ids are an error before any data is read."""
+        """Rows of the request with ``pos``; unknown ids are an error before any data is read.
+
+        Only shards that hold some are read, and up to 10,000 different places reach the scan.
+        """
         self._check()
-        n = len(self)
-        bad = [i for i in ids if not -n <= i < n]
-        if bad:
-            raise IndexError(bad[0])
-        return shard_get(self.molecules(), ids)
+        if len(ids) > MOST_IDS:
+            raise ValueError(f"more than {MOST_IDS} ids")
+        found = [self._locate(i) for i in ids]
+        asked = self.spark.createDataFrame([(p, k, i) for p, (k, i) in enumerate(found)], "pos int, shard int, mol_id long")
+        rows, locals_ = self._rows(sorted({k for k, _ in found})), {i for _, i in found}
+        if len(locals_) <= 10_000:
+            rows = rows.where(F.col("mol_id").isin(sorted(locals_)))
+        return self._placed(rows.join(F.broadcast(asked), ["shard", "mol_id"]))
 
     def close(self) -> None:
         self._open = False
@@ -119,55 +152,101 @@ def rewrite(
 ) -> str:
     """Writes every shard below ``source`` again below ``target``, under the same relative name and in the same order.
 
-    Each shard's count is compared with its source's. Returns the path of a manifest that lists the shards in order. Shards
-    that are there already stay unless ``overwrite``, so an interrupted run can go on.
+    AT_ONCE shards are written at a time. Each shard's count is compared with its source's. Returns the path of a manifest
+    that lists the shards in order. Shards that are there already stay unless ``overwrite``, so an interrupted run can go on.
     """
-    out, base = [], _Files(spark, source)._path("").toUri().getPath()
-    for path in find_stores(spark, source):
-        below = PurePosixPath(path.split("://", 1)[-1]).relative_to(PurePosixPath(base)) if path != base else PurePosixPath("shard")
-        to = f"{target.rstrip('/')}/{below}"
-        old = Store.open(spark, path)
-        done = latest(spark, to)
+    base = _Files(spark, source)._path("").toUri().getPath().rstrip("/")
+
+    def one(path: str) -> str:
+        below = path.split("://", 1)[-1]
+        to = f"{target.rstrip('/')}/{below[below.index(base) + len(base) :].strip('/') or 'shard'}"
+        old, done = Store.open(spark, path), latest(spark, to)
         if done is None or done.rows != len(old) or overwrite:
             new = Store.create(spark, to, compression, level, overwrite=done is not None)
             new.append(transform(old.molecules()), order="mol_id")
             new.flush()
             if len(new) != len(old):
                 raise RuntimeError(f"{to} has {len(new)} molecules instead of {len(old)}")
-        out.append(to)
-    files = _Files(spark, target)
-    files.write("manifest.json", json.dumps({"output_files": out}))
+        return to
+
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        out = list(pool.map(one, find_stores(spark, source)))
+    _Files(spark, target).write("manifest.json", json.dumps({"output_files": out}))
     return f"{target.rstrip('/')}/manifest.json"
 
 
+def transfer(spark: SparkSession, source: str, target: str) -> list[str]:
+    """Copies the stores at or below ``source`` to the same names below ``target``, on any two file systems that Spark reaches.
+
+    Data goes before commits, so a store is seen at the target when all of it is there. Returns the paths of the copies.
+    """
+    old, new = _Files(spark, source), _Files(spark, target)
+    base = old._path("").toUri().getPath().rstrip("/")
+    conf, util = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil
+    out = []
+    for path in find_stores(spark, source):
+        below = path.split("://", 1)[-1]
+        name = below[below.index(base) + len(base) :].strip("/")
+        prefix = f"{name}/" if name else ""
+        commit = latest(spark, path)
+        wanted = [f["path"] for f in commit.files] if commit else []
+
+        def copy(part: str, prefix: str = prefix) -> None:
+            to = new._path(prefix + part)
+            new.fs.mkdirs(to.getParent())
+            if not util.copy(old.fs, old._path(prefix + part), new.fs, to, False, True, conf):
+                raise OSError(f"{part} was not copied")
+
+        with ThreadPoolExecutor(AT_ONCE) as pool:
+            list(pool.map(copy, [w for w in wanted if not new.exists(prefix + w)]))
+        if commit:
+            copy(f"_commits/{commit.generation:012d}.json")
+        out.append(f"{target.rstrip('/')}/{name}".rstrip("/"))
+    return out
+
+
+def download(spark: SparkSession, repository: str, target: str, path: str | None = None) -> str:
+    """Copies a repository, or what ``path`` names in it, and returns where the dataset is in the copy."""
+    at = "" if path is None else "/" + relative_path(path)
+    transfer(spark, repository.rstrip("/") + at, target.rstrip("/") + at)
+    return dataset_root(spark, target, path)
+
+
+def upload(spark: SparkSession, source: str, repository: str, path: str | None = None) -> list[str]:
+    """Copies a store, or a folder of them, into a repository under ``upload_name``."""
+    return transfer(spark, source, f"{repository.rstrip('/')}/{upload_name(source, path)}")
+
+
+def open_repository(spark: SparkSession, repository: str, path: str | None = None) -> ShardReader:
+    """Reader of a repository's dataset where it lies."""
+    return ShardReader.open_path(spark, dataset_root(spark, repository, path))
+
+
 def snapshot_patterns(path: str | None = None) -> list[str]:
     """Name patterns of what a partial copy of a repository needs: the stores below ``path`` and the manifests."""
     under = "" if path is None else relative_path(path) + "/"
-    return [f"{under}{p}" for p in ("*/_commits/*.json", "**/_commits/*.json", "*/data/**", "**/data/**", "manifest.json", "**/manifest.json")]
+    return [under + deep + kind for kind in ("_commits/*.json", "data/**") for deep in ("*/", "**/")] + [f"{under}{m}manifest.json" for m in ("", "**/")]
 
 
 def dataset_root(spark: SparkSession, snapshot: str, path: str | None = None) -> str:
-    """Where the dataset of a copied repository is: ``path`` in it, else its one store, else the one folder of its stores.
+    """The dataset of a copied repository: what ``path`` names, else the only place that its stores have in common.
 
-    Nothing there, or stores in several folders and no ``path``, is an error.
+    That place is the one store, or the one folder of all stores. No store, or several folders, is an error.
     """
-    here = snapshot.rstrip("/") + ("" if path is None else "/" + relative_path(path))
-    found = find_stores(spark, here)
-    if not found:
-        raise FileNotFoundError(f"no stores under {here}")
-    if path is not None:
-        return here
-    if len(found) == 1:
-        return found[0]
-    folders = {f.rsplit("/", 1)[0] for f in found}
-    if len(folders) > 1:
+    root = "/".join([snapshot.rstrip("/"), *([relative_path(path)] if path is not None else [])])
+    stores = find_stores(spark, root)
+    places = {root} if path is not None and stores else set(stores) if len(stores) < 2 else {s.rpartition("/")[0] for s in stores}
+    if not places:
+        raise FileNotFoundError(f"no stores under {root}")
+    place, *others = places
+    if others:
         raise ValueError("stores in several folders: name one")
-    return folders.pop()
+    return place
 
 
 def upload_name(source: str, path: str | None = None, suffix: str = ".store") -> str:
-    """Name under which a source goes into a repository: its own, ``path`` if that names a store, else its own below ``path``."""
-    own = source.rstrip("/").rsplit("/", 1)[-1]
-    if path is None:
-        return own
-    return relative_path(path) if path.endswith(suffix) else f"{relative_path(path)}/{own}"
+    """Name of a source in a repository: ``path`` if that is the name of a store, else the source's own name, below ``path`` if given."""
+    parts = [relative_path(path)] if path is not None else []
+    if not (parts and parts[0].endswith(suffix)):
+        parts.append(source.rstrip("/").rpartition("/")[2])
+    return "/".join(parts)

@@ -13,6 +13,7 @@ import json
 import re
 import uuid
 import zlib
+from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -171,6 +172,12 @@ class Store:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(self._schema).parquet(*[f"{self.path}/{f['path']}" for f in self._commit.files])
 
+    def payloads(self, ids: Sequence[int] | None = None, **options):
+        """Plain parts of the molecules asked for, in order, or of all; see ``bridge.export_batch``."""
+        from molframe.operators.bridge import export_batch
+
+        return export_batch(self.molecules(), ids, **options)
+
     # -- writing ------------------------------------------------------------------------------------------------
 
     def append(self, molecules: DataFrame, order: str | None = None) -> int:
@@ -300,26 +307,28 @@ def _merged(old: T.StructType | None, new: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in fields.values()])
 
 
+def _names(files: _Files) -> list[str]:
+    """Names of the commits, newest first."""
+    return sorted((n for n in files.names("_commits") if re.fullmatch(r"\d{12}\.json", n)), reverse=True)
+
+
 def commits(spark: SparkSession, path: str) -> list[Commit]:
     """Commits whose checksum holds, oldest first."""
     files = _Files(spark, path)
-    names = sorted(n for n in files.names("_commits") if re.fullmatch(r"\d{12}\.json", n))
-    return [c for c in (_unsealed(files.read(f"_commits/{n}")) for n in names) if c is not None]
+    found = (_unsealed(files.read(f"_commits/{n}")) for n in reversed(_names(files)))
+    return [c for c in found if c is not None]
 
 
 def latest(spark: SparkSession, path: str) -> Commit | None:
-    """Newest commit whose checksum holds and whose files are all there."""
+    """Newest commit whose checksum holds and whose files are all there; older ones are not read unless it fails."""
     files = _Files(spark, path)
-    for commit in reversed(commits(spark, path)):
-        if all(files.exists(f["path"]) for f in commit.files):
+    there: set[str] | None = None
+    for name in _names(files):
+        commit = _unsealed(files.read(f"_commits/{name}"))
+        if commit is None:
+            continue
+        if there is None:  # one listing instead of a question per file
+            there = {f"data/{n}" for n in files.names("data")}
+        if all(f["path"] in there for f in commit.files):
             return commit
     return None
-
-
-def dense_ids(df: DataFrame, order: str, first: int = 0) -> DataFrame:
-    """Numbers rows from ``first`` in the order of an integer column, two-level."""
-    from molframe.operators.read import exclusive_total
-
-    return exclusive_total(df.withColumn("_one", F.lit(1)), order, "_one", "mol_id").withColumn("mol_id", F.col("mol_id") + first).drop("_one")
-
-

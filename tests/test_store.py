@@ -133,6 +133,61 @@ def test_shards(spark, tmp_path):
         ShardReader.open_path(spark, str(tmp_path / "nothing"))
 
 
+def test_shard_reader_reads_what_it_needs(spark, tmp_path):
+    for name, e in (("a", [-1.0, -2.0]), ("b", [-3.0]), ("c", [-4.0, -5.0, -6.0])):
+        s = Store.create(spark, str(tmp_path / "set" / name))
+        s.append(batch(spark, e, **({"properties": {"extra": np.array(e)}} if name == "b" else {})))
+        s.flush()
+    reader = ShardReader.open_path(spark, str(tmp_path / "set"))
+    rows = reader.molecules().orderBy("mol_id").collect()
+    assert [(r.shard, r.local_idx, r.mol_id, r.energy, r.mp_extra) for r in rows][1:4] == [(0, 1, 1, -2, None), (1, 0, 2, -3, -3), (2, 0, 3, -4, None)]
+    plan = reader.get(4)._jdf.queryExecution().toString()
+    assert "EqualTo(mol_id,1)" in plan and reader.get(4).first().energy == -5
+    some = reader.get_many([5, 0, 5, -1])
+    assert "In(mol_id, [0,2])" in some._jdf.queryExecution().toString() and [r.energy for r in some.orderBy("pos").collect()] == [-6, -1, -6, -6]
+    assert reader.get_many([]).count() == 0
+    with pytest.raises(IndexError):
+        reader.get(6)
+
+
+def test_transfer(spark, tmp_path):
+    from molframe.sources.shard_set import download, open_repository, transfer, upload
+
+    for name, e in (("a", [-1.0, -2.0]), ("b", [-3.0])):
+        s = Store.create(spark, str(tmp_path / "set" / name))
+        s.append(batch(spark, e))
+        s.flush()
+    hub = str(tmp_path / "hub")
+    assert upload(spark, str(tmp_path / "set"), hub) == [f"{hub}/set/a", f"{hub}/set/b"]
+    upload(spark, str(tmp_path / "set" / "a"), hub, "one/")
+    assert len(open_repository(spark, hub, "set")) == 3 and len(open_repository(spark, hub, "one")) == 2
+    with pytest.raises(ValueError):
+        open_repository(spark, hub)
+    there = download(spark, hub, str(tmp_path / "local"), "set")
+    assert there == str(tmp_path / "local" / "set") and len(ShardReader.open_path(spark, there)) == 3
+    assert len(transfer(spark, hub, str(tmp_path / "again"))) == 3
+
+
+def test_newest_commit_is_read_first(spark, tmp_path, monkeypatch):
+    from molframe.sources import store as stores
+
+    path = str(tmp_path / "s")
+    store = Store.create(spark, path)
+    for e in (1.0, 2.0, 3.0):
+        store.append(batch(spark, [e]))
+        store.flush()
+    read, seen = stores._Files.read, []
+    monkeypatch.setattr(stores._Files, "read", lambda self, name: seen.append(name) or read(self, name))
+    assert len(Store.open(spark, path)) == 3 and seen == ["_commits/000000000003.json"]
+
+
+def test_store_gives_payloads(spark, tmp_path):
+    store = Store.create(spark, str(tmp_path / "s"))
+    store.append(batch(spark, [1.0, 2.0]))
+    store.flush()
+    assert [p["results"]["energy"] for p in store.payloads([1, 0])] == [2, 1] and len(list(store.payloads())) == 2
+
+
 def test_relative_path():
     assert relative_path(" /a/./b/ ") == "a/b"
     for bad in ("", ".", "a/../b", " / "):
