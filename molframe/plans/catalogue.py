@@ -9,7 +9,7 @@ from molframe.functions import geometry as geo
 from molframe.functions.values import Tag
 from molframe.operators import bridge, lock, model, read, shards, stats
 from molframe.sources.ingest import arrays_batch
-from molframe.sources.shard_set import ShardReader, rewrite
+from molframe.sources.shard_set import ShardReader, open_repository, rewrite, upload
 from molframe.sources.store import Store
 
 from . import fixtures as fx
@@ -199,10 +199,20 @@ def atom_element_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.molecules(spark, sf_dir).select("mol_id", geo.at(z, F.lit(1)).alias("second"), geo.at(z, F.lit(-1)).alias("last"))
 
 
-@query(fx.WITH + "SELECT mol_id, 'customer,status' AS keys, true AS has_customer, false AS has_mass FROM m")
+def _some_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Molecules of which every third lacks the customer and every fourth the status."""
+    m = fx.molecules(spark, sf_dir)
+    kept = F.when(F.col("mol_id") % 3 == 0, F.array_remove("present", "mp_customer")).otherwise(F.col("present"))
+    return m.withColumn("present", kept).withColumn("present", F.when(F.col("mol_id") % 4 == 0, F.array_remove("present", "mp_status")).otherwise(F.col("present")))
+
+
+_KEYS = "concat_ws(',', CASE WHEN mol_id % 3 <> 0 THEN 'customer' END, CASE WHEN mol_id % 4 <> 0 THEN 'status' END)"
+
+
+@query(fx.WITH + f"SELECT mol_id, {_KEYS} AS keys, mol_id % 3 <> 0 AS has_customer, false AS has_mass FROM m")
 def property_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A property stored as null is present."""
-    m = fx.molecules(spark, sf_dir)
+    m = _some_keys(spark, sf_dir)
     return m.select("mol_id", F.array_join(model.property_keys(), ",").alias("keys"), model.has_property("customer").alias("has_customer"), model.has_property("mass").alias("has_mass"))  # noqa: E501
 
 
@@ -211,36 +221,46 @@ def has_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.molecules(spark, sf_dir).select("mol_id", F.array_contains("present", "forces").alias("has_forces"))
 
 
-@query(fx.WITH + "SELECT mol_id, 'status' AS keys FROM m")
+@query(fx.WITH + "SELECT mol_id, CASE WHEN mol_id % 4 <> 0 THEN 'status' ELSE '' END AS keys FROM m")
 def delete_property(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = model.delete_property(fx.molecules(spark, sf_dir), "customer")
+    m = model.delete_property(_some_keys(spark, sf_dir), "customer")
     return m.select("mol_id", F.array_join(model.property_keys("molecule"), ",").alias("keys"))
 
 
+@query(fx.WITH + "SELECT mol_id, CAST(CASE WHEN status <> 'P' THEN custkey END AS DOUBLE) AS customer, CAST(NULL AS DOUBLE) AS status FROM m")
+def get_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of either kind as doubles; a text is no number."""
+    m = fx.molecules(spark, sf_dir)
+    return m.select("mol_id", model.get_scalar(m, "customer").alias("customer"), model.get_scalar(m, "status").alias("status"))
+
+
+@query(fx.WITH + "SELECT mol_id, atom_idx, charge AS as_float, CAST(NULL AS BIGINT) AS as_int FROM a")
+def get_atom_property(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An atom property asked for by its kind, and by another one."""
+    m = model.set_property(fx.molecules(spark, sf_dir), "partial", F.col("charges"), scope="atom")
+    m = m.select("mol_id", "atomic_numbers", model.get_atom_property(m, "partial", "float").alias("f"), model.get_atom_property(m, "partial", "int").alias("i"))
+    each = m.select("mol_id", "f", "i", F.posexplode("atomic_numbers").alias("atom_idx", "z"))
+    return each.select("mol_id", "atom_idx", F.get("f", F.col("atom_idx")).alias("as_float"), F.get("i", F.col("atom_idx")).alias("as_int"))
+
+
 @query(fx.WITH + "SELECT mol_id, energy / greatest(n_atoms, 1) AS per_atom, status AS got FROM m")
 def set_get_property(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = model.set_property(fx.molecules(spark, sf_dir), "per_atom", F.col("energy") / F.greatest("n_atoms", F.lit(1)))
     return m.select("mol_id", model.get_property(m, "per_atom").alias("per_atom"), model.get_property(m, "status").alias("got"))
 
 
-@query(fx.WITH + "SELECT mol_id, CAST(x * 2 AS DOUBLE) AS fx, atom_idx FROM a WHERE mol_id < 100")
+@query(fx.WITH + "SELECT mol_id, CAST(x * 2 AS DOUBLE) AS fx, atom_idx FROM a")
 def set_forces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of ``set_forces_all`` the rows that the SQL names."""
-    return set_forces_all(spark, sf_dir).where("mol_id < 100")
-
-
-@query()
-def set_forces_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replaces a section of all molecules."""
     m = fx.molecules(spark, sf_dir)
     doubled = F.transform("positions", lambda p: F.struct((p["x"] * 2).alias("x"), p["y"].alias("y"), p["z"].alias("z")))
     return model.wide_atoms(model.to_atoms(m.withColumn("forces", doubled), only=("forces",))).select("mol_id", "fx", "atom_idx")
 
 
-@query(fx.WITH + "SELECT mol_id, 'Molecule(n_atoms=' || n_atoms || ')' AS text FROM m")
+@query(fx.WITH + "SELECT mol_id, 'Molecule(n_atoms=' || n_atoms || ', energy=' || CAST(energy AS VARCHAR) || ')' AS text FROM m")
 def describe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.regexp_replace(model.describe(fx.molecules(spark, sf_dir)), ", energy=[^)]*", "")
-    return fx.molecules(spark, sf_dir).select("mol_id", text.alias("text"))
+    m = fx.molecules(spark, sf_dir)
+    return m.select("mol_id", model.describe(m).alias("text"))
 
 
 # -- geometry -------------------------------------------------------------------------------------------------------
@@ -281,10 +301,10 @@ def cell_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("mol_id", "r", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
 
 
-@query("SELECT mol_id, round(10 * sin(1.3 * p), 6) AS x, round(10 * cos(1.7 * p), 6) AS y, round(-1000.0 - 0.001 * mol_id, 6) AS energy, atom_idx, z_num FROM (SELECT m AS mol_id, CAST(a AS INTEGER) AS atom_idx, 0.001 * m + 0.01 * a AS p, CAST([1, 6, 7, 8, 16][a % 5 + 1] AS SMALLINT) AS z_num FROM range(100) t(m), range(64) u(a))".replace("0.001", "CAST(0.001 AS DOUBLE)").replace("0.01 ", "CAST(0.01 AS DOUBLE) "))  # noqa: E501
+@query("SELECT CAST(m AS BIGINT) AS mol_id, CAST(a AS INTEGER) AS atom_idx, CAST([8, 1, 14, 6, 26, 7][(m + a) % 6 + 1] AS SMALLINT) AS z_num, round((m * 7 + a * 3) % 101 / 10.0, 6) AS x, round((m * 11 + a * 5) % 103 / 10.0, 6) AS y, round((m * 13 + a * 17) % 107 / 10.0, 6) AS z, CAST(m % 997 AS DOUBLE) / 8 - 160 AS energy FROM range(100) t(m), range(64) u(a)")  # noqa: E501
 def synthetic_generator(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = stats.synthetic(spark, 100, 64)
-    return made.select("mol_id", r6("x").alias("x"), r6("y").alias("y"), r6("energy").alias("energy"), "atom_idx", "z_num")
+    return made.select("mol_id", "atom_idx", "z_num", r6("x").alias("x"), r6("y").alias("y"), r6("z").alias("z"), "energy")
 
 
 # -- schema lock ----------------------------------------------------------------------------------------------------
@@ -449,16 +469,22 @@ def json_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
 
 
-@query("SELECT * FROM (VALUES (' /a/./b// ', 'a/b'), ('x', 'x'), ('a/../b', NULL), ('.', NULL), ('', NULL)) AS t(path, normal)")
+_PATH = "CASE page_id % 4 WHEN 0 THEN ' /./' || url || '//' WHEN 1 THEN url || '/../x' WHEN 2 THEN '/ .' ELSE url END"
+
+
+@query(f"SELECT page_id, CASE WHEN len(parts) > 0 AND NOT list_contains(parts, '..') THEN array_to_string(parts, '/') END AS normal FROM (SELECT page_id, list_filter(string_split(trim(trim({_PATH}, ' '), '/'), '/'), lambda x: x <> '' AND x <> '.') AS parts FROM pages)")  # noqa: E501
 def normal_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths = spark.createDataFrame([(" /a/./b// ",), ("x",), ("a/../b",), (".",), ("",)], "path string")
-    return paths.select("path", geo.normal_path(F.col("path")).alias("normal"))
+    """Paths made of the pages' addresses, some with needless parts, some that go up."""
+    return fx.table(spark, sf_dir, "pages").select("page_id", geo.normal_path(F.expr(_PATH)).alias("normal"))
 
 
-@query("SELECT spec, codec, CAST(level AS INTEGER) AS level FROM (VALUES ('none', 'none', NULL), ('LZ4', 'lz4', NULL), ('zstd', 'zstd', 3), ('zstd:19', 'zstd', 19), ('gzip', NULL, NULL), ('lz4:1', NULL, NULL)) AS t(spec, codec, level)")  # noqa: E501
+_SPEC = "CASE o_orderkey % 7 WHEN 0 THEN 'none' WHEN 1 THEN 'LZ4' WHEN 2 THEN 'zstd' WHEN 3 THEN 'zstd:' || (o_custkey % 22 + 1) WHEN 4 THEN 'gzip' WHEN 5 THEN 'lz4:1' ELSE ' ZSTD:-' || (o_custkey % 5 + 1) END"  # noqa: E501
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN 'none' WHEN 1 THEN 'lz4' WHEN 2 THEN 'zstd' WHEN 3 THEN 'zstd' WHEN 6 THEN 'zstd' END AS codec, CAST(CASE o_orderkey % 7 WHEN 2 THEN 3 WHEN 3 THEN o_custkey % 22 + 1 WHEN 6 THEN -(o_custkey % 5 + 1) END AS INTEGER) AS level FROM orders")  # noqa: E501
 def codec_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    specs = spark.createDataFrame([(s,) for s in ("none", "LZ4", "zstd", "zstd:19", "gzip", "lz4:1")], "spec string")
-    return specs.select("spec", geo.codec_of(F.col("spec")).alias("c")).select("spec", "c.codec", "c.level")
+    specs = fx.table(spark, sf_dir, "orders").select("o_orderkey", geo.codec_of(F.expr(_SPEC)).alias("c"))
+    return specs.select("o_orderkey", "c.codec", "c.level")
 
 
 @query("SELECT conv_id, count(*) AS n_turns, CAST(sum(length(text)) AS BIGINT) AS chars, arg_min(role, turn) AS first_role FROM conversations GROUP BY conv_id")
@@ -503,11 +529,14 @@ def _middle(rows: DataFrame) -> int:
     return (rows.agg(F.max("mol_id")).first()[0] + 1) // 2
 
 
-def _visible(spark: SparkSession, parts: list[DataFrame]) -> DataFrame:
-    path = f"{scratch_dir(spark)}/s"
+@query("SELECT step, CAST(visible AS INTEGER) AS visible FROM (SELECT 'before flush' AS step, 0 AS visible UNION ALL SELECT 'after flush', count(*) FILTER (o_orderkey < (SELECT (max(o_orderkey) + 1) // 2 FROM orders)) FROM orders UNION ALL SELECT 'second flush', count(*) FROM orders)")  # noqa: E501
+def commit_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a reader sees of all molecules, staged and committed in two halves."""
+    rows, path = _plain(spark, sf_dir), f"{scratch_dir(spark)}/s"
+    middle = _middle(rows)
     store, steps = Store.create(spark, path), []
-    for part, step in zip(parts, ("after flush", "second flush")):
-        store.append(part)
+    for part, step in ((F.col("mol_id") < middle, "after flush"), (F.col("mol_id") >= middle, "second flush")):
+        store.append(rows.where(part))
         if not steps:
             steps.append(("before flush", len(Store.open(spark, path))))
         store.flush()
@@ -515,23 +544,11 @@ def _visible(spark: SparkSession, parts: list[DataFrame]) -> DataFrame:
     return spark.createDataFrame(steps, "step string, visible int")
 
 
-@query("SELECT * FROM (VALUES ('before flush', 0), ('after flush', 300), ('second flush', 600)) AS t(step, visible)")
-def commit_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a reader sees of staged and committed molecules, of which the SQL names 600."""
-    rows = _plain(spark, sf_dir)
-    return _visible(spark, [rows.where("mol_id < 300"), rows.where("mol_id >= 300 and mol_id < 600")])
-
-
-@query()
-def commit_visibility_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a reader sees of all molecules, staged and committed in two halves."""
-    rows = _plain(spark, sf_dir)
+@query("SELECT o_orderkey AS mol_id, o_totalprice AS energy FROM orders WHERE o_orderkey < (SELECT (max(o_orderkey) + 1) // 2 FROM orders)")
+def generation_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All molecules committed in two halves, the second commit damaged: the first half is read."""
+    rows, path = _plain(spark, sf_dir), f"{scratch_dir(spark)}/s"
     middle = _middle(rows)
-    return _visible(spark, [rows.where(F.col("mol_id") < middle), rows.where(F.col("mol_id") >= middle)])
-
-
-def _fallen_back(spark: SparkSession, rows: DataFrame, middle: int) -> DataFrame:
-    path = f"{scratch_dir(spark)}/s"
     store = Store.create(spark, path)
     for part in (F.col("mol_id") < middle, F.col("mol_id") >= middle):
         store.append(rows.where(part), order="mol_id")
@@ -540,33 +557,11 @@ def _fallen_back(spark: SparkSession, rows: DataFrame, middle: int) -> DataFrame
     return Store.open(spark, path).molecules().select("mol_id", "energy")
 
 
-@query("SELECT o_orderkey AS mol_id, o_totalprice AS energy FROM orders WHERE o_orderkey < 300")
-def generation_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A damaged newest commit: the one before is read, which holds the molecules that the SQL names."""
-    return _fallen_back(spark, _plain(spark, sf_dir), 300)
-
-
-@query()
-def generation_fallback_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All molecules committed in two halves, the second commit damaged: the first half is read."""
-    rows = _plain(spark, sf_dir)
-    return _fallen_back(spark, rows, _middle(rows))
-
-
-_CODECS = ("none", "lz4", "zstd")
-
-
-@query(fx.WITH + "SELECT codec, m.mol_id, atom_idx, x, charge FROM a JOIN m USING (mol_id), (VALUES ('none'), ('lz4'), ('zstd')) AS c(codec) WHERE m.mol_id < 300")
+@query(fx.WITH + "SELECT codec, m.mol_id, atom_idx, x, charge FROM a JOIN m USING (mol_id), (VALUES ('none'), ('lz4'), ('zstd')) AS c(codec)")
 def codec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of ``codec_roundtrip_all`` the rows that the SQL names; all molecules are stored."""
-    return codec_roundtrip_all(spark, sf_dir).where("mol_id < 300")
-
-
-@query()
-def codec_roundtrip_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Atoms of all molecules read back from stores of each codec."""
     root, out = scratch_dir(spark), None
-    for codec in _CODECS:
+    for codec in ("none", "lz4", "zstd"):
         store = Store.create(spark, f"{root}/{codec}", codec)
         store.append(_plain(spark, sf_dir), order="mol_id")
         store.flush()
@@ -576,8 +571,10 @@ def codec_roundtrip_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def _rewritten(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    root = scratch_dir(spark)
+@query("SELECT row_number() OVER (ORDER BY o_orderkey % 3, o_orderkey) - 1 AS mol_id, CAST(o_orderkey % 3 AS INTEGER) AS shard, o_totalprice AS energy FROM orders")
+def shard_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All molecules in three shards, rewritten, read as one dataset."""
+    root, rows = scratch_dir(spark), _plain(spark, sf_dir)
     for k in range(3):
         store = Store.create(spark, f"{root}/old/shard-{k}")
         store.append(rows.where(F.col("mol_id") % 3 == k), order="mol_id")
@@ -586,16 +583,24 @@ def _rewritten(spark: SparkSession, rows: DataFrame) -> DataFrame:
     return ShardReader.open_path(spark, f"{root}/new").molecules().select("mol_id", "shard", "energy")
 
 
-@query("SELECT row_number() OVER (ORDER BY o_orderkey % 3, o_orderkey) - 1 AS mol_id, CAST(o_orderkey % 3 AS INTEGER) AS shard, o_totalprice AS energy FROM orders WHERE o_orderkey < 300")
-def shard_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The molecules that the SQL names in three shards, rewritten one by one, read as one dataset."""
-    return _rewritten(spark, _plain(spark, sf_dir).where("mol_id < 300"))
+@query("SELECT count(*) AS n, round(sum(o_totalprice), 2) AS energy FROM orders")
+def transferred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All molecules in a store that is copied into a repository and read there."""
+    root = scratch_dir(spark)
+    store = Store.create(spark, f"{root}/mine")
+    store.append(_plain(spark, sf_dir))
+    store.flush()
+    upload(spark, store.path, f"{root}/repository", "sets")
+    there = open_repository(spark, f"{root}/repository", "sets").molecules()
+    return there.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("energy"), 2).alias("energy"))
 
 
-@query()
-def shard_rewrite_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All molecules in three shards, rewritten one by one, read as one dataset."""
-    return _rewritten(spark, _plain(spark, sf_dir))
+@query(fx.WITH + "SELECT m.mol_id, CAST(atom_idx * 3 + c AS INTEGER) AS k, round(CASE c WHEN 0 THEN x WHEN 1 THEN y ELSE z END, 6) AS place, z_num AS number, energy FROM m JOIN a USING (mol_id), range(3) t(c)")  # noqa: E501
+def payload_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Molecules as the plain columns from which objects are made: flat vectors, numbers, results."""
+    p = bridge.payload_columns(fx.molecules(spark, sf_dir))
+    each = p.select("mol_id", "numbers", "energy", F.posexplode("positions").alias("k", "place"))
+    return each.select("mol_id", "k", r6("place").alias("place"), F.get("numbers", F.floor(F.col("k") / 3).cast("int")).alias("number"), "energy")
 
 
 @query("SELECT m AS mol_id, CAST(a AS INTEGER) AS atom_idx, CAST([6, 8][a + 1] AS SMALLINT) AS z_num, CAST(m + a * 0.5 AS DOUBLE) AS x, CAST(m * 2 AS DOUBLE) AS gap FROM range(50) t(m), range(2) u(a)")  # noqa: E501
@@ -636,17 +641,22 @@ def memory_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_type", F.explode(delta).alias("key", "value"))
 
 
-@query("SELECT backend, workers, codec, trials FROM (VALUES ('a', 1, 'none', 3), ('b', 2, 'zstd', 3), ('c', 4, 'none', 5)) AS t(backend, workers, codec, trials)")
+@query("SELECT l_returnflag AS backend, l_linenumber AS workers, CASE WHEN l_linenumber % 2 = 0 THEN 'zstd' ELSE 'none' END AS codec, CAST(coalesce(CASE WHEN l_linenumber % 3 = 0 THEN count(*) END, 3) AS BIGINT) AS trials FROM lineitem GROUP BY 1, 2")  # noqa: E501
 def normalised_result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of results with gaps, filled from defaults."""
-    raw = spark.createDataFrame([("a", 1, None, None), ("b", 2, "zstd", None), ("c", 4, None, 5)], "backend string, workers int, codec string, trials int")
+    raw = fx.table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("backend"), F.col("l_linenumber").alias("workers")).agg(
+        F.when(F.col("workers") % 2 == 0, "zstd").alias("codec"), F.when(F.col("workers") % 3 == 0, F.count(F.lit(1))).alias("trials")
+    )
     return stats.normalised_rows(raw, ["backend", "workers"], {"codec": "none", "trials": 3})
 
 
-@query("SELECT * FROM (VALUES ('{\"reads\": [], \"meta\": 1}', 'read'), ('{\"memory\": 1}', 'memory'), ('[1]', NULL), ('{}', NULL)) AS t(doc, kind)")
+_RESULT = "CASE event_id % 5 WHEN 0 THEN '{\"reads\": [' || event_id || '], \"meta\": 1}' WHEN 1 THEN '{\"memory\": ' || event_id || '}' WHEN 2 THEN '[1]' WHEN 3 THEN '{\"reads\": [], \"memory\": 0}' ELSE '{}' END"  # noqa: E501
+
+
+@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'read' WHEN 1 THEN 'memory' WHEN 3 THEN 'memory' END AS kind FROM events")
 def result_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.createDataFrame([('{"reads": [], "meta": 1}',), ('{"memory": 1}',), ("[1]",), ("{}",)], "doc string")
-    return docs.select("doc", stats.result_kind(F.col("doc"), {"read": ["reads", "meta"], "memory": ["memory"]}).alias("kind"))
+    docs = fx.table(spark, sf_dir, "events")
+    return docs.select("event_id", stats.result_kind(F.expr(_RESULT), {"read": ["reads", "meta"], "memory": ["memory"]}).alias("kind"))
 
 
 @query("SELECT count(*) AS found, CAST(25 AS BIGINT) AS expected, count(*) = 25 AS complete FROM nation")
