@@ -328,6 +328,29 @@ def test_media_filters_and_checks():
         media.decode_png(good[:-5])
 
 
+def test_media_hash_by_brute_force(no_docs):
+    """The low frequencies from the sums of the definition, over an image reduced cell by cell."""
+    assert media.media_columns(no_docs).count() == 0
+    for seed, rows in ((1, 1), (2, 20), (3, 33), (4, 100)):
+        samples = np.random.default_rng(seed).integers(0, 256, (rows, 64), dtype=np.uint8)
+
+        def cells(n):
+            edges = [k * n // 32 for k in range(33)]
+            return [range(a, b) if n >= 32 else range(a, a + 1) for a, b in itertools.pairwise(edges)]
+
+        small = [[np.mean([[float(samples[y, x]) for x in xs] for y in ys]) for xs in cells(64)] for ys in cells(rows)]
+        low = []
+        for u in range(8):
+            for v in range(8):
+                total = sum(
+                    small[y][x] * np.cos(np.pi * (2 * y + 1) * u / 64) * np.cos(np.pi * (2 * x + 1) * v / 64) for y in range(32) for x in range(32)
+                )
+                low.append(total * ((1 if u == 0 else 2) / 32) ** 0.5 * ((1 if v == 0 else 2) / 32) ** 0.5)
+        middle = np.median(low[1:])
+        bits = np.unpackbits(np.frombuffer(media.cosine_hash(samples), np.uint8))
+        assert all(bits[k] == (low[k] > middle) for k in range(64) if abs(low[k] - middle) > 1e-5)
+
+
 def test_media_hash_is_stable():
     r = np.random.default_rng(0)
     picture = np.kron(r.integers(0, 200, (5, 8)), np.ones((8, 8), int)).astype(np.uint8)
