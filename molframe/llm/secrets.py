@@ -25,12 +25,21 @@ HEX = r"[0-9a-f]+"
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 12, 18, 16
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-#: Shorter tokens hold too few transitions to be told from names; only the fixed patterns find secrets in them.
-TOKEN_LEAST = 12
-TOKEN = r"[A-Za-z0-9+/_=-]{%d,}" % TOKEN_LEAST
-#: Parts of a token between the marks of paths and assignments.
-PART = r"[A-Za-z0-9+_-]{%d,}" % TOKEN_LEAST
-MIXED = r"(?=[A-Za-z0-9+/_=-]{%d,})[A-Za-z0-9+_-]*[/=]" % (TOKEN_LEAST + 1)
+#: Shorter tokens hold too few transitions to be told from names; only the fixed patterns find secrets in them. Tokens that are
+#: plain words (letters, the first perhaps a capital) are judged from WORD_LEAST characters on.
+TOKEN_LEAST, WORD_LEAST = 12, 20
+
+
+def _tokens(marks: str) -> str:
+    """Pattern of whole runs of letters, digits and ``marks`` that are judged."""
+    run = f"[A-Za-z0-9{marks}]"
+    return f"(?<!{run})(?:{run}{{{WORD_LEAST},}}|(?={run}{{{TOKEN_LEAST}}})[A-Z]?[a-z]*[A-Z0-9{marks}]{run}*)"
+
+
+TOKEN = _tokens("+/_=-")
+#: Parts of a token between the marks of paths and assignments, and what holds such a mark.
+PART = _tokens("+_-")
+MIXED = r"(?=[A-Za-z0-9+/_=-]{%d})[A-Za-z0-9+_-]*[/=]" % (TOKEN_LEAST + 1)
 #: Documents, of those with a base span and of all, whose strings train the models, at most (chosen by a hash of id and text).
 TRAINING_DOCUMENTS = 2000
 #: Random strings made for training, per kind.
@@ -189,7 +198,7 @@ def fit_thresholds(model: MarkovRatio, samples: DataFrame, precision: float = PR
 
     Of thresholds that find as many, the highest are taken.
 
-    Only samples of TOKEN_LEAST characters and more count. Without such samples of both labels the model stays as it is.
+    Only samples that are judged as tokens count. Without such samples of both labels the model stays as it is.
     """
     tokens = samples.where(F.col("is_random").isNotNull() & F.col("text").rlike(f"^{TOKEN}$")).select(
         "is_random", model.score(F.col("text")).alias("s"), (F.char_length("text") - 1).alias("n")
@@ -217,7 +226,7 @@ def default_model(docs: DataFrame, id_col="doc_id", text_col="text") -> MarkovRa
     """Trained on the samples of the corpus and those made by rule; thresholds from the held-out ones among them."""
     spark = docs.sparkSession
     samples = ordinary_identifiers(spark).unionByName(random_strings(spark)).unionByName(corpus_samples(docs, id_col, text_col))
-    samples = settle(samples.where("text <> ''"))  # used twice
+    samples = settle(samples.where("text <> ''").distinct())  # used twice; every string counts once
     back = F.pmod(F.xxhash64("text"), F.lit(HELD_OUT)) == 0
     return fit_thresholds(train_markov(samples.where(~back)), samples.where(back))
 
@@ -240,7 +249,7 @@ def base_spans(text: Column) -> Column:
 def secret_spans(text: Column, model: MarkovRatio) -> Column:
     """Array of (start, rank, end, kind, hit): base spans and, apart from those, tokens that the model finds random.
 
-    Tokens have TOKEN_LEAST characters at least. Where one that is not random as a whole holds the marks of paths or
+    Tokens have TOKEN_LEAST characters at least, plain words WORD_LEAST. Where one that is not random as a whole holds the marks of paths or
     assignments, its parts are judged too. Sorted by start, then in the order assign, access, hex, markov. Places are code
     points, the end exclusive.
     """

@@ -408,11 +408,12 @@ def markov_spans(text, model):
         return score >= model.least_sum and score >= model.least_mean * (len(token) - 1)
 
     def found(pattern):
-        return [(m.start(), m.end()) for m in re.finditer(pattern, text) if random(m[0])]
+        judged = (m for m in re.finditer(pattern, text) if len(m[0]) >= 20 or len(m[0]) >= 12 and not re.fullmatch("[A-Z]?[a-z]*", m[0]))
+        return [(m.start(), m.end()) for m in judged if random(m[0])]
 
     known = [(m.start(g and 0), m.end()) for _, p, g, n in BASE for m in p.finditer(text) if len(m[g]) >= n]
     out = []
-    for pattern in (r"[A-Za-z0-9+/_=-]{12,}", r"[A-Za-z0-9+_-]{12,}"):
+    for pattern in (r"[A-Za-z0-9+/_=-]+", r"[A-Za-z0-9+_-]+"):
         new = [(a, b) for a, b in found(pattern) if not any(x < b and a < y for x, y in known)]
         known, out = known + new, out + new
     return sorted(out)
@@ -432,7 +433,7 @@ def test_markov_spans_by_brute_force(spark, edge_docs, sample_docs):
 def test_thresholds_come_from_held_out_samples(spark, no_docs):
     r = random.Random(6)
     letters = lambda n, of: "".join(r.choice(of) for _ in range(n))
-    rows = [(letters(30, secrets.ALPHABET[:62]), True) for _ in range(400)] + [(prose(k, 3).replace(" ", "_")[:-1], False) for k in range(400)]
+    rows = [(letters(30, secrets.ALPHABET[:62]), True) for _ in range(4000)] + [(prose(k, 3).replace(" ", "_")[:-1], False) for k in range(4000)]
     samples = spark.createDataFrame([*rows, (None, True), ("", False), ("x" * 20, None)], "text string, is_random boolean")
     model = secrets.fit_thresholds(secrets.train_markov(samples), samples)
     assert model.precision >= secrets.PRECISION and model.recall > 0.95
