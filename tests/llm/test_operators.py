@@ -436,7 +436,7 @@ def test_thresholds_come_from_held_out_samples(spark, no_docs):
     rows = [(letters(30, secrets.ALPHABET[:62]), True) for _ in range(4000)] + [(prose(k, 3).replace(" ", "_")[:-1], False) for k in range(4000)]
     samples = spark.createDataFrame([*rows, (None, True), ("", False), ("x" * 20, None)], "text string, is_random boolean")
     model = secrets.fit_thresholds(secrets.train_markov(samples), samples)
-    assert model.precision >= secrets.PRECISION and model.recall > 0.95
+    assert model.precision >= secrets.PRECISION and model.recall > 0.85
     assert secrets.fit_thresholds(model, samples.where("is_random")) == model
     assert secrets.default_model(no_docs).recall is not None  # rule-made samples are always there
 
