@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .model import to_atoms, wide_atoms
 
-#: Ids that one request may name; the list is broadcast, so it is checked.
-MOST_IDS = 1_000_000
+#: Ids that one request may name as a list, and how many of them are broadcast, or pushed to the scan, at most.
+MOST_IDS, BROADCAST_IDS, PUSHED_IDS = 1_000_000, 100_000, 10_000
 
 
 class IndexOutOfRange(IndexError):
@@ -23,9 +24,8 @@ def id_table(df: DataFrame, ids: Sequence[int]) -> DataFrame:
         raise ValueError(f"more than {MOST_IDS} ids: join a DataFrame of ids instead")
     if any(i < 0 for i in ids):
         raise OverflowError("ids are not negative here")
-    text = "[" + ",".join(map(str, ids)) + "]"
-    listed = F.posexplode(F.from_json(F.lit(text), "array<bigint>")).alias("pos", "mol_id")
-    return df.sparkSession.range(1).select(listed)
+    rows = pa.table({"pos": pa.array(range(len(ids)), pa.int32()), "mol_id": pa.array(ids, pa.int64())})
+    return df.sparkSession.createDataFrame(rows)
 
 
 def point_get(molecules: DataFrame, mol_id: int) -> DataFrame:
@@ -43,8 +43,9 @@ def multi_get(molecules: DataFrame, ids: Sequence[int] | DataFrame, strict: bool
     if isinstance(ids, DataFrame):
         wanted, found = ids.select("pos", "mol_id"), molecules
     else:
-        wanted = F.broadcast(id_table(molecules, ids))
-        found = molecules.where(F.col("mol_id").isin([int(i) for i in set(ids)])) if len(ids) <= 10_000 else molecules
+        wanted = id_table(molecules, ids)
+        wanted = F.broadcast(wanted) if len(ids) <= BROADCAST_IDS else wanted
+        found = molecules.where(F.col("mol_id").isin([int(i) for i in set(ids)])) if len(ids) <= PUSHED_IDS else molecules
     there = found.withColumn("_there", F.lit(True))
     rows = wanted.join(there, "mol_id", "left")
     if strict:
