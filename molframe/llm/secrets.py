@@ -16,7 +16,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._runtime import bounded_sample, settle
+from ._runtime import settle
 
 # The base patterns, in the order in which spans of equal start are listed, and their least lengths.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -37,11 +37,10 @@ def _tokens(marks: str) -> str:
 
 
 TOKEN = _tokens("+/_=-")
-#: Parts of a token between the marks of paths and assignments, and what holds such a mark.
-PART = _tokens("+_-")
-MIXED = r"(?=[A-Za-z0-9+/_=-]{%d})[A-Za-z0-9+_-]*[/=]" % (TOKEN_LEAST + 1)
-#: Documents, of those with a base span and of all, whose strings train the models, at most (chosen by a hash of id and text).
-TRAINING_DOCUMENTS = 2000
+#: Parts of a token between the marks of paths and assignments.
+PART, PART_MARKS = _tokens("+_-"), ("/", "=")
+#: Documents whose words, and whose base spans, train the models, about (chosen by a hash of id and text).
+WORD_DOCUMENTS, SPAN_DOCUMENTS = 2_000, 20_000
 #: Random strings made for training, per kind.
 RANDOM_STRINGS = 2000
 #: One sample in so many is held out for the thresholds.
@@ -73,8 +72,6 @@ def _spans(text: Column, kind: str, rank: int, pattern: str, kept) -> Column:
     Gaps between hits and hits themselves alternate, so their lengths give the places, in code points. Hits are gone through
     in runs, for an appended array is copied: so the work is far from the square of their number.
     """
-    gaps, hits = F.split(text, pattern, -1), _hits(text, pattern)
-    both = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"))
     none = F.array().cast(f"array<{_SPAN}>")
 
     def step(acc: Column, x: Column) -> Column:
@@ -91,7 +88,16 @@ def _spans(text: Column, kind: str, rank: int, pattern: str, kept) -> Column:
         begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{_SPAN}>>").alias("runs"))
         return F.aggregate(F.sequence(F.lit(1), F.size(pairs), F.lit(_RUN)), begin, run, lambda acc: F.flatten(acc["runs"]))
 
-    return F.get(F.transform(F.array(both), of_pairs), F.lit(0))
+    def of_hits(hits: Column) -> Column:
+        both = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), hits.alias("hit"))
+        return F.when(F.size(hits) == 0, none).otherwise(_let(both, of_pairs))
+
+    return _let(_hits(text, pattern), of_hits)
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once per row."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 _SPAN = "struct<start:int,rank:int,end:int,kind:string,hit:string>"
@@ -149,19 +155,23 @@ def random_strings(spark: SparkSession, per_kind: int = RANDOM_STRINGS) -> DataF
     return spark.range(per_kind).select(F.explode(kinds).alias("text"), F.lit(True).alias("is_random"))
 
 
-def corpus_samples(docs: DataFrame, id_col="doc_id", text_col="text", most: int = TRAINING_DOCUMENTS) -> DataFrame:
+def corpus_samples(
+    docs: DataFrame, id_col="doc_id", text_col="text", words: int = WORD_DOCUMENTS, spans: int = SPAN_DOCUMENTS
+) -> DataFrame:
     """Labelled samples of the corpus: what the base patterns find is random, words and names elsewhere are ordinary.
 
-    Both come from ``most`` documents at most, chosen by hash: of those with a base span, and of all.
+    Both come from documents chosen by hash, about ``spans`` of them for the first and ``words`` for the second.
     """
+    count = max(1, docs.count())
+    order = F.shiftrightunsigned(F.xxhash64("id", "text"), 2)
+    share = lambda most: order <= min(1 << 62, (1 << 62) * most // count)
     plain = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    with_span = plain.where(F.col("text").rlike(_GATE) | F.contains("text", F.lit("AKIA")) | F.col("text").rlike(_LONG_HEX))
     value = lambda s: F.when(s["kind"] == "assign", F.regexp_extract(s["hit"], ASSIGN, 2)).otherwise(s["hit"])
-    found = bounded_sample(with_span, ["id", "text"], most).select(F.explode(F.transform(base_spans(F.col("text")), value)).alias("text"))
-    # what follows a base pattern is cut out before words are taken
+    found = plain.where(share(spans)).select(F.explode(F.transform(base_spans(F.col("text")), value)).alias("text"))
+    # what a base pattern matches is cut out before words are taken
     rest = F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), f"{ACCESS}|{_LONG_HEX}", " ")
-    words = F.explode(F.regexp_extract_all(rest, F.lit("(?<![A-Za-z0-9+/_=-])[A-Za-z]+(?:[_-][A-Za-z]+)*(?![A-Za-z0-9+/_=-])"), F.lit(0)))
-    ordinary = bounded_sample(plain, ["id", "text"], most).select(words.alias("text")).where("length(text) between 6 and 64")
+    each = F.explode(F.regexp_extract_all(rest, F.lit("(?<![A-Za-z0-9+/_=-])[A-Za-z]+(?:[_-][A-Za-z]+)*(?![A-Za-z0-9+/_=-])"), F.lit(0)))
+    ordinary = plain.where(share(words)).select(each.alias("text")).where("length(text) between 6 and 64")
     return found.select("text", F.lit(True).alias("is_random")).unionByName(ordinary.select("text", F.lit(False).alias("is_random")))
 
 
@@ -257,14 +267,14 @@ def secret_spans(text: Column, model: MarkovRatio) -> Column:
 
     def random(hit: Column) -> Column:
         score = model.score(hit)
-        return F.get(F.transform(F.array(score), lambda s: (s >= model.least_sum) & (s >= model.least_mean * (F.char_length(hit) - 1))), F.lit(0))
+        return _let(score, lambda s: (s >= model.least_sum) & (s >= model.least_mean * (F.char_length(hit) - 1)))
 
-    tokens = F.when(text.rlike(TOKEN), _spans(text, "markov", 3, TOKEN, random)).otherwise(none)
-    parts = F.when(text.rlike(MIXED), _spans(text, "markov", 3, PART, random)).otherwise(none)
+    tokens = _spans(text, "markov", 3, TOKEN, random)
+    marked = [F.contains(text, F.lit(m)) for m in PART_MARKS]
+    parts = F.when(marked[0] | marked[1], _spans(text, "markov", 3, PART, random)).otherwise(none)
     apart = lambda new, known: F.filter(new, lambda t: ~F.exists(known, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    let = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
-    whole = let(base_spans(text), lambda known: F.concat(known, apart(tokens, known)))
-    return let(whole, lambda known: F.sort_array(F.concat(known, apart(parts, known))))
+    whole = _let(base_spans(text), lambda known: F.concat(known, apart(tokens, known)))
+    return _let(whole, lambda known: F.sort_array(F.concat(known, apart(parts, known))))
 
 
 def _listed(spans: Column) -> Column:
