@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from molframe.functions import geometry as geo
+from molframe.functions import payload
 from molframe.functions.values import Tag
 from molframe.operators import bridge, lock, model, read, shards, stats
 from molframe.sources.ingest import arrays_batch
@@ -618,6 +619,21 @@ def batch_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return atoms.select("mol_id", "atom_idx", "z_num", F.col("x").cast("double").alias("x"), F.col("mp_gap").alias("gap"))
 
 
+@query(fx.WITH + "SELECT mol_id, atom_idx, charge FROM a")
+def payload_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Charges of all molecules as bytes and back."""
+    m = fx.molecules(spark, sf_dir).select("mol_id", payload.encoded(F.col("charges"), Tag.F64_ARRAY).alias("bytes"))
+    back = m.select("mol_id", F.posexplode(payload.decoded(F.col("bytes"), Tag.F64_ARRAY)).alias("atom_idx", "charge"))
+    return back.select("mol_id", "atom_idx", "charge")
+
+
+@query(fx.WITH + "SELECT mol_id, n_atoms, CAST(13 * n_atoms AS INTEGER) AS bytes FROM m")
+def raw_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of the raw records of all molecules."""
+    raw = payload.raw_records(fx.molecules(spark, sf_dir))
+    return raw.select("mol_id", "n_atoms", F.octet_length("raw").alias("bytes"))
+
+
 # -- report rows ----------------------------------------------------------------------------------------------------
 
 

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from molframe.functions import geometry as geo
 from molframe.functions.values import Tag, classify
@@ -307,6 +308,49 @@ def test_typed_getters(spark):
     assert row.qfloat == [1, 1] and row.siteint == [1, 1] and len(row.dirvec3) == 2 and all(row[k] is None for k in ("qint", "qvec3", "sitefloat", "sitevec3", "dirfloat", "dirint"))
 
 
+def test_payloads_round_trip(spark):
+    from molframe.functions import payload
+    from molframe.functions.values import TYPES, to_cell
+
+    r = np.random.default_rng(4)
+    made = {
+        Tag.F64: 2.5, Tag.I64: -7, Tag.F32: 0.25, Tag.STRING: "né漢", Tag.F64_ARRAY: r.random(4), Tag.F32_ARRAY: r.random(3).astype(np.float32),
+        Tag.I64_ARRAY: np.array([1, -2]), Tag.I32_ARRAY: np.array([5], np.int32), Tag.VEC3_F32: r.random((2, 3)).astype(np.float32),
+        Tag.VEC3_F64: r.random((3, 3)), Tag.MAT3_F64: r.random((3, 3)), Tag.MAT3_F32: r.random((3, 3)).astype(np.float32), Tag.BOOL3: [True, False, True],
+        Tag.TENSOR_F64: r.random((2, 2, 3)), Tag.TENSOR_I32: np.arange(6, dtype=np.int32).reshape(1, 6), Tag.TENSOR_F32: np.zeros((0, 2), np.float32), Tag.TENSOR_I64: np.array(3),
+    }
+    for tag, value in made.items():
+        back = payload.from_bytes(payload.to_bytes(value, tag), tag)
+        assert np.array_equal(back, value) and np.shape(back) == np.shape(value), tag
+        assert payload.from_bytes(payload.to_bytes(None, tag), tag) is None
+        df = spark.createDataFrame([(to_cell(value, tag),), (None,)], T.StructType([T.StructField("v", TYPES[tag].spark)]))
+        rows = df.select("v", payload.decoded(payload.encoded(F.col("v"), tag), tag).alias("w")).collect()
+        assert rows[0].v == rows[0].w and rows[1].w is None, tag
+    for data, tag in ((b"abc", Tag.F64), (b"abcd", Tag.VEC3_F32), (b"\1", Tag.BOOL3), (b"", Tag.TENSOR_F64), (b"\1\0\0\0\2\0\0\0", Tag.TENSOR_F64), (b"x" * 5, Tag.I32_ARRAY)):
+        with pytest.raises(payload.PayloadError):
+            payload.from_bytes(data, tag)
+
+
+def test_values_too_large_are_refused(monkeypatch):
+    from molframe.functions import payload
+
+    monkeypatch.setattr(payload, "MOST_BYTES", 10)
+    with pytest.raises(payload.PayloadError):
+        payload.to_bytes("x" * 11, Tag.STRING)
+    with pytest.raises(payload.PayloadError):
+        payload.from_bytes(b"x" * 16, Tag.F64_ARRAY)
+
+
+def test_raw_records(spark):
+    from molframe.functions import payload
+
+    row = payload.raw_records(one(spark)).where("mol_id = 1").first()
+    places, numbers = payload.raw_atoms(bytes(row.raw))
+    assert row.n_atoms == 2 and places.tolist() == [[4, 0, 1], [4, 0, -1]] and numbers.tolist() == [7, 26]
+    with pytest.raises(payload.PayloadError):
+        payload.raw_atoms(b"x" * 14)
+
+
 def plan_of(df):
     return df._jdf.queryExecution().toString()
 
