@@ -49,13 +49,32 @@ def to_atoms(molecules: DataFrame, keep: Iterable[str] = ("mol_id",), only: Iter
     return each.select(*keep, "atom_idx", *entries, F.col("_z").alias("atomic_numbers"))
 
 
+#: Scalar columns of a vector section start with this.
+WIDE = {"positions": "", "forces": "f", "velocities": "v"}
+
+
+def plain_atoms(plain: DataFrame, keep: Iterable[str] = ("mol_id",)) -> DataFrame:
+    """``wide_atoms`` of molecules whose vectors are flat arrays: numbers are read by place, no vector is made.
+
+    Other per-atom columns (charges, ``ap_`` arrays as long as the molecule) follow under their names.
+    """
+    sections = [c for c in atom_columns(plain) if c != "atomic_numbers"]
+    each = plain.select(*keep, "n_atoms", *sections, F.posexplode("atomic_numbers").alias("atom_idx", "_z"))
+    out = [*keep, "atom_idx"]
+    for c in sections:
+        if c in WIDE:
+            out += [F.get(c, F.col("atom_idx") * 3 + k).alias(WIDE[c] + n) for k, n in enumerate("xyz")]
+        else:
+            out.append(F.when(F.size(c) == F.col("n_atoms"), F.get(c, F.col("atom_idx"))).alias("charge" if c == "charges" else c))
+    return each.select(*out, F.col("_z").alias("z_num"))
+
+
 def wide_atoms(atoms: DataFrame) -> DataFrame:
     """Splits vectors into scalar columns: x, y, z; fx, fy, fz; vx, vy, vz; z_num; charge."""
     out = []
     for c in atoms.columns:
-        if c in ("positions", "forces", "velocities"):
-            p = {"positions": "", "forces": "f", "velocities": "v"}[c]
-            out += [F.col(f"{c}.{k}").alias(p + k) for k in "xyz"]
+        if c in WIDE:
+            out += [F.col(f"{c}.{k}").alias(WIDE[c] + k) for k in "xyz"]
         else:
             out.append(F.col(c).alias({"atomic_numbers": "z_num", "charges": "charge"}.get(c, c)))
     return atoms.select(*out)

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from molframe.operators import lock as locks
 from molframe.operators.read import MOST_IDS
 
-from .store import Store, _Files, latest
+from .store import LAYOUTS, Store, _Files, as_vectors, latest, stored_schema
 
 #: Shards that are rewritten, or files that are copied, at a time.
 AT_ONCE = 8
@@ -95,16 +95,22 @@ class ShardReader:
         return shard, at - self._first[shard]
 
     def _rows(self, shards: Sequence[int]) -> DataFrame:
-        """Molecules of some shards in one scan, with ``shard`` and ``first``; ``mol_id`` is still the place in the shard."""
-        folders = [(f["path"].rsplit("/", 1)[-1], k, self._first[k], f"{self.stores[k].path}/{f['path']}") for k in shards for f in self.stores[k]._commit.files]
-        if not folders:
-            empty = T.StructType([*self._schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("first", T.LongType())])
-            return self.spark.createDataFrame([], empty)
-        rows = self.spark.read.schema(self._schema).parquet(*[f[3] for f in folders])
+        """Molecules of some shards, one scan per layout, with ``shard`` and ``first``; ``mol_id`` is still the place in the shard."""
+        files = [(k, f["path"]) for k in shards for f in self.stores[k]._commit.files]
         # a row per folder that the commits list
-        of = self.spark.createDataFrame([f[:3] for f in folders], "_folder string, shard int, first long")
-        folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
-        return rows.withColumn("_folder", folder).join(F.broadcast(of), "_folder").drop("_folder")
+        of = [(path.rsplit("/", 1)[-1], k, self._first[k]) for k, path in files]
+        folders = self.spark.createDataFrame(of, "_folder string, shard int, first long")
+        out = None
+        for layout in LAYOUTS:
+            paths = [f"{self.stores[k].path}/{path}" for k, path in files if self.stores[k]._commit.layout == layout]
+            if paths:
+                stored = self.spark.read.schema(stored_schema(self._schema, layout)).parquet(*paths)
+                placed = stored.withColumn("_folder", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
+                rows = as_vectors(placed.join(F.broadcast(folders), "_folder").drop("_folder"), self._schema, layout)
+                out = rows if out is None else out.unionByName(rows)
+        if out is None:
+            return self.spark.createDataFrame([], T.StructType([*self._schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("first", T.LongType())]))
+        return out
 
     def _placed(self, rows: DataFrame) -> DataFrame:
         return rows.withColumns({"local_idx": F.col("mol_id"), "mol_id": F.col("mol_id") + F.col("first")}).drop("first")

@@ -47,6 +47,29 @@ def test_codecs(spark, tmp_path, codec):
     assert energies(Store.open(spark, store.path, persist=True)) == [1, 2]
 
 
+def test_layouts_give_the_same(spark, tmp_path):
+    rows = batch(spark, [1.0, 2.0, 3.0], forces=np.arange(18, dtype=np.float32).reshape(3, 2, 3), charges=np.ones((3, 2)), atom_properties={"dir": np.ones((3, 2, 3))})
+    none = arrays_batch(spark, np.zeros((1, 0, 3), np.float32), np.zeros((1, 0), np.uint8), energy=np.zeros(1))
+    stores = {}
+    for layout in ("vectors", "flat"):
+        store = stores[layout] = Store.create(spark, str(tmp_path / "set" / layout), layout=layout)
+        store.append(rows)
+        store.append(none)
+        store.flush()
+    one, other = (Store.open(spark, s.path) for s in stores.values())
+    assert one.molecules().schema == other.molecules().schema and one.lock == other.lock
+    assert one.molecules().orderBy("mol_id").collect() == other.molecules().orderBy("mol_id").collect()
+    flat = other.plain().orderBy("mol_id").collect()
+    assert one.plain().orderBy("mol_id").collect() == flat and flat[1].forces == [6, 7, 8, 9, 10, 11] and flat[3].positions == []
+    columns = ("mol_id", "atom_idx", "z_num", "x", "y", "z", "fx", "fy", "fz", "charge")
+    wide = model.wide_atoms(model.to_atoms(one.molecules())).select(*columns)
+    assert sorted(model.plain_atoms(other.plain()).select(*columns).collect()) == sorted(wide.collect())
+    both = ShardReader.open_path(spark, str(tmp_path / "set"))
+    assert len(both) == 8 and [r.forces[0].x for r in both.get_many([1, 5]).orderBy("pos").collect()] == [6, 6]
+    with pytest.raises(ValueError):
+        Store.create(spark, str(tmp_path / "x"), layout="columns")
+
+
 def test_guards(spark, tmp_path):
     path = str(tmp_path / "s")
     store = Store.create(spark, path)
