@@ -206,7 +206,9 @@ def transfer(spark: SparkSession, source: str, target: str) -> list[str]:
         with ThreadPoolExecutor(AT_ONCE) as pool:
             list(pool.map(copy, [w for w in wanted if not new.exists(prefix + w)]))
         if commit:
-            copy(f"_commits/{commit.generation:012d}.json")
+            for part in (commit.manifest, f"{commit.generation:012d}.json"):
+                if part is not None:
+                    copy(f"_commits/{part}")
         out.append(f"{target.rstrip('/')}/{name}".rstrip("/"))
     return out
 

@@ -1,7 +1,7 @@
 """A molecule store: Parquet files, and commits that make them visible.
 
 ``_commits/<generation>.json`` lists the files of a generation with their rows, the schema and its lock, and a checksum
-of all that. A commit is one rename, so a reader sees a generation or does not. Opening takes the highest generation
+of all that; where there are many files, it lists the latest and names a manifest that has the others. A commit is one rename, so a reader sees a generation or does not. Opening takes the highest generation
 whose checksum and files hold, so a damaged newest commit falls back to the one before. Files that no commit names are
 invisible until ``vacuum`` removes them. All paths go through Hadoop's file system, so any store that Spark reads will do
 whose rename is atomic. One writer at a time, as many readers as there are.
@@ -25,6 +25,8 @@ from molframe.operators import lock as locks
 from molframe.operators.model import checked
 
 CODECS = ("none", "lz4", "zstd")
+#: Files that a commit lists itself; beyond, they go to a manifest, so that a commit's size does not grow with their number.
+LISTED = 64
 #: How vectors lie in the files: as structs of three numbers, or as flat arrays, which take half the time to read as such.
 LAYOUTS = ("vectors", "flat")
 
@@ -39,6 +41,9 @@ class Commit:
     lock: str = "[]"
     streams: dict = field(default_factory=dict)  # last batch taken from each stream
     layout: str = "vectors"
+    manifest: str | None = None  # name of a file that lists the first files, how many, and its checksum
+    manifest_files: int = 0
+    manifest_crc: int = 0
 
     @property
     def rows(self) -> int:
@@ -46,16 +51,26 @@ class Commit:
 
 
 def _sealed(commit: Commit) -> str:
-    body = json.dumps(asdict(commit), sort_keys=True)
+    """Text of a commit: without the files that its manifest has."""
+    body = json.dumps(asdict(commit) | {"files": commit.files[commit.manifest_files :]}, sort_keys=True)
     return json.dumps({"crc": zlib.crc32(body.encode()), "body": body})
 
 
-def _unsealed(text: str) -> Commit | None:
+def _unsealed(text: str, files: _Files) -> Commit | None:
+    """The commit of a text with all its files; None if a checksum does not hold."""
     try:
         outer = json.loads(text)
         if zlib.crc32(outer["body"].encode()) != outer["crc"]:
             return None
-        return Commit(**json.loads(outer["body"]))
+        commit = Commit(**json.loads(outer["body"]))
+        if commit.manifest is not None:
+            if not files.exists(f"_commits/{commit.manifest}"):
+                return None
+            listed = files.read(f"_commits/{commit.manifest}")
+            if zlib.crc32(listed.encode()) != commit.manifest_crc:
+                return None
+            commit.files = json.loads(listed) + commit.files
+        return commit
     except (ValueError, KeyError, TypeError):
         return None
 
@@ -296,6 +311,12 @@ class Store:
         schema = json.dumps(self._schema.jsonValue()) if self._schema else None
         commit = Commit(generation, self._commit.codec, self._commit.level, known + self._pending, schema, locks.to_json(self._lock))
         commit.layout = self._commit.layout
+        if not self._fresh:
+            commit.manifest, commit.manifest_files, commit.manifest_crc = self._commit.manifest, self._commit.manifest_files, self._commit.manifest_crc
+        if len(commit.files) - commit.manifest_files > LISTED:
+            listed = json.dumps(commit.files)
+            commit.manifest, commit.manifest_files, commit.manifest_crc = f"manifest-{generation:012d}.json", len(commit.files), zlib.crc32(listed.encode())
+            self._files.write(f"_commits/{commit.manifest}", listed)  # nothing reads it before the commit is there
         commit.streams = self._commit.streams | ({stream[0]: stream[1]} if stream else {})
         self._publish(commit)
         self._commit, self._pending, self._fresh = commit, [], False
@@ -308,12 +329,14 @@ class Store:
             raise RuntimeError(f"generation {commit.generation} was committed by someone else")
 
     def vacuum(self) -> list[str]:
-        """Removes staged and orphaned files that no commit names, and temporary commits. Returns their names."""
+        """Removes staged and orphaned files and manifests that no commit names, and temporary commits. Returns their names."""
         if not self.writable or self._pending:
             raise ValueError("vacuum needs a writable handle with nothing staged")
-        named = {f["path"] for c in commits(self.spark, self.path) for f in c.files}
+        known = commits(self.spark, self.path)
+        named, manifests = {f["path"] for c in known for f in c.files}, {c.manifest for c in known}
         gone = [f"data/{n}" for n in self._files.names("data") if f"data/{n}" not in named]
         gone += [f"_commits/{n}" for n in self._files.names("_commits") if n.endswith(".tmp")]
+        gone += [f"_commits/{n}" for n in self._files.names("_commits") if n.startswith("manifest-") and n not in manifests]
         gone += [f"_staging/{n}" for n in self._files.names("_staging")]
         for name in gone:
             self._files.remove(name)
@@ -366,7 +389,7 @@ def _names(files: _Files) -> list[str]:
 def commits(spark: SparkSession, path: str) -> list[Commit]:
     """Commits whose checksum holds, oldest first."""
     files = _Files(spark, path)
-    found = (_unsealed(files.read(f"_commits/{n}")) for n in reversed(_names(files)))
+    found = (_unsealed(files.read(f"_commits/{n}"), files) for n in reversed(_names(files)))
     return [c for c in found if c is not None]
 
 
@@ -375,7 +398,7 @@ def latest(spark: SparkSession, path: str) -> Commit | None:
     files = _Files(spark, path)
     there: set[str] | None = None
     for name in _names(files):
-        commit = _unsealed(files.read(f"_commits/{name}"))
+        commit = _unsealed(files.read(f"_commits/{name}"), files)
         if commit is None:
             continue
         if there is None:  # one listing instead of a question per file

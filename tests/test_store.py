@@ -204,6 +204,29 @@ def test_newest_commit_is_read_first(spark, tmp_path, monkeypatch):
     assert len(Store.open(spark, path)) == 3 and seen == ["_commits/000000000003.json"]
 
 
+def test_many_files_go_to_a_manifest(spark, tmp_path, monkeypatch):
+    from molframe.sources import store as stores
+    from molframe.sources.shard_set import transfer
+
+    monkeypatch.setattr(stores, "LISTED", 2)
+    path = tmp_path / "s"
+    store, sizes = Store.create(spark, str(path)), []
+    for k in range(7):
+        store.append(batch(spark, [float(k)]))
+        store.flush()
+        sizes.append(len(stores.json.loads(stores.json.loads((path / "_commits" / f"{k + 1:012d}.json").read_text())["body"])["files"]))
+        assert energies(Store.open(spark, str(path))) == [float(i) for i in range(k + 1)]
+    assert max(sizes) == 2 and sizes.count(0) == 2
+    (copy,) = transfer(spark, str(path), str(tmp_path / "copy"))
+    assert energies(Store.open(spark, copy)) == [float(i) for i in range(7)]
+    assert Store.open(spark, str(path), writable=True).vacuum() == []
+    newest = sorted((path / "_commits").glob("manifest-*.json"))[-1]
+    newest.write_text("[]")
+    for crc in path.rglob("*.crc"):
+        crc.unlink()
+    assert energies(Store.open(spark, str(path))) == [0.0, 1.0, 2.0, 3.0, 4.0]  # the last commit before that manifest
+
+
 def test_store_gives_payloads(spark, tmp_path):
     store = Store.create(spark, str(tmp_path / "s"))
     store.append(batch(spark, [1.0, 2.0]))
