@@ -101,23 +101,27 @@ def first_k(df: DataFrame, order: str, k: int) -> DataFrame:
     return df.orderBy(order).limit(k)
 
 
+def _drawn(key: Column, seed: int) -> Column:
+    """A digest that depends on a key and the seed alone, the same on any engine."""
+    return F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed))).cast("binary"))
+
+
 def hash_sample(df: DataFrame, key: str, k: int, seed: int = 0) -> DataFrame:
     """``k`` rows without replacement, the same ones for a seed on any cluster."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(k)
+    return df.orderBy(_drawn(F.col(key), seed), key).limit(k)
 
 
 def draws(df: DataFrame, key: str, k: int, seed: int = 0) -> DataFrame:
     """``k`` draws with replacement of the dense 0-based ``key``: (draw, key). A draw depends on its number and the seed."""
     spark = df.sparkSession
     size = df.agg(F.count(F.lit(1)).alias("_n"))
-    return spark.range(k).crossJoin(F.broadcast(size)).where("_n > 0").select(
-        F.col("id").alias("draw"), F.pmod(F.xxhash64("id", F.lit(seed)), F.col("_n")).alias(key)
-    )
+    number = F.conv(F.substring(_drawn(F.col("id"), seed), 1, 15), 16, 10).cast("long")  # 60 bits
+    return spark.range(k).crossJoin(F.broadcast(size)).where("_n > 0").select(F.col("id").alias("draw"), (number % F.col("_n")).alias(key))
 
 
 def permutation(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
-    """All rows with ``_order``, a hash to sort by: the same shuffled order for a seed."""
-    return df.withColumn("_order", F.xxhash64(F.col(key), F.lit(seed)))
+    """All rows with ``_order``, a digest to sort by: the same shuffled order for a seed."""
+    return df.withColumn("_order", _drawn(F.col(key), seed))
 
 
 def recommended_batch(atoms: Column, budget_bytes: int, per_atom: int, fixed: int, most: int = 4096) -> Column:

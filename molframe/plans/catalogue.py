@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from molframe.functions import geometry as geo
@@ -258,6 +258,23 @@ def set_forces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.wide_atoms(model.to_atoms(m.withColumn("forces", doubled), only=("forces",))).select("mol_id", "fx", "atom_idx")
 
 
+@query(fx.WITH + "SELECT mol_id, atom_idx, x * 3 AS vx, z AS vz, energy AS c0, energy + 8 AS c8, -energy AS s4, status = 'P' AS periodic FROM a JOIN m USING (mol_id)")
+def set_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Velocities, cell, stress and periodicity set for all molecules and read again from a store."""
+    m = fx.molecules(spark, sf_dir).drop("present", "mp_customer", "charges", "forces")
+    moved = F.transform("positions", lambda p: F.struct((p["x"] * 3).alias("x"), p["y"].alias("y"), p["z"].alias("z")))
+    nine = lambda f: F.array(*[f(k) for k in range(9)])
+    periodic = F.struct(*[(F.col("mp_status") == "P").alias(k) for k in "abc"])
+    m = m.withColumns({"velocities": moved, "cell": nine(lambda k: F.col("energy") + k), "stress": nine(lambda k: F.col("energy") * (k - 5.0)), "pbc": periodic})
+    store = Store.create(spark, f"{scratch_dir(spark)}/s", layout="flat")
+    store.append(m, order="mol_id")
+    store.flush()
+    rows = Store.open(spark, store.path).molecules()
+    rows = rows.withColumns({"c0": F.get("cell", F.lit(0)), "c8": F.get("cell", F.lit(8)), "s4": F.get("stress", F.lit(4)), "periodic": F.col("pbc.b")})
+    atoms = model.wide_atoms(model.to_atoms(rows, ("mol_id", "c0", "c8", "s4", "periodic"), only=("velocities",)))
+    return atoms.select("mol_id", "atom_idx", "vx", "vz", "c0", "c8", "s4", "periodic")
+
+
 @query(fx.WITH + "SELECT mol_id, 'Molecule(n_atoms=' || n_atoms || ', energy=' || CAST(energy AS VARCHAR) || ')' AS text FROM m")
 def describe(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = fx.molecules(spark, sf_dir)
@@ -446,16 +463,28 @@ def sample_first_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.first_k(fx.table(spark, sf_dir, "events"), "event_id", 100).select("event_id", "value")
 
 
-@query()
+@query("SELECT event_id, value FROM events ORDER BY md5(event_id || ':7'), event_id LIMIT 100")
 def hash_sample_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.hash_sample(fx.table(spark, sf_dir, "events"), "event_id", 100, seed=7).select("event_id", "value")
 
 
-@query()
+@query("SELECT d AS draw, CAST('0x' || substr(md5(d || ':7'), 1, 15) AS BIGINT) % (SELECT count(*) FROM orders) AS mol_id FROM range(1000) t(d)")
 def draws_with_replacement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.draws(fx.table(spark, sf_dir, "orders"), "mol_id", 1000, seed=7)
 
 
+@query("SELECT event_id, row_number() OVER (ORDER BY md5(event_id || ':3'), event_id) - 1 AS place FROM events")
+def permuted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events in a shuffled order, with their places in it: numbered two-level over ranges of the digest's first bits."""
+    e = stats.permutation(fx.table(spark, sf_dir, "events").select("event_id"), "event_id", seed=3)
+    digits = F.conv(F.substring("_order", 1, 4), 16, 10).cast("int")
+    inside = Window.partitionBy("_range").orderBy("_order", "event_id")
+    ranged = e.withColumn("_range", digits)
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # 65,536 rows at most
+    starts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).select("_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    return ranged.withColumn("k", F.row_number().over(inside) - 1).join(starts, "_range").select("event_id", (F.col("first") + F.col("k")).alias("place"))
+
+
 @query("SELECT user_id AS atoms, least(4096, greatest(1, 1000000 // (user_id * 28 + 200))) AS batch FROM (SELECT DISTINCT user_id FROM events)".replace("least(", "CAST(least(").replace(")) AS batch", ")) AS INTEGER) AS batch"))  # noqa: E501
 def recommended_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     atoms = fx.table(spark, sf_dir, "events").select(F.col("user_id").alias("atoms")).distinct()

@@ -84,6 +84,14 @@ def test_properties(spark):
         model.set_property(df, "w", F.array(F.lit(1.0)), scope="atom").collect()
 
 
+def test_lock_as_text_and_equal_layouts(spark):
+    a, b = one(spark, charges=np.ones((2, 2))), one(spark, charges=np.zeros((2, 2)))
+    found = lock.derive(a.schema)
+    assert lock.from_json(lock.to_json(found)) == found == lock.derive(b.schema) and a.schema == b.schema
+    other = one(spark, charges=np.ones((2, 2), np.float32))
+    assert lock.derive(other.schema) != found and other.schema != a.schema
+
+
 def test_lookup_errors_and_order(spark):
     df = one(spark)
     assert [r.energy for r in read.multi_get(df, [1, 0, 1]).orderBy("pos").collect()] == [-2.5, -1.5, -2.5]
