@@ -271,8 +271,11 @@ def one_of_each_group(docs: DataFrame, threshold: float = THRESHOLD, words: int
         final = _class_links(plain, threshold, words, TARGET_RECALL, scratch)
         best = F.min(F.struct(F.col("class_id").isNull().alias("none"), "class_id", "key")).alias("b")
         kept = settle(final.groupBy("group").agg(best).select(row_key(F.col("b.class_id"), F.col("b.key")).alias("_row")))
-    once = docs.withColumn("_row", row_key(F.col(id_col), key)).dropDuplicates(["_row"])  # repeats go before the shuffle
-    return once.join(kept, "_row", "left_semi").select(*docs.columns)
+    name = "_row"
+    while name in docs.columns:
+        name += "_"
+    once = docs.withColumn(name, row_key(F.col(id_col), key)).dropDuplicates([name])  # repeats go before the shuffle
+    return once.join(kept.withColumnRenamed("_row", name), name, "left_semi").select(*docs.columns)
 
 
 def _links_of_forest(classes: DataFrame, threshold: float, recall: float, scratch: Scratch) -> DataFrame:

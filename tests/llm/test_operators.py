@@ -573,6 +573,13 @@ def test_links(spark, edge_docs, no_docs, sample_docs):
     assert near_join.near_duplicates(no_docs).count() == 0
 
 
+def test_one_of_each_group_keeps_columns(edge_docs):
+    kept = near_join.one_of_each_group(edge_docs).collect()
+    assert kept[0].asDict().keys() == set(edge_docs.columns) and all(r._row == 7 for r in kept)
+    groups = {r.group_id for r in near_join.near_duplicates(edge_docs).collect() if r.group_id is not None}
+    assert {r.doc_id for r in kept if r.doc_id is not None} == groups and len(kept) == len({r.text or "" for r in kept})
+
+
 def test_links_of_a_large_group(spark, monkeypatch):
     """Many near copies of one text, in blocks smaller than the group."""
     monkeypatch.setattr(near_join, "BLOCK", 16)
