@@ -7,7 +7,7 @@ tells an absent value from one stored as null.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,11 +30,23 @@ def atom_columns(molecules: DataFrame) -> list[str]:
     return [c for c in molecules.columns if c in ("positions", "atomic_numbers", *PER_ATOM) or c.startswith("ap_")]
 
 
-def from_atoms(atoms: DataFrame, key: str, order: list[str], fields: dict[str, Column]) -> DataFrame:
-    """Gathers atom rows into molecules: ``key, n_atoms`` and one array per field, in ``order``."""
-    entry = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], *[v.alias(k) for k, v in fields.items()])
-    grouped = atoms.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("_rows"))
-    return grouped.select(key, F.size("_rows").alias("n_atoms"), *[F.col(f"_rows.{k}").alias(k) for k in fields])
+def from_atoms(
+    atoms: DataFrame, key: str | list[str], order: list[str], fields: dict[str, Column | Callable[[Callable[[str], Column]], Column]]
+) -> DataFrame:
+    """Gathers atom rows into molecules: ``key`` (one column or more), ``n_atoms`` and one array per field, in ``order``.
+
+    A field is a column of the atoms or, where the columns of ``order`` suffice to make it, a function of these by name:
+    it is made when the rows are gathered, and takes no room on the way there.
+    """
+    keys = [key] if isinstance(key, str) else key
+    columns = {k: v for k, v in fields.items() if isinstance(v, Column)}
+    entry = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], *[v.alias(k) for k, v in columns.items()])
+
+    def made(field) -> Column:
+        return F.transform("_rows", lambda row: field(lambda c: row[f"_o{order.index(c)}"]))
+
+    grouped = atoms.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("_rows"))
+    return grouped.select(*keys, F.size("_rows").alias("n_atoms"), *[(F.col(f"_rows.{k}") if k in columns else made(v)).alias(k) for k, v in fields.items()])
 
 
 def to_atoms(molecules: DataFrame, keep: Iterable[str] = ("mol_id",), only: Iterable[str] | None = None) -> DataFrame:

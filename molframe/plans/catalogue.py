@@ -589,12 +589,16 @@ def generation_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(fx.WITH + "SELECT codec, m.mol_id, atom_idx, x, charge FROM a JOIN m USING (mol_id), (VALUES ('none'), ('lz4'), ('zstd')) AS c(codec)")
 def codec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Atoms of all molecules read back from stores of each codec."""
-    root, out = scratch_dir(spark), None
+    """Atoms of all molecules read back from stores of each codec; made for the first, which the others append as a table."""
+    root, out, made, ranges = scratch_dir(spark), None, None, fx.id_ranges(spark, sf_dir)
     for codec in ("none", "lz4", "zstd"):
         store = Store.create(spark, f"{root}/{codec}", codec)
-        store.append(_plain(spark, sf_dir), order="mol_id")
+        if made is None:
+            store.append(fx.molecules(spark, sf_dir, ranges).drop("present"), order="mol_id", ranges=ranges)
+        else:
+            store.append_table(made)
         store.flush()
+        made = store if made is None else made
         rows = model.wide_atoms(model.to_atoms(Store.open(spark, store.path).molecules(), only=("positions", "charges")))
         rows = rows.select(F.lit(codec).alias("codec"), "mol_id", "atom_idx", "x", "charge")
         out = rows if out is None else out.unionByName(rows)

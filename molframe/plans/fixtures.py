@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from molframe.operators.model import from_atoms
+from molframe.operators.ranges import RANGE, Ranges
 
 SHARDS = 4
 ORDER = [
@@ -21,24 +22,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def molecules(spark: SparkSession, sf_dir: str) -> DataFrame:
+def id_ranges(spark: SparkSession, sf_dir: str) -> Ranges:
+    """Ranges of the molecules' ids."""
+    return Ranges.counted(table(spark, sf_dir, "orders"), "o_orderkey")
+
+
+def molecules(spark: SparkSession, sf_dir: str, ranges: Ranges | None = None) -> DataFrame:
     """mol_id, n_atoms, name, positions, atomic_numbers, energy, charges, forces, mp_status, mp_customer, present.
 
-    Forces are absent where the order's status is P, the customer property is stored as null there.
+    Forces are absent where the order's status is P, the customer property is stored as null there. With ``ranges`` of the ids, orders and line
+    items are dealt to these instead of by hash, and the molecules lie in them (column ``RANGE``).
     """
-    lines = table(spark, sf_dir, "lineitem")
+    lines, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    keys, same = ["l_orderkey"], F.col("o_orderkey") == F.col("l_orderkey")
+    if ranges:
+        o, lines = ranges.deal(o, "o_orderkey"), ranges.deal(lines, "l_orderkey").withColumnRenamed(RANGE, "_lines")
+        keys, same = ["_lines", "l_orderkey"], (F.col(RANGE) == F.col("_lines")) & same
     vector = lambda x, y, z: F.struct(x.alias("x"), y.alias("y"), z.alias("z"))
-    q = F.col("l_quantity")
     atoms = from_atoms(
-        lines, "l_orderkey", ORDER,
+        lines, keys, ORDER,
         {
-            "positions": vector(q, F.col("l_extendedprice") / 1000, F.col("l_tax") * 100),
-            "atomic_numbers": (F.col("l_partkey") % 118 + 1).cast("smallint"),
-            "charges": F.col("l_discount"),
-            "forces": vector(q * 2, q * 0, q * 0),
+            "positions": lambda of: vector(of("l_quantity"), of("l_extendedprice") / 1000, of("l_tax") * 100),
+            "atomic_numbers": lambda of: (of("l_partkey") % 118 + 1).cast("smallint"),
+            "charges": lambda of: of("l_discount"),
+            "forces": lambda of: vector(of("l_quantity") * 2, of("l_quantity") * 0, of("l_quantity") * 0),
         },
     )
-    o = table(spark, sf_dir, "orders").join(atoms, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    o = o.join(atoms, same, "left")
     kinds = dict(atoms.dtypes)
     held = lambda c: F.coalesce(c, F.array().cast(kinds[c])).alias(c)
     stored = F.col("o_orderstatus") != "P"
@@ -49,7 +59,7 @@ def molecules(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_totalprice").alias("energy"), held("charges"),
         F.when(stored, F.coalesce("forces", F.array().cast(kinds["forces"]))).alias("forces"),
         F.col("o_orderstatus").alias("mp_status"), F.when(stored, F.col("o_custkey")).alias("mp_customer"),
-        F.when(stored, F.array_sort(F.array_append(sections, "forces"))).otherwise(sections).alias("present"),
+        F.when(stored, F.array_sort(F.array_append(sections, "forces"))).otherwise(sections).alias("present"), *([RANGE] if ranges else []),
     )
 
 

@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 from molframe.functions.geometry import flat3
 from molframe.operators import lock as locks
 from molframe.operators.model import checked
+from molframe.operators.ranges import KINDS, RANGE, Ranges
 
 CODECS = ("none", "lz4", "zstd")
 #: Files that a commit lists itself; beyond, they go to a manifest, so that a commit's size does not grow with their number.
@@ -214,30 +215,36 @@ class Store:
 
     # -- writing ------------------------------------------------------------------------------------------------
 
-    def append(self, molecules: DataFrame, order: str | None = None) -> int:
+    def append(self, molecules: DataFrame, order: str | None = None, ranges: Ranges | None = None) -> int:
         """Stages molecules; readers see them after ``flush``. Returns how many.
 
         They are numbered on from the last id, in order of the column ``order`` (not stored) if given, else in the order in which they lie in their
-        partitions. Their schema must fit the lock.
+        partitions. Their schema must fit the lock. ``ranges`` are those of ``order``, of molecules that are dealt to them already (``Ranges.deal``).
         """
-        if not self.writable:
-            raise ValueError("the store is open for reading only")
         for c in ("mol_id", "n_atoms"):
             if c in molecules.columns and c != order:
                 molecules = molecules.drop(c)
-        lock = locks.merge(self._lock, locks.derive(molecules.drop(order).schema if order else molecules.schema, locks.array_lengths(molecules)))
-        if self._lock and len(self) + sum(f["rows"] for f in self._pending) and self.record_format == 2 and locks.record_format(lock) == 3:
-            raise locks.LockError("a store that holds records of format 2 takes no others")
+        lock, first = self._admitted(molecules.drop(order, RANGE) if order else molecules)
+        folder, total = self._write_sorted(molecules, order, first, ranges) if order else self._write_in_place(molecules, first)
+        if folder is None:  # the counts did not hold for the rows written, or the order has no ranges
+            folder, total = self._write_staged(molecules.orderBy(order).drop(order, RANGE) if order else molecules, first)
+        self._stage(folder, first, total, lock)
+        return total
+
+    def _admitted(self, molecules: DataFrame) -> tuple[locks.Lock, int]:
+        """The lock with what ``molecules`` add to it, and their first id; an error if they do not fit."""
+        if not self.writable:
+            raise ValueError("the store is open for reading only")
+        lock = locks.merge(self._lock, locks.derive(molecules.schema, locks.array_lengths(molecules)))
         first = len(self) + sum(f["rows"] for f in self._pending)
-        folder, total = None, None
-        if order is None:
-            folder, total = self._write_in_place(molecules, first)
-        if folder is None:  # the counts did not hold for the rows written, or rows are to be sorted
-            folder, total = self._write_staged(molecules.orderBy(order).drop(order) if order else molecules, first)
+        if self._lock and first and self.record_format == 2 and locks.record_format(lock) == 3:
+            raise locks.LockError("a store that holds records of format 2 takes no others")
+        return lock, first
+
+    def _stage(self, folder: str, first: int, total: int, lock: locks.Lock) -> None:
         if total:
             self._pending.append({"path": folder, "first": first, "rows": total})
         self._lock = lock
-        return total
 
     def _write(self, rows: DataFrame, counts: dict[int, int], first: int, folder: str) -> None:
         """Writes rows (with ``_part`` and ``_row``, a place in the part in its low bits) numbered part after part."""
@@ -247,8 +254,12 @@ class Store:
         bases = self.spark.createDataFrame(list(start.items()), "_part int, _base long")  # one row per written file
         numbered = rows.join(F.broadcast(bases), "_part", "left")
         inside = F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))
-        numbered = checked(numbered.withColumns({"mol_id": F.col("_base") + inside, "n_atoms": F.size("atomic_numbers")}))
-        out = numbered.select("mol_id", "n_atoms", *[c for c in rows.columns if c not in ("mol_id", "n_atoms", "_part", "_row")])
+        self._write_numbered(numbered.withColumn("mol_id", F.col("_base") + inside).drop("_part", "_row", "_base"), folder)
+
+    def _write_numbered(self, rows: DataFrame, folder: str) -> None:
+        """Writes rows that have their ``mol_id``."""
+        rows = checked(rows.withColumn("n_atoms", F.size("atomic_numbers")))
+        out = rows.select("mol_id", "n_atoms", *[c for c in rows.columns if c not in ("mol_id", "n_atoms")])
         writer = (as_flat(out) if self._commit.layout == "flat" else out).write.option("compression", "uncompressed" if self._commit.codec == "none" else self._commit.codec)
         if self._commit.level is not None:
             writer = writer.option("parquet.compression.codec.zstd.level", str(self._commit.level))
@@ -265,7 +276,11 @@ class Store:
         total = sum(counts.values())
         if not total:
             return "", 0
-        folder, schema = f"data/{uuid.uuid4().hex}", self._schema
+        return self._write_counted(placed, counts, first)
+
+    def _write_counted(self, placed: DataFrame, counts: dict[int, int], first: int) -> tuple[str | None, int | None]:
+        """Writes rows that have been counted by ``_part``. (None, None) if those written are others."""
+        folder, schema, total = f"data/{uuid.uuid4().hex}", self._schema, sum(counts.values())
         self._write(placed, counts, first, folder)
         written = self.spark.read.parquet(f"{self.path}/{folder}").select("mol_id", F.col("_metadata.file_path").alias("file"))
         ends = written.groupBy("file").agg(F.min("mol_id").alias("a"), F.max("mol_id").alias("b"), F.count("mol_id").alias("n")).collect()
@@ -280,6 +295,21 @@ class Store:
         self._schema = schema
         return None, None
 
+    def _write_sorted(self, molecules: DataFrame, order: str, first: int, ranges: Ranges | None) -> tuple[str | None, int | None]:
+        """Counts the ranges of ``order``, then deals the molecules to them, sorts and writes them: they move once, or not if they are dealt.
+
+        (None, None) if the rows written are not those counted, or ``order`` is no plain value.
+        """
+        if ranges is None:
+            if not isinstance(molecules.schema[order].dataType, KINDS):
+                return None, None
+            ranges = Ranges.counted(molecules, order)
+            molecules = ranges.deal(molecules, order)
+        if not sum(ranges.counts):
+            return "", 0
+        placed = molecules.sortWithinPartitions(order).withColumn("_row", F.monotonically_increasing_id()).withColumnRenamed(RANGE, "_part")
+        return self._write_counted(placed.drop(order), dict(enumerate(ranges.counts)), first)
+
     def _write_staged(self, molecules: DataFrame, first: int) -> tuple[str, int]:
         """Writes rows as they come, then numbers what lies on disk."""
         staging, folder = f"_staging/{uuid.uuid4().hex}", f"data/{uuid.uuid4().hex}"
@@ -293,8 +323,13 @@ class Store:
         return folder, sum(counts.values())
 
     def append_table(self, other: Store) -> int:
-        """Appends all committed molecules of another store, in order."""
-        return self.append(other.molecules(), order="mol_id")
+        """Appends all committed molecules of another store, in order. Their ids are moved on, so they are neither sorted nor staged."""
+        molecules, total, folder = other.molecules(), len(other), f"data/{uuid.uuid4().hex}"
+        lock, first = self._admitted(molecules.drop("mol_id", "n_atoms"))
+        if total:
+            self._write_numbered(molecules.withColumn("mol_id", F.col("mol_id") + first), folder)
+        self._stage(folder, first, total, lock)
+        return total
 
     def streamed(self, stream: str) -> int:
         """Number of the last batch that was committed from a stream; -1 for none."""
