@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 #: Column with the range of a dealt row.
 RANGE = "_range"
 #: Rows that a range has at least, where there are as many, and about at most, but for equal values.
-LEAST_ROWS, MOST_ROWS = 1 << 13, 1 << 16
+LEAST_ROWS, MOST_ROWS = 1 << 14, 1 << 15
 #: Types of columns that can have ranges.
 KINDS = (T.NumericType, T.StringType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 

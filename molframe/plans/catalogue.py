@@ -261,13 +261,14 @@ def set_forces(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(fx.WITH + "SELECT mol_id, atom_idx, x * 3 AS vx, z AS vz, energy AS c0, energy + 8 AS c8, -energy AS s4, status = 'P' AS periodic FROM a JOIN m USING (mol_id)")
 def set_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Velocities, cell, stress and periodicity set for all molecules and read again from a store."""
-    m = fx.molecules(spark, sf_dir).drop("present", "mp_customer", "charges", "forces")
+    ranges = fx.id_ranges(spark, sf_dir)
+    m = fx.molecules(spark, sf_dir, ranges).drop("present", "mp_customer", "charges", "forces")
     moved = F.transform("positions", lambda p: F.struct((p["x"] * 3).alias("x"), p["y"].alias("y"), p["z"].alias("z")))
     nine = lambda f: F.array(*[f(k) for k in range(9)])
     periodic = F.struct(*[(F.col("mp_status") == "P").alias(k) for k in "abc"])
     m = m.withColumns({"velocities": moved, "cell": nine(lambda k: F.col("energy") + k), "stress": nine(lambda k: F.col("energy") * (k - 5.0)), "pbc": periodic})
     store = Store.create(spark, f"{scratch_dir(spark)}/s", layout="flat")
-    store.append(m, order="mol_id")
+    store.append(m, order="mol_id", ranges=ranges)
     store.flush()
     rows = Store.open(spark, store.path).molecules()
     rows = rows.withColumns({"c0": F.get("cell", F.lit(0)), "c8": F.get("cell", F.lit(8)), "s4": F.get("stress", F.lit(4)), "periodic": F.col("pbc.b")})

@@ -101,7 +101,7 @@ def test_fields_made_of_the_order_take_no_room(spark):
     assert len(re.findall(r"_o\d+, l_\w+", gathered)) == len(fx.ORDER) and "positions, " not in gathered.split("collect_list")[1].split(", 0, 0)")[0]
 
 
-@pytest.mark.parametrize("name", ["codec_roundtrip"])
+@pytest.mark.parametrize("name", ["codec_roundtrip", "set_sections"])
 def test_molecules_are_made_once_for_stores(spark, monkeypatch, unstaged, name):
     made, plain = [], fx.molecules
     monkeypatch.setattr(fx, "molecules", lambda *a: made.append(a) or plain(*a))
